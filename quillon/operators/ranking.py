@@ -1,0 +1,309 @@
+"""Ranking: candidates scored against the interests of a list, and the order they are shown in."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+JOIN, SHARE_POWER = 0.12, 0.5
+
+# ------------------------------------------------------------------ interests
+
+
+def cluster(similarity: np.ndarray, join: float = JOIN) -> list[list[int]]:
+    """Average linkage: the two closest groups are joined while their mean link is at least `join`; ties to the
+    earliest groups. For the at most some hundred liked shows of one list."""
+    groups = [[k] for k in range(len(similarity))]
+    link = similarity.astype(float).copy()  # sums of links between groups
+    while len(groups) > 1:
+        size = np.array([len(g) for g in groups], float)
+        mean = link / np.outer(size, size)
+        mean[np.tril_indices(len(groups))] = -np.inf
+        x, y = np.unravel_index(int(np.argmax(mean)), mean.shape)
+        if mean[x, y] < join:
+            break
+        groups[x] = groups[x] + groups[y]
+        del groups[y]
+        link[x] += link[y]
+        link[:, x] += link[:, y]
+        link = np.delete(np.delete(link, y, 0), y, 1)
+    return [sorted(g) for g in groups]
+
+
+def interests(liked: DataFrame, links: DataFrame, join: float = JOIN, most: int = 150) -> DataFrame:
+    """liked: user_id, pos, id, weight; links: a, b, near between liked shows (either direction; both are averaged).
+    user_id, id, interest: 0 for the heaviest interest, ties to the one whose first show comes first in the list.
+
+    A list longer than `most` is clustered on its most telling shows, heaviest and then newest first, and the rest join
+    the interest with the closest mean link; a group per user, bounded by the longest list."""
+
+    def group(frame: pd.DataFrame) -> pd.DataFrame:
+        shows = frame.drop_duplicates("id").sort_values("pos").reset_index(drop=True)
+        at = {i: k for k, i in enumerate(shows["id"])}
+        near = np.zeros((len(shows), len(shows)))
+        known = frame.dropna(subset=["b"])
+        for a, b, s in zip(known["id"], known["b"], known["near"], strict=True):
+            if b in at:
+                near[at[a], at[int(b)]] = s
+        sym = (near + near.T) / 2
+        told = shows.sort_values(["weight", "pos"], ascending=[False, False]).index[:most].sort_values()
+        groups = [[int(told[k]) for k in g] for g in cluster(sym[np.ix_(told, told)], join)]
+        for k in sorted(set(range(len(shows))) - set(told.tolist())):
+            means = [sym[k, g].mean() for g in groups]
+            groups[int(np.argmax(means))].append(k)
+        groups = [sorted(g) for g in groups]
+        groups.sort(key=lambda g: (-shows.loc[g, "weight"].sum(), shows.loc[g[0], "pos"]))
+        rows = [(frame["user_id"].iloc[0], shows.loc[k, "id"], n) for n, g in enumerate(groups) for k in g]
+        return pd.DataFrame(rows, columns=["user_id", "id", "interest"])
+
+    # only links between two shows of the same list travel
+    pairs = liked.select("user_id", F.col("id").alias("a")).join(links, "a").join(liked.select("user_id", F.col("id").alias("b")), ["user_id", "b"]).select("user_id", F.col("a").alias("id"), "b", "near")
+    joined = liked.select("user_id", "pos", "id", "weight").join(pairs, ["user_id", "id"], "left")
+    return joined.groupBy("user_id").applyInPandas(group, "user_id long, id long, interest int")
+
+
+# ------------------------------------------------------------------ scoring
+
+
+def interest_hits(candidates: DataFrame, liked: DataFrame, links: DataFrame, closest: float = 0.3) -> DataFrame:
+    """candidates: user_id, id; liked: user_id, id, weight, interest; links: a (liked), b (candidate), near; no link is
+    0. user_id, id, interest, hit = (1 - closest) * weighted mean + closest * best scaled closeness."""
+    groups = liked.groupBy("user_id", "interest").agg(F.sum("weight").alias("norm"), F.max("weight").alias("top"))
+    mine = liked.join(groups, ["user_id", "interest"]).select("user_id", "interest", F.col("id").alias("a"), (F.col("weight") / F.col("norm")).alias("share"), (F.col("weight") / F.col("top")).alias("scale"))
+    pairs = mine.join(links, "a").withColumnRenamed("b", "id").join(candidates.select("user_id", "id"), ["user_id", "id"], "left_semi")
+    return pairs.groupBy("user_id", "id", "interest").agg(((1 - closest) * F.sum(F.col("share") * F.col("near")) + closest * F.max(F.col("scale") * F.col("near"))).alias("hit"))
+
+
+def penalties(candidates: DataFrame, disliked: DataFrame, links: DataFrame, share: float = 0.35) -> DataFrame:
+    """user_id, id, penalty: share of the mean closeness to the disliked shows (user_id, id)."""
+    n = disliked.groupBy("user_id").agg(F.count("*").alias("n"))
+    pairs = disliked.select("user_id", F.col("id").alias("a")).join(links, "a").withColumnRenamed("b", "id").join(candidates.select("user_id", "id"), ["user_id", "id"], "left_semi")
+    return pairs.groupBy("user_id", "id").agg(F.sum("near").alias("s")).join(n, "user_id").select("user_id", "id", (share * F.col("s") / F.col("n")).alias("penalty"))
+
+
+def scores(hits: DataFrame, penalty: DataFrame, factors: DataFrame, liked: DataFrame, places: int = 9) -> DataFrame:
+    """user_id, id, interest, score. A candidate counts for the interest it hits hardest (ties to the heavier), less the
+    penalty, times its factor (user_id, interest, id, factor or user_id, id, factor); measured against the interest's
+    best and scaled by the interest's share of the list's weight to the power SHARE_POWER."""
+    lead = hits.groupBy("user_id", "id").agg(F.max_by(F.struct("interest", "hit"), F.struct(F.round("hit", places), -F.col("interest"))).alias("h")).select("user_id", "id", "h.*")
+    keys = [c for c in ("user_id", "interest", "id") if c in factors.columns]
+    raw = lead.join(penalty, ["user_id", "id"], "left").join(factors, keys, "left")
+    net = F.col("hit") - F.coalesce("penalty", F.lit(0.0))
+    raw = raw.withColumn("raw", F.when(net > 0, net * F.coalesce("factor", F.lit(1.0))).otherwise(0.0))
+    best = F.max("raw").over(Window.partitionBy("user_id", "interest"))
+    total = liked.groupBy("user_id").agg(F.sum("weight").alias("total"))
+    part = liked.groupBy("user_id", "interest").agg(F.sum("weight").alias("mass")).join(total, "user_id").select("user_id", "interest", F.pow(F.col("mass") / F.col("total"), F.lit(SHARE_POWER)).alias("part"))
+    out = raw.withColumn("best", best).join(part, ["user_id", "interest"])
+    return out.where("raw > 0").select("user_id", "id", "interest", F.round(F.col("raw") / F.col("best") * F.col("part"), places).alias("score"))
+
+
+def picks(scored: DataFrame, top: int = 24) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def closest_source(picked: DataFrame, liked: DataFrame, links: DataFrame, places: int = 9) -> DataFrame:
+    """The liked show that each pick is closest to, by weighted closeness, ties to the earlier in the list."""
+    pairs = picked.select("user_id", "id", "interest").join(links.withColumnRenamed("b", "id"), "id").join(liked.select("user_id", "interest", F.col("id").alias("a"), "pos", "weight"), ["user_id", "interest", "a"])
+    best = F.max_by("a", F.struct(F.round(F.col("weight") * F.col("near"), places), -F.col("pos")))
+    return pairs.groupBy("user_id", "id").agg(best.alias("because"))
+
+
+def wide_scores(liked: DataFrame, evidence: DataFrame, rates: dict[float, float] | None = None) -> DataFrame:
+    """Long lists: liked: user_id, id, weight, interest, fade; evidence: i, j, evidence. What the liked shows' closest
+    shows add up to, for the interest that adds most (ties to the heavier)."""
+    rates = rates or {1.0: 1.0, 0.7: 0.7, 0.35: 0.1}
+    table = F.create_map(*(x for k, v in rates.items() for x in (F.lit(k), F.lit(v))))
+    strength = F.coalesce(F.try_element_at(table, F.col("weight")), F.lit(0.0)) * F.col("fade")
+    pairs = liked.select("user_id", "interest", F.col("id").alias("i"), strength.alias("strength")).join(evidence, "i")
+    by = pairs.groupBy("user_id", "j", "interest").agg(F.sum(F.col("strength") * F.col("evidence")).alias("s"))
+    lead = F.max_by("interest", F.struct(F.round("s", 9), -F.col("interest")))
+    rated = liked.select("user_id", F.col("id").alias("j"))
+    return by.groupBy("user_id", "j").agg(lead.alias("interest"), F.max("s").alias("score")).join(rated, ["user_id", "j"], "left_anti")
+
+
+def disliked_nearness(disliked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per user and show the largest closeness to any disliked show, by edges of either direction."""
+    both = edges.select("a", "b", "near").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
+    return disliked.select("user_id", F.col("id").alias("a")).join(both, "a").groupBy("user_id", F.col("b").alias("id")).agg(F.max("near").alias("near"))
+
+
+def taste_match(scored: DataFrame) -> DataFrame:
+    """1 to 99 against the list's best score, half to even."""
+    best = F.max("score").over(Window.partitionBy("user_id"))
+    return scored.withColumn("match", F.greatest(F.lit(1), F.least(F.lit(99), F.bround(F.col("score") / best * 99).cast("int"))))
+
+
+def percent_similar(score: Column, low: float = 0.41, high: float = 27.6) -> Column:
+    """60 to 99 on a logarithmic scale; null under the low end."""
+    return F.when(score >= low, F.least(F.lit(99), F.bround(60 + 39 * F.log(score / low) / math.log(high / low)).cast("int")))
+
+
+def blended_order(df: DataFrame, group: str, taste: str, popularity: str, quality: str, key: str, weights: tuple[float, float, float] = (0.65, 0.2, 0.15)) -> DataFrame:
+    """The default order of a row: taste rank, popularity percentile and quality, each 0 to 1."""
+    n = F.count("*").over(Window.partitionBy(group))
+    rank = 1 - F.try_divide((F.row_number().over(Window.partitionBy(group).orderBy(F.desc(taste), key)) - 1).cast("double"), n - 1)
+    blend = F.round(weights[0] * F.coalesce(rank, F.lit(1.0)) + weights[1] * F.col(popularity) + weights[2] * F.col(quality), 9)
+    return df.withColumn("blend", blend).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("blend"), key)))
+
+
+def study_scores(candidates: DataFrame, seeds: DataFrame, affinity: DataFrame, mean_share: float = 0.7) -> DataFrame:
+    """The study's ranking: seeds: id, weight; affinity: a, b, s. min(1, mean_share * weighted mean + rest * best scaled)."""
+    totals = seeds.agg(F.sum("weight").alias("norm"), F.max("weight").alias("top"))
+    w = F.broadcast(seeds.join(F.broadcast(totals)).select(F.col("id").alias("a"), (F.col("weight") / F.col("norm")).alias("share"), (F.col("weight") / F.col("top")).alias("scale")))
+    s = affinity.join(w, "a").groupBy("b").agg(F.least(F.lit(1.0), mean_share * F.sum(F.col("share") * F.col("s")) + (1 - mean_share) * F.max(F.col("scale") * F.col("s"))).alias("score"))
+    return candidates.join(s, candidates["id"] == s["b"]).drop("b").join(seeds.select("id"), "id", "left_anti")
+
+
+# ------------------------------------------------------------------ order of what is shown
+
+
+def spread(df: DataFrame, group: str, rank: str, key: str, by: str) -> DataFrame:
+    """Repeats of a value of `by` move down: the k-th repeat's weight is .75 * .5^k + .25 against ln(rank)."""
+    k = F.row_number().over(Window.partitionBy(group, by).orderBy(rank)) - 1
+    moved = F.log(F.col(rank).cast("double")) - F.log(F.when(F.col(by).isNull(), F.lit(1.0)).otherwise(0.75 * F.pow(F.lit(0.5), k) + 0.25))
+    return df.withColumn("_moved", F.round(moved, 9)).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("_moved", rank, key))).drop("_moved")
+
+
+def dither(df: DataFrame, group: str, rank: str, key: str, seen: Column, noise: Column, length: int = 24, pinned: int = 5, depth: int = 3, fatigue: float = 0.35, epsilon: float = 0.35) -> DataFrame:
+    """The best `pinned` by rank and fatigue stay on top; the rest of the best depth * length take noise."""
+    pool = df.where(F.col(rank) <= depth * length)
+    steady = F.round(F.log(F.col(rank).cast("double")) + fatigue * F.log1p(seen), 9)
+    pool = pool.withColumn("_steady", steady).withColumn("_s", F.row_number().over(Window.partitionBy(group).orderBy("_steady", rank)))
+    noisy = F.when(F.col("_s") > pinned, F.round(F.col("_steady") + epsilon * noise, 9))
+    order = Window.partitionBy(group).orderBy(F.when(F.col("_s") <= pinned, F.col("_s")).asc_nulls_last(), noisy, key)
+    return pool.withColumn("place", F.row_number().over(order)).where(F.col("place") <= length).drop("_steady", "_s")
+
+
+def rotate(df: DataFrame, group: str, rank: str, key: str, seen: Column, gumbel: Column, places: int, top: int = 10, steep: float = 2.5, fatigue: float = 0.35) -> DataFrame:
+    """The first places drawn from the best `top`, with weight 1 / rank ^ steep."""
+    steady = F.round(F.log(F.col(rank).cast("double")) + fatigue * F.log1p(seen), 9)
+    best = df.withColumn("_steady", steady).withColumn("_s", F.row_number().over(Window.partitionBy(group).orderBy("_steady", rank))).where(F.col("_s") <= max(top, places))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.round(steep * F.col("_steady") - gumbel, 9), key))).where(F.col("place") <= places).drop("_steady", "_s")
+
+
+def draw_one(df: DataFrame, group: str, rank: str, key: str, resting: Column, gumbel: Column, top: int = 10) -> DataFrame:
+    """One of the best `top` that do not rest, with weight 1 / rank; the best when all rest."""
+    order = Window.partitionBy(group).orderBy(resting, rank)
+    d = df.withColumn("_n", F.row_number().over(order)).withColumn("_free", ~resting).where("_free or _n = 1").where(F.col("_n") <= top)
+    chosen = F.max_by(key, F.struct(F.round(-F.log(F.col("_n").cast("double")) + gumbel, 9), -F.col("_n")))
+    return d.groupBy(group).agg(chosen.alias(key))
+
+
+def explore(shown: DataFrame, ranked: DataFrame, group: str, key: str, order_by: Column, places: tuple[int, ...] = (12, 20), window: tuple[int, int] = (25, 72)) -> DataFrame:
+    """shown: group, key, place; ranked: group, key, rank. Rows from the window of ranks take the given places, the
+    lowest order_by first; the rows after move down and the list keeps its length."""
+    options = ranked.where(F.col("rank").between(*window)).join(shown.select(group, key), [group, key], "left_anti")
+    chosen = options.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order_by, key))).where(F.col("_n") <= len(places))
+    at = F.element_at(F.array(*(F.lit(p) for p in places)), F.col("_n"))
+    chosen = chosen.select(group, key, at.alias("new"), F.lit(True).alias("different"))
+    length = shown.groupBy(group).agg(F.max("place").alias("length"))
+    chosen = chosen.join(length, group).where(F.col("new") <= F.col("length")).drop("length")
+    taken = chosen.groupBy(group).agg(F.array_sort(F.collect_list("new")).alias("taken"))
+    moved = shown.join(taken, group, "left").withColumn("place", F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("place"), lambda p, t: F.when(p >= t, p + 1).otherwise(p)))
+    both = moved.select(group, key, "place", F.lit(False).alias("different")).union(chosen.select(group, key, F.col("new").alias("place"), "different"))
+    return both.join(length, group).where(F.col("place") <= F.col("length")).drop("length")
+
+
+def shuffle_rows(rows: DataFrame, group: str, position: str, key: str, tired: Column, noise: Column, fixed: int = 2, epsilon: float = 0.3) -> DataFrame:
+    """The first rows stay, the others take noise, tired ones go last."""
+    kept = F.col(position) <= fixed
+    order = Window.partitionBy(group).orderBy((~kept).cast("int"), F.when(kept, F.col(position)), tired.cast("int"), F.round(F.log(F.col(position).cast("double")) + epsilon * noise, 9), key)
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+# ------------------------------------------------------------------ home page
+
+
+def arrange(rows: DataFrame, most: int = 20, overlap: float = 0.5, interest: float = 0.3, kind: float = 0.3, first: int = 8) -> DataFrame:
+    """rows: user_id, row, relevance, interest, kind, cards (array). Greedy arrangement: each next row is the one of most
+    relevance less penalties for cards, interest and kind it shares with rows already placed; penalties weigh half in
+    the first rows and half again more after them. Ties to the smaller row. One user's candidate rows are one group."""
+
+    def place(frame: pd.DataFrame) -> pd.DataFrame:
+        left = frame.sort_values("row").to_dict("records")
+        shown: set = set()
+        interests: dict = {}
+        kinds: dict = {}
+        out = []
+        while left and len(out) < most:
+            scale = 0.5 if len(out) < first else 1.5
+
+            def worth(r: dict, scale: float = scale) -> float:
+                cards = set(r["cards"])
+                same = len(cards & shown) / len(cards) if cards else 0.0
+                n = max(len(out), 1)
+                return round(r["relevance"] - scale * (overlap * same + interest * interests.get(r["interest"], 0) / n + kind * kinds.get(r["kind"], 0) / n), 9)
+
+            best = max(range(len(left)), key=lambda k: (worth(left[k]), -k))
+            r = left.pop(best)
+            out.append((r["user_id"], r["row"], len(out) + 1))
+            shown |= set(r["cards"])
+            interests[r["interest"]] = interests.get(r["interest"], 0) + 1
+            kinds[r["kind"]] = kinds.get(r["kind"], 0) + 1
+        return pd.DataFrame(out, columns=["user_id", "row", "place"])
+
+    return rows.groupBy("user_id").applyInPandas(place, "user_id long, row string, place int")
+
+
+def dedup_cards(rows: DataFrame, least: int = 1, most_times: int = 2) -> DataFrame:
+    """rows: user_id, place, row, cards. No card opens two rows of a page or stands on it more than most_times; rows left
+    with fewer than `least` cards go. One user's page is one group."""
+
+    def clean(frame: pd.DataFrame) -> pd.DataFrame:
+        opened: set = set()
+        times: dict = {}
+        out = []
+        for r in frame.sort_values("place").to_dict("records"):
+            cards = [c for c in r["cards"] if times.get(c, 0) < most_times]
+            first = next((k for k, c in enumerate(cards) if c not in opened), None)
+            if first is None or len(cards) < least:
+                continue
+            cards.insert(0, cards.pop(first))
+            opened.add(cards[0])
+            for c in cards:
+                times[c] = times.get(c, 0) + 1
+            out.append((r["user_id"], r["row"], len(out) + 1, cards))
+        return pd.DataFrame(out, columns=["user_id", "row", "place", "cards"])
+
+    return rows.groupBy("user_id").applyInPandas(clean, "user_id long, row string, place int, cards array<long>")
+
+
+def row_relevance(cards: DataFrame, group: list[str], fit: str, rank: str, evidence: Column) -> DataFrame:
+    """Evidence times the mean fit of a row's cards, each card weighted by 1 / log2(place + 1), places from 1."""
+    w = 1 / F.log2(F.col(rank).cast("double") + 1)
+    return cards.groupBy(*group).agg((F.first(evidence) * F.sum(F.col(fit) * w) / F.sum(w)).alias("relevance"))
+
+
+def calibrate(cards: DataFrame, target: DataFrame, size: int, strength: float = 0.5, smooth: float = 0.01) -> DataFrame:
+    """cards: user_id, id, score, genres; target: user_id, genre, p. Greedy choice that trades score against how far the
+    chosen genres' distribution is from the target (KL divergence); one user's candidates are one group."""
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        wanted = {g: p for g, p in zip(frame["target_genres"].iloc[0], frame["target_p"].iloc[0], strict=True)} if frame["target_genres"].iloc[0] is not None else {}
+        left = frame.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
+        have: dict = {}
+        score, n, out = 0.0, 0, []
+        while left and len(out) < size:
+
+            def worth(r: dict, n: int = n, score: float = score) -> float:
+                mix = dict(have)
+                for g in r["genres"]:
+                    mix[g] = mix.get(g, 0.0) + 1 / max(len(r["genres"]), 1)
+                kl = sum(p * math.log(p / ((1 - smooth) * mix.get(g, 0.0) / (n + 1) + smooth * p)) for g, p in wanted.items() if p > 0)
+                return round((1 - strength) * (score + r["score"]) - strength * kl, 9)
+
+            best = max(range(len(left)), key=lambda k: (worth(left[k]), -k))
+            r = left.pop(best)
+            for g in r["genres"]:
+                have[g] = have.get(g, 0.0) + 1 / max(len(r["genres"]), 1)
+            score, n = score + r["score"], n + 1
+            out.append((r["user_id"], r["id"], n))
+        return pd.DataFrame(out, columns=["user_id", "id", "place"])
+
+    t = target.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("genre", "p"))).alias("t")).select("user_id", F.col("t.genre").alias("target_genres"), F.col("t.p").alias("target_p"))
+    return cards.join(t, "user_id", "left").groupBy("user_id").applyInPandas(choose, "user_id long, id long, place int")
