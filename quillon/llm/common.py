@@ -57,6 +57,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null is the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

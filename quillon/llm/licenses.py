@@ -106,19 +106,20 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for license_scan over the view documents, with the words of the grams instead of hashes."""
+    """DuckDB SQL for license_scan over the view documents, with the grams' words instead of hashes."""
     rows = [(n, label, text, SHORT) for n, (text, label) in enumerate(BASE)] + [(len(BASE) + n, label, text, LONG) for n, (label, text) in enumerate(TEMPLATES)]
     values = ", ".join(f"({n}, '{label}', '{text}', {k})" for n, label, text, k in rows)
     return rf"""
 WITH t AS (SELECT * FROM (VALUES {values}) v(template, label, text, k)),
-tw AS (SELECT template, label, k, string_split(text, ' ') AS w FROM t),
-tg AS (SELECT template, label, k, len(w) - k + 1 AS grams, p AS place, list_slice(w, p + 1, p + k) AS gram FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM tw)),
+tw AS (SELECT template, label, k, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS p FROM t),
+tg AS (SELECT template, label, k, p AS place, max(p) OVER (PARTITION BY template) + 2 - k AS grams, w AS w1, lead(w, 1) OVER o AS w2, CASE WHEN k = {LONG} THEN lead(w, 2) OVER o END AS w3
+       FROM tw WINDOW o AS (PARTITION BY template ORDER BY p)),
 d AS (SELECT row_number() OVER () AS r, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-dg AS (SELECT r, {SHORT} AS k, p, list_slice(w, p + 1, p + {SHORT}) AS gram FROM (SELECT r, w, unnest(range(0, len(w) - {SHORT} + 1)) AS p FROM d)
-       UNION ALL SELECT r, {LONG}, p, list_slice(w, p + 1, p + {LONG}) FROM (SELECT r, w, unnest(range(0, len(w) - {LONG} + 1)) AS p FROM d)),
+dw AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p FROM d),
+dg AS (SELECT r, p, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM dw WINDOW o AS (PARTITION BY r ORDER BY p)),
 votes AS (SELECT r, template, any_value(label) AS label, any_value(grams) AS grams, p - place AS diagonal, count(*) AS votes, min(p) AS low, max(p) AS high
-          FROM dg JOIN tg USING (k, gram) GROUP BY r, template, p - place),
+          FROM dg JOIN tg ON dg.w1 = tg.w1 AND dg.w2 = tg.w2 AND (k = {SHORT} OR dg.w3 = tg.w3) WHERE place < grams GROUP BY r, template, p - place),
 marked AS (SELECT *, CASE WHEN template < {len(BASE)} OR coalesce(diagonal - lag(diagonal) OVER o > {NEIGHBOUR}, TRUE) THEN 1 ELSE 0 END AS apart FROM votes WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM marked),
 runs AS (SELECT r, template, any_value(label) AS label, any_value(grams) AS grams, sum(votes) AS votes, min(low) AS low, max(high) AS high, min(diagonal) AS diagonal FROM numbered GROUP BY r, template, run),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, shared_folder
 
 SCALE = 1024
 SHARD = 4096
@@ -120,13 +120,16 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, query_block: int
     vectors = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), whole_numbers(F.col("embedding")).alias("embedding"))
     queries = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, math.ceil(queries.count() / query_block))
-    found = None
+    spark, folder = embeddings.sparkSession, shared_folder(embeddings.sparkSession)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        part = block_search(vectors, sorted((r.vec_id, r.embedding) for r in rows), k)
-        found = part if found is None else found.union(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        found = block_search(vectors, sorted((r.vec_id, r.embedding) for r in rows), k)
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if blocks == 1:
+            return best
+        best.write.parquet(f"{folder}/block={b}")
+    return spark.read.parquet(folder).drop("block")
 
 
 def oracle() -> str:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import materialise, unused, word_count
 
 #: Buckets of the seeded hash: the first three of its 32 hexadecimal digits.
 BUCKET_DIGITS = 3
@@ -102,11 +102,11 @@ def mixed_documents(docs: DataFrame, epochs: int = 3, cycle: int = 3, seed: int
     """The mix itself: every row of docs as often as it is taken, with all its columns and in as many rows."""
     key = order_key(F.col("doc_id"), seed)
     sized = materialise(docs.select("source", word_count(F.col("text")).alias("size"), key.alias("order_key")))
-    plan = mix_plan(sized, epochs, cycle).select(F.col("source").alias("_plan_source"), "whole", "last_key")
-    copies = F.sequence(F.lit(1), taken_times(F.col("whole"), F.col("last_key"), key).cast("int"), F.lit(1))
-    times = taken_times(F.col("whole"), F.col("last_key"), key)
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("_plan_source"))).where(times > 0)
-    return joined.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    names = {c: unused(docs, f"_mix_{c}") for c in ("source", "whole", "last_key", "copy")}
+    plan = mix_plan(sized, epochs, cycle).select(*(F.col(c).alias(names[c]) for c in ("source", "whole", "last_key")))
+    times = taken_times(F.col(names["whole"]), F.col(names["last_key"]), key)
+    joined = docs.join(plan, F.col("source").eqNullSafe(F.col(names["source"]))).where(times > 0)
+    return joined.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), times.cast("int"), F.lit(1)))).select(*docs.columns)
 
 
 def oracle() -> str:

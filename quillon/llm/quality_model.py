@@ -106,8 +106,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, text_bytes: in
         for curve in (False, True):
             part = labelled.where((F.col("quality") == quality) & (F.col("curve") == curve)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
             picked = part if picked is None else picked.union(part)
-    # at most 4 * per_class rows, whatever the corpus
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "curve", F.substring("text", 1, text_bytes).alias("text"))
+    # of a repeated doc_id one text: at most 4 * per_class rows, whatever the corpus
+    sample = sample.groupBy("doc_id", "quality", "curve").agg(F.min("text").alias("text"))
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
     for_dictionary = {q: [r.text.encode("utf-8", "surrogatepass")[:text_bytes] for r in rows if r.quality == q and not r.curve] for q in (0, 1)}
     model = CompressionModel(build_dictionary(for_dictionary[1], dictionary_bytes), build_dictionary(for_dictionary[0], dictionary_bytes), level)

@@ -6,9 +6,10 @@ differ in at most t_i bits of some part i with t_i >= 0. Number of parts and thr
 over estimated costs: keys written plus candidate pairs compared. A fingerprint's keys for a part are its value there
 with each choice of t_i bits masked out, so that whoever differs in t_i bits shares a key.
 
-Only distinct fingerprints are compared. Keys that many fingerprints share are divided again by the bits outside the
-part, by the same principle, until a group is small; as fingerprints are distinct, that ends. A group yields a
-spanning forest of its verified links, not its pairs.
+Only distinct fingerprints are compared. A group of fingerprints that share a key is compared in memory up to a size.
+In larger groups each member is listed under every value within half the distance of it: two that link share such a
+value, and no value has more holders than a ball has points. A group yields a spanning forest of its verified links,
+not its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, slices, texts_of
+from .common import bounded_batches, materialise, slices, texts_of, unused
 from .components import connected_components
 
 BITS = 64
@@ -147,62 +148,55 @@ def _masks(bits: list[int], threshold: int) -> list[int]:
     return [_signed(sum(1 << (63 - b) for b in bits if b not in out)) for out in map(set, combinations(bits, threshold))]
 
 
-def spanning_links(bits: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the fingerprints that differ in at most `distance` bits, block by block."""
-    bits = np.unique(bits)
-    parent = np.arange(len(bits))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    out = []
-    for at in range(0, len(bits), 256):
-        rows = bits[at : at + 256]
-        near = np.bitwise_count(rows[:, None] ^ bits[None, at:]) <= distance
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            a, b = root(at + int(i)), root(at + int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(bits[at + i].view(np.int64)), int(bits[at + j].view(np.int64))))
-    return out
-
-
-def links(distinct: DataFrame, distance: int = 2, most: int = 2048) -> DataFrame:
+def spanning_links(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the fingerprints that differ in at most `distance` bits: each node in turn takes
+    what it reaches of those not reached before."""
+    left, ends = np.unique(bits), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            node = queue.pop()
+            near = np.bitwise_count(left ^ node) <= distance
+            if near.any():
+                reached, left = left[near], left[~near]
+                ends.append((np.full(len(reached), node), reached))
+                queue.extend(reached)
+    if not ends:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x).view(np.int64) for x in zip(*ends, strict=True))
+    return a, b
+
+
+def links(distinct: DataFrame, distance: int = 2, most: int = 1 << 15) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column bits) that connect what differs in at most `distance` bits:
     every link is an edge or a path of edges, each of them verified. `most` is the size up to which a group is compared
-    in memory; larger ones are divided, none is left out."""
-    spark = distinct.sparkSession
+    in memory; larger ones are listed by ball, none is left out."""
     n, both = bit_statistics(distinct)
-    plan = allocate(n, both, distance)
-    masks = [(m, k) for k, (bits, t) in enumerate(plan) for m in _masks(bits, t)]
-    held = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m).cast("long").alias("fixed")) for m, _ in masks))
-    # fixed: all bits on which the members of a group are known to agree
-    keyed = distinct.select("bits", F.explode(held).alias("g")).select("bits", F.col("g.mask").alias("fixed"), F.col("bits").bitwiseAND(F.col("g.mask")).alias("value"))
-    out = None
-    for _ in range(BITS):
-        sizes = keyed.groupBy("fixed", "value").agg(F.count("*").alias("size")).where("size > 1")
-        keyed = materialise(keyed.join(sizes, ["fixed", "value"]))
-        small = keyed.where(F.col("size") <= most).select("fixed", "value", "bits")
-        found = forest(small, distance)
-        out = found if out is None else out.union(found)
-        large = keyed.where(F.col("size") > most).select("fixed", "value", "bits")
-        fixed = [r.fixed for r in large.select("fixed").distinct().limit(100_000).collect()]  # masks in use: a few for each probe mask and round
-        if not fixed:
-            break
-        finer = spark.createDataFrame([(f, m) for f in fixed for m in finer_masks(f, distance)], "fixed long, finer long")
-        keyed = large.join(F.broadcast(finer), "fixed").select("bits", F.col("finer").alias("fixed"), F.col("bits").bitwiseAND(F.col("finer")).alias("value"))
-    return out.distinct()
-
-
-def finer_masks(fixed: int, distance: int) -> list[int]:
-    """The free bits in distance + 1 parts: who links agrees on one of them besides the fixed bits. With few free bits
-    left a group is small anyway."""
-    free = [b for b in range(BITS) if not fixed >> (63 - b) & 1]
-    parts = [free[k :: distance + 1] for k in range(distance + 1)]
-    return [_signed((fixed & ((1 << 64) - 1)) | sum(1 << (63 - b) for b in part)) for part in parts]
+    masks = [m for bits, t in allocate(n, both, distance) for m in _masks(bits, t)]
+    # fixed: the bits on which the members of a group are known to agree
+    keyed = distinct.select("bits", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("fixed")).withColumn("value", F.col("bits").bitwiseAND(F.col("fixed")))
+    sizes = keyed.groupBy("fixed", "value").agg(F.count("*").alias("size")).where("size > 1")
+    keyed = materialise(keyed.join(sizes, ["fixed", "value"]))
+    small = keyed.where(F.col("size") <= most).select("fixed", "value", "bits")
+    large = balls(keyed.where(F.col("size") > most).select("fixed", "bits"), (distance + 1) // 2)
+    return forest(small, distance).union(forest(large, distance)).distinct()
+
+
+def balls(members: DataFrame, radius: int) -> DataFrame:
+    """members: fixed, bits. Each member under every value that differs from it in at most `radius` of the bits that are
+    not fixed: fixed, value, bits."""
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 12):
+            fixed, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for f in np.unique(fixed):
+                free = [b for b in range(BITS) if not int(f) >> (63 - b) & 1]
+                flips = np.array([_signed(sum(1 << (63 - b) for b in c)) for k in range(radius + 1) for c in combinations(free, k)], np.int64)
+                own = bits[fixed == f]
+                value = (own[:, None] ^ flips[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), f)), pa.array(value), pa.array(np.repeat(own, len(flips)))], ["fixed", "value", "bits"])
+
+    return members.mapInArrow(spread, "fixed long, value long, bits long")
 
 
 def forest(keyed: DataFrame, distance: int) -> DataFrame:
@@ -212,14 +206,19 @@ def forest(keyed: DataFrame, distance: int) -> DataFrame:
         left = None
         for frame in frames:
             rows = frame if left is None else pd.concat([left, frame], ignore_index=True)
+            if not len(rows):
+                continue
             fixed, value, bits = (rows[c].to_numpy() for c in ("fixed", "value", "bits"))
-            edge = np.flatnonzero(np.append(True, (fixed[1:] != fixed[:-1]) | (value[1:] != value[:-1]))) if len(rows) else np.zeros(0, int)
-            if len(edge):
-                found = [e for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1 for e in spanning_links(bits[a:b].view(np.uint64), distance)]
-                left = rows.iloc[edge[-1] :]
-                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            edge = np.flatnonzero(np.append(True, (fixed[1:] != fixed[:-1]) | (value[1:] != value[:-1])))
+            yield found([bits[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1])
+            left = rows.iloc[edge[-1] :]
         if left is not None and len(left) > 1:
-            yield pd.DataFrame(spanning_links(left["bits"].to_numpy().view(np.uint64), distance), columns=["a", "b"], dtype="int64")
+            yield found([left["bits"].to_numpy()])
+
+    def found(groups: list[np.ndarray]) -> pd.DataFrame:
+        ends = [spanning_links(g.view(np.uint64), distance) for g in groups]
+        a, b = (np.concatenate([e[k] for e in ends]) if ends else np.zeros(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": a, "b": b})
 
     return keyed.repartition("fixed", "value").sortWithinPartitions("fixed", "value").mapInPandas(link, "a long, b long")
 
@@ -243,9 +242,9 @@ def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
     """The rows of docs that stay when one row of each component does: that of its smallest doc_id. Rows with a null
     doc_id go where their component has another; of repeated doc_ids in a component one row stays, that of the
     smallest text hash."""
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    classes = near_duplicates(marked.select("_row", "text"), distance, key="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")).distinct()
+    row = unused(docs, "_row")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    classes = near_duplicates(marked.select(row, "text"), distance, key=row).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")).distinct()
     ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row")).join(classes, "_row")
-    stays = ids.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
-    out = marked.join(stays, "_row", "left_semi")
-    return out.dropDuplicates(["_row"]).select(*docs.columns)
+    stays = ids.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias(row))
+    return marked.join(stays, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
