@@ -14,11 +14,10 @@ def pair_counts(links: DataFrame, a: str, b: str, n: str | None = None) -> DataF
 
 
 def basket_pairs(baskets: DataFrame, basket: str, item: str) -> DataFrame:
-    """Pairs a < b of distinct items that share a basket, with how many baskets they share. Baskets are small (an order,
-    a session); a basket of m items makes m * (m - 1) / 2 pairs."""
-    items = baskets.groupBy(basket).agg(F.array_sort(F.collect_set(item)).alias("items")).where(F.size("items") > 1)
-    first = items.select("items", F.posexplode("items").alias("k", "a"))
-    pairs = first.select("a", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("b"))
+    """Pairs a < b of distinct items that share a basket, with how many baskets they share. A join on the basket, so a
+    large basket spills and is split like any skewed key."""
+    items = baskets.select(basket, item).distinct()
+    pairs = items.select(basket, F.col(item).alias("a")).join(items.select(basket, F.col(item).alias("b")), basket).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 

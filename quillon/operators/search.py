@@ -144,3 +144,39 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str, most:
     if most is None:
         return hits
     return hits.withColumn("_n", F.count("*").over(Window.partitionBy("phrase"))).where(F.col("_n") <= most).drop("_n")
+
+
+def just_added(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """Tier of titles that are not in the catalogue yet: 1 the same compact form, 2 it starts with the query's, 3 every
+    query word starts a word; the best of each title, current ones first. titles: id, title, current."""
+    lines = titles.select("id", normalize_title("title").alias("line"), "current").where("line <> ''")
+    found = tier_exact(queries, lines).union(tier_prefix(queries, lines)).union(tier_words(queries, lines))
+    best = found.groupBy("query", "id").agg(F.min("tier").alias("tier")).join(lines.select("id", "current"), "id")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("tier", F.desc("current"), "id"))).select("query", "place", "id", "tier")
+
+
+def topics(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels: label, source (lower is better), topic. The topic that a query's words name, in singular or plural, by the
+    best source."""
+    from ..functions.text import number_variants
+
+    q = queries.select("query", F.explode(number_variants(normalize_title("text"))).alias("name"))
+    named = q.join(labels.select(F.lower("label").alias("name"), "source", "topic"), "name")
+    return named.groupBy("query").agg(F.min_by("topic", F.struct("source", "topic")).alias("topic"))
+
+
+def meaning(evidence: DataFrame, near: DataFrame, known: DataFrame, most: int = 20, ceiling: float = 1.6, places: int = 9) -> DataFrame:
+    """evidence: query, id, kind, amount (labels, keywords, phrases, titles); near: query, id, near (to the query's
+    anchors); known: id, known (0..100), fit. (known / 100)^4 * fit * (evidence up to a ceiling + near over its best)."""
+    e = evidence.groupBy("query", "id").agg(F.least(F.sum("amount"), F.lit(ceiling)).alias("e"))
+    n = near.withColumn("n", F.try_divide("near", F.max("near").over(Window.partitionBy("query")))).select("query", "id", "n")
+    both = e.join(n, ["query", "id"], "full").join(known, "id")
+    score = F.round(F.pow(F.col("known") / 100, F.lit(4)) * F.col("fit") * (F.coalesce("e", F.lit(0.0)) + F.coalesce("n", F.lit(0.0))), places)
+    s = both.withColumn("score", score).where("score > 0")
+    return s.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("place") <= most).select("query", "place", "id", "score")
+
+
+def recent_matches(recent: DataFrame, text: str, typed) -> DataFrame:
+    """Recent searches that start with what is typed, or have a word that does."""
+    low = F.lower(F.trim(typed))
+    return recent.where(F.startswith(F.lower(text), low) | F.contains(F.concat(F.lit(" "), F.lower(text)), F.concat(F.lit(" "), low)))

@@ -103,10 +103,10 @@ def holders(values: DataFrame, key: str, tokens: DataFrame) -> DataFrame:
     return values.join(F.broadcast(tokens.select("family", "token").distinct()), ["family", "token"], "left_semi").select(key).distinct()
 
 
-def sharing(values: DataFrame, key: str, family: str) -> DataFrame:
-    """Pairs (a, b), both directions, that share a token of the family."""
+def sharing(pairs: DataFrame, values: DataFrame, key: str, family: str) -> DataFrame:
+    """Those of the pairs (a, b) that share a token of the family."""
     v = values.where(F.col("family") == family)
-    return v.select(F.col(key).alias("a"), "token").join(v.select(F.col(key).alias("b"), "token"), "token").where("a <> b").select("a", "b").distinct()
+    return pairs.select("a", "b").join(v.select(F.col(key).alias("a"), "token"), "a").join(v.select(F.col(key).alias("b"), "token"), ["b", "token"], "left_semi").select("a", "b").distinct()
 
 
 def ties(values: DataFrame, key: str, pairs: DataFrame, order: Sequence[str], rows: int, common: float = 0.01, most: int = 4, single: str = "genre") -> DataFrame:

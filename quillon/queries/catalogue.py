@@ -13,7 +13,7 @@ from . import Query
 
 
 def eligible_pool(spark: SparkSession, d: str) -> DataFrame:
-    return filters.pool(shows(spark, d), ratings(spark, d).where("user_id % 10 = 0"), filters.Settings(language="English", rating_min=6.0, year_min=1960)).select("user_id", "id")
+    return filters.pool(shows(spark, d), ratings(spark, d).where("user_id % 50 = 0"), filters.Settings(language="English", rating_min=6.0, year_min=1960)).select("user_id", "id")
 
 
 def discovery_sort(spark: SparkSession, d: str) -> DataFrame:
@@ -120,13 +120,13 @@ def bitset_cosine(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     s = shows(spark, d)
-    q = F.broadcast(s.where("id % 100 = 0").select(F.col("id").alias("a"), F.col("genre_bits").alias("g")))
+    q = F.broadcast(s.where("id % 50 = 0").select(F.col("id").alias("a"), F.col("genre_bits").alias("g")))
     c = s.join(q, F.col("a") != F.col("id")).select("a", F.col("id").alias("b"), F.round(bits.cosine(F.col("g"), F.col("genre_bits")), 9).alias("cosine"))
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")).cast("long")).where("rank <= 5")
 
 
 def popularity_track(spark: SparkSession, d: str) -> DataFrame:
-    track = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg((F.count("*") * 3 - 20).alias("weight")).where("id % 7 <> 0")
+    track = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("id")).agg((F.count("*") * 12 - 20).alias("weight"))
     return joins.with_track(shows(spark, d).select("id"), track, "id", "weight")
 
 
@@ -146,8 +146,7 @@ def version_shift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_completeness(spark: SparkSession, d: str) -> DataFrame:
-    left = table(spark, d, "labels").select("doc_id").where("doc_id % 9 <> 0")
-    right = table(spark, d, "labels").select("doc_id").where("doc_id % 8 <> 0")
+    left, right = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
     return checks.missing_both_ways(left, right)
 
 
@@ -159,7 +158,7 @@ def facet_tree(spark: SparkSession, d: str) -> DataFrame:
 _ELIG = "recommendable AND year >= 1960 AND popularity >= 60 AND coalesce(language, 'unknown') = 'English' AND coalesce(rating >= 6.0, false)"
 
 QUERIES = [
-    Query("eligible_pool", eligible_pool, f"WITH {SHOWS_SQL}, {RATINGS_SQL}, u AS (SELECT DISTINCT user_id FROM ratings WHERE user_id % 10 = 0) SELECT user_id, id FROM shows, u WHERE {_ELIG} AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = u.user_id AND r.id = shows.id)"),
+    Query("eligible_pool", eligible_pool, f"WITH {SHOWS_SQL}, {RATINGS_SQL}, u AS (SELECT DISTINCT user_id FROM ratings WHERE user_id % 50 = 0) SELECT user_id, id FROM shows, u WHERE {_ELIG} AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = u.user_id AND r.id = shows.id)"),
     Query("discovery_filter_sort", discovery_sort, f"WITH {SHOWS_SQL} SELECT id, name, rating, year FROM shows WHERE list_has_any(string_split(name, ' '), ['red', 'gear']) AND rating >= 6.5 AND runtime BETWEEN 21 AND 40 AND status = 'Running' ORDER BY rating DESC NULLS LAST, year DESC, id LIMIT 50"),
     Query("recipe_masks", recipe_masks, f"WITH {SHOWS_SQL} SELECT id, genre_bits FROM shows WHERE genre_bits & 3 <> 0 AND genre_bits & 40 <> 0"),
     Query("audit_counts", audit_counts, f"WITH {SHOWS_SQL} SELECT type, status, grouping(type, status)::BIGINT AS level, count(*) AS n, count(*) FILTER (recommendable) AS recommendable, count(*) FILTER (rating IS NOT NULL) AS rated FROM shows GROUP BY GROUPING SETS ((), (type), (status))"),
@@ -177,11 +176,11 @@ QUERIES = [
     Query("rank_share", rank_share, f"WITH {SHOWS_SQL} SELECT id, round(1 - (row_number() OVER (PARTITION BY type ORDER BY rating DESC, id) - 1) / (count(*) OVER (PARTITION BY type) - 1), 9) AS share FROM shows WHERE rating IS NOT NULL"),
     Query("combination_table", combination_table, f"WITH {SHOWS_SQL} SELECT genre_bits, count(*) AS rows, row_number() OVER (ORDER BY genre_bits) - 1 AS code FROM shows GROUP BY genre_bits"),
     Query("hit_rate_mrr", evaluation_metrics, "WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rk FROM documents), h AS (SELECT lang, CASE WHEN toxic = 0 THEN rk END AS rk FROM labels JOIN d USING (doc_id)) SELECT lang, grouping(lang)::BIGINT AS pooled, count(*) AS n, round(avg((coalesce(rk, 2147483647) <= 10)::INT), 9) AS hr10, round(avg((coalesce(rk, 2147483647) <= 24)::INT), 9) AS hr24, round(avg((coalesce(rk, 2147483647) <= 100)::INT), 9) AS hr100, round(avg(coalesce(1 / rk, 0)), 9) AS mrr, nullif(quantile_disc(coalesce(rk, 2147483647), 0.5), 2147483647)::BIGINT AS median_rank FROM h GROUP BY GROUPING SETS ((), (lang))"),
-    Query("bitset_cosine_topk", bitset_cosine, f"WITH {SHOWS_SQL}, c AS (SELECT q.id AS a, s.id AS b, round(CASE WHEN q.genre_bits = 0 OR s.genre_bits = 0 THEN 0 ELSE bit_count(q.genre_bits & s.genre_bits) / sqrt(bit_count(q.genre_bits)::DOUBLE * bit_count(s.genre_bits)) END, 9) AS cosine FROM shows s JOIN shows q ON q.id % 100 = 0 AND q.id <> s.id) SELECT * FROM (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM c) WHERE rank <= 5"),
-    Query("popularity_track", popularity_track, f"WITH {SHOWS_SQL}, t AS (SELECT l_partkey AS id, greatest(0, least(100, count(*) * 3 - 20)) AS weight FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey) SELECT id, coalesce(weight, 0)::BIGINT AS weight FROM shows LEFT JOIN t USING (id)"),
+    Query("bitset_cosine_topk", bitset_cosine, f"WITH {SHOWS_SQL}, c AS (SELECT q.id AS a, s.id AS b, round(CASE WHEN q.genre_bits = 0 OR s.genre_bits = 0 THEN 0 ELSE bit_count(q.genre_bits & s.genre_bits) / sqrt(bit_count(q.genre_bits)::DOUBLE * bit_count(s.genre_bits)) END, 9) AS cosine FROM shows s JOIN shows q ON q.id % 50 = 0 AND q.id <> s.id) SELECT * FROM (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM c) WHERE rank <= 5"),
+    Query("popularity_track", popularity_track, f"WITH {SHOWS_SQL}, t AS (SELECT l_partkey AS id, greatest(0, least(100, count(*) * 12 - 20)) AS weight FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) SELECT id, coalesce(weight, 0)::BIGINT AS weight FROM shows LEFT JOIN t USING (id)"),
     Query("catalogue_checks", catalogue_checks, f"WITH {SHOWS_SQL} SELECT id, 'rating range' AS rule FROM shows WHERE NOT coalesce(rating BETWEEN 6 AND 9.5, false) UNION ALL SELECT id, 'has language' FROM shows WHERE language IS NULL UNION ALL SELECT id, 'runtime' FROM shows WHERE NOT coalesce(runtime > 3, false)"),
     Query("orphan_check", orphan_check, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"),
     Query("version_shift", version_shift, "SELECT * FROM (SELECT (SELECT count(*) FROM orders) AS n_before, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS n_after) WHERE abs(n_after - n_before) > 0.1 * n_before"),
-    Query("index_completeness", index_completeness, "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'right' ELSE 'left' END AS side FROM labels WHERE (doc_id % 9 = 0) <> (doc_id % 8 = 0)"),
+    Query("index_completeness", index_completeness, "SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)"),
     Query("facet_tree_merge", facet_tree, "WITH a AS (SELECT p_type, p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), b AS (SELECT p_type, p_brand, CASE WHEN n < 10 THEN NULL ELSE p_size END AS p_size, sum(n) AS n FROM a GROUP BY ALL), c AS (SELECT p_type, CASE WHEN n < 10 AND p_brand IS NOT NULL THEN NULL ELSE p_brand END AS p_brand, CASE WHEN n < 10 AND p_brand IS NOT NULL THEN NULL ELSE p_size END AS p_size, sum(n) AS n FROM b GROUP BY ALL) SELECT p_type, p_brand, p_size, sum(n)::BIGINT AS n FROM c GROUP BY ALL"),
 ]

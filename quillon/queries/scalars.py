@@ -62,8 +62,8 @@ def own_title_removed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folded_names(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("text", 1, 60)
-    return table(spark, d, "documents").select("doc_id", text.fold_name(head).alias("folded"), text.ascii_words(head).alias("ascii"), text.normalize_title(head).alias("normal"), text.canonical_genre(F.concat(F.lit("TV "), F.col("source"), F.lit(" series"))).alias("genre"))
+    t, md5 = F.col("text"), lambda c: F.md5(F.coalesce(c, F.lit("")))
+    return table(spark, d, "documents").select("doc_id", md5(text.fold_name(t)).alias("folded"), md5(text.ascii_words(t)).alias("ascii"), md5(text.normalize_title(t)).alias("normal"), text.canonical_genre(F.concat(F.lit("TV "), F.col("source"), F.lit(" series"))).alias("genre"))
 
 
 def packed_lists(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -16,15 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a checkpoint in spark.checkpoint.dir; where that is unset (local tests), in a
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset (local tests), under a
     temporary folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-")
+    return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df with a checkpoint in spark.checkpoint.dir; where that is unset, in a temporary folder."""
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 0 in the order given: ranges of the order are sorted apart, and each adds the sizes of those
+    before it, so no task sorts the whole table."""
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_within", within).join(before, "_range").withColumn(name, F.col("_before") + F.col("_within")).select(*df.columns, name)
+
+
 # ------------------------------------------------------------------ catalogue pages
 
 
@@ -118,3 +134,92 @@ def publish(df: DataFrame, root: str, name: str, checks: Sequence[DataFrame] = (
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     version = spark.read.schema("version string").json(f"{root}/{name}/current").first()[0]
     return spark.read.parquet(f"{root}/{name}/versions/{version}")
+
+
+def write_report(df: DataFrame, folder: str, order: Sequence[str], kind: str = "csv") -> None:
+    """A small result as one sorted CSV or JSON file, the same bytes for the same rows."""
+    one = df.coalesce(1).sortWithinPartitions(*order)
+    (one.write.mode("overwrite").option("header", True).csv(folder) if kind == "csv" else one.write.mode("overwrite").json(folder))
+
+
+def write_facets(values: DataFrame, aliases: DataFrame, folder: str) -> None:
+    """Facet values by family, their tokens with document frequencies, and aliases, as three tables."""
+    values.write.mode("overwrite").partitionBy("family").parquet(f"{folder}/facet_values")
+    values.select("family", "token", "df").distinct().write.mode("overwrite").parquet(f"{folder}/facet_tokens")
+    aliases.write.mode("overwrite").parquet(f"{folder}/aliases")
+
+
+# ------------------------------------------------------------------ landed provider payloads
+
+
+def sparql_rows(spark: SparkSession, path: str) -> DataFrame:
+    """item, prop, value of landed query results ({"results": {"bindings": [{"item": {"value": ..}, ..}]}}); addresses
+    become their last part."""
+    cell = "struct<value: string>"
+    raw = spark.read.schema(f"results struct<bindings: array<struct<item: {cell}, prop: {cell}, value: {cell}>>>").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    last = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    rows = raw.select(F.explode("results.bindings").alias("b")).where("b.item.value is not null and b.prop.value is not null and b.value.value is not null")
+    return rows.select(last(F.col("b.item.value")).alias("item"), last(F.col("b.prop.value")).alias("prop"), last(F.col("b.value.value")).alias("value")).distinct()
+
+
+def facts(triples: DataFrame, properties: dict[str, tuple[str, float]]) -> DataFrame:
+    """item, family, value, multiplier of the triples whose property names a family; the highest multiplier of each."""
+    known = triples.sparkSession.createDataFrame([(p, f, float(m)) for p, (f, m) in properties.items()], "prop string, family string, multiplier double")
+    return triples.join(F.broadcast(known), "prop").groupBy("item", "family", "value").agg(F.max("multiplier").alias("multiplier"))
+
+
+def found_films(films: DataFrame, least: int) -> DataFrame:
+    """films: qid, kind (film or series), title, year, links, animated. Those with enough links, one row each: a series
+    wins over a film, and the earliest year counts."""
+    kept = films.where(F.col("links") >= least)
+    first = F.min_by(F.struct("kind", "title", "links"), F.struct((F.col("kind") != "series").cast("int"), "title"))
+    return kept.groupBy("qid").agg(first.alias("f"), F.min("year").alias("year"), F.max("animated").alias("animated")).select("qid", "f.*", "year", "animated")
+
+
+def provider_index(raw: DataFrame) -> DataFrame:
+    """raw: id, weight, imdb, tvdb as strings. Weight clamped to 0..100, malformed ids null, rows without an id left out."""
+    weight = F.expr("try_cast(weight as double)")
+    return raw.select(
+        F.expr("try_cast(id as bigint)").alias("id"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), weight)).alias("weight"),
+        F.when(F.col("imdb").rlike(r"^tt\d{5,10}$"), F.col("imdb")).alias("imdb"), F.expr("try_cast(tvdb as bigint)").alias("tvdb"),
+    ).where("id is not null")
+
+
+def updates_since(updates: DataFrame, seen: int) -> DataFrame:
+    """id, updated of well-formed entries changed after the mark, newest first where order matters."""
+    return updates.select(F.expr("try_cast(id as bigint)").alias("id"), F.expr("try_cast(updated as bigint)").alias("updated")).where((F.col("id") > 0) & (F.col("updated") > seen))
+
+
+def update_window(gap_seconds: Column) -> Column:
+    """The shortest list of changes that covers a gap."""
+    return F.when(gap_seconds < 86_400, "day").when(gap_seconds < 7 * 86_400, "week").otherwise("month")
+
+
+def art_track(catalogue: DataFrame, images: DataFrame, key: str, url: str, bucket: int = 2500) -> DataFrame:
+    """key, image (0: none) for every row: the number in an image address (.../<bucket>/<number>.jpg) counts only where
+    the bucket is the number's own."""
+    number, own = F.regexp_extract(url, r"/(\d+)\.\w+$", 1), F.regexp_extract(url, r"/(\d+)/\d+\.\w+$", 1)
+    cast = lambda c: F.try_to_number(c, F.lit("999999999999")).cast("long")
+    right = F.when(F.floor(cast(number) / bucket) == cast(own), cast(number))
+    return catalogue.select(key).join(images.select(key, right.alias("image")), key, "left").withColumn("image", F.coalesce("image", F.lit(0)).cast("long"))
+
+
+def vocabularies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """name, values: the sorted distinct known values of each column; columns of few values."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("v")).select("v.*").where("value is not null")
+    return long.distinct().groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+_PAYLOAD = "id long, name string, score double, region string, providers array<struct<id: long, name: string, kind: string, priority: int>>, ratings array<struct<region: string, rating: string>>"
+
+
+def trimmed(payloads: DataFrame, key: str, json: str, region: str, most_name: int = 200) -> DataFrame:
+    """Provider payloads (JSON strings) cut to what is used: name, score within 0..10, the region's rating, and each
+    provider once, by kind (flatrate, free, ads, rent, buy) and priority. What does not parse gives nulls."""
+    kinds = F.array(*(F.lit(k) for k in ("flatrate", "free", "ads", "rent", "buy")))
+    p = payloads.select(key, F.from_json(json, _PAYLOAD, {"mode": "PERMISSIVE"}).alias("p"))
+    rating = F.filter(F.coalesce("p.ratings", F.array().cast("array<struct<region: string, rating: string>>")), lambda r: (r["region"] == region) & (F.length(r["rating"]) > 0))
+    listed = F.filter("p.providers", lambda x: (x["id"] > 0) & (F.array_position(kinds, x["kind"]) > 0))
+    keyed = F.array_sort(F.transform(listed, lambda x: F.struct(F.array_position(kinds, x["kind"]).alias("k"), F.coalesce(x["priority"], F.lit(999)).alias("priority"), x["id"].alias("id"))))
+    once = F.array_distinct(F.transform(keyed, lambda x: x["id"]))
+    return p.select(key, F.substring("p.name", 1, most_name).alias("name"), F.when(F.col("p.score").between(0, 10), F.col("p.score")).alias("score"), F.try_element_at(rating, F.lit(1))["rating"].alias("rating"), F.coalesce(once, F.array().cast("array<bigint>")).alias("providers"))
