@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def clamp(value: Column, limit: float) -> Column:
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), value)))
 
 
 def truthy(value: Column, zero=0) -> Column:

@@ -25,10 +25,16 @@ def _words(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.withColumn("word", F.explode(F.split(column, " ")))
 
 
+def _forms(df: DataFrame, key: str, normal: str) -> DataFrame:
+    """key, form, kind of the compact forms of a normal title."""
+    f = df.select(key, F.explode(compact_forms(normal)).alias("f"))
+    return f.select(key, F.substring("f", 2, 1 << 20).alias("form"), F.substring("f", 1, 1).cast("int").alias("kind"))
+
+
 def tier_exact(queries: DataFrame, lines: DataFrame) -> DataFrame:
     """Tier 1: a compact form of the query is one of the title. queries: query, text."""
-    q = queries.select("query", F.explode(compact_forms(normalize_title("text"))).alias("f")).select("query", "f.form").distinct()
-    t = lines.select("id", F.explode(compact_forms(F.col("line"))).alias("f")).select("id", "f.form").distinct()
+    q = _forms(queries.select("query", normalize_title("text").alias("t")), "query", "t").select("query", "form").distinct()
+    t = _forms(lines, "id", "line").select("id", "form").distinct()
     return q.join(t, "form").select("query", "id", F.lit(1).alias("tier")).distinct()
 
 
@@ -36,7 +42,7 @@ def tier_prefix(queries: DataFrame, lines: DataFrame) -> DataFrame:
     """Tier 2: the title's plain or article-free form starts with the query's plain form. Joined on the form's first
     characters, so that it is an equi join."""
     q = queries.select("query", F.replace(normalize_title("text"), F.lit(" "), F.lit("")).alias("form")).where("form <> ''")
-    t = lines.select("id", F.explode(compact_forms(F.col("line"))).alias("f")).where("f.kind < 2").select("id", F.col("f.form").alias("full"))
+    t = _forms(lines, "id", "line").where("kind < 2").select("id", F.col("form").alias("full"))
     k = F.least(F.length("form"), F.lit(3))
     keyed = q.withColumn("k", k).withColumn("head", F.substring("form", F.lit(1), F.col("k")))
     heads = t.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("head", F.substring("full", F.lit(1), F.col("k"))).where(F.length("full") >= F.col("k"))

@@ -101,7 +101,7 @@ _T2 = "SELECT DISTINCT qn.query, id, 2::BIGINT AS tier FROM qn JOIN ls ON starts
 _T3 = "SELECT query, id, 3::BIGINT AS tier FROM (SELECT qw.query, id, count(DISTINCT qw.w) AS c FROM qw JOIN lw ON starts_with(lw.w, qw.w) GROUP BY ALL) JOIN qc USING (query) WHERE c = n"
 _T4 = "SELECT query, id, 4::BIGINT AS tier FROM (SELECT qw.query, id, count(DISTINCT qw.w) AS c FROM qw JOIN lw ON starts_with(lw.w, qw.w) OR (length(qw.w) > 1 AND contains(lw.w, qw.w)) GROUP BY ALL) JOIN qc USING (query) WHERE c = n"
 _HEAD = f"WITH {SHOWS_SQL}, {_Q}, {_NORM}, {_FORMS}"
-_RANK = "row_number() OVER (PARTITION BY query ORDER BY tier, popularity DESC, coalesce(rating, 0) DESC, coalesce(year, 0) DESC, id)"
+_RANK = "row_number() OVER (PARTITION BY query ORDER BY tier, popularity DESC, coalesce(rating, 0) DESC, coalesce(year, 0) DESC, m.id)"
 _IDF = "nn AS (SELECT count(*) AS n FROM ls), idf AS (SELECT w, ln(1 + n::DOUBLE / count(*)) AS idf FROM lw, nn GROUP BY w, n), lsz AS (SELECT id, sum(idf) AS tw FROM lw JOIN idf USING (w) GROUP BY id), qi AS (SELECT query, qw.w, coalesce(idf, ln(1 + n::DOUBLE)) AS idf FROM qw LEFT JOIN idf ON idf.w = qw.w, nn), qt AS (SELECT query, sum(idf) AS qwt FROM qi GROUP BY query), sh AS (SELECT qw.query, id, sum(idf) AS both_ FROM qw JOIN lw ON lw.w = qw.w JOIN idf ON idf.w = qw.w GROUP BY ALL)"
 
 QUERIES = [
