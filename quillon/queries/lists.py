@@ -117,7 +117,7 @@ def taste_reasons(spark, d):
 
 def insights_chart(spark, d):
     out = rows.insights(ratings(spark, d), attributes(shows(spark, d)), reference(spark, d))
-    mine, theirs = F.round("mine", 6), F.round("theirs", 6)
+    mine, theirs = F.round("mine", 9), F.round("theirs", 9)
     return out.select("user_id", "family", "value", mine.alias("mine"), theirs.alias("theirs"), client.compared(mine, theirs).alias("said"))
 
 
@@ -284,7 +284,7 @@ def pending_ids(spark, d):
 
 
 _NAMED = f"SELECT c.user_id, a.id, c.family, c.value, round(c.contribution, 9) AS c FROM con c JOIN attributes a ON a.family = c.family AND a.value = c.value JOIN base ON base.family = c.family AND base.value = c.value WHERE c.user_id % {ASKED} = 0 AND contribution > 0.15 AND base < 0.3 AND c.family NOT IN ('fame', 'acclaim')"
-_SHARES = "round(mass / total, 6) AS mine, round(coalesce(c, 0) / known, 6) AS theirs"
+_SHARES = "round(mass / total, 9) AS mine, round(coalesce(c, 0) / known, 9) AS theirs"
 
 QUERIES = [
     Query("profile_latest_weight", profile_latest_weight, f"WITH {RATINGS_SQL} SELECT user_id, id, weight, pos FROM ratings"),
@@ -295,7 +295,7 @@ QUERIES = [
     Query("taste_contributions", taste_contributions, f"WITH {_TASTE}, {CONTRIBUTION_SQL} SELECT user_id, family, value, round(contribution, 6) AS contribution FROM con"),
     Query("taste_factor", taste_factor, f"WITH {_TASTE}, {CONTRIBUTION_SQL}, t AS (SELECT user_id, id, sum(contribution) AS taste FROM con JOIN attributes USING (family, value) WHERE user_id % {ASKED} = 0 GROUP BY ALL) SELECT user_id, id, round(taste, 6) AS taste, round(exp(0.7 * taste + 0.4 * CASE WHEN coalesce(rating, 0) = 0 THEN 0.0 ELSE greatest(-1.5, least(1.5, (rating - 7.2) / 1.2)) END), 6) AS factor FROM t JOIN shows USING (id)"),
     Query("taste_sets", taste_sets),
-    Query("taste_leans", taste_leans, f"WITH {_TASTE}, a AS (SELECT *, mass / total AS share, mass / total / base AS lift FROM rat WHERE total > 0 AND family NOT IN ('fame', 'acclaim') AND base < 0.3 AND support >= 2), b AS (SELECT *, lower(string_split(value, ' / ')[1]) AS head, round(share * ln(lift), 9) AS strength FROM a WHERE (share >= 0.25 AND lift >= 1.5) OR (support >= 20 AND share >= 0.1 AND lift >= 2)), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, head ORDER BY strength DESC, family, value) AS k FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, family, value) AS place FROM k WHERE k = 1) SELECT user_id, place, family, value, support, round(strength, 6) AS strength FROM p WHERE place <= 6"),
+    Query("taste_leans", taste_leans, f"WITH {_TASTE}, a AS (SELECT *, round(mass / total, 9) AS share, round(round(mass / total, 9) / base, 9) AS lift FROM rat WHERE total > 0 AND family NOT IN ('fame', 'acclaim') AND base < 0.3 AND support >= 2), b AS (SELECT *, lower(string_split(value, ' / ')[1]) AS head, round(share * ln(lift), 9) AS strength FROM a WHERE (share >= 0.25 AND lift >= 1.5) OR (support >= 20 AND share >= 0.1 AND lift >= 2)), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, head ORDER BY strength DESC, family, value) AS k FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, family, value) AS place FROM k WHERE k = 1) SELECT user_id, place, family, value, support, round(strength, 6) AS strength FROM p WHERE place <= 6"),
     Query("taste_avoids", taste_avoids, f"WITH {_TASTE}, a AS (SELECT *, coalesce(mass / nullif(total, 0), 0) AS share FROM rat WHERE family IN ('format', 'language', 'network') AND bad >= 2), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(bad + 1 - share, 9) DESC, family, value) AS place FROM a WHERE share < base AND bad / bad_total >= 0.5) SELECT user_id, place, family, value, bad FROM p WHERE place <= 6"),
     Query("taste_reasons", taste_reasons, f"WITH {_TASTE}, {CONTRIBUTION_SQL}, n AS ({_NAMED}), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, id, lower(string_split(value, ' / ')[1]) ORDER BY c DESC, family) AS k FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY c DESC, family, value) AS place FROM k WHERE k = 1) SELECT user_id, id, place, family, value FROM p WHERE place <= 3"),
     Query("insights_chart", insights_chart, f"WITH {_LISTS}, {ATTRIBUTES_SQL}, ref AS (SELECT id FROM shows WHERE recommendable AND popularity >= 40), n AS (SELECT family, count(DISTINCT id) AS known FROM attributes SEMI JOIN ref USING (id) GROUP BY family), c AS (SELECT family, value, count(DISTINCT id) AS c FROM attributes SEMI JOIN ref USING (id) GROUP BY ALL), l AS (SELECT r.user_id, r.id, r.weight, a.family, a.value FROM ratings r JOIN attributes a ON a.id = r.id WHERE weight > 0), t AS (SELECT user_id, family, sum(weight) AS total FROM (SELECT DISTINCT user_id, id, family, weight FROM l) GROUP BY ALL), m AS (SELECT user_id, family, value, sum(weight) AS mass FROM l GROUP BY ALL), s AS (SELECT m.user_id, m.family, m.value, {_SHARES} FROM m JOIN t ON t.user_id = m.user_id AND t.family = m.family LEFT JOIN n ON n.family = m.family LEFT JOIN c ON c.family = m.family AND c.value = m.value) SELECT *, CASE WHEN mine - theirs > 0.005 THEN 'more often' WHEN theirs - mine > 0.005 THEN 'less often' ELSE 'about as often' END AS said FROM s"),

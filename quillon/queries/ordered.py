@@ -34,7 +34,7 @@ def episode_matrix(spark, d):
 def season_averages(spark, d):
     o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").cast("long").alias("season"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("rating"))
     out = aggregates.season_averages(o, "o_custkey", "season", "rating")
-    return out.select("o_custkey", "season", F.col("overall").cast("long").alias("overall"), F.round("average", 2).alias("average"), "rated")
+    return out.select("o_custkey", "season", F.col("overall").cast("long").alias("overall"), F.round("average", 6).alias("average"), "rated")
 
 
 def episode_summary(spark, d):
@@ -43,8 +43,8 @@ def episode_summary(spark, d):
 
 
 def watched_through(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "N").alias("watched"), "l_partkey")
-    out = sequences.watched_through(li, ["l_orderkey"], ["l_linenumber", "l_partkey"], "watched", "l_linenumber")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "N").alias("watched"), "l_partkey", "l_returnflag")
+    out = sequences.watched_through(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_returnflag"], "watched", "l_linenumber")
     return out.select("l_orderkey", F.col("through").cast("long").alias("through"), "watched", F.col("next").cast("long").alias("next"), "caught_up")
 
 
@@ -208,9 +208,9 @@ _EV = "ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS ite
 QUERIES = [
     Query("gaps_islands_moving_avg", moving_average, _RUNS),
     Query("episode_matrix_pivot", episode_matrix, "SELECT conv_id, " + ", ".join(f"max(length(text)) FILTER (turn = {k})::BIGINT AS t{k}" for k in range(1, 5)) + " FROM conversations GROUP BY conv_id"),
-    Query("season_averages", season_averages, "WITH o AS (SELECT o_custkey, year(o_orderdate)::BIGINT AS season, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS rating FROM orders) SELECT o_custkey, season, grouping(season)::BIGINT AS overall, round(avg(rating), 2) AS average, count(rating) AS rated FROM o GROUP BY GROUPING SETS ((o_custkey, season), (o_custkey))"),
+    Query("season_averages", season_averages, "WITH o AS (SELECT o_custkey, year(o_orderdate)::BIGINT AS season, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS rating FROM orders) SELECT o_custkey, season, grouping(season)::BIGINT AS overall, round(avg(rating), 6) AS average, count(rating) AS rated FROM o GROUP BY GROUPING SETS ((o_custkey, season), (o_custkey))"),
     Query("episode_summary", episode_summary, "SELECT o_custkey, count(*) AS episodes, count(DISTINCT year(o_orderdate)) AS seasons, CASE WHEN count(*) FILTER (o_orderpriority = '5-LOW' OR floor(o_totalprice) <= 0) = 0 THEN sum(floor(o_totalprice))::BIGINT END AS minutes FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"),
-    Query("watched_through", watched_through, "WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag <> 'N' AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM lineitem), f AS (SELECT *, min(CASE WHEN NOT w THEN pos END) OVER (PARTITION BY l_orderkey) AS first FROM p) SELECT l_orderkey, arg_max(l_linenumber, pos) FILTER (first IS NULL OR pos < first)::BIGINT AS through, count(*) FILTER (w) AS watched, max(CASE WHEN pos = first THEN l_linenumber END)::BIGINT AS next, bool_and(w) AS caught_up FROM f GROUP BY l_orderkey"),
+    Query("watched_through", watched_through, "WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag <> 'N' AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS pos FROM lineitem), f AS (SELECT *, min(CASE WHEN NOT w THEN pos END) OVER (PARTITION BY l_orderkey) AS first FROM p) SELECT l_orderkey, arg_max(l_linenumber, pos) FILTER (first IS NULL OR pos < first)::BIGINT AS through, count(*) FILTER (w) AS watched, max(CASE WHEN pos = first THEN l_linenumber END)::BIGINT AS next, bool_and(w) AS caught_up FROM f GROUP BY l_orderkey"),
     Query("episode_neighbours", episode_neighbours, "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, lag(l_partkey) OVER w AS previous, lead(l_partkey) OVER w AS next FROM lineitem WHERE l_returnflag <> 'N' WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)"),
     Query("session_30min", session_30min, _ISLANDS),
     Query("visit_numbers", visit_numbers, "WITH v AS (SELECT user_id, event_id, ts, CAST(ts - INTERVAL 4 HOUR AS DATE) AS day FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(day) OVER w <> day THEN 1 ELSE 0 END AS br FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, 1 + sum(br) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS visit FROM g) SELECT user_id, visit::BIGINT AS visit, count(*) AS events, min(day) AS day FROM r GROUP BY ALL"),
@@ -222,7 +222,9 @@ QUERIES = [
     Query("content_generations", generations, "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS generation, count(*) OVER (PARTITION BY o_custkey) AS generations FROM orders"),
     Query("as_of_join", as_of, "WITH r AS (SELECT o_custkey, o_orderdate, max(o_totalprice) AS price FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL) SELECT l.o_orderkey, r.price FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') l ASOF LEFT JOIN r ON r.o_custkey = l.o_custkey AND r.o_orderdate <= l.o_orderdate"),
     Query("merged_ratings", merged_ratings, "WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS r FROM orders), o AS (SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS b, sum(l_quantity) AS q, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY l_orderkey), j AS (SELECT o_orderkey, r, v, CASE WHEN coalesce(abs(date_diff('day', b, a)) <= 30, true) AND v > 0 THEN q END AS t FROM m LEFT JOIN o ON l_orderkey = o_orderkey) SELECT o_orderkey, CASE WHEN v >= 60 AND t IS NOT NULL THEN t ELSE coalesce(r, t) END AS merged, CASE WHEN (v >= 60 AND t IS NOT NULL) OR (r IS NULL AND t IS NOT NULL) THEN 'other' WHEN r IS NOT NULL THEN 'own' END AS source FROM j"),
-    Query("id_resolution", resolved_ids, """WITH st AS (SELECT o_orderkey AS item, o_custkey AS sh FROM orders WHERE o_orderstatus = 'P'), dr AS (SELECT sh, min(item) AS item FROM st GROUP BY sh), fr AS (SELECT o_orderkey AS item, 't' || o_orderkey AS imdb FROM orders WHERE o_orderkey NOT IN (SELECT item FROM st)), re AS (SELECT DISTINCT c_custkey AS sh, item FROM customer JOIN fr ON imdb = 't' || (c_custkey % 400)), o1 AS (SELECT item, min(show) AS sh FROM re GROUP BY item HAVING count(DISTINCT sh) = 1) SELECT sh AS "show", item, 'statement' AS via FROM dr UNION ALL SELECT sh, min(item), 'external' FROM o1 WHERE sh NOT IN (SELECT sh FROM dr) GROUP BY sh"""),
+    Query("id_resolution", resolved_ids, """WITH st AS (SELECT o_orderkey AS item, o_custkey AS sh FROM orders WHERE o_orderstatus = 'P'), dr AS (SELECT sh, min(item) AS item FROM st GROUP BY sh),
+        fr AS (SELECT o_orderkey AS item, 't' || o_orderkey AS imdb FROM orders WHERE o_orderkey NOT IN (SELECT item FROM st)), re AS (SELECT DISTINCT c_custkey AS sh, item FROM customer JOIN fr ON imdb = 't' || (c_custkey % 400)),
+        o1 AS (SELECT item, min(sh) AS sh FROM re GROUP BY item HAVING count(DISTINCT sh) = 1) SELECT sh AS "show", item, 'statement' AS via FROM dr UNION ALL SELECT sh, min(item), 'external' FROM o1 WHERE sh NOT IN (SELECT sh FROM dr) GROUP BY sh"""),
     Query("people_match", people_match, "WITH l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1 END AS linked, c_mktsegment AS n, floor(c_acctbal)::BIGINT AS b FROM customer), o AS (SELECT n, b, min(id) AS id FROM l WHERE linked IS NULL GROUP BY n, b HAVING count(*) = 1), r AS (SELECT n, b, min(id) + 1 AS id FROM l GROUP BY n, b HAVING count(*) = 1) SELECT id AS left_id, linked AS right_id, 'linked' AS via FROM l WHERE linked IS NOT NULL UNION ALL SELECT o.id, r.id, 'name' FROM o JOIN r USING (n, b) WHERE r.id NOT IN (SELECT linked FROM l WHERE linked IS NOT NULL)"),
     Query("first_source", first_source, "WITH u AS (SELECT o_custkey, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS source_rank, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) SELECT o_custkey, arg_min(o_orderkey, source_rank) AS o_orderkey, min(source_rank)::BIGINT AS source_rank FROM u GROUP BY o_custkey"),
     Query("nightly_fetch_plan", nightly_plan, f"WITH {SHOWS_SQL}, p AS (SELECT *, CASE WHEN rating IS NULL THEN 0 WHEN popularity >= 90 THEN 1 WHEN status = 'Running' THEN 2 END AS phase FROM shows) SELECT id, phase::BIGINT AS phase FROM p WHERE phase IS NOT NULL ORDER BY phase, CASE WHEN phase < 2 THEN popularity END DESC, CASE WHEN phase = 2 THEN year END, id LIMIT 300"),

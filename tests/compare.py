@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
+        return None if math.isnan(value) else round(value, 9) + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(plain(x) for x in value)
     if hasattr(value, "is_integer") or type(value).__name__ == "Decimal":
