@@ -87,7 +87,7 @@ def sensitivity(spark, d):
 
 
 def sensitivity_ranks(spark, d):
-    return sensitivity(spark, d).select("id", "variant", F.round("score", 6).alias("score"), "rank")
+    return sensitivity(spark, d).select("id", "variant", "score", "rank")
 
 
 def sensitivity_overlap(spark, d):
@@ -246,7 +246,7 @@ QUERIES = [
     Query("interest_clusters", interest_clusters),
     Query("recommend", recommended),
     Query("study_ranking", study_ranking, f"WITH {SHOWS_SQL}, {FACET_SQL}, {NEAR_SQL}, sd AS (SELECT id, CASE WHEN id % 100 = 0 THEN 1.0 ELSE 0.7 END AS w FROM shows WHERE id % {ASKED} = 0), tw AS (SELECT sum(w) AS norm, max(w) AS top FROM sd) SELECT b AS id, round(least(1.0, 0.7 * sum(w / norm * near) + 0.3 * max(w / top * near)), 6) AS score FROM near JOIN sd ON sd.id = near.a, tw WHERE b % {ASKED} <> 0 GROUP BY b"),
-    Query("sensitivity_ranks", sensitivity_ranks, f"{_PARTS} SELECT id, variant, round(score, 6) AS score, rank FROM rr"),
+    Query("sensitivity_ranks", sensitivity_ranks, f"{_PARTS} SELECT id, variant, score, rank FROM rr"),
     Query("sensitivity_overlap", sensitivity_overlap, f"{_PARTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY rank, id) AS k FROM rr) WHERE k <= 20) SELECT variant, count(*) FILTER (id IN (SELECT id FROM f WHERE variant = 'base')) AS shared FROM f GROUP BY variant"),
     Query("correlation_pairs", correlation_pairs, f"WITH {SHOWS_SQL}, p AS (SELECT 'popularity' AS a, 'rating' AS b, popularity::DOUBLE AS x, rating::DOUBLE AS y FROM shows UNION ALL SELECT 'popularity', 'runtime', popularity, runtime FROM shows UNION ALL SELECT 'rating', 'runtime', rating, runtime FROM shows), k AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL), r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM k) SELECT a, b, round(corr(rx, ry), 6) AS rho FROM r GROUP BY a, b"),
     Query("competition_place", competition, f"WITH {SHOWS_SQL} SELECT id, row_number() OVER (PARTITION BY type ORDER BY popularity DESC, id) AS place FROM shows"),
