@@ -14,7 +14,7 @@ not its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -238,13 +238,18 @@ def near_duplicates(docs: DataFrame, distance: int = 2, key: str = "doc_id", tex
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """The rows of docs that stay when one row of each component does: that of its smallest doc_id. Rows with a null
-    doc_id go where their component has another; of repeated doc_ids in a component one row stays, that of the
-    smallest text hash."""
+def first_of_each(docs: DataFrame, classes: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of docs that stay when one row of each class does: that of its smallest doc_id. Rows with a null doc_id
+    go where their class has another; of repeated doc_ids in a class one row stays, that of the smallest text hash.
+    classes: from a table with text and a key column, and the key's name, the key and class of each row."""
     row = unused(docs, "_row")
     marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    classes = near_duplicates(marked.select(row, "text"), distance, key=row).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")).distinct()
-    ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row")).join(classes, "_row")
+    of = classes(marked.select(row, "text"), row).select(F.col(row).alias("_row"), F.col("class").alias("_class")).distinct()
+    ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row")).join(of, "_row")
     stays = ids.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias(row))
     return marked.join(stays, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """The rows of docs that stay when one row of each component does, as first_of_each has it."""
+    return first_of_each(docs, lambda marked, row: near_duplicates(marked, distance, key=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("class")))

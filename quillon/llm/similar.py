@@ -1,0 +1,182 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, with prefix filtering.
+
+Two sets with a Jaccard similarity of t share t of the larger one at least. So whatever order all shingles are put in,
+both have a shingle in common among their first n - ceil(t * n) + 1. Any one order is exact; rare shingles come first
+here, as far as a sample tells them, so that few texts share a first shingle by chance.
+
+Only distinct sets are compared. Texts that share a first shingle are compared with two of their group each, then those
+of a group that these links left in different components with one another: a large group of near copies becomes one
+component in the first round and yields no pairs in the second. Every link is verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import bounded_batches, materialise, slices, texts_of
+from .components import connected_components
+from .simhash import _LOWER, first_of_each
+
+#: Texts of the sample that tells common shingles, and how many of these the order knows. Both only save time.
+SAMPLE, COMMON = 20_000, 1 << 16
+
+
+def shingles(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
+    """XXH64 values of the text's distinct word shingles, ascending. A shorter text is one shingle, an empty one has none."""
+    from xxhash import xxh64_intdigest
+
+    parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    whole = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(parts) - words + 1)]
+    ends = ends[words - 1 :] if len(parts) > words else ends[-1:]
+    return np.unique(np.fromiter((xxh64_intdigest(whole[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def least_shared(n: int, similarity: float) -> int:
+    """Shingles that a set of n shares at least with any at the similarity."""
+    return math.ceil(n * similarity - 1e-9)
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def common_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of a sample of the distinct texts, ascending, and in how many of them they are."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingles(t, words) for t in texts_of(batch.column(0)))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).dropDuplicates(["text"])
+    top = some.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON)
+    rows = top.collect()
+    token, n = np.array([r.token for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def first_shingles(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Those of a set that hold one in common with any set at the similarity: the rarest, ties to the smaller value."""
+    if not len(own):
+        return own
+    token, n = common
+    often = np.zeros(len(own), np.int64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, own), len(token) - 1)
+        often = np.where(token[at] == own, n[at], 0)
+    return own[np.lexsort((own, often))[: len(own) - least_shared(len(own), similarity) + 1]]
+
+
+def near(n, m, similarity: float):
+    """Whether sets of n and m shingles can have the similarity: on columns."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+
+
+def crossing_pairs(groups: DataFrame, similarity: float) -> DataFrame:
+    """groups: token, set, n, component. Pairs (a, b) of a group's sets in different components that can be similar."""
+
+    def cross(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for frame in frames:
+            rows = frame if left is None else pd.concat([left, frame], ignore_index=True)
+            if not len(rows):
+                continue
+            token = rows["token"].to_numpy()
+            edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            yield from found(rows.iloc[: edge[-1]], edge)
+            left = rows.iloc[edge[-1] :]
+        if left is not None:
+            yield from found(left, np.array([0, len(left)]))
+
+    def found(rows: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
+        own, n, component = (rows[c].to_numpy() for c in ("set", "n", "component"))
+        ends, held = [], 0
+        for start, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for k in range(start, end - 1):
+                # rows are in order of component: all before this one's end need no look
+                other = k + 1 + np.searchsorted(component[k + 1 : end], component[k], "right")
+                b = own[other:end][np.minimum(n[other:end], n[k]) >= similarity * np.maximum(n[other:end], n[k]) - 1e-6]
+                if len(b):
+                    ends.append((np.minimum(b, own[k]), np.maximum(b, own[k])))
+                    held += len(b)
+                if held > 1 << 16:
+                    yield pd.DataFrame(dict(zip("ab", map(np.concatenate, zip(*ends, strict=True)), strict=True)))
+                    ends, held = [], 0
+        if ends:
+            yield pd.DataFrame(dict(zip("ab", map(np.concatenate, zip(*ends, strict=True)), strict=True)))
+
+    return groups.select("token", "component", "set", "n").repartition("token").sortWithinPartitions("token", "component", "set").mapInPandas(cross, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs: a, b; sets: set, shingles. The pairs that have the similarity."""
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda v: np.frombuffer(v.as_buffer(), np.uint64)
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            yield batch.select(["a", "b"]).filter(pa.array([jaccard(of(x[k]), of(y[k])) >= similarity - 1e-9 for k in range(batch.num_rows)], pa.bool_()))
+
+    x, y = (sets.select(F.col("set").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per row: key, class. Rows are of one class if links lead from one to the other: a Jaccard similarity of their
+    texts' distinct shingles of at least `similarity`. Null and empty texts are alike. key: a long, the same only for
+    rows with the same text."""
+    bounded_batches(docs.sparkSession)
+    common = common_shingles(docs, text, words)
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+
+    def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in slices(batches, 512):
+            own = [shingles(t, words) for t in texts_of(batch.column(1))]
+            first = [first_shingles(x, common, similarity).view(np.int64) for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed([xxh3_64_intdigest(x.tobytes()) for x in own]), pa.array([len(x) for x in own], pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["key", "set", "n", "first"])
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in texts_of(batch.column(1))], pa.binary())], ["set", "shingles"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    prints = materialise(rows.mapInArrow(heads, "key long, set long, n long, first array<long>"))
+    distinct = prints.groupBy("set").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("first").alias("first"))
+    token = Window.partitionBy("token")
+    keyed = distinct.select("set", "key", "n", F.explode("first").alias("token"))
+    ends = F.array(F.min(F.struct("set", "n")).over(token), F.max(F.struct("set", "n")).over(token))
+    groups = materialise(keyed.withColumn("ends", ends).where("ends[0].set < ends[1].set"))
+    asked = groups.select("key", "set").distinct()
+    sets = materialise(rows.join(asked, "key").dropDuplicates(["key"]).select("set", "text").mapInArrow(whole, "set long, shingles binary"))
+
+    stars = groups.select("set", "n", F.explode("ends").alias("e")).where("e.set <> set").where(near(F.col("n"), F.col("e.n"), similarity))
+    stars = materialise(stars.select(F.least("set", "e.set").alias("a"), F.greatest("set", "e.set").alias("b")).distinct())
+    links = materialise(verified(stars, sets, similarity))
+    component = connected_components(links).withColumnRenamed("node", "set")
+    placed = groups.select("token", "set", "n").join(component, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    apart = placed.withColumn("lo", F.min("component").over(token)).withColumn("hi", F.max("component").over(token)).where("lo < hi")
+    rest = crossing_pairs(apart, similarity).join(stars, ["a", "b"], "left_anti")
+    links = materialise(links.union(verified(rest, sets, similarity)))
+    component = connected_components(links).withColumnRenamed("node", "set")
+    return prints.select("key", "set").join(component, "set", "left").select(F.col("key").alias(key), F.coalesce("component", "set").alias("class"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay when one row of each class of similar texts does, as simhash.one_of_each has it."""
+    return first_of_each(docs, lambda marked, row: similar_texts(marked, row, "text", words, similarity))
