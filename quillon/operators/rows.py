@@ -95,13 +95,13 @@ def insights(rated: DataFrame, attributes: DataFrame, reference: DataFrame) -> D
 
 
 def starter_scores(shows: DataFrame, likeness: DataFrame, language: str, fame: str) -> DataFrame:
-    """shows: id, language, fame; likeness: language, a, b, jaccard. Harmonic mean of a show's fame percentile in its
-    language and its mean likeness, scaled by the language's highest."""
-    mean = likeness.groupBy(F.col("a").alias("id")).agg(F.avg("jaccard").alias("mean"))
+    """shows: id, language, fame; likeness: language, id, total (summed over the others). Harmonic mean of a show's fame
+    percentile in its language and its mean likeness to all others, scaled by the language's highest."""
     order, ties = Window.partitionBy(language).orderBy(fame), Window.partitionBy(language, fame)
     n = F.count("*").over(Window.partitionBy(language))
     f = (F.rank().over(order) - 1 + (F.count("*").over(ties) + 1) / 2) / n
-    j = shows.withColumn("f", f).join(mean, "id", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    j = shows.withColumn("f", f).withColumn("n", n).join(likeness.select(language, "id", "total"), [language, "id"], "left")
+    j = j.withColumn("mean", F.coalesce("total", F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1)))
     r = F.try_divide("mean", F.max("mean").over(Window.partitionBy(language)))
     j = j.withColumn("r", F.coalesce(r, F.lit(0.0)))
     return j.select("id", language, (F.try_divide(2 * F.col("f") * F.col("r"), F.col("f") + F.col("r"))).alias("score"))

@@ -187,9 +187,9 @@ def row_titles(spark, d):
 def starter_scores(spark, d):
     s = shows(spark, d).select("id", "type", "popularity")
     tags = table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tags"))
-    from ..operators.sets import likeness
+    from ..operators.sets import total_likeness
 
-    out = rows.starter_scores(s, likeness(tags, "type", "id", "tags", asked(spark, d)), "type", "popularity")
+    out = rows.starter_scores(s, total_likeness(tags, "type", "id", "tags"), "type", "popularity")
     return out.select("id", "type", F.round("score", 6).alias("score"))
 
 
