@@ -1,4 +1,5 @@
-"""Ranking and the order of what is shown. Lists are those of the users whose id is divisible by 50."""
+"""Ranking and the order of what is shown. Lists are those of the users whose id is divisible by 50, but for the interest
+clusters, which are of all users."""
 
 from __future__ import annotations
 
@@ -67,7 +68,7 @@ def disliked_nearness(spark, d):
 
 
 def interest_clusters(spark, d):
-    return ranking.interests(liked(spark, d).select("user_id", "pos", "id", "weight"), links(spark, d))
+    return ranking.interests(ratings(spark, d).where("weight > 0").select("user_id", "pos", "id", "weight"), links(spark, d))
 
 
 def recommended(spark, d):

@@ -34,3 +34,20 @@ def test_starter_scores_of_odd_groups(spark):
     got = rows.starter_scores(df.select("id", "type", "popularity"), sets.total_likeness(df, "type", "id", "tags"), "type", "popularity").collect()
     want = plain_starter_scores({i: (k, p, frozenset(t)) for i, (k, p, t) in data.items()})
     assert {r.id: (r.type, round(r.score, 9)) for r in got} == {i: (k, round(s, 9)) for i, (k, s) in want.items()}
+
+
+def test_interest_clusters_of_all_users(spark, small):
+    queries = entry.queries()
+    liked = {}
+    for r in queries["profile_latest_weight"](spark, small).where("weight > 0").collect():
+        liked.setdefault(r.user_id, set()).add(r.id)
+    got = {}
+    for r in queries["interest_clusters"](spark, small).collect():
+        assert r.id not in got.setdefault(r.user_id, {})
+        got[r.user_id][r.id] = r.interest
+    assert {u: set(c) for u, c in got.items()} == liked and any(u % 50 for u in liked)
+    assert all(set(c.values()) == set(range(len(set(c.values())))) for c in got.values())
+    near = {(r.a, r.b): r.s for r in queries["co_interest_topk"](spark, small).collect()}
+    for user, c in got.items():  # without a link in the list, every show is an interest of its own
+        if not any((a, b) in near for a in c for b in c):
+            assert len(set(c.values())) == len(c), user
