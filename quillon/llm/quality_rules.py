@@ -17,7 +17,7 @@ from .common import bounded_batches, slices, texts_of
 
 #: UTF-8 bytes from which the limits hold: compressed share below which a text repeats itself, above which it is noise.
 BANDS = ((128, 0.40, 1.00), (256, 0.35, 0.95), (512, 0.30, 0.90), (1024, 0.25, 0.85), (4096, 0.20, 0.80), (16384, 0.17, 0.75))
-#: Bytes of a chunk, its limits, and the share of chunks beyond them that rejects a text.
+#: Bytes of a chunk, its limits, and the share of bytes in chunks beyond them that rejects a text.
 CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4096, 0.20, 0.80, 1 / 3
 
 SYMBOLS = "#*$%&|<>"
@@ -61,7 +61,7 @@ class Bands:
         self.compress = zstandard.ZstdCompressor(level=level, write_content_size=False).compress
 
     def verdict(self, raw: bytes) -> tuple[bool, float, float]:
-        """(inside all bands, compressed share of the whole, share of chunks outside theirs)."""
+        """(inside all bands, compressed share of the whole, share of bytes in chunks outside theirs)."""
         if not raw:
             return True, 1.0, 0.0
         ratio = len(self.compress(raw)) / len(raw)
@@ -70,9 +70,15 @@ class Bands:
             if len(raw) >= least:
                 inside = low <= ratio <= high
                 break
-        chunks = [raw[k : k + CHUNK] for k in range(0, len(raw) - CHUNK + 1, CHUNK)]
-        odd = [not CHUNK_LOW <= len(self.compress(c)) / CHUNK <= CHUNK_HIGH for c in chunks] if len(raw) >= 2 * CHUNK else []
-        share = sum(odd) / len(odd) if odd else 0.0
+        odd = 0
+        if len(raw) >= CHUNK:
+            ends = [*range(CHUNK, len(raw) + 1, CHUNK)]
+            if ends[-1] < len(raw):
+                ends.append(len(raw))  # the remainder, with what stands before it up to a whole chunk
+            for before, end in zip([0, *ends], ends):
+                if not CHUNK_LOW <= len(self.compress(raw[end - CHUNK : end])) / CHUNK <= CHUNK_HIGH:
+                    odd += end - before
+        share = odd / len(raw)
         return inside and share <= CHUNK_SHARE, ratio, share
 
 
@@ -88,7 +94,7 @@ def document_counts(text: str, bands: Bands) -> tuple:
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Per row the counts, base_failed, kept, and the compressed share of the whole and share of odd chunks.
+    """Per row the counts, base_failed, kept, and the compressed share of the whole and share of bytes in odd chunks.
 
     A null text counts as empty: no words, base_failed. Null and repeated keys stay rows of their own. Other columns
     are left out; keep_columns returns the rows of docs that are kept instead, with docs' own columns."""

@@ -105,3 +105,21 @@ def test_kept_rows_come_back_whole(spark):
     want = Counter(r.doc_id for r in quality_rules.quality_rules(docs).where("kept").collect())
     assert Counter(r.doc_id for r in kept.collect()) == want
     assert quality_rules.quality_rules(no_docs(spark)).count() == 0
+
+
+def test_chunks_reach_every_byte():
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    prose = " ".join(r.choice(words) for _ in range(40_000)).encode()
+    bands = quality_rules.Bands()
+    for size in (4096, 8191, 8192, 12_287, 50_001):
+        assert bands.verdict(prose[:size])[2] == 0
+    for good, junk in ((4096, 4095), (4096, 4096), (1000, 4096), (8192, 4095), (8192, 4097), (20_000, 11_000)):
+        for noise in (b"=" * junk, bytes(r.randrange(256) for _ in range(junk))):
+            for raw in (prose[:good] + noise, noise + prose[:good]):
+                kept, _, share = bands.verdict(raw)
+                assert share > 0.2 and not (kept and share > 1 / 3)
+    assert not bands.verdict(prose[:4096] + b"=" * 4095)[0] and abs(bands.verdict(prose[:8192] + b"=" * 4095)[2] - 4095 / 12_287) < 1e-12
+    assert bands.verdict(prose[:4095] + b"=" * 0)[2] == 0
