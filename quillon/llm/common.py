@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch between the JVM and Python may hold; bounds the memory of a Python worker.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "32m"
+
+#: Bytes of words and ids that an encoder holds for the next batches.
+HELD_BYTES = 96 << 20
 
 #: Java and Python pattern of a word in the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,14 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes as well as by rows, for tables with very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Where the setting is empty (local tests),
-    a temporary folder becomes the session's."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Where the setting is empty and the master is
+    local (tests), a temporary folder becomes the session's."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
@@ -84,32 +90,31 @@ class TwoGenerations(dict):
         super().__init__()
         self.most, self.old = most, {}
 
-    def missing(self, keys: Iterable) -> list:
-        """Those of the distinct keys that are not held; the others are kept for longer."""
+    def missing(self, keys: set) -> list:
+        """Those of the keys that are not held; the others are kept for longer."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        new, old = [], self.old
-        for k in keys:
-            if k not in self:
-                if (v := old.get(k)) is None:
-                    new.append(k)
-                else:
-                    self[k] = v
-        return new
+        new = keys.difference(self)
+        again = new.intersection(self.old)
+        self.update((k, self.old[k]) for k in again)
+        return list(new - again)
 
 
 class PieceEncoder:
-    """Token ids of whole texts by the tokenizers library, with the ids of pieces seen before kept in memory.
+    """Token ids of whole texts by the tokenizers library. A batch's distinct words are encoded once each, a thousand of
+    them side by side in one text, and the ids are laid out in the order of the words. Up to `most` words are held for
+    the next batches; when there are more, those of the last batch stay.
 
-    Only for byte-level tokenizers whose pre-tokenizer cuts before white space; others encode each text whole."""
+    Only for byte-level tokenizers whose pre-tokenizer cuts before white space; others, and texts with a space between
+    two other white spaces, are encoded text by text."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = TwoGenerations(most)
+        self.most, self.held, self.held_ids = most, pa.array([], pa.string()), pa.array([], pa.large_binary())
         self.by_piece = cuts_before_space(self.tokenizer)
         if self.by_piece:  # bytes of each id: one character of its string each
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -125,48 +130,81 @@ class PieceEncoder:
         if len(column) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if not self.by_piece:
-            got = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
-            return np.concatenate(got), np.cumsum([len(x) for x in got])
-        odd = pc.match_substring_regex(column, INNER_SPACE).to_numpy(zero_copy_only=False)
-        words = pc.split_pattern(pc.if_else(pa.array(odd), "", column), " ")
-        firsts, counts = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py(), np.diff(words.offsets.to_numpy())
+            ids = self._alone(column.to_pylist())
+            return _values(ids), _ends(ids)
+        odd = pc.match_substring_regex(column, INNER_SPACE)
+        words = pc.split_pattern(pc.if_else(odd, "", column), " ")
+        starts = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        unique, index = [" " + w for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64)
-        # the first word of a text has no space before it, and an odd text is one word that is looked up in pieces
-        heads = coded.dictionary.take(pa.array(index[firsts])).to_pylist()
-        whole = {int(k): PIECES.findall(column[int(k)].as_py()) for k in np.flatnonzero(odd)}
-        self._know({*unique, *heads, *(p for ps in whole.values() for p in ps)})
-        get = self.known.__getitem__
-        parts = [*map(get, unique), *(b"".join(map(get, whole[k])) if k in whole else get(w) for k, w in enumerate(heads))]
-        index[firsts] = len(unique) + np.arange(len(heads))
-        size = np.array([len(x) // 4 for x in parts], np.int64)
-        flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
-        n = size[index]
-        ends = np.cumsum(n)
-        out = flat[np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1])]
-        return out, ends[firsts + counts - 1]
-
-    def _know(self, pieces: set[str]) -> None:
-        new = self.known.missing(pieces)
-        inner = [p for p in new if p[0:1] == " " and p[-1:] > " "]
-        for at in range(0, len(inner), 4096):
-            self._learn(inner[at : at + 4096])
-        rest = [p for p in new if p not in self.known]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces with a space in front as one text, and cut the ids where the pieces' bytes end."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(p.encode()) for p in pieces])
-        at = np.cumsum(self.bytes_of[ids])
-        cut = np.searchsorted(at, ends)
-        if len(at) == 0 or at[-1] != ends[-1] or not np.array_equal(at[cut], ends):
-            return  # they did not stay apart: each is encoded alone
-        raw, before = ids.tobytes(), 0
-        for p, k in zip(pieces, ((cut + 1) * 4).tolist(), strict=True):
-            self.known[p] = raw[before:k]
-            before = k
+        index = coded.indices.to_numpy().astype(np.int64)
+        # the first word of a text has no space before it; a text that is encoded whole is its own first word
+        heads = pc.if_else(odd, column, coded.dictionary.take(pa.array(index[starts[:-1]])))
+        ids = pa.concat_arrays([self._words(coded.dictionary), self._alone(heads.to_pylist())])
+        index[starts[:-1]] = len(coded.dictionary) + np.arange(len(heads))
+        laid = ids.take(pa.array(index))  # all words' ids side by side
+        return _values(laid), _ends(laid)[starts[1:] - 1]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words with a space in front, as bytes."""
+        place = pc.index_in(words, value_set=self.held)
+        new = words.filter(pc.is_null(place))
+        known = pa.concat_arrays([self.held_ids, self._encode(new)])
+        place = place.to_numpy(zero_copy_only=False)
+        fresh = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), bool)
+        place = np.where(fresh, len(self.held) + np.cumsum(fresh) - 1, place).astype(np.int64)
+        found = known.take(pa.array(place))
+        if len(known) > self.most or self.held.nbytes + known.nbytes > HELD_BYTES:
+            self.held, self.held_ids = words, found
+        else:
+            self.held, self.held_ids = pa.concat_arrays([self.held, new]), known
+        return found
+
+    def _encode(self, words: pa.Array, side: int = 1024, texts: int = 16) -> pa.Array:
+        length = pc.binary_length(words).to_numpy().astype(np.int64)
+        # what is empty or ends in white space can run into the next word
+        joins = pc.match_substring_regex(words, r"[^\x00-\x20]\z").to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        n, strings = int(joins.sum()), words.to_numpy(zero_copy_only=False)
+        out = []
+        for at in range(0, n, side * texts):
+            parts = [order[a : min(a + side, n)] for a in range(at, min(at + side * texts, n), side)]
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(strings[p].tolist()) for p in parts], add_special_tokens=False)
+            for p, e in zip(parts, found, strict=True):
+                got, stops = np.array(e.ids, "<u4"), np.cumsum(length[p] + 1)
+                reached = np.cumsum(self.bytes_of[got])
+                cut = np.searchsorted(reached, stops)
+                if len(got) and reached[-1] == stops[-1] and np.array_equal(reached[cut], stops):
+                    out.append(_as_bytes(got, cut + 1))
+                else:  # they did not stay apart
+                    out.append(self._alone([" " + w for w in strings[p]]))
+        out = pa.concat_arrays([*out, self._alone([" " + w for w in strings[order[n:]]])])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return out.take(pa.array(place))
+
+    def _alone(self, texts: list[str]) -> pa.Array:
+        got = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return _as_bytes(np.concatenate([np.zeros(0, "<u4"), *got]), np.cumsum([len(x) for x in got], dtype=np.int64))
+
+
+def _as_bytes(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids, cut at the ends, as an array of byte strings."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def _ends(ids: pa.Array) -> np.ndarray:
+    return np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[1:] // 4
+
+
+def _values(ids: pa.Array) -> np.ndarray:
+    return np.frombuffer(ids.buffers()[2], "<u4", int(_ends(ids)[-1]))
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker, which serves one task after another: loaded once, with what it has seen."""
+    return PieceEncoder(path)
 
 
 def cuts_before_space(tokenizer) -> bool:

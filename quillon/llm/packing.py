@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PieceEncoder, bounded_batches, materialise, slices
+from .common import bounded_batches, materialise, piece_encoder, slices
 
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -29,8 +29,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id
     own; other columns are left out."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, 2048):
+        encoder, end = piece_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
             ids, ends = encoder.ids(batch.column(1))
             rows, before = [], 0
             for doc, at in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
@@ -130,7 +130,7 @@ def sequence_ids(docs: DataFrame, packed: DataFrame, tokenizer: str, end_id: int
     piece and distinct doc_id are expected; a sequence's pieces meet in one group of at most max_tokens ids."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = piece_encoder(tokenizer)
         for batch in slices(batches, 512):
             ids, ends = encoder.ids(batch.column(1))
             out = [[*part.tolist(), end_id] for part in np.split(ids, ends[:-1])]
