@@ -1,8 +1,9 @@
 """Token-id files compressed by Re-Pair grammars.
 
-Documents are encoded in ascending order of their key and written in blocks. In each block, frequent pairs of
-neighbouring ids are replaced by new symbols, round by round; a block stores its rules with the lengths they expand
-to, so any span of any document can be decoded alone. Blocks are rows of a Parquet folder: Spark's writers commit them
+Documents are encoded in ascending order of their key and written in blocks. In each block, pairs of neighbouring ids
+are replaced by new symbols, the most frequent first, until no pair is frequent: a rule takes the room of three symbols,
+so a pair has to stand at four places. A block stores its rules with the lengths they expand to, so any span of any
+document can be decoded alone. Blocks are rows of a Parquet folder: Spark's writers commit them
 as a whole wherever the cluster keeps its files.
 
 Block payload, little endian: magic b"RPR1"; uint32 base (first new symbol), rules, documents, symbols, tokens and
@@ -23,90 +24,117 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PieceEncoder, bounded_batches, shared_folder, slices
+from .common import bounded_batches, piece_encoder, shared_folder, slices
 
 BLOCK_SCHEMA = "shard int, block int, first_doc long, last_doc long, n_docs long, n_tokens long, payload binary"
 DOC_SCHEMA = "shard int, block int, doc_id long, block_start long, n_tokens long, ids_crc32 long"
 _HEAD = struct.Struct("<4s6I")
 
 
-def _replace(symbols: np.ndarray, joined: np.ndarray, low: np.ndarray, high: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Replace the chosen pairs by base, base + 1, ...; joined: whether a symbol may pair with the next. Pairs that
-    overlap in the text are taken every other one from the left."""
-    keys = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-    pairs = low.astype(np.uint64) << np.uint64(32) | high
-    slots = np.full(1 << 17, -1, np.int32)
-    spread = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
-    slots[spread(pairs)] = np.arange(len(pairs))
-    which = slots[spread(keys)]
-    hit = (which >= 0) & joined[:-1]
-    hit &= pairs[which] == keys
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return symbols, joined
-    run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-    length = np.diff(np.append(run, len(at)))
-    take = at[(np.arange(len(at)) - np.repeat(run, length)) % 2 == 0]
-    symbols = symbols.copy()
-    symbols[take] = base + which[take]
-    joined = joined.copy()
-    joined[take] = joined[take + 1]
-    keep = np.ones(len(symbols), bool)
-    keep[take + 1] = False
-    return symbols[keep], joined[keep]
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, per_round: int = 2048, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of one block: (symbols, symbols per document, rules). ends: where each document's ids end.
-
-    Each round counts all pairs inside documents, makes a rule of each of the most frequent ones (at most per_round,
-    each seen at least `least` times, ties to the smaller pair) and replaces them."""
-    symbols, joined = ids.astype(np.uint32), np.ones(len(ids), bool)
+def _likely(symbols: np.ndarray, at: np.ndarray, bar: int | None) -> tuple[np.ndarray, int]:
+    """The places whose pair may stand at `bar` places (None: an eighth as many as the most frequent one), and the bar.
+    Pairs share counters by hash, so a count is never too low."""
+    mixed = symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)
+    slot = (mixed[at] >> np.uint32(14)).astype(np.int64)
+    count = np.bincount(slot, minlength=1 << 18)
+    if bar is None:
+        bar = int(count.max()) // 8
+    return at[count[slot] >= bar], bar
+
+
+def _by_pair(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places `at` in order of the pair that stands there, and where each pair's places start among them."""
+    place, symbol = max(1, len(symbols)).bit_length(), int(symbols.max()).bit_length()
+    left, right = symbols[at].astype(np.uint64), symbols[at + 1].astype(np.uint64)
+    if place + 2 * symbol <= 64:  # pair and place as one number
+        packed = (left << np.uint64(symbol) | right) << np.uint64(place) | at.astype(np.uint64)
+        packed.sort()
+        at, pair = (packed & np.uint64((1 << place) - 1)).astype(np.int64), packed >> np.uint64(place)
+    else:
+        order = np.lexsort((right, left))
+        at, pair = at[order], left[order] << np.uint64(32) | right[order]
+    return at, np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair of one block: (symbols, symbols per document, rules, ids that each rule expands to). ends: where each
+    document's ids end.
+
+    A step replaces every pair inside documents that is at least as frequent as a bar. The bar starts at an eighth of
+    the most frequent pair and falls to an eighth with each step, down to `least`, where it stays until no pair stands at
+    so many places apart from each other. Where two pairs overlap the more frequent one is replaced, ties by the smaller
+    pair: so the most frequent one is replaced wherever it stands. A pair that loses so many places that fewer than
+    `least` are left gets no rule in this step. Pairs only become rarer, but for those with a new symbol: a place whose
+    pair was seen too rarely is looked at again only when a neighbour changes."""
+    symbols, joined = ids.astype(np.uint32), np.ones(len(ids), bool)  # joined: whether a symbol may pair with the next
     joined[ends[ends > 0] - 1] = False
-    rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        room = min(per_round, (65536 if base < 65536 else 1 << 31) - base - made)
-        if room <= 0:
-            break
-        small = base + made <= 65536
-        keys = (symbols[:-1] << np.uint32(16) | symbols[1:]) if small else symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        keys = np.sort(keys[joined[:-1]])
-        edge = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint8(1))) if len(keys) else np.zeros(0, np.int64)
-        count = np.diff(np.append(edge, len(keys)))
-        often = np.flatnonzero(count >= least)
-        if not len(often):
-            break
-        best = often[np.lexsort((keys[edge[often]], -count[often]))[:room]]
-        chosen = keys[edge[best]]
-        shift, mask = (np.uint32(16), np.uint32(0xFFFF)) if small else (np.uint64(32), np.uint64(0xFFFFFFFF))
-        low, high = (chosen >> shift).astype(np.uint32), (chosen & mask).astype(np.uint32)
-        symbols, joined = _replace(symbols, joined, low, high, base + made)
-        rules.append(np.stack([low, high], 1))
-        made += len(low)
+    open_ = joined.copy()  # places whose pair can still be frequent
+    rules, lengths, made, bar = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64), 0, None
+    while len(at := np.flatnonzero(open_)):
+        likely, bar = _likely(symbols, at, None if bar is None else bar // 8) if bar is None or bar > least else (at, bar)
+        bar = max(bar, least)
+        if bar == least:  # the others are too rare for good
+            open_[:] = False
+            open_[likely] = True
+        if not len(likely):
+            continue
+        at, first = _by_pair(symbols, likely)
+        count = np.diff(np.append(first, len(at)))
+        spare = np.zeros(len(at), bool)  # in a run of one symbol every other place overlaps the one before
+        twin = symbols[at[first]] == symbols[at[first] + 1]
+        if twin.any():
+            k = np.flatnonzero(np.repeat(twin, count))
+            starts = np.zeros(len(at), bool)
+            starts[first] = True
+            run = np.flatnonzero((np.diff(at[k], prepend=-2) != 1) | starts[k])
+            spare[k] = (np.arange(len(k)) - np.repeat(run, np.diff(np.append(run, len(k))))) % 2 == 1
+            count = count - np.add.reduceat(spare.astype(np.int64), first)
+        size = np.diff(np.append(first, len(at)))
+        chosen = np.flatnonzero(count >= bar)
+        if bar == least:
+            open_[at[np.repeat(count < least, size) & ~spare]] = False
+            if not len(chosen):
+                break
+        rank = np.full(len(count), -1, np.int32)
+        rank[chosen[np.argsort(-count[chosen], kind="stable")]] = np.arange(len(chosen))
+        of = np.repeat(rank, size)
+        hit = (of >= 0) & ~spare
+        ranks = np.full(len(symbols) + 2, len(chosen), np.int32)  # of the pair at each place, one place on
+        ranks[at[hit] + 1] = of[hit]
+        take = np.sort(at[hit])
+        mine = ranks[take + 1]
+        won = (mine < ranks[take]) & (mine < ranks[take + 2])
+        take, mine = take[won], mine[won]
+        enough = np.bincount(mine, minlength=len(chosen)) >= least
+        won = enough[mine]
+        take, mine = take[won], (np.cumsum(enough) - 1)[mine[won]]
+        pair = np.zeros((int(enough.sum()), 2), np.uint32)
+        pair[mine, 0], pair[mine, 1] = symbols[take], symbols[take + 1]
+        opened = np.append(lengths, 1)  # an id stands for itself
+        lengths = np.append(lengths, opened[np.where(pair >= base, pair.astype(np.int64) - base, -1)].sum(axis=1))
+        rules.append(pair)
+        symbols[take] = base + made + mine
+        made += len(pair)
+        joined[take] = joined[take + 1]
+        open_[take] = joined[take]
+        before = take[take > 0] - 1
+        open_[before] = joined[before]
+        keep = np.ones(len(symbols), bool)
+        keep[take + 1] = False
+        symbols, joined, open_ = symbols[keep], joined[keep], open_[keep]
     stops = np.flatnonzero(~joined) + 1
     sizes = np.zeros(len(ends), np.int64)
     sizes[np.diff(ends, prepend=0) > 0] = np.diff(stops, prepend=0)
-    return symbols, sizes, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-
-
-def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """How many ids each rule expands to. A rule only refers to ids and to rules before it."""
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
+    return symbols, sizes, np.concatenate(rules), lengths
 
 
 def write_block(keys: list[int | None], ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
-    symbols, sizes, rules = compress(ids, ends, base)
+    symbols, sizes, rules, lengths = compress(ids, ends, base)
     width = 2 if base + len(rules) <= 65536 else 4
     head = _HEAD.pack(b"RPR1", base, len(rules), len(keys), len(symbols), len(ids), width)
     there = np.array([k is not None for k in keys], np.uint8)
     return b"".join((
-        head, rules.astype("<u4").tobytes(), rule_lengths(rules, base).astype("<u4").tobytes(), np.array([k or 0 for k in keys], "<i8").tobytes(), there.tobytes(),
+        head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), np.array([k or 0 for k in keys], "<i8").tobytes(), there.tobytes(),
         sizes.astype("<u4").tobytes(), np.diff(ends, prepend=0).astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes(),
     ))
 
@@ -139,16 +167,21 @@ class Block:
         return cls(base, pairs, lengths.astype(np.int64), [int(k) if t else None for k, t in zip(keys, there, strict=True)], sizes, tokens, take(f"<u{width}", symbols).astype(np.uint32))
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of some symbols: rules are opened level by level."""
-        while len(at := np.flatnonzero(symbols >= self.base)):
-            times = np.ones(len(symbols), np.int64)
-            times[at] = 2
-            out = np.repeat(symbols, times)
-            left = np.cumsum(times)[at] - 2
-            pair = self.rules[symbols[at] - self.base]
-            out[left], out[left + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+        """The ids of some symbols: each symbol has its place in the result, and rules are opened level by level."""
+        size = np.ones(len(symbols), np.int64)
+        new = symbols >= self.base
+        size[new] = self.lengths[symbols[new] - self.base]
+        ends = np.cumsum(size)
+        out, at = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32), ends - size
+        while len(symbols):
+            new = symbols >= self.base
+            out[at[~new]] = symbols[~new]
+            pair, at = self.rules[symbols[new] - self.base], at[new]
+            left = pair[:, 0]
+            step, new = np.ones(len(left), np.int64), left >= self.base
+            step[new] = self.lengths[left[new] - self.base]
+            symbols, at = np.concatenate([left, pair[:, 1]]), np.concatenate([at, at + step])
+        return out
 
     def ids(self, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids [start, stop) of one document: only the symbols that cover them are opened."""
@@ -166,14 +199,14 @@ class Block:
         return self.expand(symbols[a : b + 1])[skip : skip + stop - start]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, block_tokens: int = 1 << 19, key: str = "doc_id", text: str = "text") -> None:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, block_tokens: int = 1 << 18, key: str = "doc_id", text: str = "text") -> None:
     """Write the whole texts' ids, each document's closed by end_id, in ascending key order to a new Parquet folder.
 
     Nulls: a null text is empty, a null key comes first. Rows with equal keys are ordered by their text's hash. A
     document is never cut, so a block holds block_tokens ids or a single longer document."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, number = piece_encoder(tokenizer), TaskContext.get().partitionId(), 0
         base = int(encoder.tokenizer.get_vocab_size(with_added_tokens=True))
         base = max(base, end_id + 1)
         keys: list[int | None] = []
@@ -189,7 +222,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], ["shard", "block", "first_doc", "last_doc", "n_docs", "n_tokens", "payload"])
 
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches, 2048):
+        for batch in batches:
             ids, ends = encoder.ids(batch.column(1))
             before = 0
             for k, at in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):

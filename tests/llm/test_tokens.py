@@ -97,8 +97,26 @@ def test_grammar_round_trip_and_random_access(docs):
 
 def test_grammar_finds_repeats():
     ids = np.tile(np.arange(50, dtype=np.uint32), 400)
-    symbols, _, rules = token_files.compress(ids, np.array([len(ids)]), 1000)
-    assert len(rules) and len(symbols) < len(ids) / 4
+    symbols, _, rules, lengths = token_files.compress(ids, np.array([len(ids)]), 1000)
+    assert len(rules) < 120 and len(symbols) < 20 and lengths.max() >= 3000
+
+
+@given(st.lists(st.lists(st.integers(0, 3), max_size=60), min_size=1, max_size=5))
+@settings(max_examples=80, deadline=None)
+def test_grammar_leaves_no_frequent_pair_and_no_rule_unused(docs):
+    ends = np.cumsum([len(d) for d in docs])
+    symbols, sizes, rules, _ = token_files.compress(np.array([x for d in docs for x in d], np.uint32), ends, 7)
+    seen, start = Counter(), 0
+    for n in sizes.tolist():
+        part, start, last = symbols[start : start + n].tolist(), start + n, None
+        for k, pair in enumerate(zip(part, part[1:])):
+            if last != (k - 1, pair):  # a run of one symbol has every other place
+                seen[pair] += 1
+                last = (k, pair)
+            else:
+                last = None
+    assert max(seen.values(), default=0) < 4
+    assert {*range(7, 7 + len(rules))} <= {*symbols.tolist(), *rules.ravel().tolist()}
 
 
 def files_of(rows):
@@ -168,4 +186,4 @@ def test_pieces_give_the_tokens_of_whole_texts(rows):
 
 @cache
 def coders():
-    return PieceEncoder(BPE, most=50), token_counts.TokenCounter(BPE, most=50), tokenizer()
+    return PieceEncoder(BPE, most=20), token_counts.TokenCounter(BPE, most=50), tokenizer()
