@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch between the JVM and Python may hold; bounds the memory of a Python worker.
-BATCH_BYTES = "32m"
+BATCH_BYTES = "16m"
 
 #: Bytes of words and ids that an encoder holds for the next batches.
-HELD_BYTES = 96 << 20
+HELD_BYTES = 64 << 20
 
 #: Java and Python pattern of a word in the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +83,31 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+class WordHashes(dict):
+    """XXH64 of words as bytes, held for those seen lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = xxh64_intdigest(word, 42)
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the runs of `size` words at each place, from the words' hashes."""
+    n = max(0, len(words) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class TwoGenerations(dict):
     """A dict for what was seen lately: holds at most twice `most` keys, and forgets those not looked up for longest."""
 

@@ -10,12 +10,20 @@ Only distinct fingerprints are compared. A group of fingerprints that share a ke
 In larger groups each member is listed under every value within half the distance of it: two that link share such a
 value, and no value has more holders than a ball has points. A group yields a spanning forest of its verified links,
 not its pairs.
+
+`similar_texts` finds texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Edits change few words, so
+its candidates are fingerprints of the distinct words, at a distance that near copies keep; they are found by the same
+parts and thresholds. A second fingerprint, of the shingles, tells how near two candidates are: in a dense group only
+the links of a minimum spanning forest go on. Every link is then verified on the whole shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -23,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, slices, texts_of, unused
+from .common import WordHashes, bounded_batches, materialise, run_hashes, slices, texts_of, unused
 from .components import connected_components
 
 BITS = 64
@@ -101,15 +109,18 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def part_cost(n: int, both: np.ndarray, bits: list[int], threshold: int) -> float:
+def part_cost(n: int, both: np.ndarray, bits: list[int], threshold: int, shares: np.ndarray | None = None) -> float:
     """Estimated work for each fingerprint: keys of the part at the threshold, and candidates that share one.
 
-    Two fingerprints agree on a bit with probability p^2 + (1 - p)^2; with the least of the bits' agreement the
-    masked ones are left out."""
+    shares: of all pairs, those that differ in 0, 1 and 2 of the part's bits. A pair that differs in k of them meets under
+    each key that masks these k; a key costs as much as a thousand comparisons. Without shares, two fingerprints agree on
+    a bit with probability p^2 + (1 - p)^2, and with the least of the bits' agreement the masked ones are left out."""
     if threshold < 0:
         return 0.0
     if threshold > 2 or threshold >= len(bits):
         return float("inf")
+    if shares is not None:
+        return comb(len(bits), threshold) * 1000 + n * float(sum(shares[k] * comb(len(bits) - k, threshold - k) for k in range(threshold + 1)))
     p = np.diag(both) / max(n, 1)
     agree = np.sort(np.log(p[bits] ** 2 + (1 - p[bits]) ** 2))
     keys = 1
@@ -118,18 +129,27 @@ def part_cost(n: int, both: np.ndarray, bits: list[int], threshold: int) -> floa
     return keys * (4 + n * float(np.exp(agree[threshold:].sum())))
 
 
-def allocate(n: int, both: np.ndarray, distance: int, most_parts: int = 4) -> list[tuple[list[int], int]]:
-    """The parts that are probed, with their thresholds: the cheapest over 1 to most_parts parts."""
+def differing(sample: np.ndarray, bits: list[int]) -> np.ndarray:
+    """Of all pairs of a sample of fingerprints, those that differ in 0, 1 and 2 of the bits."""
+    part = sample & np.uint64(sum(1 << (63 - b) for b in bits))
+    count = np.bincount(np.bitwise_count(part[:, None] ^ part[None, :]).ravel(), minlength=3)[:3]
+    return (count - [len(part), 0, 0]) / (len(part) * (len(part) - 1))
+
+
+def allocate(n: int, both: np.ndarray, distance: int, sample: np.ndarray | None = None) -> list[tuple[list[int], int]]:
+    """The parts that are probed, with their thresholds: the cheapest over all numbers of parts that can have any."""
     best: tuple[float, list[tuple[list[int], int]]] | None = None
-    for m in range(1, most_parts + 1):
+    for m in range(1, distance + 2):
         groups, total = group_bits(n, both, m), distance - m + 1
         # cheapest[s]: the cost and thresholds of the groups so far whose thresholds add up to s
         cheapest: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
             new: dict[int, tuple[float, list[int]]] = {}
+            shares = None if sample is None or len(sample) < 2 else differing(sample, g)
+            costs = {t: part_cost(n, both, g, t, shares) for t in range(-1, min(distance, 2) + 1)}
             for s, (cost, chosen) in cheapest.items():
-                for t in range(-1, distance + 1):
-                    c = cost + part_cost(n, both, g, t)
+                for t in costs:
+                    c = cost + costs[t]
                     if c < new.get(s + t, (float("inf"), []))[0]:
                         new[s + t] = (c, [*chosen, t])
             cheapest = new
@@ -199,28 +219,56 @@ def balls(members: DataFrame, radius: int) -> DataFrame:
     return members.mapInArrow(spread, "fixed long, value long, bits long")
 
 
+def groups_of(frames: Iterable[pd.DataFrame], keys: list[str], values: list[str]) -> Iterator[list[np.ndarray]]:
+    """Of frames that are sorted by the keys the value columns of each group of two rows or more, one after the other; a
+    group may go on in the next frames."""
+    held: list[list[np.ndarray]] = []  # of the open group, by frame
+    key: list | None = None
+
+    def close() -> Iterator[list[np.ndarray]]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)] if len(held) > 1 else held[0] if held else [[]]
+        if len(columns[0]) > 1:
+            yield columns
+
+    for frame in frames:
+        if not len(frame):
+            continue
+        names, columns = [frame[c].to_numpy() for c in keys], [frame[c].to_numpy() for c in values]
+        edge = [*np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)).tolist()]
+        edge = [0, *(e + 1 for e in edge), len(frame)]
+        if key is not None and key != [c[0] for c in names]:
+            yield from close()
+            held = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if a:
+                yield from close()
+                held = []
+            held.append([c[a:b] for c in columns])
+        key = [c[-1] for c in names]
+    yield from close()
+
+
+def in_frames(ends: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Edges as frames (a, b) of some size."""
+    held, n = [], 0
+    for a, b in ends:
+        if len(a):
+            held.append((a, b))
+            n += len(a)
+        if n > 1 << 16:
+            yield pd.DataFrame({"a": np.concatenate([e[0] for e in held]), "b": np.concatenate([e[1] for e in held])})
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame({"a": np.concatenate([e[0] for e in held]), "b": np.concatenate([e[1] for e in held])})
+
+
 def forest(keyed: DataFrame, distance: int) -> DataFrame:
     """keyed: fixed, value, bits. The spanning links of each group; a task reads its groups one after the other."""
 
     def link(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = None
-        for frame in frames:
-            rows = frame if left is None else pd.concat([left, frame], ignore_index=True)
-            if not len(rows):
-                continue
-            fixed, value, bits = (rows[c].to_numpy() for c in ("fixed", "value", "bits"))
-            edge = np.flatnonzero(np.append(True, (fixed[1:] != fixed[:-1]) | (value[1:] != value[:-1])))
-            yield found([bits[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1])
-            left = rows.iloc[edge[-1] :]
-        if left is not None and len(left) > 1:
-            yield found([left["bits"].to_numpy()])
-
-    def found(groups: list[np.ndarray]) -> pd.DataFrame:
-        ends = [spanning_links(g.view(np.uint64), distance) for g in groups]
-        a, b = (np.concatenate([e[k] for e in ends]) if ends else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": a, "b": b})
-
-    return keyed.repartition("fixed", "value").sortWithinPartitions("fixed", "value").mapInPandas(link, "a long, b long")
+        yield from in_frames(spanning_links(bits.view(np.uint64), distance) for (bits,) in groups_of(frames, ["fixed", "value"], ["bits"]))
+
+    return keyed.repartition("fixed", "value").sortWithinPartitions("fixed", "value").select("fixed", "value", "bits").mapInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,18 +286,186 @@ def near_duplicates(docs: DataFrame, distance: int = 2, key: str = "doc_id", tex
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, classes: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The rows of docs that stay when one row of each class does: that of its smallest doc_id. Rows with a null doc_id
-    go where their class has another; of repeated doc_ids in a class one row stays, that of the smallest text hash.
-    classes: from a table with text and a key column, and the key's name, the key and class of each row."""
-    row = unused(docs, "_row")
-    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    of = classes(marked.select(row, "text"), row).select(F.col(row).alias("_row"), F.col("class").alias("_class")).distinct()
-    ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row")).join(of, "_row")
-    stays = ids.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias(row))
-    return marked.join(stays, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes, ascending, of the runs of `size` words (their hashes given); fewer words are one run."""
+    return np.unique(run_hashes(words, min(size, max(1, len(words)))))
+
+
+def lowered_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit k is 1 if it is set in over half of the hashes; none give zero."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 14):  # bounded memory for very long texts
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+@dataclass
+class Group:
+    """Fingerprints that share a key: of words, of shingles (two of 64 bits), and the number of shingles."""
+
+    bits: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    n: np.ndarray
+    similarity: float
+    distance: int
+
+    def apart(self, i, j) -> np.ndarray:
+        """Bits in which the shingle fingerprints differ; NOT_NEAR where the texts can't have the similarity or the words'
+        fingerprints are too far apart."""
+        far = np.bitwise_count(self.first[i] ^ self.first[j]) + np.bitwise_count(self.second[i] ^ self.second[j])
+        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        near = (np.bitwise_count(self.bits[i] ^ self.bits[j]) <= self.distance) & (low >= self.similarity * high - 1e-6) & (far <= shingle_limit(self.similarity))
+        return np.where(near, far, NOT_NEAR).astype(np.uint8)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate links: all of them, or in a dense group those of a minimum spanning forest by shingle fingerprint."""
+        size, ends, held = len(self.bits), [], 0
+        step = max(1, (1 << 21) // size)
+        for a in range(0, size, step):
+            i, j = np.nonzero(np.bitwise_count(self.bits[a : a + step, None] ^ self.bits[None, a:]) <= self.distance)
+            i, j = i[j > i] + a, j[j > i] + a
+            near = self.apart(i, j) != NOT_NEAR
+            ends.append((i[near], j[near]))
+            held += int(near.sum())
+            if held > 4 * size + 64:
+                return self.forest()
+        return tuple(np.concatenate(x) for x in zip(*ends, strict=True))
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        size = len(self.bits)
+        left, best, source = np.arange(size), np.full(size, NOT_NEAR, np.uint8), np.zeros(size, np.int64)
+        ends = []
+        while len(left):
+            k = int(best[left].argmin())
+            node, left = left[k], np.delete(left, k)
+            if best[node] != NOT_NEAR:
+                ends.append((source[node], node))
+            far = self.apart(node, left)
+            nearer = far < best[left]
+            best[left[nearer]], source[left[nearer]] = far[nearer], node
+        return (np.array([e[0] for e in ends], np.int64), np.array([e[1] for e in ends], np.int64))
+
+
+NOT_NEAR = 255
+
+
+def shingle_limit(similarity: float) -> int:
+    """Of 128 bits, those that differ at the similarity, and four standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(128 * p + 4 * math.sqrt(128 * p * (1 - p)))
+
+
+def candidate_links(distinct: DataFrame, similarity: float, distance: int, most: int) -> DataFrame:
+    """distinct: set, bits, first, second, n. Candidate links (a, b) between sets; `most` is the size up to which a group
+    is compared as a whole. A larger one is dealt to blocks, and each two blocks are compared by a task."""
+    n, both = bit_statistics(distinct)
+    sample = np.array([r.bits for r in distinct.orderBy(F.xxhash64("set"), "set").select("bits").limit(2048).collect()], np.int64).view(np.uint64)
+    masks = [m for bits, t in allocate(n, both, distance, sample) for m in _masks(bits, t)]
+    keyed = distinct.withColumn("fixed", F.explode(F.array(*(F.lit(m).cast("long") for m in masks)))).withColumn("value", F.col("bits").bitwiseAND(F.col("fixed")))
+    zero = F.lit(0)
+    large = materialise(keyed.groupBy("fixed", "value").agg(F.count("*").alias("size")).where(F.col("size") > most))
+    if not large.isEmpty():
+        blocks = keyed.join(large, ["fixed", "value"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / most), F.lit(1)).cast("int"))
+        blocks = blocks.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        keyed = blocks.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    else:
+        keyed = keyed.withColumn("lo", zero).withColumn("hi", zero)
+    keys, values = ["fixed", "value", "lo", "hi"], ["set", "bits", "first", "second", "n"]
+
+    def linked(own: np.ndarray, bits: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = Group(bits.view(np.uint64), first.view(np.uint64), second.view(np.uint64), n, similarity, distance).edges()
+        return np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+
+    def link(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_frames(linked(*columns) for columns in groups_of(frames, keys, values))
 
+    return keyed.select(*keys, *values).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(link, "a long, b long").distinct()
 
-def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """The rows of docs that stay when one row of each component does, as first_of_each has it."""
-    return first_of_each(docs, lambda marked, row: near_duplicates(marked, distance, key=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("class")))
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs: a, b; sets: set, shingles. The pairs that have the similarity."""
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda v: np.frombuffer(v.as_buffer(), np.uint64)
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            yield batch.select(["a", "b"]).filter(pa.array([jaccard(of(x[k]), of(y[k])) >= similarity - 1e-9 for k in range(batch.num_rows)], pa.bool_()))
+
+    x, y = (sets.select(F.col("set").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 8, most: int = 1 << 14) -> DataFrame:
+    """Per row: key, class. Rows are of one class if verified links lead from one to the other: a Jaccard similarity of
+    their texts' distinct shingles of at least `similarity`. key: a long, the same only for rows with the same text.
+
+    Texts with the same shingles are alike, so null and empty ones are. Each link that stands is exact; found are those
+    whose word fingerprints differ in at most `distance` bits. Very long texts are taken whole. No rows, no result."""
+    bounded_batches(docs.sparkSession)
+    long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+
+    def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        hashes = WordHashes()
+        for batch in slices(batches, 512):
+            own = [hashes.of(lowered_words(t)) for t in texts_of(batch.column(1))]
+            runs = [shingle_hashes(x, words) for x in own]
+            first, second = ([majority(r * np.uint64(odd) ^ r >> np.uint64(31)) for r in runs] for odd in (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), long([xxh3_64_intdigest(r.tobytes()) for r in runs]), long([majority(np.unique(x)) for x in own]), long(first), long(second), pa.array([len(r) for r in runs], pa.int64())],
+                ["key", "set", "bits", "first", "second", "n"],
+            )
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, 512):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(hashes.of(lowered_words(t)), words).tobytes() for t in texts_of(batch.column(1))], pa.binary())], ["set", "shingles"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    marked = materialise(rows.mapInArrow(prints, "key long, set long, bits long, first long, second long, n long"))
+    distinct = materialise(marked.groupBy("set").agg(*(F.min(c).alias(c) for c in ("key", "bits", "first", "second", "n"))))
+    pairs = materialise(candidate_links(distinct.drop("key"), similarity, distance, most))
+    ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    asked = materialise(ends.join(distinct.select("set", "key"), "set"))
+    sets = joined_by(rows, asked, "key").dropDuplicates(["key"]).select("set", "text").mapInArrow(whole, "set long, shingles binary")
+    links = verified(pairs, materialise(sets), similarity)
+    component = connected_components(links).withColumnRenamed("node", "set")
+    return marked.select("key", "set").join(component, "set", "left").select(F.col("key").alias(key), F.coalesce("component", "set").alias("class"))
+
+
+#: Rows with a key of 8 bytes and at most one more column of 8 bytes up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def joined_by(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a written table of keys: broadcast up to BROADCAST_ROWS keys, shuffled beyond."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, how)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay when one row of each class of similar texts does: that of its smallest doc_id. Rows with
+    a null doc_id go where their class has another; of repeated doc_ids in a class one row stays, that of the smallest
+    text hash; of rows with the same doc_id and text one stays, whatever else they hold. Null and empty texts are one
+    class. Other columns keep their names; no rows, no result. What goes is looked up, so the texts that stay are not
+    shuffled."""
+    row = unused(docs, "_row")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    of = similar_texts(marked.select(row, "text"), row, "text", words, similarity).select(F.col(row).alias("_row"), F.col("class").alias("_class"))
+    of = materialise(of.groupBy("_row").agg(F.min("_class").alias("_class"), F.count("*").alias("_n")))
+    ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row")).distinct().join(of, "_row")
+    first = ids.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
+    gone = materialise(of.join(first, "_row", "left_anti").select(F.col("_row").alias(row)))
+    again = materialise(of.where("_n > 1").join(first, "_row", "left_semi").select(F.col("_row").alias(row)))
+    single = joined_by(joined_by(marked, gone, row, "left_anti"), again, row, "left_anti")
+    return single.union(joined_by(marked, again, row, "left_semi").dropDuplicates([row])).select(*docs.columns)

@@ -104,13 +104,90 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_one_of_each_group_stays(spark, small):
+def plain_shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    return frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_similar(rows):
+    """Class number of each row over all pairs."""
+    sets, parent = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) > 0:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(rows))]
+
+
+def kept_ids(rows):
+    least = {}
+    for (k, _), c in zip(rows, plain_similar(rows), strict=True):
+        least[c] = min(least.get(c, (True, 0)), (k is None, k or 0))
+    return Counter(None if none else k for none, k in least.values())
+
+
+def test_stage_drops_near_copies(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = simhash.one_of_each(docs)
-    want = {c for _, _, c in plain_result(texts(spark, small))}
-    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(want)
-    odd = odd_docs(spark)
-    rows = simhash.one_of_each(odd).collect()
-    result = plain_result([(r[0], r[1]) for r in ODD])
-    assert simhash.one_of_each(odd).columns == odd.columns and len(rows) == len({f if c is None else c for _, f, c in result})
-    assert all(r._row == 3 for r in rows)
+    want = kept_ids(texts(spark, small))
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == want
+    assert want[1] and not want[177] and want[6] and not want[145]  # 7 and 11 bits apart in SimHash
+
+
+def test_classes_of_chains_and_large_groups(spark):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows, line = [], [word() for _ in range(12)]
+    for _ in range(6):  # chains of small changes, further and further from their start
+        words = [word() for _ in range(80)]
+        for _ in range(8):
+            rows.append(" ".join(words))
+            words = list(words)
+            words[r.randrange(80)] = word()
+    base = [word() for _ in range(60)]
+    for _ in range(60):  # one group of near copies, some a little too far away
+        words = list(base)
+        for k in r.sample(range(60), r.choice([0, 1, 1, 2, 3])):
+            words[k] = word()
+        rows.append(" ".join(words))
+    rows += [" ".join([*line, *(word() for _ in range(r.choice([2, 3, 4, 40])))]) for _ in range(40)]  # a common line
+    rows = list(enumerate(rows))
+    want = plain_similar(rows)
+    assert 10 < len(set(want)) < 100
+    for most in (1 << 14, 16):  # all in one piece, and large groups in blocks
+        got = {x.k: x["class"] for x in simhash.similar_texts(spark.createDataFrame(rows, "k long, text string"), "k", most=most).collect()}
+        assert len(got) == len(rows)
+        assert len(set(got.values())) == len(set(want)) == len({(got[k], want[k]) for k, _ in rows})
+
+
+def test_one_of_odd_documents(spark):
+    docs = odd_docs(spark)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == kept_ids([(r[0], r[1]) for r in ODD])
+    assert all(r._row == 3 for r in kept.collect())
+    assert simhash.one_of_each(no_docs(spark)).count() == 0
+
+
+def test_links_of_documents_that_are_found(spark, middle):
+    """Every link that stands is exact; of the exact links hardly any is missed."""
+    rows = [(k, t) for k, t in texts(spark, middle) if t]
+    got = {x.k: x["class"] for x in simhash.similar_texts(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
+    want = plain_similar(rows)
+    by_exact, by_found = {}, {}
+    for (k, _), c in zip(rows, want, strict=True):
+        by_exact.setdefault(c, set()).add(got[k])
+        by_found.setdefault(got[k], set()).add(c)
+    assert all(len(c) == 1 for c in by_found.values())
+    copies = len(rows) - len(by_exact)
+    assert copies > 50 and len(rows) - len(by_found) >= 0.95 * copies
