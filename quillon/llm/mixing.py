@@ -17,6 +17,8 @@ from .common import materialise, unused, word_count
 
 #: Buckets of the seeded hash: the first three of its 32 hexadecimal digits.
 BUCKET_DIGITS = 3
+#: Sources, and bytes of their names, up to which the plan is broadcast; the parts that a source is dealt to beyond.
+BROADCAST_SOURCES, BROADCAST_BYTES, SALTS = 100_000, 16 << 20, 64
 
 
 def order_key(doc_id: Column, seed: int) -> Column:
@@ -29,7 +31,8 @@ def water_fill(sources: DataFrame, epochs: int = 3, cycle: int = 3) -> DataFrame
 
     Sources by code point, null last, weigh 1, 2, ... `cycle`, repeating. The rows are one per source; clamping the
     sources with the smallest cap for their weight first, and sharing the rest among the others, is the fixed point of
-    clamping and sharing again. Sources without words have target 0."""
+    clamping and sharing again. Sources without words have target 0. One task orders the sources, a few numbers and the
+    name of each: a mix has thousands of them, and some millions still fit."""
     first = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sources.withColumn("weight", ((F.row_number().over(first) - 1) % cycle + 1).cast("long")).withColumn("cap", F.col("source_size") * epochs)
     # cap / weight in whole numbers, so that equal ratios are equal: the weights divide their common multiple
@@ -52,6 +55,20 @@ def water_fill(sources: DataFrame, epochs: int = 3, cycle: int = 3) -> DataFrame
     return filled.select("source", "source_size", "weight", F.coalesce(F.least(level * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
 
 
+def with_source(rows: DataFrame, per_source: DataFrame, name: str, key: str = "order_key") -> DataFrame:
+    """The rows with their source's row of per_source, a written table with the source (null: like any other) in column
+    `name`, at most once each. Up to the bounds above it is broadcast. Beyond, each of its rows is copied to SALTS parts
+    and each row is dealt to one of its source's parts by the hash of its `key`: no source gathers in one task."""
+    n, size = per_source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()
+    same = F.col("source").eqNullSafe(F.col(name))
+    if n <= BROADCAST_SOURCES and size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(per_source), same)
+    salt, copy = unused(rows, "_salt"), unused(rows, "_salt_of")
+    copies = per_source.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, same & (F.col(salt) == F.col(copy))).drop(salt, copy)
+
+
 def mix_plan(sized: DataFrame, epochs: int = 3, cycle: int = 3) -> DataFrame:
     """sized: source, size, order_key. Per source: source, source_size, target, whole (times that each document is
     taken) and last_key (documents up to this key are taken once more; null: none)."""
@@ -67,10 +84,11 @@ def mix_plan(sized: DataFrame, epochs: int = 3, cycle: int = 3) -> DataFrame:
         .where((F.col("reached") < F.col("wanted")) & (F.col("reached") + F.col("bucket_size") >= F.col("wanted")))
         .select("p.source", "wanted", "bucket", "reached")
     )
-    rows = sized.withColumn("row_bucket", F.substring("order_key", 1, BUCKET_DIGITS)).alias("r")
+    edge = materialise(edge)  # at most a row a source
+    ends = edge.select(F.col("source").alias("edge_source"), "wanted", F.col("bucket").alias("edge_bucket"), "reached")
     keys = (
-        rows.join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("row_bucket") == F.col("e.bucket")))
-        .groupBy("r.source", "order_key", "wanted", "reached", "e.bucket").agg(F.sum("size").alias("key_size"))
+        with_source(sized, ends, "edge_source").where(F.substring("order_key", 1, BUCKET_DIGITS) == F.col("edge_bucket"))
+        .groupBy("source", "order_key", "wanted", "reached").agg(F.sum("size").alias("key_size"))
     )
     upto = F.col("reached") + F.sum("key_size").over(Window.partitionBy("source").orderBy("order_key"))
     # a document belongs in if it brings the sum nearer to the fraction than it is without it
@@ -80,7 +98,7 @@ def mix_plan(sized: DataFrame, epochs: int = 3, cycle: int = 3) -> DataFrame:
     joined = plan.alias("p").join(edges, F.col("p.source").eqNullSafe(F.col("e.source")), "left").join(inside.alias("i"), F.col("p.source").eqNullSafe(F.col("i.source")), "left")
     # the buckets before the last one are in as a whole; every key there is below the last bucket's own prefix
     last_key = F.when(F.col("wanted") > 0, F.coalesce("key_inside", "edge_bucket"))
-    return joined.select("p.source", "source_size", "target", "whole", last_key.alias("last_key"))
+    return materialise(joined.select("p.source", "source_size", "target", "whole", last_key.alias("last_key")))
 
 
 def taken_times(whole: Column, last_key: Column, key: Column) -> Column:
@@ -93,19 +111,23 @@ def mix(docs: DataFrame, epochs: int = 3, cycle: int = 3, seed: int = 11) -> Dat
     Null text: size 0. Null source: a source of its own, after the others. Null doc_id: a key like any other. Repeated
     rows are each taken, all or none of those with one doc_id. No rows, no result."""
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("order_key")))
-    plan = mix_plan(sized, epochs, cycle).alias("p")
-    out = sized.alias("s").join(plan, F.col("s.source").eqNullSafe(F.col("p.source")))
+    plan = mix_plan(sized, epochs, cycle).withColumnRenamed("source", "plan_source")
+    out = with_source(sized, plan, "plan_source")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * taken_times(F.col("whole"), F.col("last_key"), F.col("order_key"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, epochs: int = 3, cycle: int = 3, seed: int = 11) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with all its columns and in as many rows."""
-    key = order_key(F.col("doc_id"), seed)
-    sized = materialise(docs.select("source", word_count(F.col("text")).alias("size"), key.alias("order_key")))
-    names = {c: unused(docs, f"_mix_{c}") for c in ("source", "whole", "last_key", "copy")}
+    """The mix itself: every row of docs as often as it is taken, with all its columns and in as many rows.
+
+    Null texts have size 0 and are taken like others of their source; a source without any words is left out. Nulls,
+    repeated rows and no rows are as mix() has them; other columns keep their names and values. The texts stay where
+    they are: only the plan travels."""
+    names = {c: unused(docs, f"_mix_{c}") for c in ("source", "whole", "last_key", "key", "copy")}
+    keyed = docs.withColumn(names["key"], order_key(F.col("doc_id"), seed))
+    sized = materialise(keyed.select("source", word_count(F.col("text")).alias("size"), F.col(names["key"]).alias("order_key")))
     plan = mix_plan(sized, epochs, cycle).select(*(F.col(c).alias(names[c]) for c in ("source", "whole", "last_key")))
-    times = taken_times(F.col(names["whole"]), F.col(names["last_key"]), key)
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col(names["source"]))).where(times > 0)
+    times = taken_times(F.col(names["whole"]), F.col(names["last_key"]), F.col(names["key"]))
+    joined = with_source(keyed, plan, names["source"], names["key"]).where(times > 0)
     return joined.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), times.cast("int"), F.lit(1)))).select(*docs.columns)
 
 

@@ -99,6 +99,13 @@ def test_taken_words_come_near_the_target(spark, small):
     assert ordered((r.doc_id, r.taken) for r in rows) == ordered((r.doc_id, r.taken) for r in again)
 
 
+def test_a_source_with_nearly_all_rows_is_dealt_out(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w ', repeat('x ', int(id % 7)))  AS text", "CASE WHEN id % 10 > 0 THEN 'hot' WHEN id % 20 = 0 THEN null ELSE 'cold' END AS source", "id AS _salt")
+    want, mixed = ordered(mixing.mix(docs).collect()), Counter(map(tuple, mixing.mixed_documents(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert ordered(mixing.mix(docs).collect()) == want and Counter(map(tuple, mixing.mixed_documents(docs).collect())) == mixed
+
+
 def test_mixed_documents_are_the_taken_ones(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect() if r.size}
@@ -125,11 +132,12 @@ def plain_top_k(rows, k=10):
 NAMES = ["query_id", "rank", "vec_id", "score"]
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-def test_top_k_equals_brute_force(spark, small, block):
+@pytest.mark.parametrize("shard", [7, 4096])
+def test_top_k_equals_brute_force(spark, small, shard, monkeypatch):
+    monkeypatch.setattr(maxscore, "CELLS", shard * 64)  # packed rows of 7 vectors too
     df = spark.read.parquet(f"{small}/embeddings.parquet")
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
-    assert ordered(maxscore.top_k(df, query_block=block).select(NAMES).collect()) == ordered(plain_top_k(rows))
+    assert ordered(maxscore.top_k(df).select(NAMES).collect()) == ordered(plain_top_k(rows))
     assert ordered(maxscore.top_k(df).select(NAMES).collect()) == ordered(sql_rows(small, maxscore.oracle(), NAMES))
 
 
