@@ -5,22 +5,27 @@ list of its dimension. For a query each dimension's largest possible contributio
 k-th best score so far as the threshold, the dimensions of smallest bound whose bounds together stay below it are
 non-essential: the others' postings are traversed first, and the non-essential ones are probed, largest bound first,
 only for vectors that can still reach the threshold. The tasks' best k of each query are merged at the end.
+
+Queries and vectors are both packed into rows of up to SHARD vectors, and one job pairs every row of queries with every
+row of vectors: a stated query set against all rows, in blocks.
 """
 
 from __future__ import annotations
 
-import math
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_folder
+from .common import bounded_batches, materialise, slices
 
 SCALE = 1024
-SHARD = 4096
+#: Vectors and components of a packed row at most, and rows of queries whose best so far a task keeps.
+SHARD, CELLS, HELD = 4096, 1 << 18, 4
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -71,65 +76,67 @@ class Shard:
         return scores[top], ids[top]
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column; shorter vectors count as zero where they end, what lies beyond `width` has no partner."""
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy()
-    if len(lengths) and (lengths == width).all():
-        return flat.reshape(-1, width)
-    out = np.zeros((len(lengths), width), np.int64)
-    at = np.cumsum(lengths) - lengths
-    for k, (a, n) in enumerate(zip(at.tolist(), lengths.tolist(), strict=True)):
-        out[k, : min(n, width)] = flat[a : a + min(n, width)]
-    return out
-
-
-def block_search(vectors: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    """Each task's best k for each query of a block. vectors: vec_id, embedding (whole numbers)."""
-    width = max((len(v) for _, v in queries), default=0)
-    query_ids = [q for q, _ in queries]
-    matrix = np.zeros((len(queries), width), np.int64)
-    for row, (_, v) in zip(matrix, queries, strict=True):
-        row[: len(v)] = v
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(matrix)  # at most query_block rows
-
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
-        for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                part = batch.slice(at, SHARD)
-                shard = Shard(part.column(0).to_numpy(), _matrix(part.column(1), width))
-                for n, (q, query) in enumerate(zip(query_ids, shared.value, strict=True)):
-                    best[n] = shard.search(q, query, k, best[n])
-        rows = [(q, int(i), int(s)) for q, (scores, ids) in zip(query_ids, best, strict=True) for s, i in zip(scores, ids, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], ["query_id", "vec_id", "score"])
-
-    bounded_batches(spark)
-    return vectors.mapInArrow(search, SCHEMA)
-
-
-def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, query_block: int = 4096) -> DataFrame:
+def packed(vectors: DataFrame) -> DataFrame:
+    """vectors: vec_id, embedding (whole numbers). Rows of up to SHARD of them: ids and components as bytes, width. A
+    shorter vector is filled up with zeros, which add nothing to a score."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SHARD):
+            width = max(1, pc.max(pc.list_value_length(batch.column(1))).as_py() or 0)
+            for part in slices([batch], max(1, CELLS // width)):
+                lengths = pc.list_value_length(part.column(1)).to_numpy()
+                rows = np.zeros((part.num_rows, width), np.int64)
+                rows[np.arange(width) < lengths[:, None]] = part.column(1).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()]), pa.array([rows.tobytes()]), pa.array([width], pa.int32())], ["ids", "rows", "width"])
+
+    bounded_batches(vectors.sparkSession)
+    return materialise(vectors.mapInArrow(pack, "ids binary, rows binary, width int"))
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Both packed. Each task's best k for each query: query_id, vec_id, score. A task meets a row of queries with one row
+    of vectors after the other, and what it has found so far is the threshold for the next."""
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[bytes, tuple] = OrderedDict()  # by ids of a row of queries: the ids, the vectors, the best of each
+        for batch in slices(batches, 1):
+            query_ids, queries, query_width, ids, rows, width = (c[0].as_py() for c in batch.columns)
+            if query_ids not in held:
+                if len(held) == HELD:
+                    yield close(held.popitem(last=False)[1])
+                own = np.frombuffer(query_ids, np.int64)
+                held[query_ids] = (own, np.frombuffer(queries, np.int64).reshape(len(own), query_width), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own))
+            held.move_to_end(query_ids)
+            own, matrix, best = held[query_ids]
+            common = min(width, query_width)  # only the components that both have count
+            ids = np.frombuffer(ids, np.int64)
+            shard = Shard(ids, np.frombuffer(rows, np.int64).reshape(len(ids), width)[:, :common])
+            for n, (q, query) in enumerate(zip(own.tolist(), matrix[:, :common], strict=True)):
+                best[n] = shard.search(q, query, k, best[n])
+        for block in held.values():
+            yield close(block)
+
+    def close(block: tuple) -> pa.RecordBatch:
+        own, _, best = block
+        n = [len(b[0]) for b in best]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], ["query_id", "vec_id", "score"])
+
+    both = queries.select(F.col("ids").alias("query_ids"), F.col("rows").alias("queries"), F.col("width").alias("query_width")).crossJoin(vectors)
+    return both.select("query_ids", "queries", "query_width", "ids", "rows", "width").mapInArrow(pairs, SCHEMA)
+
+
+def top_k(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """Queries: the vec_ids divisible by `every`. Per query and rank: query_id, rank, vec_id, score.
 
     All rows but those with the query's own vec_id are candidates, ties go to the smaller vec_id; repeated rows are
     candidates each. Of a query's repeated rows the smallest vector is the query. Rows with a null vec_id, and vectors
     that are null or hold null or non-finite components, take no part; where lengths differ, only the components that
-    both vectors have count. No queries, no rows. Queries come to the driver in blocks of about query_block, and each
-    block is one pass over all rows."""
+    both vectors have count; an empty vector scores 0 with all. No queries, no rows. Other columns are left out."""
     vectors = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), whole_numbers(F.col("embedding")).alias("embedding"))
     queries = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(1, math.ceil(queries.count() / query_block))
-    spark, folder = embeddings.sparkSession, shared_folder(embeddings.sparkSession)
+    found = search(packed(queries), packed(vectors), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        found = block_search(vectors, sorted((r.vec_id, r.embedding) for r in rows), k)
-        best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        if blocks == 1:
-            return best
-        best.write.parquet(f"{folder}/block={b}")
-    return spark.read.parquet(folder).drop("block")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def oracle() -> str:
