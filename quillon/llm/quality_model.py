@@ -2,11 +2,13 @@
 
 A text is compressed with a dictionary built from texts labelled good and with one built from texts labelled bad. The
 difference of the two sizes for each byte of text, calibrated by a logistic curve on other labelled texts, is the
-score: how likely label 1 is.
+score: how likely label 1 is. A dictionary only helps the start of what is compressed, so a text is compressed in equal
+parts of at most PART bytes: the difference means the same at every length.
 
-Learning takes a bounded sample of the labelled rows: at most `per_class` texts of each label for the dictionaries, of
-each at most `text_bytes` bytes, and at most `per_class` others of each label for the curve. Scoring is over every
-whole text.
+Learning takes a bounded sample of the labelled rows: at most `per_class` rows of each label for the dictionaries, and
+at most `per_class` others of each label for the curve, whole texts both. Texts are measured where they lie; only the
+dictionary texts' parts come to the driver, at most `per_class` times `parts_each` a label, where longer texts give
+parts from all over their length. Scoring is over every whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, texts_of
+from .common import bounded_batches, materialise, slices, texts_of
 
 
 def fold(doc_id: Column) -> Column:
@@ -32,6 +34,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
+#: Bytes that are compressed at a time.
+PART = 16_384
+
+
+def parts_of(raw: bytes) -> list[bytes]:
+    """The text in equal parts of at most PART bytes; an empty text is one empty part."""
+    n = max(1, -(-len(raw) // PART))
+    ends = [len(raw) * k // n for k in range(n + 1)]
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
 @dataclass
 class CompressionModel:
     good: bytes
@@ -57,7 +70,7 @@ class CompressionModel:
         """Bytes saved by the good dictionary over the bad one, for each byte of text."""
         good, bad = compressors
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        return np.array([(len(bad.compress(r)) - len(good.compress(r))) / (len(r) + 1) for r in raw], np.float64)
+        return np.array([sum(len(bad.compress(p)) - len(good.compress(p)) for p in parts_of(r)) / (len(r) + 1) for r in raw], np.float64)
 
     def score(self, difference: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.intercept, -40, 40)))
@@ -96,9 +109,11 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, text_bytes: int = 20_000, dictionary_bytes: int = 524_288, level: int = 12) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, parts_each: int = 2, dictionary_bytes: int = 524_288, level: int = 12) -> CompressionModel:
     """Learn from the labelled rows outside the held-out fold. The sample is those with the smallest hash of the
-    doc_id: dictionaries from folds 1 and 2, the curve from folds 3 and 4. Null labels, doc_ids and texts take no part."""
+    doc_id: dictionaries from folds 1 and 2, the curve from folds 3 and 4. Of a repeated doc_id the smallest text counts,
+    of differing labels the lower. Null labels, doc_ids and texts take no part. Where too few or too short texts of a
+    label are there, no dictionary is built and every score is the share of label 1."""
     labelled = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = labelled.withColumn("curve", fold(F.col("doc_id")) >= 3).where(fold(F.col("doc_id")) > 0)
     picked = None
@@ -106,23 +121,40 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, text_bytes: in
         for curve in (False, True):
             part = labelled.where((F.col("quality") == quality) & (F.col("curve") == curve)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
             picked = part if picked is None else picked.union(part)
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "curve", F.substring("text", 1, text_bytes).alias("text"))
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
     # of a repeated doc_id one text: at most 4 * per_class rows, whatever the corpus
-    sample = sample.groupBy("doc_id", "quality", "curve").agg(F.min("text").alias("text"))
-    rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
-    for_dictionary = {q: [r.text.encode("utf-8", "surrogatepass")[:text_bytes] for r in rows if r.quality == q and not r.curve] for q in (0, 1)}
-    model = CompressionModel(build_dictionary(for_dictionary[1], dictionary_bytes), build_dictionary(for_dictionary[0], dictionary_bytes), level)
-    if not (model.good and model.bad):
-        model.good = model.bad = b""
-    rest = [r for r in rows if r.curve]
-    x = model.difference([r.text for r in rest], model.compressors())
-    model.slope, model.intercept = logistic(x, np.array([r.quality for r in rest], np.float64))
+    sample = materialise(sample.groupBy("doc_id", "quality", "curve").agg(F.min("text").alias("text")).select("doc_id", "quality", "curve", "text"))
+
+    def spread_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            rows = []
+            for doc, quality, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                parts = parts_of(text.encode("utf-8", "surrogatepass"))
+                rows += [(doc, quality, k, parts[len(parts) * k // parts_each]) for k in range(parts_each)] if len(parts) > parts_each else [(doc, quality, k, p) for k, p in enumerate(parts)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "quality", "k", "part"])
+
+    bounded_batches(docs.sparkSession)
+    parts = sample.where("not curve").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "curve", "text").mapInArrow(spread_parts, "doc_id long, quality int, k int, part binary")
+    rows = sorted((r.doc_id, r.k, r.quality, bytes(r.part)) for r in parts.collect())
+    good, bad = (build_dictionary([p for _, _, q, p in rows if q == quality], dictionary_bytes) for quality in (1, 0))
+    model = CompressionModel(good, bad, level) if good and bad else CompressionModel(b"", b"", level)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for batch in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(model.difference(texts_of(batch.column(2)), compressors))], ["doc_id", "quality", "x"])
+
+    rest = sample.where("curve").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text").mapInArrow(measure, "doc_id long, quality int, x double")
+    rest = sorted((r.doc_id, r.quality, r.x) for r in rest.collect())
+    model.slope, model.intercept = logistic(np.array([r[2] for r in rest], np.float64), np.array([r[1] for r in rest], np.float64))
     return model
 
 
 def quality_scores(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Null and empty texts get the score of a difference of 0; null and
-    repeated keys stay rows of their own; other columns are left out."""
+    """Per row: doc_id, held_out, score, predicted. Null and empty texts get the score of a difference of 0; very long
+    ones are scored whole, part by part; null and repeated keys stay rows of their own; no rows, no result; other columns
+    are left out."""
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
@@ -135,7 +167,8 @@ def quality_scores(docs: DataFrame, model: CompressionModel, threshold: float =
 
 
 def good_documents(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of docs that score at least the threshold, with docs' own columns."""
+    """The rows of docs that score at least the threshold, with docs' own columns, whatever their names. Null, empty and
+    very long texts are scored as in quality_scores; repeated rows stay or go together; no rows, no result."""
     at = docs.columns.index(text)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
