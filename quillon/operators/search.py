@@ -5,69 +5,90 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ARTICLES, compact_forms, normalize_title, osa_distance
+from ..functions.text import ARTICLES, compact_forms, normalize_title, slips
+from ..sources.tables import materialise
+
+#: Words of any script, as the searched phrases have them.
+WORDS = r"[\p{L}\p{N}]+"
+#: Lines that a word may bring to be weighed as part of a query.
+BROAD = 1000
 
 
 def title_lines(titles: DataFrame) -> DataFrame:
     """titles: id, title, alias (whether it is another title), known, rating, year. One line per distinct normal title
-    of a show: its own name first; aliases that are only an article go."""
+    of a show: its own name first; aliases that are only an article go. Written once, for all tiers."""
     n = titles.withColumn("line", normalize_title("title")).where("line <> ''")
     n = n.where(~F.col("alias") | ~F.col("line").isin(ARTICLES))
     first = F.row_number().over(Window.partitionBy("id", "line").orderBy("alias", "title"))
-    return n.withColumn("_k", first).where("_k = 1").drop("_k")
+    return materialise(n.withColumn("_k", first).where("_k = 1").drop("_k"))
+
+
+def prepared(queries: DataFrame) -> DataFrame:
+    """queries: query, text. Adds t, the normal text, and words, its distinct words; written once, for all tiers."""
+    t = queries.select("query", "text", normalize_title("text").alias("t")).where("t <> ''")
+    return materialise(t.withColumn("words", F.array_distinct(F.split("t", " "))))
 
 
 def best_known(hits: DataFrame, *before: str) -> Window:
     return Window.partitionBy("query").orderBy(*before, F.desc("known"), F.desc(F.coalesce("rating", F.lit(0.0))), F.desc(F.coalesce("year", F.lit(0))), "id")
 
 
-def _words(lines: DataFrame, column: str = "line") -> DataFrame:
-    return lines.withColumn("word", F.explode(F.split(column, " ")))
+def line_words(lines: DataFrame) -> DataFrame:
+    return lines.select("id", "line", F.explode(F.array_distinct(F.split("line", " "))).alias("word"))
+
+
+def query_words(q: DataFrame) -> DataFrame:
+    """query, n (distinct words), qword, last (whether it is the one still being typed)."""
+    return q.select("query", F.size("words").alias("n"), F.explode("words").alias("qword"), F.element_at(F.split("t", " "), -1).alias("w")).select("query", "n", "qword", (F.col("qword") == F.col("w")).alias("last"))
 
 
 def _forms(df: DataFrame, key: str, normal: str) -> DataFrame:
-    """key, form, kind of the compact forms of a normal title."""
-    f = df.select(key, F.explode(compact_forms(normal)).alias("f"))
-    return f.select(key, F.substring("f", 2, 1 << 20).alias("form"), F.substring("f", 1, 1).cast("int").alias("kind"))
+    return df.select(key, F.explode(compact_forms(F.col(normal))).alias("f")).select(key, "f.*")
+
 
+def _all_words(matched: DataFrame, lines: DataFrame) -> DataFrame:
+    """matched: query, n, qword, word. query, id, line of the lines in which every query word has a matching word."""
+    hits = matched.join(line_words(lines), "word").groupBy("query", "n", "id", "line").agg(F.count_distinct("qword").alias("have"))
+    return hits.where("have = n").select("query", "id", "line")
 
-def tier_exact(queries: DataFrame, lines: DataFrame) -> DataFrame:
-    """Tier 1: a compact form of the query is one of the title. queries: query, text."""
-    q = _forms(queries.select("query", normalize_title("text").alias("t")), "query", "t").select("query", "form").distinct()
-    t = _forms(lines, "id", "line").select("id", "form").distinct()
-    return q.join(t, "form").select("query", "id", F.lit(1).alias("tier")).distinct()
 
+def starting(q: DataFrame, lines: DataFrame) -> DataFrame:
+    """query, n, qword, word: title words that a query word starts, met on their first letter."""
+    vocabulary = line_words(lines).select("word", F.substring("word", 1, 1).alias("head")).distinct()
+    return query_words(q).withColumn("head", F.substring("qword", 1, 1)).join(vocabulary, "head").where(F.startswith("word", "qword")).select("query", "n", "qword", "word")
 
-def tier_prefix(queries: DataFrame, lines: DataFrame) -> DataFrame:
-    """Tier 2: the title's plain or article-free form starts with the query's plain form. Joined on the form's first
-    characters, so that it is an equi join."""
-    q = queries.select("query", F.replace(normalize_title("text"), F.lit(" "), F.lit("")).alias("form")).where("form <> ''")
-    t = _forms(lines, "id", "line").where("kind < 2").select("id", F.col("form").alias("full"))
+
+def tier_exact(q: DataFrame, lines: DataFrame) -> DataFrame:
+    """Tier 1: a compact form of the query is one of the title. q: as prepared; so for all tiers."""
+    asked, held = _forms(q, "query", "t").select("query", "form"), _forms(lines, "id", "line").select("id", "form")
+    return asked.join(held, "form").select("query", "id", F.lit(1).alias("tier")).distinct()
+
+
+def tier_prefix(q: DataFrame, lines: DataFrame) -> DataFrame:
+    """Tier 2: a form of the title starts with the query as typed or in digits. Joined on the form's first characters, so
+    that it is an equi join. A single character finds nothing here."""
+    typed = _forms(q.where(F.length(F.replace("t", F.lit(" "), F.lit(""))) > 1), "query", "t").where("kind in (0, 2)")
     k = F.least(F.length("form"), F.lit(3))
-    keyed = q.withColumn("k", k).withColumn("head", F.substring("form", F.lit(1), F.col("k")))
-    heads = t.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("head", F.substring("full", F.lit(1), F.col("k"))).where(F.length("full") >= F.col("k"))
-    return keyed.join(heads, ["k", "head"]).where(F.startswith("full", "form")).select("query", "id", F.lit(2).alias("tier")).distinct()
+    typed = typed.withColumn("k", k).withColumn("head", F.substring("form", F.lit(1), F.col("k"))).drop("kind")
+    held = _forms(lines, "id", "line").select("id", F.col("form").alias("full")).distinct()
+    heads = held.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("head", F.substring("full", F.lit(1), F.col("k"))).where(F.length("full") >= F.col("k"))
+    return typed.join(heads, ["k", "head"]).where(F.startswith("full", "form")).select("query", "id", F.lit(2).alias("tier")).distinct()
 
 
-def tier_words(queries: DataFrame, lines: DataFrame) -> DataFrame:
+def tier_words(q: DataFrame, lines: DataFrame) -> DataFrame:
     """Tier 3: every query word starts a word of one title."""
-    q = queries.select("query", normalize_title("text").alias("t")).select("query", F.array_distinct(F.split("t", " ")).alias("ws")).where("ws[0] <> ''")
-    q = q.select("query", F.size("ws").alias("n"), F.explode("ws").alias("qword")).withColumn("head", F.substring("qword", 1, 1))
-    vocabulary = _words(lines).select("word").distinct().withColumn("head", F.substring("word", 1, 1))
-    matched = q.join(vocabulary, "head").where(F.startswith("word", "qword")).select("query", "n", "qword", "word")
-    hits = matched.join(_words(lines).select("id", "line", "word").distinct(), "word").groupBy("query", "n", "id", "line").agg(F.count_distinct("qword").alias("have"))
-    return hits.where("have = n").select("query", "id", F.lit(3).alias("tier")).distinct()
+    return _all_words(starting(q, lines), lines).select("query", "id", F.lit(3).alias("tier")).distinct()
 
 
-def tier_inside(queries: DataFrame, lines: DataFrame) -> DataFrame:
-    """Tier 4: every query word starts or sits inside a word of one title. Query words of two letters or more; the few
-    queries are broadcast to the vocabulary, not to the titles."""
-    q = queries.select("query", normalize_title("text").alias("t")).select("query", F.array_distinct(F.split("t", " ")).alias("ws")).where("ws[0] <> ''")
-    q = q.select("query", F.size("ws").alias("n"), F.explode("ws").alias("qword"))
-    vocabulary = _words(lines).select("word").distinct()
-    matched = vocabulary.join(F.broadcast(q), F.startswith("word", "qword") | ((F.length("qword") > 1) & F.contains("word", "qword")))
-    hits = matched.join(_words(lines).select("id", "line", "word").distinct(), "word").groupBy("query", "n", "id", "line").agg(F.count_distinct("qword").alias("have"))
-    return hits.where("have = n").select("query", "id", F.lit(4).alias("tier")).distinct()
+def tier_inside(q: DataFrame, lines: DataFrame) -> DataFrame:
+    """Tier 4: every query word starts a word of one title or, of three letters or more, sits inside one; there must be
+    such a long word. Words inside are found by the three letters they begin with, at any place of a title word."""
+    long = query_words(q).where(F.length("qword") > 2)
+    places = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 2, F.lit(1))), lambda k: F.substring(F.col("word"), k, F.lit(3))))
+    vocabulary = line_words(lines).select("word").distinct().select("word", places.alias("head")).distinct()
+    inside = long.withColumn("head", F.substring("qword", 1, 3)).join(vocabulary, "head").where(F.contains("word", "qword")).select("query", "n", "qword", "word")
+    either = starting(q, lines).join(long.select("query").distinct(), "query", "left_semi").union(inside).distinct()
+    return _all_words(either, lines).select("query", "id", F.lit(4).alias("tier")).distinct()
 
 
 def deletions(word):
@@ -77,43 +98,87 @@ def deletions(word):
     return F.array_distinct(F.array_append(cut, word))
 
 
-def tier_typos(queries: DataFrame, lines: DataFrame) -> DataFrame:
-    """Tier 5: every query word is a title word or one slip from it: a letter dropped, added, changed or swapped with
-    the next. Candidates share a string with one letter less; the distance is checked after. With the slips."""
-    q = queries.select("query", normalize_title("text").alias("t")).select("query", F.array_distinct(F.split("t", " ")).alias("ws")).where("ws[0] <> ''")
-    q = q.select("query", F.size("ws").alias("n"), F.explode("ws").alias("qword"))
-    keyed = q.select("query", "n", "qword", F.explode(deletions(F.col("qword"))).alias("key"))
-    vocabulary = _words(lines).select("word").distinct().select("word", F.explode(deletions(F.col("word"))).alias("key"))
-    near = keyed.join(vocabulary, "key").select("query", "n", "qword", "word").distinct().withColumn("slips", osa_distance("qword", "word")).where("slips <= 1")
-    hits = near.join(_words(lines).select("id", "line", "word").distinct(), "word").groupBy("query", "n", "id", "line", "qword").agg(F.min("slips").alias("slips"))
-    hits = hits.groupBy("query", "n", "id", "line").agg(F.count("*").alias("have"), F.sum("slips").alias("slips")).where("have = n")
+def near_words(words: DataFrame, lines: DataFrame) -> DataFrame:
+    """words: query, n, qword. With word: title words one slip from a query word of 3 to 20 letters. Candidates share a
+    string with one letter less, or are alike with double letters single; the slip itself is checked after."""
+    q = words.where(F.length("qword").between(3, 20)).select("query", "n", "qword")
+    once = lambda c: F.regexp_replace(c, r"(.)\1+", "$1")
+    keys = lambda c: F.explode(F.concat(deletions(F.col(c)), F.array(F.concat(F.lit("2"), once(F.col(c))))))
+    vocabulary = line_words(lines).select("word").distinct().where(F.length("word") <= 22).select("word", keys("word").alias("key")).distinct()
+    return q.select("*", keys("qword").alias("key")).distinct().join(vocabulary, "key").select("query", "n", "qword", "word").distinct().where(slips(F.col("qword"), F.col("word")))
+
+
+def typing_words(words: DataFrame, lines: DataFrame) -> DataFrame:
+    """words: query, n, qword, last. Title words that start with a string one slip from the last word, of 4 to 20 letters,
+    and with its first letter: the word is still being typed. Joined on the first letter."""
+    q = words.where(F.col("last") & F.length("qword").between(4, 20)).select("query", "n", "qword", F.substring("qword", 1, 1).alias("head"))
+    vocabulary = line_words(lines).select("word", F.substring("word", 1, 1).alias("head")).distinct()
+    n = F.length("qword")
+    start = F.exists(F.sequence(F.greatest(n - 2, F.lit(4)), n + 2), lambda k: (k <= F.length("word")) & slips(F.col("qword"), F.substring(F.col("word"), F.lit(1), k)))
+    return q.join(vocabulary, "head").where(start).select("query", "n", "qword", "word")
+
+
+def tier_typos(q: DataFrame, lines: DataFrame) -> DataFrame:
+    """Tier 5: each query word starts a title word or is one slip from a whole one, or for the last word one slip from the
+    start of one; at least one slipped. With the number that did."""
+    words = query_words(q)
+    slipped = near_words(words, lines).union(typing_words(words, lines)).distinct().withColumn("slips", F.lit(1))
+    matched = starting(q, lines).withColumn("slips", F.lit(0)).union(slipped)
+    best = matched.join(line_words(lines), "word").groupBy("query", "n", "id", "line", "qword").agg(F.min("slips").alias("slips"))
+    hits = best.groupBy("query", "n", "id", "line").agg(F.count("*").alias("have"), F.sum("slips").alias("slips")).where("have = n and slips > 0")
     return hits.groupBy("query", "id").agg(F.min("slips").cast("int").alias("slips")).select("query", "id", F.lit(5).alias("tier"), "slips")
 
 
-def tier_initials(queries: DataFrame, lines: DataFrame, least: int = 2) -> DataFrame:
-    """Tier 6: a query word stands for consecutive words of a title by their first letters, the others start words."""
-    q = queries.select("query", normalize_title("text").alias("t")).select("query", F.explode(F.split("t", " ")).alias("qword")).where(F.length("qword") >= least)
-    initials = lines.withColumn("initials", F.array_join(F.transform(F.split("line", " "), lambda w: F.substring(w, 1, 1)), ""))
-    return initials.join(F.broadcast(q), F.contains("initials", "qword")).select("query", "id", F.lit(6).alias("tier")).distinct()
-
-
-def tier_part(queries: DataFrame, lines: DataFrame, title_least: float = 0.5, query_least: float = 0.25) -> DataFrame:
-    """Tier 7: query and title share words; how much of each the other covers, words weighted by rarity, as a harmonic
-    mean."""
-    w = _words(lines).select("id", "line", "word").distinct()
-    n = lines.agg(F.count("*").alias("n"))
-    idf = w.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("word", F.log1p(F.col("n") / F.col("df")).alias("idf"))
-    weighted = w.join(idf, "word")
-    size = weighted.groupBy("id", "line").agg(F.sum("idf").alias("title_weight"))
-    q = queries.select("query", normalize_title("text").alias("t")).select("query", F.explode(F.array_distinct(F.split("t", " "))).alias("word")).where("word <> ''")
-    q = q.join(idf, "word", "left").join(F.broadcast(n)).withColumn("idf", F.coalesce("idf", F.log1p(F.col("n").cast("double"))))
-    total = q.groupBy("query").agg(F.sum("idf").alias("query_weight"))
-    shared = q.select("query", "word").join(weighted, "word").groupBy("query", "id", "line").agg(F.sum("idf").alias("both")).join(size, ["id", "line"]).join(total, "query")
-    a, b = F.col("both") / F.col("title_weight"), F.col("both") / F.col("query_weight")
-    kept = shared.where((a >= title_least) & (b >= query_least)).withColumn("cover", F.round(2 * a * b / (a + b), 9))
+def tier_initials(q: DataFrame, lines: DataFrame, broad: int = BROAD) -> DataFrame:
+    """Tier 6: a query word of 3 to 6 Latin letters or digits stands for as many consecutive words of a title by their first
+    letters, and every other query word starts a word of it. A word that starts words of more than `broad` titles is taken
+    as itself. Lines are met by the runs of 3 to 6 initials they have; starts says whether the word starts any word."""
+    starts = starting(q, lines).join(line_words(lines), "word").groupBy("query", "qword").agg(F.count_distinct("id", "line").alias("lines"))
+    short = query_words(q).where(F.col("qword").rlike("^[a-z0-9]{3,6}$")).select("query", "qword").join(starts, ["query", "qword"], "left").where(F.coalesce("lines", F.lit(0)) <= broad)
+    initials = lines.select("id", "line", F.array_join(F.transform(F.split("line", " "), lambda w: F.substring(w, 1, 1)), "").alias("i")).where(F.length("i") > 2)
+    n = F.length("i")
+    runs = F.flatten(F.transform(F.sequence(F.lit(3), F.least(n, F.lit(6))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substring(F.col("i"), at, k))))
+    met = short.join(initials.select("id", "line", F.explode(F.array_distinct(runs)).alias("qword")), "qword").join(q.select("query", "words"), "query")
+    others = F.forall(F.array_except("words", F.array("qword")), lambda w: F.exists(F.split("line", " "), lambda x: F.startswith(x, w)))
+    return met.where(others).groupBy("query", "id").agg(F.max(F.col("lines").isNotNull()).alias("starts")).select("query", "id", F.lit(6).alias("tier"), "starts")
+
+
+def tier_part(q: DataFrame, lines: DataFrame, title_least: float = 0.5, query_least: float = 0.25, broad: int = BROAD, places: int = 3) -> DataFrame:
+    """Tier 7: query of several words and title share words; how much of each the other covers, a word weighing
+    ln((lines + 1) / (lines with it + 1)), as a harmonic mean. A query word of more than four letters that no title has
+    counts for the title words one slip from it. A title is looked at for the sake of a word that few lines have."""
+    several = q.where(F.size("words") > 1)
+    w = line_words(lines)
+    n = lines.agg(F.count("*").alias("lines"))
+    weight = F.log((F.col("lines") + 1).cast("double") / (F.coalesce("df", F.lit(0)) + 1))
+    df = w.groupBy("word").agg(F.count("*").alias("df"))
+    asked = query_words(several).join(df.withColumnRenamed("word", "qword"), "qword", "left").join(F.broadcast(n)).select("query", "n", "qword", weight.alias("asked"), "df")
+    unknown = asked.where(F.col("df").isNull() & (F.length("qword") > 4)).select("query", "n", "qword")
+    matches = asked.where("df is not null").select("query", "qword", F.col("qword").alias("word")).union(near_words(unknown, lines).select("query", "qword", "word"))
+    matches = materialise(matches.join(df, "word").withColumn("brings", F.sum("df").over(Window.partitionBy("query", "qword"))))
+    pool = matches.where(F.col("brings") <= broad).select("query", "word").distinct().join(w, "word").select("query", "id", "line").distinct()
+    parts = pool.withColumn("word", F.explode(F.split("line", " "))).join(df, "word").join(F.broadcast(n)).withColumn("weight", weight).join(matches.select("query", "word", "qword"), ["query", "word"], "left")
+    covered = parts.groupBy("query", "id", "line").agg(F.collect_set("qword").alias("have"))
+    sized = parts.dropDuplicates(["query", "id", "line", "word"]).withColumn("times", F.size(F.filter(F.split("line", " "), lambda x: x == F.col("word"))))
+    sized = sized.groupBy("query", "id", "line").agg(F.sum(F.col("weight") * F.col("times")).alias("whole"), F.sum(F.when(F.col("qword").isNotNull(), F.col("weight") * F.col("times")).otherwise(0.0)).alias("both"))
+    total = asked.groupBy("query").agg(F.sum("asked").alias("total"))
+    mine = covered.select("query", "id", "line", F.explode("have").alias("qword")).join(asked.select("query", "qword", "asked"), ["query", "qword"]).groupBy("query", "id", "line").agg(F.sum("asked").alias("mine"))
+    a, b = F.try_divide("both", "whole"), F.try_divide("mine", "total")
+    kept = sized.join(mine, ["query", "id", "line"]).join(total, "query").where((F.round(a, 9) >= title_least) & (F.round(b, 9) >= query_least)).withColumn("cover", F.round(F.round(2 * a * b / (a + b), 9), places))
     return kept.groupBy("query", "id").agg(F.max("cover").alias("cover")).select("query", "id", F.lit(7).alias("tier"), "cover")
 
 
+def find(queries: DataFrame, titles: DataFrame, limit: int = 12) -> DataFrame:
+    """All tiers. Guesses (5 and 7, and initials of a word that starts some title word) are for queries that match nothing
+    as typed: none for those that tiers 1 to 3 answer."""
+    q, lines = prepared(queries), title_lines(titles)
+    strong = materialise(tier_exact(q, lines).union(tier_prefix(q, lines)).union(tier_words(q, lines)))
+    settled = strong.select("query").distinct()
+    open_ = q.join(settled, "query", "left_anti")
+    initials = tier_initials(q, lines).join(settled.withColumn("settled", F.lit(True)), "query", "left").where("settled is null or not starts")
+    return first_tiers([strong, tier_inside(q, lines), tier_typos(open_, lines), initials, tier_part(open_, lines)], titles, limit)
+
+
 def first_tiers(tiers: list[DataFrame], titles: DataFrame, limit: int = 12) -> DataFrame:
     """The lowest tier that finds a show, best known first within a tier."""
     union = None
@@ -145,7 +210,7 @@ def contains_all(queries: DataFrame, shows: DataFrame, name: str, limit: int = 1
 def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """key, phrase of texts that hold a phrase as whole words; phrases that more than `most` texts hold say nothing.
     Phrases are few: they are broadcast."""
-    padded = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), " "), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS), F.lit(0)), " "), F.lit(" "))
     hits = texts.select(key, padded.alias("p")).join(F.broadcast(phrases.select("phrase")), F.contains("p", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select(key, "phrase")
     if most is None:
         return hits
@@ -155,8 +220,9 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str, most:
 def just_added(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """Tier of titles that are not in the catalogue yet: 1 the same compact form, 2 it starts with the query's, 3 every
     query word starts a word; the best of each title, current ones first. titles: id, title, current."""
-    lines = titles.select("id", normalize_title("title").alias("line"), "current").where("line <> ''")
-    found = tier_exact(queries, lines).union(tier_prefix(queries, lines)).union(tier_words(queries, lines))
+    lines = materialise(titles.select("id", normalize_title("title").alias("line"), "current").where("line <> ''"))
+    q = prepared(queries)
+    found = tier_exact(q, lines).union(tier_prefix(q, lines)).union(tier_words(q, lines))
     best = found.groupBy("query", "id").agg(F.min("tier").alias("tier")).join(lines.select("id", "current"), "id")
     return best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("tier", F.desc("current"), "id"))).select("query", "place", "id", "tier")
 

@@ -14,10 +14,38 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-def test_text():
-    assert text.normal_title("L'Étoile & the Cat's  Eye") == "l etoile and the cats eye" and text.number_words("twenty one jump street".split()) == ["21", "jump", "street"]
-    assert text.title_forms("the seven") == ["0theseven", "1seven", "2the7", "37"] and text.osa("thigns", "things") == 1 and text.osa("abc", "xyz") == 3
-    assert text.canonical("TV science fiction series") == "science fiction" and text.canonical("series") is None
+def test_titles(spark):
+    assert text.normal_title("L'Étoile & the Cat's  Eye") == "l etoile and the cats eye" and text.normal_title("Qu'il d’Artagnan 'l' o'clock") == "qu il d artagnan l oclock"
+    digits = lambda t: one(spark, text.in_digits(F.split(F.lit(t), " ")))
+    assert digits("brooklyn nine nine") == ["brooklyn", "9", "9"] and digits("twenty one pilots") == ["21", "pilots"]
+    assert digits("ninety day fiance") == ["90", "day", "fiance"] and digits("twenty twelve") == ["20", "12"] and digits("twenty thirty one") == ["20", "31"]
+    forms = lambda t: [(f.kind, f.form) for f in one(spark, text.compact_forms(F.lit(t)))]
+    assert forms("the seven") == [(0, "theseven"), (1, "seven"), (2, "the7"), (3, "7")] and forms("red") == [(0, "red")]
+
+
+def test_slips(spark):
+    slip = lambda a, b: one(spark, text.slips(F.lit(a), F.lit(b)))
+    assert all(slip("thigns", w) for w in ("things", "thins", "thigs", "thignss", "xhigns"))
+    assert slip("sucesion", "succession") and slip("succession", "sucesion") and not slip("sucesion", "successsion")
+    assert not slip("thigns", "thigns") and not slip("abc", "xyz") and not slip("abcd", "badc")
+
+
+#: Labels and what they say, null for what says nothing.
+GENRES = {
+    "crime television series": "crime", "crime film": "crime", "crime fiction": "crime", "comedy anime and manga": "comedy", "drama film": "drama", "police procedural": "police procedural", "sitcom": "sitcom", "isekai": "isekai",
+    "legal drama": "legal drama", "adult animated television series": "adult animation", "crime drama": "crime drama", "science fiction television series": "science fiction", "science fiction anime": "science fiction",
+    "telenovela": "telenovela", "children's television series": "children's", "LGBT-related television series": "lgbtq", "Westerns on television": "western", "non-fiction film": "nonfiction",
+    "post-apocalyptic television series": "post apocalyptic", "anime and manga": "anime", "reality television": "reality", "romance film": "romance", "romantic fiction": "romance", "police television drama": "police drama",
+    "Japanese television drama": "japanese drama", "game show": "game show", "film noir": "noir", "anime-influenced animation": "anime influenced animation", "humour": "comedy", "speculative fiction": "speculative fiction",
+    "television series": None, "television program": None, "genre of creative works": None, "work of art": None, "film": None, "fiction": None, "entertainment television program": None, "web series": None, "television serial": None,
+}
+
+
+def test_genres(spark):
+    df = spark.createDataFrame(list(GENRES.items()), "label string, want string")
+    wrong = df.withColumn("got", text.canonical_genre(F.col("label"))).where(~F.col("got").eqNullSafe(F.col("want"))).collect()
+    assert not wrong
+    assert one(spark, text.canonical_genre(F.lit(None).cast("string"))) is None
 
 
 def test_columns(spark):
