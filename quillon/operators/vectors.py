@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import cosine
 from ..functions.buckets import quantised
+from ..sources.tables import materialise, numbered
+from . import blocks
 
 # ------------------------------------------------------------------ text
 
 
-def terms(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), ngrams: int = 2, pattern: str = r"[a-z0-9_]{2,}") -> DataFrame:
+def terms(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), ngrams: int = 2, pattern: str = r"[\p{L}\p{N}_]{2,}") -> DataFrame:
     """key, term, tf: words of the lower-cased text without stop words, and pairs of words that are then neighbours."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))
     if stop:
@@ -40,15 +42,14 @@ def tf_idf(tf: DataFrame, key: str, rows: DataFrame, min_df: int = 3, max_df: fl
     return weighted.select(key, "term", (F.col("v") / norm).alias("value"))
 
 
-def keywords(vectors: DataFrame, key: str, most: int = 6, depth: int = 60) -> DataFrame:
+def keywords(vectors: DataFrame, key: str, most: int = 6) -> DataFrame:
     """The heaviest terms of each row, skipping any that holds or is held by one chosen before; at most `most`.
 
-    A fold over the heaviest `depth` terms, ties to the smaller term."""
-    w = Window.partitionBy(key).orderBy(F.desc(F.round("value", 9)), "term")
-    top = vectors.withColumn("k", F.row_number().over(w)).where(F.col("k") <= depth).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "term"))).alias("t"))
+    A fold over all terms of a row, heaviest first, ties to the smaller term; once `most` are found the rest pass by."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.round("value", 9)).alias("w"), "term")))
     empty = F.array().cast("array<string>")
     step = lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda y: F.contains(y, x["term"]) | F.contains(x["term"], y)), acc).otherwise(F.array_append(acc, x["term"]))
-    return top.select(key, F.aggregate("t", empty, step).alias("keywords"))
+    return vectors.groupBy(key).agg(ordered.alias("t")).select(key, F.aggregate("t", empty, step).alias("keywords"))
 
 
 def plot_words(words: Column, summary: Column, most: int = 4) -> Column:
@@ -151,6 +152,14 @@ def text_cosines(vectors: DataFrame, key: str, left: DataFrame | None = None) ->
     return a.join(b, "term").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("t"))
 
 
+def nearest_texts(vectors: DataFrame, key: str, asked: DataFrame, k: int = 10) -> DataFrame:
+    """a, b, score, rank: for the asked rows (column `key`) the k rows of largest text cosine. Terms are numbered, and
+    vectors are compared in blocks, so a term that most rows have joins nothing."""
+    terms_ = numbered(vectors.select("term").distinct(), ["term"], "col")
+    rows = materialise(blocks.sparse(vectors.join(terms_, "term"), key, "col", "value"))
+    return blocks.nearest(rows.join(asked.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi"), rows, k)
+
+
 def blend(t: Column, h: Column, g: Column, f: Column, text: float = 40, themes: float = 35, genres: float = 25, facets: float = 30) -> Column:
     """Story, themes and genres share their weights out; facets come on top. Missing parts are 0."""
     total = text + themes + genres
@@ -159,14 +168,68 @@ def blend(t: Column, h: Column, g: Column, f: Column, text: float = 40, themes:
 
 
 def closeness(shows: DataFrame, texts: DataFrame, facets: DataFrame, left: DataFrame, **weights: float) -> DataFrame:
-    """a, b, near for every a of `left` (id) with every show. shows: id, theme_bits, genre_bits; texts: a, b, t; facets:
-    a, b, f. `left` is a list of rated shows: bounded, so its side of the product is broadcast."""
-    mine = F.broadcast(shows.join(F.broadcast(left.select("id")), "id", "left_semi").select(F.col("id").alias("a"), F.col("theme_bits").alias("ta"), F.col("genre_bits").alias("ga")))
+    """a, b, near for every a of `left` (id) with every show: a stated query set against all rows, for scores that need
+    them all. shows: id, theme_bits, genre_bits; texts: a, b, t; facets: a, b, f."""
+    mine = shows.join(left.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("theme_bits").alias("ta"), F.col("genre_bits").alias("ga"))
     pairs = shows.select(F.col("id").alias("b"), "theme_bits", "genre_bits").join(mine, F.col("a") != F.col("b"))
     joined = pairs.join(texts, ["a", "b"], "left").join(facets, ["a", "b"], "left")
     return joined.select("a", "b", blend(F.col("t"), cosine(F.col("ta"), F.col("theme_bits")), cosine(F.col("ga"), F.col("genre_bits")), F.col("f"), **weights).alias("near"))
 
 
+def flag_cells(df: DataFrame, keys: Sequence[str], bits: Mapping[str, str]) -> DataFrame:
+    """keys, kind, bit, size: a row for each flag that is set, with the number of flags set. bits: kind to column."""
+
+    def cell(kind: str, column: str) -> Column:
+        held = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.getbit(F.col(column), k) == 1)
+        return F.transform(held, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("bit"), F.bit_count(column).alias("size")))
+
+    cells = [cell(kind, column) for kind, column in bits.items()]
+    return df.select(*keys, F.explode(F.concat(*cells)).alias("f")).select(*keys, "f.*")
+
+
+def flag_closeness(shows: DataFrame, left: DataFrame, k: int, factor: Column | None = None, **weights: float) -> DataFrame:
+    """a, b, flags: for every a of `left` (id) the shows that may be among its k best by flags alone (theme_bits and
+    genre_bits, times the show's factor). Flags are compared once for each distinct combination, which then stands for
+    the k best shows that have it: whoever is none of these has k shows before it, whatever else they share."""
+    f = factor if factor is not None else F.lit(1.0)
+    order = Window.partitionBy("theme_bits", "genre_bits").orderBy(F.desc("_f"), "id")
+    best = shows.withColumn("_f", f).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k + 1)  # one may be a itself
+    best = materialise(best.select("id", F.col("theme_bits").alias("tb"), F.col("genre_bits").alias("gb"), "_f"))
+    kinds = {"theme": "tb", "genre": "gb"}
+    combos = best.select("tb", "gb").distinct()
+    mine = shows.join(left.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("theme_bits").alias("tb"), F.col("genre_bits").alias("gb"))
+    asked = mine.select(F.col("tb").alias("ta"), F.col("gb").alias("ga")).distinct()
+    theirs = flag_cells(combos, ["tb", "gb"], kinds)
+    own = flag_cells(asked, ["ta", "ga"], {"theme": "ta", "genre": "ga"}).withColumnRenamed("size", "size_a")
+    shared = own.join(theirs, ["kind", "bit"]).groupBy("ta", "ga", "tb", "gb", "kind").agg((F.count("*") / F.sqrt((F.first("size") * F.first("size_a")).cast("double"))).alias("c"))
+    part = lambda n: F.max(F.when(F.col("kind") == n, F.col("c")))
+    near = shared.groupBy("ta", "ga", "tb", "gb").agg(blend(F.lit(0.0), part("theme"), part("genre"), F.lit(0.0), **weights).alias("flags"))
+    if factor is None:  # the k best combinations hold k shows at least
+        near = near.withColumn("_k", F.rank().over(Window.partitionBy("ta", "ga").orderBy(F.desc(F.round("flags", 9))))).where(F.col("_k") <= k + 1).drop("_k")
+    pairs = mine.select("a", F.col("tb").alias("ta"), F.col("gb").alias("ga")).join(near, ["ta", "ga"]).join(best, ["tb", "gb"]).where("a <> id")
+    order = Window.partitionBy("a").orderBy(F.desc(F.round(F.col("flags") * F.col("_f"), 9)), "id")
+    return pairs.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select("a", F.col("id").alias("b"), "flags")
+
+
+def nearest_shows(shows: DataFrame, parts: DataFrame, left: DataFrame, k: int, factor: Column | None = None, **weights: float) -> DataFrame:
+    """a, b, near of all pairs that may be among the k best of each a of `left` (id): those that share a text term, a facet
+    or whatever else brings them into parts (a, b, t, f), and the best by flags alone. Nothing is spelled out as asked
+    shows times catalogue."""
+    bits = shows.select("id", "theme_bits", "genre_bits")
+    joined = parts.join(bits.select(F.col("id").alias("b"), "theme_bits", "genre_bits"), "b").join(bits.select(F.col("id").alias("a"), F.col("theme_bits").alias("ta"), F.col("genre_bits").alias("ga")), "a")
+    sharing_ = joined.select("a", "b", blend(F.col("t"), cosine(F.col("ta"), F.col("theme_bits")), cosine(F.col("ga"), F.col("genre_bits")), F.col("f"), **weights).alias("near"))
+    flags = flag_closeness(shows, left, k, factor, **weights).select("a", "b", F.col("flags").alias("near"))
+    # a pair of both kinds has its whole score from the first, which is the larger
+    return sharing_.union(flags).groupBy("a", "b").agg(F.max("near").alias("near"))
+
+
+def paired_parts(cosines: DataFrame, text: str, weights: Mapping[str, float]) -> DataFrame:
+    """a, b, t (cosine of the text family), f (facet closeness) of family cosines, in one grouping."""
+    table = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))))
+    w = F.coalesce(F.try_element_at(table, F.col("family")), F.lit(0.0))
+    return cosines.groupBy("a", "b").agg(F.sum(F.when(F.col("family") == text, F.col("cosine"))).alias("t"), (F.sum(w * F.col("cosine")) / float(sum(weights.values()))).alias("f"))
+
+
 def top_neighbours(edges: DataFrame, a: str, b: str, score: str, k: int = 48, places: int = 9) -> DataFrame:
     """The k closest of each a, ties to the smaller b; rank from 1. Zero scores are no neighbours."""
     order = Window.partitionBy(a).orderBy(F.desc(F.round(score, places)), b)
@@ -192,12 +255,9 @@ def packed_neighbours(edges: DataFrame, near_most: float = 4.5, bonus_most: floa
 
 
 def dense_neighbours(df: DataFrame, key: str, vector: str, queries: Column | None = None, k: int = 5, places: int = 6) -> DataFrame:
-    """Cosine neighbours of dense vectors; `queries` picks the rows that ask. The query side is broadcast: keep it to a
-    bounded set, and ask in blocks for more."""
-    d = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    q = d if queries is None else d.where(queries)
-    a = F.broadcast(q.select(F.col(key).alias("a"), F.col("v").alias("x"), F.col("n").alias("nx")))
-    dot = F.aggregate(F.zip_with("x", "v", lambda p, r: p * r), F.lit(0.0), lambda s, x: s + x)
-    s = d.join(a, F.col("a") != F.col(key)).select("a", F.col(key).alias("b"), F.round(F.try_divide(dot, F.col("nx") * F.col("n")), places).alias("cosine"))
-    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """a, b, cosine, rank: cosine neighbours of dense vectors, by blocks; `queries` picks the rows that ask."""
+    d = df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    d = d.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("n > 0")
+    d = d.select("id", F.sequence(F.lit(0), F.size("v") - 1).alias("cols"), F.transform("v", lambda x: x / F.col("n")).alias("vals"))
+    asked = d if queries is None else d.join(df.where(queries).select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
+    return blocks.nearest(asked, d, k, -2.0, places).select("a", "b", F.col("score").alias("cosine"), "rank")

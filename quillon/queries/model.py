@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import cointerest, joins, rows, sets, vectors
 from ..plans.stand_ins import SHOWS_SQL, shows
 from ..sources import tables
-from ..sources.tables import table
+from ..sources.tables import materialise, table
 from . import Query
 
 STOP = ("the", "and", "of", "la", "de", "der", "die", "el")
@@ -23,7 +23,7 @@ _GRAMS = {1: "", 2: "UNION ALL SELECT doc_id, a || ' ' || b FROM (SELECT doc_id,
 
 def tfidf_sql(ngrams: int) -> str:
     return f"""
-w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{2,}}'), lambda x: NOT list_contains([{', '.join(f"'{s}'" for s in STOP)}], x)) AS w FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains([{', '.join(f"'{s}'" for s in STOP)}], x)) AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM w),
 g AS (SELECT doc_id, a AS term FROM u {_GRAMS[ngrams]}),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL),
@@ -80,9 +80,15 @@ def co_interest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
-    cosines = vectors.family_cosines(facets(spark, d), "id", asked(spark, d))
-    texts = cosines.where("family = 'word'").select("a", "b", F.col("cosine").alias("t"))
-    return vectors.closeness(shows(spark, d), texts, vectors.facet_closeness(cosines, WEIGHTS), asked(spark, d))
+    """Every asked show with every show, for scores that need them all."""
+    parts = materialise(vectors.paired_parts(vectors.family_cosines(facets(spark, d), "id", asked(spark, d)), "word", WEIGHTS))
+    return vectors.closeness(shows(spark, d), parts.select("a", "b", "t"), parts.select("a", "b", "f"), asked(spark, d))
+
+
+def nearest(spark: SparkSession, d: str, k: int, factor=None) -> DataFrame:
+    """Of the asked shows the pairs that may be among the k best."""
+    parts = vectors.paired_parts(vectors.family_cosines(facets(spark, d), "id", asked(spark, d)), "word", WEIGHTS)
+    return vectors.nearest_shows(shows(spark, d), parts, asked(spark, d), k, factor)
 
 
 # ------------------------------------------------------------------ queries
@@ -98,9 +104,8 @@ def keyword_fold(spark, d):
 
 
 def text_cosine_topk(spark, d):
-    v = document_vectors(spark, d, 1)
-    edges = vectors.text_cosines(v, "doc_id", table(spark, d, "documents").select("doc_id").where(f"doc_id % {ASKED} = 0"))
-    return vectors.top_neighbours(edges, "a", "b", "t", 10).select("a", "b", F.round("t", 6).alias("cosine"), F.col("rank").cast("long"))
+    edges = vectors.nearest_texts(document_vectors(spark, d, 1), "doc_id", table(spark, d, "documents").select("doc_id").where(f"doc_id % {ASKED} = 0"))
+    return edges.select("a", "b", F.round("score", 6).alias("cosine"), F.col("rank").cast("long"))
 
 
 def facet_idf(spark, d):
@@ -126,7 +131,7 @@ def facet_closeness(spark, d):
 
 
 def closeness_topk(spark, d):
-    return vectors.top_neighbours(near(spark, d), "a", "b", "near", 48).select("a", "b", F.round("near", 6).alias("near"), F.col("rank").cast("long"))
+    return vectors.top_neighbours(nearest(spark, d, 48), "a", "b", "near", 48).select("a", "b", F.round("near", 6).alias("near"), F.col("rank").cast("long"))
 
 
 def embedding_knn(spark, d):
@@ -192,7 +197,9 @@ def _words(spark, d):
 
 
 def kin_pairs(spark, d):
-    return joins.kin(asked(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("token")), co_interest(spark, d), _words(spark, d))
+    """Kin of every show."""
+    part = table(spark, d, "part")
+    return joins.kin(part.select(F.col("p_partkey").alias("id")), part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("token")), co_interest(spark, d), _words(spark, d))
 
 
 def kinship(spark, d):
@@ -212,9 +219,18 @@ def strongest_relations(spark, d):
 
 
 def more_like(spark, d):
-    bonus = co_interest(spark, d).select("a", "b", (F.col("s") * 10).alias("bonus"))
-    factors = shows(spark, d).select(F.col("id").alias("b"), (1 + F.col("popularity") / 100).alias("factor"))
-    out = rows.more_like(near(spark, d).join(bonus, ["a", "b"], "left"), kin_pairs(spark, d), factors)
+    edges = materialise(co_interest(spark, d))
+    bonus = edges.select("a", "b", (F.col("s") * 10).alias("bonus"))
+    s = shows(spark, d)
+    factor = 1 + F.col("popularity") / 100
+    brands = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("token"))
+    siblings = joins.kin(asked(spark, d), brands, edges, _words(spark, d))
+    # siblings share a brand, and readers' links are few: both join the pairs that share something
+    read = bonus.join(asked(spark, d).select(F.col("id").alias("a")), "a", "left_semi").select("a", "b", F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("f"))
+    parts = vectors.paired_parts(vectors.family_cosines(facets(spark, d), "id", asked(spark, d)), "word", WEIGHTS).select("a", "b", "t", "f").union(read)
+    parts = parts.groupBy("a", "b").agg(F.max("t").alias("t"), F.max("f").alias("f"))
+    close = vectors.nearest_shows(s, parts, asked(spark, d), 12, factor)
+    out = rows.more_like(close.join(bonus, ["a", "b"], "left"), siblings, s.select(F.col("id").alias("b"), factor.alias("factor")))
     return out.select("a", "b", F.col("place").cast("long").alias("place"), "sibling", F.round("score", 6).alias("score"), F.col("percent").cast("long").alias("percent"))
 
 
@@ -224,7 +240,7 @@ def fans_like(spark, d):
 
 def group_likeness(spark, d):
     s = table(spark, d, "part").select(F.col("p_type").alias("language"), F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tags"))
-    out = sets.likeness(s, "language", "id", "tags", asked(spark, d))
+    out = sets.likeness(s, "language", "id", "tags", s.select("id"))
     return out.groupBy("language", "a").agg(F.count("*").alias("n"), F.round(F.avg("jaccard"), 6).alias("mean"))
 
 
@@ -246,10 +262,11 @@ def numbered_pages(spark, d):
 
 
 _TOP = "SELECT * FROM (SELECT a, b, round({0}, 6) AS {2}, row_number() OVER (PARTITION BY a ORDER BY round({0}, 9) DESC, b) AS rank FROM {1} WHERE {0} > 0) WHERE rank <= {3}"
-_KIN_SQL = f"""
-same AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_name AS na, y.p_name AS nb FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey WHERE x.p_partkey % {ASKED} = 0),
+_KIN_ALL = """
+same AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_name AS na, y.p_name AS nb FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey),
 lk AS (SELECT a, b FROM co UNION SELECT b, a FROM co),
 kin AS (SELECT a, b FROM same WHERE list_has_any(string_split(na, ' '), string_split(nb, ' ')) UNION SELECT a, b FROM same SEMI JOIN lk USING (a, b))"""
+_KIN_SQL = _KIN_ALL.replace("x.p_partkey <> y.p_partkey", f"x.p_partkey <> y.p_partkey AND x.p_partkey % {ASKED} = 0")
 _MORE_SQL = f"""WITH {SHOWS_SQL}, {FACET_SQL}, {CO_SQL}, {NEAR_SQL}, {_KIN_SQL},
 s0 AS (SELECT near.a, near.b, kin.a IS NOT NULL AS sibling, round((near + 0.1 * coalesce(co.s * 10, 0)) * CASE WHEN kin.a IS NOT NULL THEN 1.5 ELSE 1.0 END * (1 + popularity / 100), 9) AS score
        FROM near LEFT JOIN kin ON kin.a = near.a AND kin.b = near.b LEFT JOIN co ON co.a = near.a AND co.b = near.b JOIN shows ON shows.id = near.b),
@@ -279,14 +296,14 @@ QUERIES = [
     Query("quantised_neighbours", quantised_neighbours, f"WITH {CO_SQL} SELECT a, b, round_even(sqrt(least(greatest(s * 4, 0), 4.5) / 4.5) * 255, 0)::BIGINT AS near, round_even(sqrt(least(greatest(s, 0), 1.0) / 1.0) * 255, 0)::BIGINT AS text, round_even(sqrt(least(greatest(s * 10, 0), 11.2) / 11.2) * 255, 0)::BIGINT AS bonus FROM co"),
     Query("parent_hops", parent_hops, "SELECT c_custkey AS item, n_name AS value, 1.0::DOUBLE AS multiplier FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_custkey, r_name, 0.5::DOUBLE FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     Query("inherited_values", inherited_values, "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), h AS (SELECT o_custkey, o_orderpriority, count(*) AS c FROM orders GROUP BY ALL) SELECT t.o_custkey AS whole, o_orderpriority AS value, round(c / n, 6) AS share FROM h JOIN t ON t.o_custkey = h.o_custkey WHERE c / n >= 1 / 3"),
-    Query("kin_pairs", kin_pairs, f"WITH {CO_SQL}, {_KIN_SQL} SELECT a, b FROM kin"),
-    Query("kinship_reason", kinship, f"WITH {CO_SQL}, {_KIN_SQL} SELECT a, b, CASE WHEN list_has_any(string_split(x.p_name, ' '), string_split(y.p_name, ' ')) THEN 'word' WHEN x.p_type = y.p_type THEN 'type' ELSE 'brand' END AS reason FROM kin JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b"),
+    Query("kin_pairs", kin_pairs, f"WITH {CO_SQL}, {_KIN_ALL} SELECT a, b FROM kin"),
+    Query("kinship_reason", kinship, f"WITH {CO_SQL}, {_KIN_ALL} SELECT a, b, CASE WHEN list_has_any(string_split(x.p_name, ' '), string_split(y.p_name, ' ')) THEN 'word' WHEN x.p_type = y.p_type THEN 'type' ELSE 'brand' END AS reason FROM kin JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b"),
     Query("ties_explained", ties_explained, f"""WITH {FACET_SQL}, {CO_SQL}, rare AS (SELECT fv.* FROM fv, np WHERE df <= 0.2 * n), sh AS (SELECT a, b, x.family, x.token, round(x.value * y.value, 9) AS st, CASE x.family WHEN 'brand' THEN 0 WHEN 'word' THEN 1 ELSE 2 END AS o FROM co JOIN rare x ON x.id = a JOIN rare y ON y.id = b AND y.family = x.family AND y.token = x.token),
         k AS (SELECT *, row_number() OVER (PARTITION BY a, b, family ORDER BY st DESC, token) AS k FROM sh), p AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY o, st DESC, token) AS place FROM k WHERE family <> 'word' OR k = 1) SELECT a, b, place, family, token FROM p WHERE place <= 4"""),
     Query("strongest_relations", strongest_relations, f"WITH {CO_SQL} SELECT a, b, round(CASE WHEN x.p_brand = y.p_brand THEN 1.0 ELSE 0.5 + 0.4 * s END, 6)::DOUBLE AS strength FROM co JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b"),
     Query("more_like", more_like, _MORE_SQL),
     Query("fans_like", fans_like, f"WITH {CO_SQL}, k AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM co JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b WHERE (x.p_type = 'ECONOMY') = (y.p_type = 'ECONOMY')), n AS (SELECT *, count(*) OVER (PARTITION BY a) AS n FROM k WHERE place <= 20) SELECT a, b, place FROM n WHERE n >= 4"),
-    Query("group_likeness", group_likeness, f"WITH t AS (SELECT p_type AS language, p_partkey AS id, string_split(p_name, ' ') AS w FROM part), j AS (SELECT x.language, x.id AS a, len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) AS jc FROM t x JOIN t y ON x.language = y.language AND x.id <> y.id AND list_has_any(x.w, y.w) WHERE x.id % {ASKED} = 0) SELECT language, a, count(*) AS n, round(avg(jc), 6) AS mean FROM j GROUP BY ALL"),
+    Query("group_likeness", group_likeness, f"WITH t AS (SELECT p_type AS language, p_partkey AS id, string_split(p_name, ' ') AS w FROM part), j AS (SELECT x.language, x.id AS a, len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) AS jc FROM t x JOIN t y ON x.language = y.language AND x.id <> y.id AND list_has_any(x.w, y.w)) SELECT language, a, count(*) AS n, round(avg(jc), 6) AS mean FROM j GROUP BY ALL"),
     Query("facet_cosine", facet_cosine, "WITH c AS (SELECT p_brand, token, count(*)::DOUBLE AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS token FROM part) GROUP BY ALL), m AS (SELECT p_brand, sqrt(sum(n * n)) AS m FROM c GROUP BY p_brand) SELECT x.p_brand AS a, y.p_brand AS b, round(sum(x.n * y.n) / (any_value(p.m) * any_value(q.m)), 6) AS cosine FROM c x JOIN c y ON x.token = y.token AND x.p_brand <> y.p_brand JOIN m p ON p.p_brand = x.p_brand JOIN m q ON q.p_brand = y.p_brand GROUP BY x.p_brand, y.p_brand"),
     Query("one_per_franchise", sibling_components),
     Query("sitemap_pages", numbered_pages, "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 500)::BIGINT AS page FROM orders"),

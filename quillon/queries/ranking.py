@@ -11,7 +11,7 @@ from ..operators import aggregates, evaluate, ranking, rows, vectors
 from ..operators.filters import Settings
 from ..plans import recommend as whole
 from ..plans.stand_ins import RATINGS_SQL, SHOWS_SQL, attributes, ratings, shows
-from ..sources.tables import table
+from ..sources.tables import materialise, table
 from . import Query
 from .lists import base
 from .model import ASKED, CO_SQL, FACET_SQL, NEAR_SQL, asked, co_interest, near
@@ -29,15 +29,18 @@ def liked(spark: SparkSession, d: str) -> DataFrame:
     return lists(spark, d).where("weight > 0").select("user_id", "pos", "id", "weight", F.lit(0).alias("interest"))
 
 
-def pool(spark: SparkSession, d: str) -> DataFrame:
-    users = lists(spark, d).select("user_id").distinct()
-    return shows(spark, d).select("id").crossJoin(users).join(lists(spark, d).select("user_id", "id"), ["user_id", "id"], "left_anti")
+def pool(lk: DataFrame, rated: DataFrame, edges: DataFrame) -> DataFrame:
+    """user_id, id of the unrated shows that a liked show links to; no other has a score."""
+    reached = lk.select("user_id", F.col("id").alias("a")).join(edges, "a").select("user_id", F.col("b").alias("id")).distinct()
+    return reached.join(rated.select("user_id", "id"), ["user_id", "id"], "left_anti")
 
 
 def single(spark: SparkSession, d: str) -> DataFrame:
-    c, lk, e = pool(spark, d), liked(spark, d), links(spark, d)
+    rated, e = materialise(lists(spark, d)), materialise(links(spark, d))
+    lk = rated.where("weight > 0").select("user_id", "pos", "id", "weight", F.lit(0).alias("interest"))
+    c = materialise(pool(lk, rated, e))
     factors = shows(spark, d).select("id", (1 + F.col("popularity") / 100).alias("factor"))
-    penalty = ranking.penalties(c, lists(spark, d).where("weight < 0").select("user_id", "id"), e)
+    penalty = ranking.penalties(c, rated.where("weight < 0").select("user_id", "id"), e)
     return ranking.scores(ranking.interest_hits(c, lk, e), penalty, factors, lk)
 
 
@@ -57,14 +60,15 @@ def wide(spark, d):
     from ..functions.dates import faded
 
     n = F.count("*").over(Window.partitionBy("user_id"))
-    lk = liked(spark, d).withColumn("fade", faded(F.col("pos"), n))
-    e = co_interest(spark, d)
+    every = ratings(spark, d).where("weight > 0").select("user_id", "pos", "id", "weight", F.lit(0).alias("interest"))
+    lk = every.withColumn("fade", faded(F.col("pos"), n))
+    e = materialise(co_interest(spark, d))
     evidence = vectors.evidence(e.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("s").alias("t"), F.lit(0.5).alias("y"), F.lit(0.0).alias("f")), vectors.degrees(e, "b"), 10)
     return ranking.wide_scores(lk, evidence).select("user_id", F.col("j").alias("id"), F.round("score", 6).alias("score"))
 
 
 def disliked_nearness(spark, d):
-    return ranking.disliked_nearness(lists(spark, d).where("weight < 0"), links(spark, d))
+    return ranking.disliked_nearness(ratings(spark, d).where("weight < 0"), links(spark, d))
 
 
 def interest_clusters(spark, d):
@@ -242,8 +246,8 @@ QUERIES = [
     Query("rank_single_interest", rank_single_interest, f"WITH {_LISTS}, {_SINGLE} SELECT user_id, id, round(score, 6) AS score, rank FROM pk"),
     Query("explain_closest_source", explain_closest_source, f"WITH {_LISTS}, {_SINGLE}, c AS (SELECT pk.user_id, pk.id, lk.id AS a, row_number() OVER (PARTITION BY pk.user_id, pk.id ORDER BY round(weight * s, 9) DESC, pos) AS k FROM pk JOIN co ON co.b = pk.id JOIN lk ON lk.user_id = pk.user_id AND lk.id = co.a) SELECT user_id, id, a AS because FROM c WHERE k = 1"),
     Query("taste_match", taste_match, f"WITH {_LISTS}, {_SINGLE} SELECT user_id, id, greatest(1, least(99, round_even(score / max(score) OVER (PARTITION BY user_id) * 99, 0)))::BIGINT AS match FROM sc"),
-    Query("wide_interest_scores", wide, f"WITH {_LISTS}, lk AS (SELECT user_id, id, CASE weight WHEN 1.0 THEN 1.0 WHEN 0.7 THEN 0.7 ELSE 0.1 END * (0.5 + 0.5 * pow(0.5, (count(*) OVER (PARTITION BY user_id) - 1 - pos) / 300.0)) AS st FROM ratings WHERE weight > 0 AND user_id % {ASKED} = 0), dg AS (SELECT b, count(*) AS degree FROM co GROUP BY b), ev2 AS (SELECT co.a, co.b, ((0.40 * s + 0.5 * 0.5) / (0.40 + 0.5 * 0.60)) * least(pow(degree / 10.0, -0.3), 1.0) AS e FROM co JOIN dg ON dg.b = co.b), w AS (SELECT lk.user_id, ev2.b AS id, sum(st * e) AS score FROM lk JOIN ev2 ON ev2.a = lk.id GROUP BY ALL) SELECT user_id, id, round(score, 6) AS score FROM w ANTI JOIN lk USING (user_id, id)"),
-    Query("disliked_nearness", disliked_nearness, f"WITH {_LISTS}, bo2 AS (SELECT a, b, s FROM co UNION ALL SELECT b, a, s FROM co) SELECT user_id, b AS id, max(s) AS near FROM ratings JOIN bo2 ON bo2.a = ratings.id WHERE weight < 0 AND user_id % {ASKED} = 0 GROUP BY ALL"),
+    Query("wide_interest_scores", wide, f"WITH {_LISTS}, lk AS (SELECT user_id, id, CASE weight WHEN 1.0 THEN 1.0 WHEN 0.7 THEN 0.7 ELSE 0.1 END * (0.5 + 0.5 * pow(0.5, (count(*) OVER (PARTITION BY user_id) - 1 - pos) / 300.0)) AS st FROM ratings WHERE weight > 0), dg AS (SELECT b, count(*) AS degree FROM co GROUP BY b), ev2 AS (SELECT co.a, co.b, ((0.40 * s + 0.5 * 0.5) / (0.40 + 0.5 * 0.60)) * least(pow(degree / 10.0, -0.3), 1.0) AS e FROM co JOIN dg ON dg.b = co.b), w AS (SELECT lk.user_id, ev2.b AS id, sum(st * e) AS score FROM lk JOIN ev2 ON ev2.a = lk.id GROUP BY ALL) SELECT user_id, id, round(score, 6) AS score FROM w ANTI JOIN lk USING (user_id, id)"),
+    Query("disliked_nearness", disliked_nearness, f"WITH {_LISTS}, bo2 AS (SELECT a, b, s FROM co UNION ALL SELECT b, a, s FROM co) SELECT user_id, b AS id, max(s) AS near FROM ratings JOIN bo2 ON bo2.a = ratings.id WHERE weight < 0 GROUP BY ALL"),
     Query("interest_clusters", interest_clusters),
     Query("recommend", recommended),
     Query("study_ranking", study_ranking, f"WITH {SHOWS_SQL}, {FACET_SQL}, {NEAR_SQL}, sd AS (SELECT id, CASE WHEN id % 100 = 0 THEN 1.0 ELSE 0.7 END AS w FROM shows WHERE id % {ASKED} = 0), tw AS (SELECT sum(w) AS norm, max(w) AS top FROM sd) SELECT b AS id, round(least(1.0, 0.7 * sum(w / norm * near) + 0.3 * max(w / top * near)), 6) AS score FROM near JOIN sd ON sd.id = near.a, tw WHERE b % {ASKED} <> 0 GROUP BY b"),
