@@ -17,12 +17,16 @@ def radar(rated: DataFrame, user: str, dimensions: Sequence[str], weight: str =
     return long.groupBy(user, F.col("c.dimension").alias("dimension")).agg(F.try_divide(F.sum(F.col("w") * F.col("c.v")), F.sum(known)).alias("share"), F.try_divide(F.coalesce(F.sum(known), F.lit(0.0)), F.sum("w")).alias("known"))
 
 
-def spokes(scored: DataFrame, user: str, name: str, score: str, most: int = 8) -> DataFrame:
-    """The best `most` names by score, ties to the name, one per head of a label ('Crime / ...')."""
-    head = F.lower(F.split(name, " / ")[0])
-    first = F.row_number().over(Window.partitionBy(user, "_head").orderBy(F.desc(score), name))
-    d = scored.withColumn("_head", head).withColumn("_k", first).where("_k = 1")
-    return d.withColumn("place", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(score), name))).where(F.col("place") <= most).drop("_head", "_k")
+def spokes(rows: DataFrame, user: str, name: str, you: str = "you", them: str = "them", vs: str = "vs", most: int = 8) -> DataFrame:
+    """rows: user, name and three shares of 0 to 100 (null: unknown): the profile's, the title's and the other title's. The
+    best `most` names that say something: shared ground first, then what the title records, what the other title records
+    in full, and the profile's share. Ties to the name; one per head of a label ('Crime / ...')."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rank = F.when((zero(them) > 0) & (zero(you) >= 25), 400).otherwise(0) + F.when(zero(them) > 0, 200).otherwise(0) + F.when(zero(vs) == 100, 150).otherwise(0) + zero(you)
+    said = rows.where((zero(you) != 0) | (zero(them) != 0) | (zero(vs) != 0)).withColumn("_rank", rank).withColumn("_head", F.lower(F.split(name, " / ")[0]))
+    first = F.row_number().over(Window.partitionBy(user, "_head").orderBy(F.desc("_rank"), name))
+    d = said.withColumn("_k", first).where("_k = 1")
+    return d.withColumn("place", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("_rank"), name))).where(F.col("place") <= most).drop("_head", "_k", "_rank")
 
 
 def compared(mine: Column, theirs: Column, dead_band: float = 0.005) -> Column:

@@ -15,6 +15,6 @@ class Query(NamedTuple):
 
 
 def all_queries() -> list[Query]:
-    from . import catalogue, lists, model, ordered, ranking, scalars, titles
+    from . import catalogue, landed, lists, model, ordered, ranking, scalars, titles
 
-    return [q for module in (scalars, catalogue, model, lists, ordered, titles, ranking) for q in module.QUERIES]
+    return [q for module in (scalars, catalogue, landed, model, lists, ordered, titles, ranking) for q in module.QUERIES]

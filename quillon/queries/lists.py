@@ -128,8 +128,15 @@ def radar_rows(spark, d):
 
 
 def spoke_choice(spark, d):
-    r = ratios(spark, d).where("mass > 0").select("user_id", F.col("value").alias("name"), F.round(F.col("mass") / F.col("total"), 6).alias("score"))
-    return client.spokes(r, "user_id", "name", "score").select("user_id", "name", "score", F.col("place").cast("long").alias("place"))
+    """Each user's shares beside those of two titles, 7 and 8. Weights are whole twentieths, so the shares are exact."""
+    tags = attributes(shows(spark, d)).select("id", "family", F.col("value").alias("name")).where("family <> 'decade'")
+    liked = ratings(spark, d).where("weight > 0").select("user_id", "id", F.round(F.col("weight") * 20).cast("long").alias("w"))
+    total = liked.groupBy("user_id").agg(F.sum("w").alias("total"))
+    mine = liked.join(tags, "id").groupBy("user_id", "name").agg(F.sum("w").alias("w")).join(total, "user_id").select("user_id", "name", F.expr("100 * w div total").alias("you"))
+    has = lambda k, c: tags.where(F.col("id") == k).select("name", F.lit(100).cast("long").alias(c))
+    every = mine.select("user_id").distinct().crossJoin(F.broadcast(has(7, "them").select("name").union(has(8, "vs").select("name")).distinct()))  # a title has one value a family
+    rows_ = mine.join(every, ["user_id", "name"], "full").join(has(7, "them"), "name", "left").join(has(8, "vs"), "name", "left")
+    return client.spokes(rows_, "user_id", "name").select("user_id", "name", "you", "them", "vs", F.col("place").cast("long").alias("place"))
 
 
 def similar_choice(spark, d):
@@ -300,7 +307,7 @@ QUERIES = [
     Query("taste_reasons", taste_reasons, f"WITH {_TASTE}, {CONTRIBUTION_SQL}, n AS ({_NAMED}), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, id, lower(string_split(value, ' / ')[1]) ORDER BY c DESC, family) AS k FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY c DESC, family, value) AS place FROM k WHERE k = 1) SELECT user_id, id, place, family, value FROM p WHERE place <= 3"),
     Query("insights_chart", insights_chart, f"WITH {_LISTS}, {ATTRIBUTES_SQL}, ref AS (SELECT id FROM shows WHERE recommendable AND popularity >= 40), n AS (SELECT family, count(DISTINCT id) AS known FROM attributes SEMI JOIN ref USING (id) GROUP BY family), c AS (SELECT family, value, count(DISTINCT id) AS c FROM attributes SEMI JOIN ref USING (id) GROUP BY ALL), l AS (SELECT r.user_id, r.id, r.weight, a.family, a.value FROM ratings r JOIN attributes a ON a.id = r.id WHERE weight > 0), t AS (SELECT user_id, family, sum(weight) AS total FROM (SELECT DISTINCT user_id, id, family, weight FROM l) GROUP BY ALL), m AS (SELECT user_id, family, value, sum(weight) AS mass FROM l GROUP BY ALL), s AS (SELECT m.user_id, m.family, m.value, {_SHARES} FROM m JOIN t ON t.user_id = m.user_id AND t.family = m.family LEFT JOIN n ON n.family = m.family LEFT JOIN c ON c.family = m.family AND c.value = m.value) SELECT *, CASE WHEN mine - theirs > 0.005 THEN 'more often' WHEN theirs - mine > 0.005 THEN 'less often' ELSE 'about as often' END AS said FROM s"),
     Query("radar_rows", radar_rows, f"WITH {_LISTS}, j AS (SELECT user_id, weight, CASE WHEN language IS NOT NULL THEN (language = 'English')::INT END AS e, CASE WHEN rating IS NOT NULL THEN (rating >= 7.5)::INT END AS c FROM ratings JOIN shows USING (id) WHERE weight > 0), l AS (SELECT user_id, 'english' AS dimension, weight AS w, e AS v FROM j UNION ALL SELECT user_id, 'acclaimed', weight, c FROM j) SELECT user_id, dimension, round(sum(w * v) / sum(w) FILTER (v IS NOT NULL), 6) AS share, round(coalesce(sum(w) FILTER (v IS NOT NULL), 0) / sum(w), 6) AS known FROM l GROUP BY ALL"),
-    Query("spoke_choice", spoke_choice, f"WITH {_TASTE}, r AS (SELECT user_id, value AS name, round(mass / total, 6) AS score FROM rat WHERE mass > 0), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(string_split(name, ' / ')[1]) ORDER BY score DESC, name) AS k FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, name) AS place FROM k WHERE k = 1) SELECT user_id, name, score, place FROM p WHERE place <= 8"),
+    Query("spoke_choice", spoke_choice, f"WITH {_LISTS}, {ATTRIBUTES_SQL}, tg AS (SELECT id, value AS name FROM attributes WHERE family <> 'decade'), lk AS (SELECT user_id, id, round(weight * 20)::BIGINT AS w FROM ratings WHERE weight > 0), tt AS (SELECT user_id, sum(w)::BIGINT AS total FROM lk GROUP BY user_id), mi AS (SELECT lk.user_id, name, 100 * sum(w)::BIGINT // any_value(total) AS you FROM lk JOIN tg ON tg.id = lk.id JOIN tt ON tt.user_id = lk.user_id GROUP BY ALL), nm AS (SELECT DISTINCT name FROM tg WHERE id IN (7, 8)), al AS (SELECT user_id, name FROM mi UNION SELECT user_id, name FROM (SELECT DISTINCT user_id FROM mi), nm), r AS (SELECT al.user_id, al.name, you, CASE WHEN al.name IN (SELECT name FROM tg WHERE id = 7) THEN 100 END::BIGINT AS them, CASE WHEN al.name IN (SELECT name FROM tg WHERE id = 8) THEN 100 END::BIGINT AS vs FROM al LEFT JOIN mi ON mi.user_id = al.user_id AND mi.name = al.name), s AS (SELECT *, CASE WHEN them > 0 AND coalesce(you, 0) >= 25 THEN 400 ELSE 0 END + CASE WHEN them > 0 THEN 200 ELSE 0 END + CASE WHEN vs = 100 THEN 150 ELSE 0 END + coalesce(you, 0) AS rk FROM r WHERE coalesce(you, 0) + coalesce(them, 0) + coalesce(vs, 0) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(string_split(name, ' / ')[1]) ORDER BY rk DESC, name) AS k FROM s), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rk DESC, name) AS place FROM k WHERE k = 1) SELECT user_id, name, you, them, vs, place FROM p WHERE place <= 8"),
     Query("similar_choice", similar_choice, f"WITH {RATINGS_SQL}, k AS (SELECT user_id, id, pos, count(*) OVER (PARTITION BY user_id) AS n FROM ratings WHERE weight > 0 AND id < 50) SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS place FROM k WHERE n >= 2"),
     Query("last_shown", last_shown, f"WITH {RATINGS_SQL}, p AS (SELECT e.user_id, max(CAST(e.ts AS DATE)) AS day FROM ev e SEMI JOIN (SELECT user_id, id AS item FROM ratings WHERE weight = 1) r USING (user_id, item) WHERE CAST(e.ts AS DATE) < DATE '2024-01-20' GROUP BY e.user_id) SELECT user_id, day, date_diff('day', day, DATE '2024-01-20') AS days_ago FROM p"),
     Query("recent_searches", recent_searches, "WITH e AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END || ' ' || json_extract_string(props, '$.k') AS text, event_id FROM events), g AS (SELECT user_id, lower(text) AS low, arg_max(text, event_id) AS text, max(event_id) AS event_id FROM e GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, low) AS place FROM g) SELECT user_id, text, event_id, place FROM p WHERE place <= 10"),
@@ -315,7 +322,7 @@ QUERIES = [
     Query("regular_cast_share", regular_share, "WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_suppkey, count(*) AS credits, count(*) FILTER (n <= 4) AS regular, round(count(*) FILTER (n <= 4) / count(*), 6) AS share FROM lineitem JOIN s USING (l_orderkey) GROUP BY l_suppkey"),
     Query("guest_credits", guest_credits, "WITH g AS (SELECT l_suppkey, l_returnflag AS f, count(*) AS c, min(year(l_shipdate)) AS y0, max(year(l_shipdate)) AS y1 FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY c DESC, f) AS k FROM g) SELECT l_suppkey, sum(c)::BIGINT AS episodes, min(y0)::BIGINT AS first_year, max(y1)::BIGINT AS last_year, string_agg(f, ',' ORDER BY k) FILTER (k <= 2) AS characters FROM r GROUP BY l_suppkey"),
     Query("poster_colours", poster_colours),
-    Query("alias_rank", alias_rank),
+    Query("alias_rank", alias_rank, "WITH a AS (SELECT DISTINCT source, concat_ws(' ', lang, doc_id::VARCHAR) AS name, lang, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS kind, CASE WHEN lang = 'fr' THEN 0 ELSE 1 END AS other FROM documents), p AS (SELECT source, name, row_number() OVER (PARTITION BY source ORDER BY kind, other, lang NULLS FIRST, name) AS place FROM a) SELECT source, place, name FROM p WHERE place <= 12"),
     Query("alias_quota_rank", alias_quota, "WITH k AS (SELECT source, lang, doc_id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k FROM documents), p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY ceil(k / 2), n_chars DESC, doc_id) AS place FROM k) SELECT * FROM p WHERE place <= 12"),
     Query("leave_one_out", leave_one_out, f"WITH {RATINGS_SQL}, f AS (SELECT user_id, id AS fold FROM ratings WHERE weight >= 0.7) SELECT f.user_id, fold, count(*) AS n, round(sum(weight), 6) AS weight FROM f JOIN ratings r ON r.user_id = f.user_id AND r.id <> fold GROUP BY ALL"),
     Query("few_shots", few_shots, f"WITH {RATINGS_SQL}, m AS (SELECT user_id, id, count(*) OVER (PARTITION BY user_id) AS n FROM ratings WHERE weight > 0), e AS (SELECT user_id, id, unnest(range(1, 6)) AS draw FROM m WHERE n > 3), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, draw ORDER BY substr(sha256('bench|' || user_id || '|' || draw || '|' || id), 1, 13), id) AS k FROM e) SELECT user_id, draw, id FROM k WHERE k <= 3"),

@@ -232,10 +232,10 @@ QUERIES = [
     Query("fingerprints", fingerprints, """SELECT p_partkey, sha256('{"name":"' || p_name || '","size":' || p_size || '}') AS digest FROM part"""),
     Query("stream_impressions", stream_impressions, f"WITH {_EV} SELECT DISTINCT user_id, item, CAST(ts AS DATE) AS day FROM ev"),
     Query("stream_latest", stream_latest, "SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id"),
-    Query("stream_sessions", stream_sessions),
-    Query("stream_metrics", stream_metrics),
+    Query("stream_sessions", stream_sessions, f"SELECT user_id, start, events FROM ({_ISLANDS}) WHERE \"last\" + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"),
+    Query("stream_metrics", stream_metrics, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events) GROUP BY ALL"),
     Query("stream_demand", stream_demand, "SELECT user_id AS id, event_type AS source, max((value > 90)::INT)::BIGINT AS urgent, min(epoch_us(ts))::DOUBLE AS requested, count(*) AS asked FROM events GROUP BY ALL"),
     Query("stream_budget", stream_budget),
-    Query("stream_admission", stream_admission),
+    Query("stream_admission", stream_admission, "WITH r AS (SELECT user_id AS key, event_id AS request, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT key, request, round(3600.0 * k + max(t - 3600.0 * k) OVER (PARTITION BY key ORDER BY k ROWS UNBOUNDED PRECEDING), 3) AS start FROM r"),
     Query("stream_high_water", stream_high_water, "SELECT user_id AS id, max(event_id) AS updated FROM events GROUP BY user_id"),
 ]

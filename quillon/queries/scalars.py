@@ -53,12 +53,12 @@ def names_and_codes(spark: SparkSession, d: str) -> DataFrame:
 
 def cut_summaries(spark: SparkSession, d: str) -> DataFrame:
     flat = text.squeeze(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(text.cut_words(flat, 200)).alias("cut"), F.length(text.sentence_cut(flat, 200)).alias("sentences"))
+    return table(spark, d, "documents").select("doc_id", F.length(text.cut_words(flat, 200)).cast("long").alias("cut"), F.length(text.sentence_cut(flat, 200)).cast("long").alias("sentences"))
 
 
 def own_title_removed(spark: SparkSession, d: str) -> DataFrame:
     title = F.regexp_extract(F.lower("text"), "([a-z]{3,})", 1)
-    return table(spark, d, "documents").select("doc_id", title.alias("title"), F.length(text.remove_title(F.col("text"), title)).alias("left"))
+    return table(spark, d, "documents").select("doc_id", title.alias("title"), F.length(text.remove_title(F.col("text"), title)).cast("long").alias("left"))
 
 
 def folded_names(spark: SparkSession, d: str) -> DataFrame:
@@ -111,9 +111,11 @@ QUERIES = [
         CASE WHEN rating IS NULL THEN 'unrated' WHEN rating >= 9.45 THEN 'masterpiece' WHEN rating >= 8.95 THEN 'outstanding' WHEN rating >= 7.95 THEN 'great' WHEN rating >= 6.95 THEN 'good' WHEN rating >= 5.95 THEN 'fair' WHEN rating >= 4.95 THEN 'weak' ELSE 'poor' END AS band,
         CASE WHEN summary_words >= 15 AND genre_bits > 0 THEN 'plot and genres' WHEN summary_words >= 15 THEN 'plot only' WHEN genre_bits > 0 THEN 'genres only' ELSE 'neither' END AS coverage,
         CASE WHEN rating IS NULL THEN NULL ELSE greatest(-1.5, least(1.5, (rating - 7.2) / 1.2)) END AS quality FROM shows"""),
-    Query("names_and_codes", names_and_codes),
-    Query("cut_summaries", cut_summaries),
-    Query("own_title_removed", own_title_removed),
+    Query("names_and_codes", names_and_codes, """WITH p AS (SELECT p_partkey, p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name, string_split(p_name, ' ')[2] AS w, 'S' || lpad((p_partkey % 30)::VARCHAR, 2, '0') AS season, p_partkey % 7 AS e FROM part)
+        SELECT p_partkey, replace(p_name, ' ', '-') || '-part-1999' AS slug, name AS stem, name || ': Part' AS bare, true AS latin, season, season || CASE WHEN e = 0 THEN ' special' ELSE 'E' || lpad(e::VARCHAR, 2, '0') END AS episode, w || 's' AS plural FROM p"""),
+    Query("cut_summaries", cut_summaries, r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), h AS (SELECT *, substr(t, 1, 200) AS h FROM f), c AS (SELECT *, regexp_extract(h, '^(.*)\s\S*$', 1) AS w, regexp_extract(h, '^(.*[.!?])(?:\s.*)?$', 1) AS s FROM h),
+        k AS (SELECT *, CASE WHEN length(t) <= 200 THEN length(t) ELSE length(rtrim(CASE WHEN w = '' THEN h ELSE w END)) + 1 END::BIGINT AS cut FROM c) SELECT doc_id, cut, CASE WHEN length(t) <= 200 THEN length(t) WHEN s <> '' THEN length(s) ELSE cut END::BIGINT AS sentences FROM k"""),
+    Query("own_title_removed", own_title_removed, r"WITH t AS (SELECT doc_id, text, regexp_extract(lower(text), '([a-z]{3,})', 1) AS title FROM documents) SELECT doc_id, title, length(CASE WHEN title = '' THEN text ELSE trim(regexp_replace(regexp_replace(text, '(?i)\b' || title || '\b', ' ', 'g'), '\s+', ' ', 'g')) END)::BIGINT AS left FROM t"),
     Query("folded_names", folded_names),
     Query("packed_lists", packed_lists, "SELECT user_id, count(*) AS n, round(sum(CASE event_id % 5 WHEN 4 THEN 1.0 WHEN 3 THEN 0.7 WHEN 2 THEN 0.35 WHEN 1 THEN 0.0 ELSE -1.0 END)::DOUBLE, 6) AS weight, true AS same FROM events GROUP BY user_id"),
     Query("locale_parts", locale_parts, "SELECT doc_id, lower(lang) AS language, CASE WHEN doc_id % 2 = 0 THEN 'GB' END AS country FROM documents"),

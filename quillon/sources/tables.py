@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -17,9 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset (local tests), under a
-    temporary folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-")
+    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset and the master is local
+    (tests), under a temporary folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="quillon-")
     return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
@@ -177,10 +182,11 @@ def found_films(films: DataFrame, least: int) -> DataFrame:
 
 
 def provider_index(raw: DataFrame) -> DataFrame:
-    """raw: id, weight, imdb, tvdb as strings. Weight clamped to 0..100, malformed ids null, rows without an id left out."""
+    """raw: id, weight, imdb, tvdb as strings. Weight clamped to 0..100, an unknown one null, malformed ids null, rows without
+    an id left out."""
     weight = F.expr("try_cast(weight as double)")
     return raw.select(
-        F.expr("try_cast(id as bigint)").alias("id"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), weight)).alias("weight"),
+        F.expr("try_cast(id as bigint)").alias("id"), F.when(weight.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), weight))).alias("weight"),
         F.when(F.col("imdb").rlike(r"^tt\d{5,10}$"), F.col("imdb")).alias("imdb"), F.expr("try_cast(tvdb as bigint)").alias("tvdb"),
     ).where("id is not null")
 
