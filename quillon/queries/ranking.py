@@ -143,7 +143,7 @@ def drawn(spark, d):
 def explored(spark, d):
     r = ranked(spark, d)
     shown = r.where("rank <= 24").select("type", "id", F.col("rank").alias("place"))
-    out = ranking.explore(shown, r, "type", "id", hash_uniform(F.lit("explore"), F.col("id").cast("string")))
+    out = ranking.explore(shown, r, "type", "id", hash_uniform(F.lit("explore"), F.col("id").cast("string")), score="popularity")
     return out.select("type", "id", F.col("place").cast("long").alias("place"), "different")
 
 
@@ -199,9 +199,11 @@ def starter_scores(spark, d):
 
 
 def _candidate_rows(spark, d):
+    """Rows of a page: a row a type, of interests that hold two thirds and one third of the list."""
     r = ranked(spark, d).where("rank <= 12")
-    cards = r.groupBy(F.lit(1).cast("long").alias("user_id"), F.col("type").alias("row")).agg(F.array_sort(F.collect_list("id")).alias("cards"), F.avg(F.col("popularity") / 100).alias("relevance"))
-    return cards.withColumn("interest", (F.length("row") % 2).cast("int")).withColumn("kind", F.substring("row", 1, 1))
+    cards = r.groupBy(F.lit(1).cast("long").alias("user_id"), F.col("type").alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("cards"), F.avg(F.col("popularity") / 100).alias("relevance"))
+    k = F.length("row") % 3
+    return cards.withColumn("interest", F.when(k < 2, k).cast("int")).withColumn("share", F.when(k == 0, 2 / 3).when(k == 1, 1 / 3)).withColumn("kind", F.substring("row", 1, 1))
 
 
 def arrange_rows(spark, d):
@@ -209,8 +211,9 @@ def arrange_rows(spark, d):
 
 
 def deduplicated_cards(spark, d):
-    r = _candidate_rows(spark, d)
-    return ranking.dedup_cards(ranking.arrange(r).join(r.select("user_id", "row", "cards"), ["user_id", "row"]))
+    r = materialise(_candidate_rows(spark, d))
+    facts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_name", "p_brand").alias("franchise"), F.array("p_brand").alias("creators"))
+    return ranking.dedup_cards(ranking.arrange(r).join(r.select("user_id", "row", "cards"), ["user_id", "row"]), facts)
 
 
 def calibrated(spark, d):
@@ -259,7 +262,7 @@ QUERIES = [
     Query("dither", dithered, f"{_RK}, p AS (SELECT *, round(ln(rank) + 0.35 * ln(1 + id % 3), 9) AS st FROM rk WHERE rank <= 72), s AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY st, rank) AS s FROM p), o AS (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY CASE WHEN s <= 5 THEN s END ASC NULLS LAST, CASE WHEN s > 5 THEN round(st + 0.35 * {_G('dither')}, 9) END, id) AS place FROM s) SELECT * FROM o WHERE place <= 24"),
     Query("rotate", rotated, f"{_RK}, p AS (SELECT *, round(ln(rank) + 0.35 * ln(1 + id % 3), 9) AS st FROM rk), s AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY st, rank) AS s FROM p), o AS (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY round(2.5 * st - {_G('rotate')}, 9), id) AS place FROM s WHERE s <= 10) SELECT * FROM o WHERE place <= 2"),
     Query("pick_one", drawn, f"{_RK}, n AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id % 4 = 0, rank) AS n FROM rk), o AS (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY round(-ln(n) + {_G('draw')}, 9) DESC, n) AS k FROM n WHERE (id % 4 <> 0 OR n = 1) AND n <= 10) SELECT type, id FROM o WHERE k = 1"),
-    Query("explore_insertion", explored, f"{_RK}, ch AS (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY {_U.format('explore')}, id) AS n FROM rk WHERE rank BETWEEN 25 AND 72), le AS (SELECT type, max(rank) AS len FROM rk WHERE rank <= 24 GROUP BY type), nw AS (SELECT ch.type, id, CASE n WHEN 1 THEN 12 ELSE 20 END AS place FROM ch JOIN le ON le.type = ch.type WHERE n <= 2 AND CASE n WHEN 1 THEN 12 ELSE 20 END <= len), tk AS (SELECT rk.type, id, rank, (SELECT count(*) FROM nw WHERE nw.type = rk.type AND nw.place = 12) AS t1, (SELECT count(*) FROM nw WHERE nw.type = rk.type AND nw.place = 20) AS t2 FROM rk WHERE rank <= 24), m AS (SELECT type, id, rank + CASE WHEN t1 > 0 AND rank >= 12 THEN 1 ELSE 0 END AS p1, t2 FROM tk), mv AS (SELECT type, id, p1 + CASE WHEN t2 > 0 AND p1 >= 20 THEN 1 ELSE 0 END AS place, false AS different FROM m UNION ALL SELECT type, id, place, true FROM nw) SELECT mv.type, id, place, different FROM mv JOIN le ON le.type = mv.type WHERE place <= len"),
+    Query("explore_insertion", explored, f"{_RK}, ch AS (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY {_U.format('explore')}, id) AS n FROM rk WHERE rank BETWEEN 25 AND 72 AND popularity >= 0.75 * (SELECT z.popularity FROM rk z WHERE z.type = rk.type AND z.rank = 24)), le AS (SELECT type, max(rank) AS len FROM rk WHERE rank <= 24 GROUP BY type), nw AS (SELECT ch.type, id, CASE n WHEN 1 THEN 12 ELSE 20 END AS place FROM ch JOIN le ON le.type = ch.type WHERE n <= 2 AND CASE n WHEN 1 THEN 12 ELSE 20 END <= len), tk AS (SELECT rk.type, id, rank, (SELECT count(*) FROM nw WHERE nw.type = rk.type AND nw.place = 12) AS t1, (SELECT count(*) FROM nw WHERE nw.type = rk.type AND nw.place = 20) AS t2 FROM rk WHERE rank <= 24), m AS (SELECT type, id, rank + CASE WHEN t1 > 0 AND rank >= 12 THEN 1 ELSE 0 END AS p1, t2 FROM tk), mv AS (SELECT type, id, p1 + CASE WHEN t2 > 0 AND p1 >= 20 THEN 1 ELSE 0 END AS place, false AS different FROM m UNION ALL SELECT type, id, place, true FROM nw) SELECT mv.type, id, place, different FROM mv JOIN le ON le.type = mv.type WHERE place <= len"),
     Query("shuffle_rows", shuffled_rows, f"{_RK} SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY CASE WHEN rank <= 2 THEN 0 ELSE 1 END, CASE WHEN rank <= 2 THEN rank END, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END, round(ln(rank) + 0.3 * {_G('rows')}, 9), id) AS place FROM rk WHERE rank <= 12"),
     Query("softmax_draw", softmax_draws, f"WITH {SHOWS_SQL}, k AS (SELECT type, id, popularity / 100 AS score, row_number() OVER (PARTITION BY type ORDER BY popularity DESC, id) AS k FROM shows), o AS (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY round(score / 0.1 + {_G('starter')}, 9) DESC, k) AS p FROM k WHERE k <= 5) SELECT type, id FROM o WHERE p = 1"),
     Query("default_row_order", default_order, f"WITH {SHOWS_SQL}, b AS (SELECT type, id, round(0.65 * coalesce(1 - (row_number() OVER (PARTITION BY type ORDER BY genre_bits DESC, id) - 1)::DOUBLE / nullif(count(*) OVER (PARTITION BY type) - 1, 0), 1.0) + 0.2 * (popularity / 100) + 0.15 * (coalesce(rating, 5.0) / 10), 9) AS blend FROM shows) SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY blend DESC, id) AS place FROM b"),
