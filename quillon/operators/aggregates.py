@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import numbered, running_total
+
 
 def audit(df: DataFrame, by: Sequence[str], **flags: Column) -> DataFrame:
     """Total and count of each flag: one row over all, and one per value of each column in `by`; one pass."""
@@ -85,11 +87,10 @@ def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def midrank(df: DataFrame, value: str) -> DataFrame:
-    """The share of rows below a value plus half of those at it, for each distinct value. The window runs over the
-    distinct values only."""
+    """The share of rows below a value plus half of those at it, for each distinct value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("below", below).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0)))).select(value, ((F.col("below") + F.col("c") / 2) / F.col("n")).alias("percentile"))
+    below = running_total(counts, [value], "c", "below")
+    return below.select(value, ((F.col("below") + F.col("c") / 2) / F.col("below_all")).alias("percentile"))
 
 
 def index_quantile(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
@@ -149,16 +150,14 @@ def hit_rates(ranks: DataFrame, by: Sequence[str], rank: str = "rank", at: Seque
 def histogram_percentiles(df: DataFrame, value: str, width: float, qs: Sequence[float]) -> DataFrame:
     """Upper bounds of the histogram bins where the cumulated share reaches each q: one row."""
     bins = df.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the bins
-    cum = bins.withColumn("cum", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
-    return cum.agg(*(F.min(F.when(F.col("cum") >= q * F.col("n"), (F.col("bin") + 1) * width)).alias(f"p{round(q * 100)}") for q in qs))
+    cum = running_total(bins, ["bin"], "c")
+    return cum.agg(*(F.min(F.when(F.col("before") + F.col("c") >= q * F.col("before_all"), (F.col("bin") + 1) * width)).alias(f"p{round(q * 100)}") for q in qs))
 
 
 def combination_table(df: DataFrame, mask: str) -> DataFrame:
     """Each distinct mask once, with its code from 0 in order of mask and how many rows have it: what is computed for a
     mask is computed once and joined back."""
-    counts = df.groupBy(mask).agg(F.count("*").alias("rows"))
-    return counts.withColumn("code", (F.row_number().over(Window.orderBy(mask)) - 1).cast("long"))
+    return numbered(df.groupBy(mask).agg(F.count("*").alias("rows")), [mask], "code").withColumn("code", F.col("code").cast("long"))
 
 
 def page_scores(hits: DataFrame, group: str, row: str, card: str, hit: str) -> DataFrame:

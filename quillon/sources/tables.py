@@ -46,6 +46,18 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataF
     return ranged.withColumn("_within", within).join(before, "_range").withColumn(name, F.col("_before") + F.col("_within")).select(*df.columns, name)
 
 
+def running_total(df: DataFrame, order: Sequence[str], amount: str, name: str = "before") -> DataFrame:
+    """Adds the sum of `amount` over the rows before each in the order given (distinct), and `name`_all, the sum of all
+    rows: ranges of the order are summed apart, so no task has the whole table."""
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum(amount).alias("_n"))
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = sums.select("_range", F.coalesce(F.sum("_n").over(ranges), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    within = F.coalesce(F.sum(amount).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.withColumn("_within", within).join(before, "_range")
+    return out.select(*df.columns, (F.col("_before") + F.col("_within")).alias(name), F.col("_all").alias(f"{name}_all"))
+
+
 # ------------------------------------------------------------------ catalogue pages
 
 
