@@ -176,51 +176,36 @@ def closeness(shows: DataFrame, texts: DataFrame, facets: DataFrame, left: DataF
     return joined.select("a", "b", blend(F.col("t"), cosine(F.col("ta"), F.col("theme_bits")), cosine(F.col("ga"), F.col("genre_bits")), F.col("f"), **weights).alias("near"))
 
 
-def flag_cells(df: DataFrame, keys: Sequence[str], bits: Mapping[str, str]) -> DataFrame:
-    """keys, kind, bit, size: a row for each flag that is set, with the number of flags set. bits: kind to column."""
+def closeness_cells(shows: DataFrame, texts: DataFrame, facets: DataFrame, weights: Mapping[str, float], text: float = 40, themes: float = 35, genres: float = 25, facet: float = 30) -> DataFrame:
+    """id, kind, token, value, such that the inner product of two shows' cells is their closeness (blend): every part is a
+    cosine, so each show's unit vector of a part is scaled by the root of what the part weighs. shows: id, theme_bits,
+    genre_bits; texts: id, token, value; facets: id, family, token, value, both of unit length (a facet within its
+    family); weights: of the facet families."""
+    total = text + themes + genres
 
-    def cell(kind: str, column: str) -> Column:
+    def flags(kind: str, column: str, share: float) -> Column:
         held = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.getbit(F.col(column), k) == 1)
-        return F.transform(held, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("bit"), F.bit_count(column).alias("size")))
-
-    cells = [cell(kind, column) for kind, column in bits.items()]
-    return df.select(*keys, F.explode(F.concat(*cells)).alias("f")).select(*keys, "f.*")
-
-
-def flag_closeness(shows: DataFrame, left: DataFrame, k: int, factor: Column | None = None, **weights: float) -> DataFrame:
-    """a, b, flags: for every a of `left` (id) the shows that may be among its k best by flags alone (theme_bits and
-    genre_bits, times the show's factor). Flags are compared once for each distinct combination, which then stands for
-    the k best shows that have it: whoever is none of these has k shows before it, whatever else they share."""
-    f = factor if factor is not None else F.lit(1.0)
-    order = Window.partitionBy("theme_bits", "genre_bits").orderBy(F.desc("_f"), "id")
-    best = shows.withColumn("_f", f).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k + 1)  # one may be a itself
-    best = materialise(best.select("id", F.col("theme_bits").alias("tb"), F.col("genre_bits").alias("gb"), "_f"))
-    kinds = {"theme": "tb", "genre": "gb"}
-    combos = best.select("tb", "gb").distinct()
-    mine = shows.join(left.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("theme_bits").alias("tb"), F.col("genre_bits").alias("gb"))
-    asked = mine.select(F.col("tb").alias("ta"), F.col("gb").alias("ga")).distinct()
-    theirs = flag_cells(combos, ["tb", "gb"], kinds)
-    own = flag_cells(asked, ["ta", "ga"], {"theme": "ta", "genre": "ga"}).withColumnRenamed("size", "size_a")
-    shared = own.join(theirs, ["kind", "bit"]).groupBy("ta", "ga", "tb", "gb", "kind").agg((F.count("*") / F.sqrt((F.first("size") * F.first("size_a")).cast("double"))).alias("c"))
-    part = lambda n: F.max(F.when(F.col("kind") == n, F.col("c")))
-    near = shared.groupBy("ta", "ga", "tb", "gb").agg(blend(F.lit(0.0), part("theme"), part("genre"), F.lit(0.0), **weights).alias("flags"))
-    if factor is None:  # the k best combinations hold k shows at least
-        near = near.withColumn("_k", F.rank().over(Window.partitionBy("ta", "ga").orderBy(F.desc(F.round("flags", 9))))).where(F.col("_k") <= k + 1).drop("_k")
-    pairs = mine.select("a", F.col("tb").alias("ta"), F.col("gb").alias("ga")).join(near, ["ta", "ga"]).join(best, ["tb", "gb"]).where("a <> id")
-    order = Window.partitionBy("a").orderBy(F.desc(F.round(F.col("flags") * F.col("_f"), 9)), "id")
-    return pairs.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select("a", F.col("id").alias("b"), "flags")
-
-
-def nearest_shows(shows: DataFrame, parts: DataFrame, left: DataFrame, k: int, factor: Column | None = None, **weights: float) -> DataFrame:
-    """a, b, near of all pairs that may be among the k best of each a of `left` (id): those that share a text term, a facet
-    or whatever else brings them into parts (a, b, t, f), and the best by flags alone. Nothing is spelled out as asked
-    shows times catalogue."""
-    bits = shows.select("id", "theme_bits", "genre_bits")
-    joined = parts.join(bits.select(F.col("id").alias("b"), "theme_bits", "genre_bits"), "b").join(bits.select(F.col("id").alias("a"), F.col("theme_bits").alias("ta"), F.col("genre_bits").alias("ga")), "a")
-    sharing_ = joined.select("a", "b", blend(F.col("t"), cosine(F.col("ta"), F.col("theme_bits")), cosine(F.col("ga"), F.col("genre_bits")), F.col("f"), **weights).alias("near"))
-    flags = flag_closeness(shows, left, k, factor, **weights).select("a", "b", F.col("flags").alias("near"))
-    # a pair of both kinds has its whole score from the first, which is the larger
-    return sharing_.union(flags).groupBy("a", "b").agg(F.max("near").alias("near"))
+        return F.transform(held, lambda k: F.struct(F.lit(kind).alias("kind"), k.cast("string").alias("token"), (share**0.5 / F.sqrt(F.bit_count(column).cast("double"))).alias("value")))
+
+    set_ = shows.select("id", F.explode(F.concat(flags("themes", "theme_bits", themes / total), flags("genres", "genre_bits", genres / total))).alias("c")).select("id", "c.*")
+    words = texts.select("id", F.lit("text").alias("kind"), F.col("token"), (F.col("value") * (text / total) ** 0.5).alias("value"))
+    table = F.create_map(*(F.lit(x) for f, w in weights.items() for x in (f, (facet / 100 * w / sum(weights.values())) ** 0.5)))
+    rest = facets.select("id", F.concat(F.lit("facet "), F.col("family")).alias("kind"), "token", (F.col("value") * F.try_element_at(table, F.col("family"))).alias("value")).where("value > 0")
+    return set_.union(words).union(rest)
+
+
+def cell_vectors(cells: DataFrame) -> DataFrame:
+    """The cells as id, cols, vals for blocks.nearest; written."""
+    names = numbered(cells.select("kind", "token").distinct(), ["kind", "token"], "col")
+    return materialise(blocks.sparse(cells.join(names, ["kind", "token"]), "id", "col", "value"))
+
+
+def pair_closeness(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """The closeness of given pairs (a, b): a, b, near; pairs that share no cell have 0."""
+    x = cells.select(F.col("id").alias("a"), "kind", "token", F.col("value").alias("x"))
+    y = cells.select(F.col("id").alias("b"), "kind", "token", F.col("value").alias("y"))
+    found = pairs.select("a", "b").join(x, "a").join(y, ["b", "kind", "token"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("near"))
+    return pairs.select("a", "b").join(found, ["a", "b"], "left").withColumn("near", F.coalesce("near", F.lit(0.0)))
 
 
 def paired_parts(cosines: DataFrame, text: str, weights: Mapping[str, float]) -> DataFrame:
@@ -260,4 +245,4 @@ def dense_neighbours(df: DataFrame, key: str, vector: str, queries: Column | Non
     d = d.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("n > 0")
     d = d.select("id", F.sequence(F.lit(0), F.size("v") - 1).alias("cols"), F.transform("v", lambda x: x / F.col("n")).alias("vals"))
     asked = d if queries is None else d.join(df.where(queries).select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
-    return blocks.nearest(asked, d, k, -2.0, places).select("a", "b", F.col("score").alias("cosine"), "rank")
+    return blocks.nearest(asked, d, k, -2.0, places).select("a", "b", F.round("score", places).alias("cosine"), "rank")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import checks, cointerest, vectors
+from ..operators import blocks, checks, cointerest, vectors
 from ..sources import tables
 
 #: What a family of facets weighs in closeness.
@@ -35,17 +35,20 @@ def build(root: str, shows: DataFrame, facets: DataFrame, clicks: DataFrame, sna
 
 
 def neighbours(catalogue: DataFrame, text: DataFrame, facets: DataFrame, edges: DataFrame, width: int = 48) -> DataFrame:
-    """i, rank, j, near, text, bonus: the closest recommendable shows of every show, of those it shares a term, a facet or
-    a reader link with; flag sets are compared for these pairs only."""
-    t = vectors.text_cosines(text, "id")
-    f = vectors.facet_closeness(vectors.family_cosines(facets, "id"), FACET_WEIGHTS)
-    franchise = vectors.sharing(edges, facets, "id", "franchise")
-    bonus = cointerest.bonus(edges, franchise).select("a", "b", "bonus")
-    pairs = t.join(f, ["a", "b"], "full").join(bonus, ["a", "b"], "full")
-    sets_ = catalogue.select("id", "theme_bits", "genre_bits", "recommendable")
-    a = sets_.select(F.col("id").alias("a"), F.col("theme_bits").alias("ta"), F.col("genre_bits").alias("ga"))
-    b = sets_.where("recommendable").select(F.col("id").alias("b"), F.col("theme_bits").alias("tb"), F.col("genre_bits").alias("gb"))
-    d = pairs.join(a, "a").join(b, "b")
-    near = vectors.blend(F.col("t"), vectors.cosine(F.col("ta"), F.col("tb")), vectors.cosine(F.col("ga"), F.col("gb")), F.coalesce("f", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)))
-    scored = d.select(F.col("a").alias("i"), F.col("b").alias("j"), near.alias("near"), F.coalesce("t", F.lit(0.0)).alias("text"), F.coalesce("bonus", F.lit(0.0)).alias("bonus"))
-    return vectors.top_neighbours(scored, "i", "j", "near", width).select("i", "rank", "j", "near", "text", "bonus")
+    """i, rank, j, near, text, bonus: the closest recommendable shows of every show. Closeness without readers' links is an
+    inner product, compared in blocks of all shows with all recommendable ones; pairs that readers link are scored one by
+    one with their bonus, and the better of both lists stay. A pair without a bonus that is among the best of all is among
+    the best without any."""
+    words = text.select("id", F.col("term").alias("token"), "value")
+    cells = tables.materialise(vectors.closeness_cells(catalogue, words, facets, FACET_WEIGHTS))
+    rows = vectors.cell_vectors(cells)
+    able = catalogue.where("recommendable").select("id")
+    near = blocks.nearest(rows, rows.join(able, "id", "left_semi"), width).select("a", "b", F.col("score").alias("near"))
+    known, able_b = catalogue.select(F.col("id").alias("a")), able.withColumnRenamed("id", "b")
+    bonus = cointerest.bonus(edges, vectors.sharing(edges, facets, "id", "franchise")).select("a", "b", "bonus")
+    bonus = tables.materialise(bonus.join(known, "a", "left_semi").join(able_b, "b", "left_semi"))
+    read = vectors.pair_closeness(bonus, cells).join(bonus, ["a", "b"]).select("a", "b", (F.col("near") + 0.3 * F.col("bonus")).alias("near"), "bonus")
+    both = near.join(bonus, ["a", "b"], "left_anti").withColumn("bonus", F.lit(0.0)).union(read)
+    best = vectors.top_neighbours(both, "a", "b", "near", width)
+    told = vectors.pair_closeness(best, words.withColumn("kind", F.lit("text"))).withColumnRenamed("near", "text")
+    return best.join(told, ["a", "b"]).select(F.col("a").alias("i"), "rank", F.col("b").alias("j"), "near", "text", "bonus")

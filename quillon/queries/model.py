@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cointerest, joins, rows, sets, vectors
+from ..operators import blocks, cointerest, joins, rows, sets, vectors
 from ..plans.stand_ins import SHOWS_SQL, shows
 from ..sources import tables
 from ..sources.tables import materialise, table
@@ -85,10 +85,9 @@ def near(spark: SparkSession, d: str) -> DataFrame:
     return vectors.closeness(shows(spark, d), parts.select("a", "b", "t"), parts.select("a", "b", "f"), asked(spark, d))
 
 
-def nearest(spark: SparkSession, d: str, k: int, factor=None) -> DataFrame:
-    """Of the asked shows the pairs that may be among the k best."""
-    parts = vectors.paired_parts(vectors.family_cosines(facets(spark, d), "id", asked(spark, d)), "word", WEIGHTS)
-    return vectors.nearest_shows(shows(spark, d), parts, asked(spark, d), k, factor)
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    f = materialise(facets(spark, d))
+    return materialise(vectors.closeness_cells(shows(spark, d), f.where("family = 'word'"), f, WEIGHTS))
 
 
 # ------------------------------------------------------------------ queries
@@ -131,7 +130,9 @@ def facet_closeness(spark, d):
 
 
 def closeness_topk(spark, d):
-    return vectors.top_neighbours(nearest(spark, d, 48), "a", "b", "near", 48).select("a", "b", F.round("near", 6).alias("near"), F.col("rank").cast("long"))
+    rows_ = vectors.cell_vectors(cells(spark, d))
+    edges = blocks.nearest(rows_.where(f"id % {ASKED} = 0"), rows_, 48)
+    return edges.select("a", "b", F.round("score", 6).alias("near"), F.col("rank").cast("long"))
 
 
 def embedding_knn(spark, d):
@@ -219,18 +220,21 @@ def strongest_relations(spark, d):
 
 
 def more_like(spark, d):
-    edges = materialise(co_interest(spark, d))
+    """Closeness times taste by blocks gives each show's nearest; siblings and readers' pairs are scored one by one."""
+    edges, cell = materialise(co_interest(spark, d)), cells(spark, d)
     bonus = edges.select("a", "b", (F.col("s") * 10).alias("bonus"))
-    s = shows(spark, d)
-    factor = 1 + F.col("popularity") / 100
+    factor = (1 + F.col("popularity") / 100).cast("double")
+    factors = shows(spark, d).select(F.col("id").alias("b"), factor.alias("factor"))
     brands = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("token"))
-    siblings = joins.kin(asked(spark, d), brands, edges, _words(spark, d))
-    # siblings share a brand, and readers' links are few: both join the pairs that share something
-    read = bonus.join(asked(spark, d).select(F.col("id").alias("a")), "a", "left_semi").select("a", "b", F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("f"))
-    parts = vectors.paired_parts(vectors.family_cosines(facets(spark, d), "id", asked(spark, d)), "word", WEIGHTS).select("a", "b", "t", "f").union(read)
-    parts = parts.groupBy("a", "b").agg(F.max("t").alias("t"), F.max("f").alias("f"))
-    close = vectors.nearest_shows(s, parts, asked(spark, d), 12, factor)
-    out = rows.more_like(close.join(bonus, ["a", "b"], "left"), siblings, s.select(F.col("id").alias("b"), factor.alias("factor")))
+    siblings = materialise(joins.kin(asked(spark, d), brands, edges, _words(spark, d)))
+    rows_ = vectors.cell_vectors(cell)
+    tasted = rows_.join(factors.withColumnRenamed("b", "id"), "id").select("id", "cols", F.transform("vals", lambda v: v * F.col("factor")).alias("vals"))
+    # at most six siblings stay, so as many more are looked at as any asked show has siblings
+    most = siblings.groupBy("a").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    near = blocks.nearest(rows_.where(f"id % {ASKED} = 0"), tasted, 12 + most).join(factors, "b").select("a", "b", (F.col("score") / F.col("factor")).alias("near"))
+    own = siblings.select("a", "b").union(bonus.join(asked(spark, d).select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")).distinct()
+    close = near.join(own, ["a", "b"], "left_anti").union(vectors.pair_closeness(own, cell))
+    out = rows.more_like(close.join(bonus, ["a", "b"], "left"), siblings, factors)
     return out.select("a", "b", F.col("place").cast("long").alias("place"), "sibling", F.round("score", 6).alias("score"), F.col("percent").cast("long").alias("percent"))
 
 
