@@ -60,3 +60,20 @@ def recount_loses(new: DataFrame, held: DataFrame, published: DataFrame, month:
 def latest_valid(versions: DataFrame, component: str, version: str, valid: str) -> DataFrame:
     """For each component its newest valid version: what is carried forward when a build fails."""
     return versions.where(F.col(valid)).groupBy(component).agg(F.max(version).alias(version))
+
+
+def version_verdict(catalogue: DataFrame, tracks: Mapping[str, DataFrame], snapshot: str, retrieved: str | None = None, previous: int | None = None, most: float = 0.10, key: str = "id") -> DataFrame:
+    """check, ok of a whole version: the catalogue is not empty and its ids are unique and known; every track (popularity,
+    art and so on, a row a show) has its shows and no others, once each; the snapshot is a date, and that of the manifest;
+    and it has about as many shows as the live version (previous; null: none yet)."""
+    spark, ids = catalogue.sparkSession, catalogue.select(key)
+    n = ids.agg(F.count("*").alias("n"), F.count_distinct(key).alias("distinct"), F.count(key).alias("known"))
+    out = n.select(F.lit("ids").alias("check"), ((F.col("n") > 0) & (F.col("n") == F.col("distinct")) & (F.col("n") == F.col("known"))).alias("ok"))
+    for name, track in tracks.items():
+        both = ids.withColumn("c", F.lit(1)).join(track.groupBy(key).agg(F.count("*").alias("t")), key, "full")
+        out = out.union(both.agg(F.coalesce(F.every(F.coalesce((F.col("c") == 1) & (F.col("t") == 1), F.lit(False))), F.lit(False)).alias("ok")).select(F.lit(name).alias("check"), "ok"))
+    date = F.lit(snapshot).rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(F.lit(snapshot), F.lit("yyyy-MM-dd")).isNotNull()
+    same = F.lit(True) if retrieved is None else F.substring(F.lit(retrieved), 1, 10) == snapshot
+    out = out.union(spark.range(1).select(F.lit("date").alias("check"), (date & same).alias("ok")))
+    shift = F.lit(True) if not previous else F.abs(F.col("n") - previous) <= most * previous
+    return out.union(n.select(F.lit("size").alias("check"), shift.alias("ok")))

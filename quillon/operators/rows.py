@@ -166,6 +166,31 @@ def ranked_aliases(aliases: DataFrame, key: str, most: int = 12, other_scripts:
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("kind", "not_own", "language", "name"))).select(key, "place", "name")
 
 
+#: Columns of a show in its short, full and detailed form.
+SHAPES = {
+    "card": ("id", "name", "year", "channel", "rating", "language", "type", "known"),
+    "tile": ("id", "name", "year", "poster", "genres", "runtime", "type", "summary", "match", "badge", "place"),
+    "full": ("id", "name", "year", "runtime", "rating", "genres", "url", "channel", "language", "type", "country", "status", "summary"),
+    "detail": ("id", "name", "year", "runtime", "rating", "genres", "url", "channel", "language", "type", "country", "status", "summary", "ended", "premiered", "poster", "art", "themes", "match"),
+}
+
+
+def shaped(shows: DataFrame, shape: str) -> DataFrame:
+    """A show in one of the forms above: its columns in order, null for what the table has not."""
+    kinds = {"id": "long", "year": "int", "runtime": "int", "rating": "double", "known": "int", "match": "int", "place": "int", "genres": "array<string>", "themes": "array<string>"}
+    return shows.select(*(F.col(c) if c in shows.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in SHAPES[shape]))
+
+
+def marked(shows: DataFrame, scores: DataFrame, top: int = 10, newest: Column | None = None, bucket: int = 2500) -> DataFrame:
+    """shows: id, popularity, image, theme labels; scores: id, match. Adds poster address, match, badge (top10, new) and
+    the place of the `top` best known."""
+    address = lambda size: F.when(F.col("image") > 0, F.concat(F.lit(f"https://images.example/{size}/"), F.floor(F.col("image") / bucket).cast("string"), F.lit("/"), F.col("image").cast("string"), F.lit(".jpg")))
+    best = shows.orderBy(F.desc("popularity"), "id").limit(top).withColumn("place", F.row_number().over(Window.orderBy(F.desc("popularity"), "id"))).select("id", "place")
+    d = shows.join(F.broadcast(best), "id", "left").join(scores.select("id", "match"), "id", "left")
+    badge = F.when(F.col("place").isNotNull(), "top10").when(newest if newest is not None else F.lit(False), "new")
+    return d.withColumn("poster", address("medium_portrait")).withColumn("art", address("original_untouched")).withColumn("badge", badge)
+
+
 def sorted_by(shows: DataFrame, sort: str) -> list[Column]:
     """The order of a browsing choice: popularity, rating, newest, shortest or name; unknown values last."""
     orders = {

@@ -242,6 +242,36 @@ def recent_matches(spark, d):
     return search.recent_matches(e, "text", F.lit(" Re")).select("p_partkey")
 
 
+def version_verdict(spark, d):
+    """A sound track, one that lacks shows, and one that has some twice."""
+    ids = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    tracks = {"popularity": ids, "art": ids.where("id % 50 > 0"), "facets": ids.union(ids.where("id < 3"))}
+    return checks.version_verdict(ids, tracks, "2024-05-06", "2024-05-06T03:00:00Z", previous=ids.count() + ids.count() // 5)
+
+
+def show_shapes(spark, d):
+    s = shows(spark, d).withColumn("image", F.col("id") * 37 % 9000).withColumn("known", F.col("popularity")).withColumn("channel", F.col("network"))
+    scores = s.select("id", (F.col("id") % 99 + 1).cast("int").alias("match"))
+    m = rows.marked(s, scores, newest=F.col("year") >= 2020)
+    return rows.shaped(rows.shaped(m, "tile").join(rows.shaped(m, "card").select("id", "channel", "known"), "id"), "tile").select("id", "name", F.col("year").cast("long").alias("year"), "poster", "badge", F.col("match").cast("long").alias("match"), F.col("place").cast("long").alias("place"))
+
+
+def synthetic_viewers(spark, d):
+    """Lists of sixty for every user, from what they rated."""
+    r = ratings(spark, d)
+    core = r.where("pos < 20").select(F.col("user_id").alias("viewer"), "id", "weight")
+    held = r.where("pos between 20 and 24 and weight >= 0.7").select(F.col("user_id").alias("viewer"), "id")
+    s = shows(spark, d)
+    users = core.select("viewer").distinct()
+    near = s.select("id", (F.col("id") % 10).alias("k"))
+    pool = lambda name, rows_: rows_.select("viewer", F.lit(name).alias("source"), "id", F.lit(1.0).alias("strength"))
+    related = pool("related", core.where("weight > 0").select("viewer", (F.col("id") % 10).alias("k")).distinct().join(near, "k"))
+    contrast = pool("contrast", core.where("weight < 0").select("viewer", (F.col("id") % 10).alias("k")).distinct().join(near, "k"))
+    best = s.orderBy(F.desc("popularity"), "id").limit(200).select("id", F.lit(1).alias("one"))  # a fixed number of shows for each user
+    main = pool("mainstream", users.withColumn("one", F.lit(1)).join(F.broadcast(best), "one"))
+    return evaluate.synthetic_viewers(core, held, related.union(contrast).union(main), s.select("id", F.col("popularity").alias("known")), 60, "bench").select("viewer", "id", "weight", "source", F.col("place").cast("long").alias("place"))
+
+
 _RAW = "FROM part"
 _ENC = " + ".join(f"CASE WHEN list_contains(string_split(p_name, ' '), '{w}') THEN {1 << k} ELSE 0 END" for k, w in enumerate(GENRES))
 QUERIES = [
@@ -277,5 +307,8 @@ QUERIES = [
     Query("daily_slots", daily_slots, "SELECT event_id, date_trunc('day', ts - INTERVAL 4 HOUR) + INTERVAL 28 HOUR AS slot, round(pow(0.5, event_id % 30 / 7.0), 9) AS decay FROM events"),
     Query("dimension_suggestions", dimension_suggestions, "SELECT p_partkey AS id, round(CASE WHEN p_partkey % 2 = 0 THEN 3.0 WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN 1.0 ELSE 0.0 END + p_partkey % 7 / 10, 6)::DOUBLE AS worth FROM part"),
     Query("birthplaces", birthplaces, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN n_name ELSE 'Town, ' || n_name END || CASE WHEN contains(lower(n_name), lower(r_name)) THEN '' ELSE ', ' || r_name END AS text FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    Query("version_verdict", version_verdict, "SELECT * FROM (VALUES ('ids', true), ('popularity', true), ('art', false), ('facets', false), ('date', true), ('size', false)) v(\"check\", ok)"),
+    Query("show_shapes", show_shapes, f"WITH {SHOWS_SQL}, b AS (SELECT id, row_number() OVER (ORDER BY popularity DESC, id) AS k FROM shows) SELECT id, name, year::BIGINT AS year, CASE WHEN id * 37 % 9000 > 0 THEN 'https://images.example/medium_portrait/' || id * 37 % 9000 // 2500 || '/' || id * 37 % 9000 || '.jpg' END AS poster, CASE WHEN k <= 10 THEN 'top10' WHEN year >= 2020 THEN 'new' END AS badge, id % 99 + 1 AS match, CASE WHEN k <= 10 THEN k END AS place FROM shows JOIN b USING (id)"),
+    Query("synthetic_viewers", synthetic_viewers),
     Query("recent_matches", recent_matches, "SELECT p_partkey FROM part WHERE starts_with(p_name, 're') OR contains(p_name, ' re')"),
 ]

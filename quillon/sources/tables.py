@@ -105,14 +105,18 @@ def aliases(spark: SparkSession, path: str, longest: int = 150, most: int = 100)
     return rows.select(F.expr("cast(key as long)").alias("id"), F.transform(kept, lambda n: F.replace(n, F.lit("\n"), F.lit(" "))).alias("names")).where(F.size("names") > 0)
 
 
-def show_records(shows: DataFrame, snapshot: str, genres: Sequence[str], themes: Sequence[str]) -> DataFrame:
-    """The catalogue: coalesced channel, runtime and year, cleaned summary without the own title, flag sets, and whether
-    a show may be recommended. themes: patterns. Zero counts as missing, as an empty string does."""
+def show_records(shows: DataFrame, snapshot: str, genres: Sequence[str], themes: Sequence[str], seeds: Sequence[str] = ()) -> DataFrame:
+    """The catalogue: coalesced channel, runtime and year, cleaned summary, flag sets, and whether a show may be
+    recommended. Words and flags are of the summary without the own title and the seeds' titles. themes: patterns. Zero
+    counts as missing, as an empty string does."""
     from ..functions import bits, buckets, text
 
     web, net = F.col("webChannel"), F.col("network")
     summary = text.clean_html(F.coalesce("summary", F.lit("")))
-    d = shows.withColumn("_plot", text.remove_title(summary, F.coalesce("name", F.lit("")))).withColumn("_summary", summary)
+    plot = text.remove_title(summary, F.coalesce("name", F.lit("")))
+    for seed in seeds:
+        plot = text.remove_title(plot, F.lit(seed))
+    d = shows.withColumn("_plot", plot).withColumn("_summary", summary)
     words = F.size(F.filter(F.split("_plot", " "), lambda w: w != ""))
     has_genres = F.size(F.coalesce("genres", F.array().cast("array<string>"))) > 0
     return d.select(

@@ -169,3 +169,29 @@ def test_one_show_of_each_franchise(spark, small):
     for k in part:
         best[root(k)] = max(best.get(root(k), (-1, 0)), (k * 37 % 101, -k))
     assert sorted(r.id for r in rows(spark, small, "one_per_franchise")) == sorted(-k for _, k in best.values())
+
+
+def test_synthetic_viewers(spark, small):
+    from quillon.operators.evaluate import MIX, RATED
+
+    got = defaultdict(list)
+    for r in rows(spark, small, "synthetic_viewers"):
+        got[r.viewer].append(r)
+    own = defaultdict(list)
+    for r in rows(spark, small, "profile_latest_weight"):
+        own[r.user_id].append((r.pos, r.id, r.weight))
+    assert set(got) == set(own)
+    sources = Counter()
+    for viewer, mine in got.items():
+        core = {i: w for pos, i, w in own[viewer] if pos < 20}
+        held = {i for pos, i, w in own[viewer] if 20 <= pos <= 24 and w >= 0.7}
+        ids = [r.id for r in mine]
+        assert len(ids) == len(set(ids)) == 60 and not held & set(ids) and sorted(r.place for r in mine) == list(range(1, 61))
+        assert {r.id: r.weight for r in mine if r.source == "core"} == core
+        for r in mine:
+            sources[r.source] += 1
+            assert r.source == "core" or r.weight in dict(RATED[r.source])
+    assert all(abs(sum(c for _, c in chances) - 1) < 1e-9 for chances in RATED.values()) and abs(sum(MIX.values()) - 1) < 1e-9
+    assert sources["related"] > sources["mainstream"] > sources["contrast"] > 0
+    again = {(r.viewer, r.id): (r.weight, r.place) for r in rows(spark, small, "synthetic_viewers")}
+    assert again == {(r.viewer, r.id): (r.weight, r.place) for mine in got.values() for r in mine}
