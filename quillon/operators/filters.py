@@ -57,12 +57,13 @@ def eligible(s: Settings, recommendable: Column | None = None) -> Column:
 
 
 def pool(catalogue: DataFrame, rated: DataFrame, s: Settings) -> DataFrame:
-    """Eligible shows that are not rated. rated: id (or user_id and id, for the pools of many users)."""
+    """Eligible shows that are not rated. rated: id, or user_id and id: then the pool of each user of that stated set is
+    spelled out, which scoring does without (plans.recommend)."""
     candidates = catalogue.where(eligible(s))
     if "user_id" not in rated.columns:
         return candidates.join(rated.select("id"), "id", "left_anti")
     users = rated.select("user_id").distinct()
-    return candidates.join(F.broadcast(users)).join(rated.select("user_id", "id"), ["user_id", "id"], "left_anti")
+    return candidates.crossJoin(users).join(rated.select("user_id", "id"), ["user_id", "id"], "left_anti")
 
 
 def discovery(filters: Mapping) -> Column:

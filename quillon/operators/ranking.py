@@ -163,7 +163,7 @@ def blended_order(df: DataFrame, group: str, taste: str, popularity: str, qualit
 def study_scores(candidates: DataFrame, seeds: DataFrame, affinity: DataFrame, mean_share: float = 0.7) -> DataFrame:
     """The study's ranking: seeds: id, weight; affinity: a, b, s. min(1, mean_share * weighted mean + rest * best scaled)."""
     totals = seeds.agg(F.sum("weight").alias("norm"), F.max("weight").alias("top"))
-    w = F.broadcast(seeds.join(F.broadcast(totals)).select(F.col("id").alias("a"), (F.col("weight") / F.col("norm")).alias("share"), (F.col("weight") / F.col("top")).alias("scale")))
+    w = seeds.join(F.broadcast(totals)).select(F.col("id").alias("a"), (F.col("weight") / F.col("norm")).alias("share"), (F.col("weight") / F.col("top")).alias("scale"))
     s = affinity.join(w, "a").groupBy("b").agg(F.least(F.lit(1.0), mean_share * F.sum(F.col("share") * F.col("s")) + (1 - mean_share) * F.max(F.col("scale") * F.col("s"))).alias("score"))
     return candidates.join(s, candidates["id"] == s["b"]).drop("b").join(seeds.select("id"), "id", "left_anti")
 

@@ -208,10 +208,17 @@ def contains_all(queries: DataFrame, shows: DataFrame, name: str, limit: int = 1
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
-    """key, phrase of texts that hold a phrase as whole words; phrases that more than `most` texts hold say nothing.
-    Phrases are few: they are broadcast."""
-    padded = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS), F.lit(0)), " "), F.lit(" "))
-    hits = texts.select(key, padded.alias("p")).join(F.broadcast(phrases.select("phrase")), F.contains("p", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select(key, "phrase")
+    """key, phrase of texts that hold a phrase as whole words, each once; phrases that more than `most` texts hold say
+    nothing. Texts and phrases meet on the first two words of a phrase (or its only one), so neither is sent to all."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS), F.lit(0))
+    t = texts.select(key, words.alias("w"))
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
+    pairs = F.filter(F.zip_with("w", after, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+    p = phrases.select("phrase", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " ").alias("head")).distinct()
+    heads = t.select(key, F.explode(F.array_distinct(F.concat("w", pairs))).alias("head"))
+    near = heads.join(p, "head").select(key, "phrase")
+    padded = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    hits = near.join(t.select(key, padded.alias("p")), key).where(F.contains("p", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select(key, "phrase").distinct()
     if most is None:
         return hits
     return hits.withColumn("_n", F.count("*").over(Window.partitionBy("phrase"))).where(F.col("_n") <= most).drop("_n")

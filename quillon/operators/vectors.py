@@ -101,7 +101,7 @@ def presence_weights(values: DataFrame, key: str) -> DataFrame:
 
 def holders(values: DataFrame, key: str, tokens: DataFrame) -> DataFrame:
     """Keys that carry any of the tokens (family, token)."""
-    return values.join(F.broadcast(tokens.select("family", "token").distinct()), ["family", "token"], "left_semi").select(key).distinct()
+    return values.join(tokens.select("family", "token").distinct(), ["family", "token"], "left_semi").select(key).distinct()
 
 
 def sharing(pairs: DataFrame, values: DataFrame, key: str, family: str) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits
-from ..operators import aggregates, checks, filters, joins, sets
+from ..operators import aggregates, blocks, checks, filters, joins, sets
 from ..plans.stand_ins import RATINGS_SQL, SHOWS_SQL, ratings, shows
 from ..sources.tables import table
 from . import Query
@@ -117,12 +116,10 @@ def evaluation_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bitset_cosine(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    s = shows(spark, d)
-    q = F.broadcast(s.where("id % 50 = 0").select(F.col("id").alias("a"), F.col("genre_bits").alias("g")))
-    c = s.join(q, F.col("a") != F.col("id")).select("a", F.col("id").alias("b"), F.round(bits.cosine(F.col("g"), F.col("genre_bits")), 9).alias("cosine"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")).cast("long")).where("rank <= 5")
+    flags = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.getbit(F.col("genre_bits"), k) == 1)
+    rows = shows(spark, d).select(F.col("id").cast("long").alias("id"), flags.alias("cols")).withColumn("vals", F.transform("cols", lambda k: 1 / F.sqrt(F.size("cols").cast("double"))))
+    near = blocks.nearest(rows.where("id % 50 = 0"), rows, 5, -1.0)
+    return near.select("a", "b", F.round("score", 9).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 def popularity_track(spark: SparkSession, d: str) -> DataFrame:
