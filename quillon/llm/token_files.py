@@ -32,13 +32,13 @@ _HEAD = struct.Struct("<4s6I")
 
 
 def _likely(symbols: np.ndarray, at: np.ndarray, bar: int | None) -> tuple[np.ndarray, int]:
-    """The places whose pair may stand at `bar` places (None: an eighth as many as the most frequent one), and the bar.
+    """The places whose pair may stand at `bar` places (None: a sixteenth as many as the most frequent one), and the bar.
     Pairs share counters by hash, so a count is never too low."""
     mixed = symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)
     slot = (mixed[at] >> np.uint32(14)).astype(np.int64)
     count = np.bincount(slot, minlength=1 << 18)
     if bar is None:
-        bar = int(count.max()) // 8
+        bar = int(count.max()) // 16
     return at[count[slot] >= bar], bar
 
 
@@ -60,22 +60,22 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 4) -> tu
     """Re-Pair of one block: (symbols, symbols per document, rules, ids that each rule expands to). ends: where each
     document's ids end.
 
-    A step replaces every pair inside documents that is at least as frequent as a bar. The bar starts at an eighth of
-    the most frequent pair and falls to an eighth with each step, down to `least`, where it stays until no pair stands at
+    A step replaces every pair inside documents that is at least as frequent as a bar. The bar starts at a sixteenth of
+    the most frequent pair and falls to a sixteenth with each step, down to `least`, where it stays until no pair stands at
     so many places apart from each other. Where two pairs overlap the more frequent one is replaced, ties by the smaller
     pair: so the most frequent one is replaced wherever it stands. A pair that loses so many places that fewer than
     `least` are left gets no rule in this step. Pairs only become rarer, but for those with a new symbol: a place whose
     pair was seen too rarely is looked at again only when a neighbour changes."""
-    symbols, joined = ids.astype(np.uint32), np.ones(len(ids), bool)  # joined: whether a symbol may pair with the next
-    joined[ends[ends > 0] - 1] = False
+    symbols, joined = ids.astype(np.uint32), np.ones(len(ids), np.int8)  # joined: whether a symbol may pair with the next
+    joined[ends[ends > 0] - 1] = 0
     open_ = joined.copy()  # places whose pair can still be frequent
     rules, lengths, made, bar = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64), 0, None
     while len(at := np.flatnonzero(open_)):
-        likely, bar = _likely(symbols, at, None if bar is None else bar // 8) if bar is None or bar > least else (at, bar)
+        likely, bar = _likely(symbols, at, None if bar is None else bar // 16) if bar is None or bar > least else (at, bar)
         bar = max(bar, least)
         if bar == least:  # the others are too rare for good
-            open_[:] = False
-            open_[likely] = True
+            open_[:] = 0
+            open_[likely] = 1
         if not len(likely):
             continue
         at, first = _by_pair(symbols, likely)
@@ -92,7 +92,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 4) -> tu
         size = np.diff(np.append(first, len(at)))
         chosen = np.flatnonzero(count >= bar)
         if bar == least:
-            open_[at[np.repeat(count < least, size) & ~spare]] = False
+            open_[at[np.repeat(count < least, size) & ~spare]] = 0
             if not len(chosen):
                 break
         rank = np.full(len(count), -1, np.int32)
@@ -121,8 +121,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 4) -> tu
         open_[before] = joined[before]
         keep = np.ones(len(symbols), bool)
         keep[take + 1] = False
-        symbols, joined, open_ = symbols[keep], joined[keep], open_[keep]
-    stops = np.flatnonzero(~joined) + 1
+        keep = np.flatnonzero(keep)
+        symbols, joined, open_ = symbols.take(keep), joined.take(keep), open_.take(keep)
+    stops = np.flatnonzero(joined == 0) + 1
     sizes = np.zeros(len(ends), np.int64)
     sizes[np.diff(ends, prepend=0) > 0] = np.diff(stops, prepend=0)
     return symbols, sizes, np.concatenate(rules), lengths
@@ -167,7 +168,16 @@ class Block:
         return cls(base, pairs, lengths.astype(np.int64), [int(k) if t else None for k, t in zip(keys, there, strict=True)], sizes, tokens, take(f"<u{width}", symbols).astype(np.uint32))
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of some symbols: each symbol has its place in the result, and rules are opened level by level."""
+        """The ids of some symbols. For many of them the rules are opened once each and laid out in the symbols' order."""
+        if len(symbols) <= len(self.rules) or not len(self.rules):
+            return self._open(symbols)
+        ids = np.concatenate([np.arange(self.base, dtype=np.uint32), self._open(np.arange(self.base, self.base + len(self.rules)))])
+        ends = np.concatenate([np.arange(self.base + 1), self.base + np.cumsum(self.lengths)]) * 4
+        each = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+        return np.frombuffer(each.take(pa.array(symbols)).buffers()[2], np.uint32)
+
+    def _open(self, symbols: np.ndarray) -> np.ndarray:
+        """Each symbol has its place in the result, and rules are opened level by level."""
         size = np.ones(len(symbols), np.int64)
         new = symbols >= self.base
         size[new] = self.lengths[symbols[new] - self.base]
@@ -199,7 +209,7 @@ class Block:
         return self.expand(symbols[a : b + 1])[skip : skip + stop - start]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, block_tokens: int = 1 << 18, key: str = "doc_id", text: str = "text") -> None:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, block_tokens: int = 1 << 17, key: str = "doc_id", text: str = "text") -> None:
     """Write the whole texts' ids, each document's closed by end_id, in ascending key order to a new Parquet folder.
 
     Nulls: a null text is empty, a null key comes first. Rows with equal keys are ordered by their text's hash. A
