@@ -11,6 +11,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ class MergeTable:
         left = np.array([vocabulary[a] for a, _ in pairs], np.uint64)
         right = np.array([vocabulary[b] for _, b in pairs], np.uint64)
         self.result = np.array([vocabulary[a + b] for a, b in pairs], np.uint32)
+        #: Whether no two merges have one result: else a pair could come up again while it is applied.
+        self.distinct = len(np.unique(self.result)) == len(pairs)
         self.bits = max(4, int(len(pairs) * 4).bit_length())
         keys = left << np.uint64(32) | right
         self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -64,7 +67,9 @@ class MergeTable:
 
 
 def merge_counts(symbols: np.ndarray, sizes: np.ndarray, table: MergeTable) -> np.ndarray:
-    """How many symbols each sequence has once all its merges are applied. sizes: at least 1 each."""
+    """How many symbols each sequence has once all its merges are applied. sizes: at least 1 each. A step applies a
+    sequence's lowest-ranked pair at all its places at once, which is what merging it place by place gives, as no two
+    merges of the table have one result."""
     counts = sizes.copy()
     who = np.arange(len(sizes))
     ranks = np.full(len(symbols), table.none, np.int64)  # of the pair of each symbol and the next
@@ -126,6 +131,8 @@ class TokenCounter:
         self.by_piece = cuts_before_space(self.tokenizer) and model.get("type") == "BPE" and plain
         if self.by_piece:
             self.table, self.vocabulary = MergeTable(model), model["vocab"]
+            self.by_piece = self.table.distinct
+        if self.by_piece:
             special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
             self.special = re.compile("|".join(map(re.escape, special))) if special else None
             self.first = np.zeros(0x200, np.uint32)
@@ -189,12 +196,19 @@ class TokenCounter:
         return merge_counts(self.first[points], sizes, self.table)
 
 
+@lru_cache(maxsize=2)
+def token_counter(path: str) -> TokenCounter:
+    """The counter of this Python worker, which serves one task after another."""
+    return TokenCounter(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit). A null or empty text has none of
-    either; null and repeated keys stay rows of their own; other columns are left out."""
+    either, a very long one is counted whole; null and repeated keys stay rows of their own; no rows, no result; other
+    columns are left out."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(tokenizer)
+        counter = token_counter(tokenizer)
         for batch in slices(batches, 2048):
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(counter.counts(batch.column(1)))], ["doc_id", "n_bytes", "n_tokens"])
