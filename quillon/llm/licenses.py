@@ -2,8 +2,8 @@
 
 Every document's rolling word k-gram hashes are joined to the places of the same hashes in license templates. A hit
 votes for the diagonal document place - template place. Votes are summed by diagonal, diagonals that are neighbours
-(a word more or less) are merged, and a merged run counts if it covers enough of its template within a span of about
-the template's length. Base phrases are templates whose diagonal must be complete.
+(a word more or less) are merged, and a merged run counts if it covers enough places of its template, each once, within
+a span of about the template's length. Base phrases are templates whose diagonal must be complete.
 """
 
 from __future__ import annotations
@@ -69,8 +69,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first word,
     words, coverage of each verified run).
 
-    A null text is empty: no words, no labels, score 0. Null and repeated keys stay rows of their own; other columns
-    are left out. The score is the best coverage of a verified run, 1 for a base phrase."""
+    A null text is empty: no words, no labels, score 0. Very long texts are scanned whole; null and repeated keys stay rows
+    of their own; no rows, no result; other columns are left out. The score is the best coverage of a verified run, 1 for a base phrase."""
     spark = docs.sparkSession
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), words_of(F.col(text)).alias("words"))
     grams = words.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(gram_hashes(F.col("words"), SHORT), gram_hashes(F.col("words"), LONG), F.array(F.lit(_SELF).cast("long")))).alias("at", "gram_hash"))
@@ -78,18 +78,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     hits = grams.join(F.broadcast(template_positions(spark)), "gram_hash")
     place = F.when(F.col("at") < F.col("n_words"), F.col("at")).otherwise(F.col("at") - F.col("n_words"))
     votes = (
-        hits.select("row", "doc_id", "n_words", "template", "grams", (place - F.col("place")).cast("long").alias("diagonal"), place.cast("long").alias("word"))
+        hits.select("row", "doc_id", "n_words", "template", "grams", (place - F.col("place")).cast("long").alias("diagonal"), place.cast("long").alias("word"), F.expr("shiftleft(1L, place)").alias("bit"))
         .withColumn("diagonal", F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("diagonal")))
         .groupBy("row", "doc_id", "n_words", "template", "grams", "diagonal")
-        .agg(F.count("*").alias("votes"), F.min("word").alias("low"), F.max("word").alias("high"))
+        .agg(F.bit_or("bit").alias("places"), F.min("word").alias("low"), F.max("word").alias("high"))  # templates have less than 63 grams
     )
     # base phrases are never merged: their run is their diagonal
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR, F.lit(True)) | (F.col("template") < len(BASE))
-    runs = votes.withColumn("run", F.sum(apart.cast("int")).over(order)).groupBy("row", "doc_id", "n_words", "template", "grams", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"))
+    runs = votes.withColumn("run", F.sum(apart.cast("int")).over(order)).groupBy("row", "doc_id", "n_words", "template", "grams", "run").agg(F.bit_count(F.bit_or("places")).alias("covered"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"))
     label = F.element_at(F.array(*(F.lit(x) for x in [*(b[1] for b in BASE), *(t[0] for t in TEMPLATES)])), F.col("template") + 1)
-    is_base = (F.col("template") >= 0) & (F.col("template") < len(BASE)) & (F.col("votes") == F.col("grams"))
-    coverage = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
+    is_base = (F.col("template") >= 0) & (F.col("template") < len(BASE)) & (F.col("covered") == F.col("grams"))
+    coverage = F.col("covered") / F.col("grams")
     verified = (F.col("template") >= len(BASE)) & (coverage >= COVERAGE) & (F.col("high") - F.col("low") + 1 <= STRETCH * F.col("grams"))
     out = runs.groupBy("row", "doc_id", "n_words").agg(
         F.count_if(is_base).alias("n_base"), F.min(F.when(is_base, F.col("diagonal"))).alias("first_word"), F.max(F.when(is_base, F.col("diagonal"))).alias("last_word"),
@@ -118,12 +118,12 @@ d AS (SELECT row_number() OVER () AS r, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 dw AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p FROM d),
 dg AS (SELECT r, p, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM dw WINDOW o AS (PARTITION BY r ORDER BY p)),
-votes AS (SELECT r, template, any_value(label) AS label, any_value(grams) AS grams, p - place AS diagonal, count(*) AS votes, min(p) AS low, max(p) AS high
+votes AS (SELECT r, template, any_value(label) AS label, any_value(grams) AS grams, p - place AS diagonal, list(place) AS places, min(p) AS low, max(p) AS high
           FROM dg JOIN tg ON dg.w1 = tg.w1 AND dg.w2 = tg.w2 AND (k = {SHORT} OR dg.w3 = tg.w3) WHERE place < grams GROUP BY r, template, p - place),
 marked AS (SELECT *, CASE WHEN template < {len(BASE)} OR coalesce(diagonal - lag(diagonal) OVER o > {NEIGHBOUR}, TRUE) THEN 1 ELSE 0 END AS apart FROM votes WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM marked),
-runs AS (SELECT r, template, any_value(label) AS label, any_value(grams) AS grams, sum(votes) AS votes, min(low) AS low, max(high) AS high, min(diagonal) AS diagonal FROM numbered GROUP BY r, template, run),
-judged AS (SELECT *, template < {len(BASE)} AND votes = grams AS is_base, least(votes / grams, 1.0) AS coverage,
+runs AS (SELECT r, template, any_value(label) AS label, any_value(grams) AS grams, len(list_distinct(flatten(list(places)))) AS votes, min(low) AS low, max(high) AS high, min(diagonal) AS diagonal FROM numbered GROUP BY r, template, run),
+judged AS (SELECT *, template < {len(BASE)} AND votes = grams AS is_base, votes / grams AS coverage,
                   template >= {len(BASE)} AND votes / grams >= {COVERAGE} AND high - low + 1 <= {STRETCH} * grams AS verified FROM runs),
 summed AS (SELECT r, count(*) FILTER (is_base) AS n_base, min(diagonal) FILTER (is_base) AS first_word, max(diagonal) FILTER (is_base) AS last_word,
                   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base OR verified) AS labels,
