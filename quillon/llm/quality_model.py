@@ -2,7 +2,8 @@
 
 A text is compressed with a dictionary built from texts labelled good and with one built from texts labelled bad. The
 difference of the two sizes for each byte of text, calibrated by a logistic curve on other labelled texts, is the
-score: how likely label 1 is. A dictionary only helps the start of what is compressed, so a text is compressed in equal
+score: how likely label 1 is. The same difference says more of a longer text, so the curve's slope and intercept change
+with the logarithm of the length, up to the length of a part. A dictionary only helps the start of what is compressed, so a text is compressed in equal
 parts of at most PART bytes: the difference means the same at every length.
 
 Learning takes a bounded sample of the labelled rows: at most `per_class` rows of each label for the dictionaries, and
@@ -50,8 +51,8 @@ class CompressionModel:
     good: bytes
     bad: bytes
     level: int = 12
-    slope: float = 1.0
-    intercept: float = 0.0
+    #: Of the difference, of it times the length, of the length, and the intercept.
+    curve: tuple[float, float, float, float] = (1.0, 0.0, 0.0, 0.0)
 
     def compressors(self):
         import zstandard
@@ -66,14 +67,17 @@ class CompressionModel:
             out.append(zstandard.ZstdCompressor(level=self.level, dict_data=held, write_dict_id=False))
         return out
 
-    def difference(self, texts: list[str], compressors) -> np.ndarray:
-        """Bytes saved by the good dictionary over the bad one, for each byte of text."""
+    def measure(self, texts: list[str], compressors) -> np.ndarray:
+        """Of each text the bytes that the good dictionary saves over the bad one, for each byte of text, that times the
+        length, and the length: the logarithm of the bytes, from 64 to PART."""
         good, bad = compressors
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        return np.array([sum(len(bad.compress(p)) - len(good.compress(p)) for p in parts_of(r)) / (len(r) + 1) for r in raw], np.float64)
+        x = np.array([sum(len(bad.compress(p)) - len(good.compress(p)) for p in parts_of(r)) / (len(r) + 1) for r in raw], np.float64)
+        length = np.log(np.clip(np.array([len(r) for r in raw], np.float64), 64, PART))
+        return np.stack([x, x * length, length], 1)
 
-    def score(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.intercept, -40, 40)))
+    def score(self, measured: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(measured @ np.array(self.curve[:3]) + self.curve[3], -40, 40)))
 
 
 def build_dictionary(texts: list[bytes], size: int) -> bytes:
@@ -90,23 +94,21 @@ def build_dictionary(texts: list[bytes], size: int) -> bytes:
         return b""
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's steps with a small ridge on the slope of the scaled difference."""
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
+    """Weights of the columns and intercept by Newton's steps, with a small ridge on the scaled columns."""
     if not len(x) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
-        return 0.0, math.log(p / (1 - p))
-    mean, scale = x.mean(), x.std() or 1.0
-    z = np.stack([(x - mean) / scale, np.ones(len(x))], 1)
-    w = np.zeros(2)
+        return 0.0, 0.0, 0.0, math.log(p / (1 - p))
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], 1)
+    ridge, w = np.append(np.full(x.shape[1], 0.1), 1e-9), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        gradient = z.T @ (p - y) + np.array([0.1, 0]) * w
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0.1, 1e-9])
-        step = np.linalg.solve(hessian, gradient)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+    return (*(float(v) for v in w[:-1] / scale), float(w[-1] - (w[:-1] * mean / scale).sum()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, parts_each: int = 2, dictionary_bytes: int = 524_288, level: int = 12) -> CompressionModel:
@@ -143,23 +145,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, parts_each: in
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
         for batch in slices(batches, 64):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(model.difference(texts_of(batch.column(2)), compressors))], ["doc_id", "quality", "x"])
+            measured = model.measure(texts_of(batch.column(2)), compressors)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(measured.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    rest = sample.where("curve").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text").mapInArrow(measure, "doc_id long, quality int, x double")
+    rest = sample.where("curve").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text").mapInArrow(measure, "doc_id long, quality int, x array<double>")
     rest = sorted((r.doc_id, r.quality, r.x) for r in rest.collect())
-    model.slope, model.intercept = logistic(np.array([r[2] for r in rest], np.float64), np.array([r[1] for r in rest], np.float64))
+    model.curve = logistic(np.array([r[2] for r in rest], np.float64).reshape(-1, 3), np.array([r[1] for r in rest], np.float64))
     return model
 
 
 def quality_scores(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Null and empty texts get the score of a difference of 0; very long
+    """Per row: doc_id, held_out, score, predicted. Null and empty texts get the score of a difference of 0 at the shortest length; very long
     ones are scored whole, part by part; null and repeated keys stay rows of their own; no rows, no result; other columns
     are left out."""
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
         for batch in slices(batches, 512):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(model.difference(texts_of(batch.column(1)), compressors)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(model.measure(texts_of(batch.column(1)), compressors)))], ["doc_id", "score"])
 
     bounded_batches(docs.sparkSession)
     out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge, "doc_id long, score double")
@@ -174,7 +177,7 @@ def good_documents(docs: DataFrame, model: CompressionModel, threshold: float =
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
         for batch in slices(batches, 512):
-            yield batch.filter(pa.array(model.score(model.difference(texts_of(batch.column(at)), compressors)) >= threshold))
+            yield batch.filter(pa.array(model.score(model.measure(texts_of(batch.column(at)), compressors)) >= threshold))
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)

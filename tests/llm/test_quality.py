@@ -33,7 +33,17 @@ def test_scores_do_not_depend_on_held_out_labels(spark, small):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     flipped = labels.withColumn("quality", quality_model.F.when(quality_model.held_out(quality_model.F.col("doc_id")), 1 - quality_model.F.col("quality")).otherwise(quality_model.F.col("quality")))
     a, b = quality_model.fit(docs, labels), quality_model.fit(docs, flipped)
-    assert (a.good, a.bad, a.slope, a.intercept) == (b.good, b.bad, b.slope, b.intercept)
+    assert (a.good, a.bad, a.curve) == (b.good, b.bad, b.curve)
+
+
+def test_long_texts_are_scored_as_their_parts(spark, middle):
+    docs, labels = (spark.read.parquet(f"{middle}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.fit(docs, labels)
+    texts_ = {q: [r.text for r in docs.join(labels.where(f"quality = {q}"), "doc_id").where("text is not null").orderBy("doc_id").collect()] for q in (0, 1)}
+    compressors = model.compressors()
+    for n in (10, 100, 400):
+        good, bad = (model.score(model.measure([" ".join((texts_[q] * n)[:n])], compressors))[0] for q in (1, 0))
+        assert good > 0.9 and bad < 0.1
 
 
 def test_odd_documents_are_scored(spark, small):
