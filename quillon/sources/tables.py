@@ -19,12 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share; where that is unset and the master is local
-    (tests), under a temporary folder."""
+    (tests), under a temporary folder that becomes the session's."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="quillon-")
+        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
