@@ -16,11 +16,12 @@ from . import blocks
 
 
 def terms(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), ngrams: int = 2, pattern: str = r"[\p{L}\p{N}_]{2,}") -> DataFrame:
-    """key, term, tf: words of the lower-cased text without stop words, and pairs of words that are then neighbours."""
+    """key, term, tf: words of the lower-cased text without stop words, and pairs of words that are then neighbours. Texts are
+    dealt by key before they are cut, so the counts need no shuffle of their own."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))
     if stop:
         words = F.filter(words, lambda w: ~w.isin(*stop))
-    d = df.select(key, words.alias("w"))
+    d = df.select(key, text).repartition(F.col(key)).select(key, words.alias("w"))
     grams = F.col("w")
     if ngrams > 1:
         after = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
@@ -155,6 +156,7 @@ def text_cosines(vectors: DataFrame, key: str, left: DataFrame | None = None) ->
 def nearest_texts(vectors: DataFrame, key: str, asked: DataFrame, k: int = 10) -> DataFrame:
     """a, b, score, rank: for the asked rows (column `key`) the k rows of largest text cosine. Terms are numbered, and
     vectors are compared in blocks, so a term that most rows have joins nothing."""
+    vectors = materialise(vectors)
     terms_ = numbered(vectors.select("term").distinct(), ["term"], "col")
     rows = materialise(blocks.sparse(vectors.join(terms_, "term"), key, "col", "value"))
     return blocks.nearest(rows.join(asked.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi"), rows, k)

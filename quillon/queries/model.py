@@ -60,7 +60,7 @@ near AS (SELECT q.id AS a, s.id AS b, coalesce(t.cosine, 0) * 0.4 + {_COS.format
 
 def document_vectors(spark: SparkSession, d: str, ngrams: int = 2) -> DataFrame:
     docs = table(spark, d, "documents")
-    return vectors.tf_idf(vectors.terms(docs, "doc_id", "text", STOP, ngrams), "doc_id", docs)
+    return vectors.tf_idf(materialise(vectors.terms(docs, "doc_id", "text", STOP, ngrams)), "doc_id", docs)
 
 
 def facets(spark: SparkSession, d: str) -> DataFrame:
