@@ -108,6 +108,19 @@ def test_bands_reject_repeats_and_noise_and_keep_prose(spark, middle):
     assert sum(x.kept for x in rows) / len(rows) > 0.99
 
 
+def test_noise_of_letters_is_rejected():
+    import base64
+    import random
+
+    r = random.Random(2)
+    bands = quality_rules.Bands()
+    of = lambda word, n: " ".join(word() for _ in range(n)).encode()[:n]
+    lines = lambda: base64.b64encode(r.randbytes(57)).decode()
+    letters = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 10)))
+    assert not any(bands.verdict(of(lines, n))[0] for n in (300, 600, 1100, 5000, 20_000))
+    assert not any(bands.verdict(of(letters, n))[0] for n in (4096, 5000, 20_000))
+
+
 def test_kept_rows_come_back_whole(spark):
     docs = odd_docs(spark)
     kept = quality_rules.quality_rules(docs, keep_columns=True)
