@@ -14,8 +14,9 @@ def pair_counts(links: DataFrame, a: str, b: str, n: str | None = None) -> DataF
 
 
 def basket_pairs(baskets: DataFrame, basket: str, item: str) -> DataFrame:
-    """Pairs a < b of distinct items that share a basket, with how many baskets they share. A join on the basket, so a
-    large basket spills and is split like any skewed key."""
+    """Pairs a < b of distinct items that share a basket, with how many baskets they share. Baskets are one person's or one
+    visit's items: a basket of k gives k * (k - 1) / 2 pairs by definition, summed up before they are shuffled. The join on
+    the basket is split by AQE where one stands out."""
     items = baskets.select(basket, item).distinct()
     pairs = items.select(basket, F.col(item).alias("a")).join(items.select(basket, F.col(item).alias("b")), basket).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
