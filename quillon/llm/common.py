@@ -47,6 +47,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Rows with a few columns of 8 bytes up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def joined_by(rows: DataFrame, keys: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a written table of keys: broadcast up to BROADCAST_ROWS keys, shuffled beyond."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, how)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores added until no column of df has it in any case."""
     taken = {c.lower() for c in df.columns}

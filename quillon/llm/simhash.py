@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, materialise, run_hashes, slices, texts_of, unused
+from .common import WordHashes, bounded_batches, joined_by, materialise, run_hashes, slices, texts_of, unused
 from .components import connected_components
 
 BITS = 64
@@ -444,15 +444,6 @@ def similar_texts(docs: DataFrame, key: str, text: str = "text", words: int = 5,
     return marked.select("key", "set").join(component, "set", "left").select(F.col("key").alias(key), F.coalesce("component", "set").alias("class"))
 
 
-#: Rows with a key of 8 bytes and at most one more column of 8 bytes up to which a table is broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def joined_by(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with a written table of keys: broadcast up to BROADCAST_ROWS keys, shuffled beyond."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, how)
-
-
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when one row of each class of similar texts does: that of its smallest doc_id. Rows with
     a null doc_id go where their class has another; of repeated doc_ids in a class one row stays, that of the smallest
