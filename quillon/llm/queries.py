@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, html_text, licenses, maxscore, mixing, packing, prefix_trie, quality_model, quality_rules, simhash, token_counts, token_files
+from . import centroids, html_text, licenses, maxscore, mixing, packing, prefix_trie, quality_model, quality_rules, simhash, token_counts, token_files, vector_forest
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,10 +73,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_quality, op3_licenses, op4_token_files, op5_simhash, op6_token_counts, op7_quality_rules, op8_mixing, op9_top_k, op10_html_text, op11_clusters, op12_prefix_trie, pipeline)
+    every = (op1_packing, op2_quality, op3_licenses, op4_token_files, op5_simhash, op6_token_counts, op7_quality_rules, op8_mixing, op9_top_k, op10_html_text, op11_clusters, op12_prefix_trie, op13_vector_duplicates, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need tokenizers, compression, hashes or parsing that SQL lacks; tests hold them against brute force."""
-    return {"op3_licenses": licenses.oracle(), "op8_mixing": mixing.oracle(), "op9_top_k": maxscore.oracle(), "op11_clusters": centroids.oracle(), "op12_prefix_trie": prefix_trie.oracle()}
+    return {"op3_licenses": licenses.oracle(), "op8_mixing": mixing.oracle(), "op9_top_k": maxscore.oracle(), "op11_clusters": centroids.oracle(), "op12_prefix_trie": prefix_trie.oracle(), "op13_vector_duplicates": vector_forest.oracle()}
