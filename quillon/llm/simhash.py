@@ -13,8 +13,9 @@ not its pairs.
 
 `similar_texts` finds texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Edits change few words, so
 its candidates are fingerprints of the distinct words, at a distance that near copies keep; they are found by the same
-parts and thresholds. A second fingerprint, of the shingles, tells how near two candidates are: in a dense group only
-the links of a minimum spanning forest go on. Every link is then verified on the whole shingle sets.
+parts and thresholds. A second fingerprint, of the shingles, drops candidates that can't be alike. Candidates of sparse
+groups are pairs, each verified on the whole shingle sets. A dense group has too many pairs to list; what its candidates
+hang together with is a cluster, and clusters are compared whole and exactly, block by block (`cluster_links`).
 """
 
 from __future__ import annotations
@@ -189,8 +190,8 @@ def spanning_links(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndar
 
 def links(distinct: DataFrame, distance: int = 2, most: int = 1 << 15) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column bits) that connect what differs in at most `distance` bits:
-    every link is an edge or a path of edges, each of them verified. `most` is the size up to which a group is compared
-    in memory; larger ones are listed by ball, none is left out."""
+    every link is an edge or a path of edges, each of them verified. Fingerprints are distinct and not null. `most` is the
+    size up to which a group is compared in memory; larger ones are listed by ball, none is left out."""
     n, both = bit_statistics(distinct)
     masks = [m for bits, t in allocate(n, both, distance) for m in _masks(bits, t)]
     # fixed: the bits on which the members of a group are known to agree
@@ -327,8 +328,8 @@ class Group:
         near = (np.bitwise_count(self.bits[i] ^ self.bits[j]) <= self.distance) & (low >= self.similarity * high - 1e-6) & (far <= shingle_limit(self.similarity))
         return np.where(near, far, NOT_NEAR).astype(np.uint8)
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate links: all of them, or in a dense group those of a minimum spanning forest by shingle fingerprint."""
+    def edges(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Candidate links and False; in a dense group edges of a spanning forest of the candidates and True."""
         size, ends, held = len(self.bits), [], 0
         step = max(1, (1 << 21) // size)
         for a in range(0, size, step):
@@ -338,22 +339,21 @@ class Group:
             ends.append((i[near], j[near]))
             held += int(near.sum())
             if held > 4 * size + 64:
-                return self.forest()
-        return tuple(np.concatenate(x) for x in zip(*ends, strict=True))
+                return *self.forest(), True
+        return *(np.concatenate(x) for x in zip(*ends, strict=True)), False
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        size = len(self.bits)
-        left, best, source = np.arange(size), np.full(size, NOT_NEAR, np.uint8), np.zeros(size, np.int64)
-        ends = []
+        left, ends = np.arange(len(self.bits)), []
         while len(left):
-            k = int(best[left].argmin())
-            node, left = left[k], np.delete(left, k)
-            if best[node] != NOT_NEAR:
-                ends.append((source[node], node))
-            far = self.apart(node, left)
-            nearer = far < best[left]
-            best[left[nearer]], source[left[nearer]] = far[nearer], node
-        return (np.array([e[0] for e in ends], np.int64), np.array([e[1] for e in ends], np.int64))
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                node = queue.pop()
+                near = self.apart(node, left) != NOT_NEAR
+                if near.any():
+                    reached, left = left[near], left[~near]
+                    ends.append((np.full(len(reached), node), reached))
+                    queue.extend(reached)
+        return tuple(np.concatenate(x) for x in zip(*ends, strict=True))
 
 
 NOT_NEAR = 255
@@ -366,8 +366,9 @@ def shingle_limit(similarity: float) -> int:
 
 
 def candidate_links(distinct: DataFrame, similarity: float, distance: int, most: int) -> DataFrame:
-    """distinct: set, bits, first, second, n. Candidate links (a, b) between sets; `most` is the size up to which a group
-    is compared as a whole. A larger one is dealt to blocks, and each two blocks are compared by a task."""
+    """distinct: set, bits, first, second, n. Candidate links (a, b, dense) between sets: all pairs of candidates, but of
+    dense groups edges that connect what all of theirs do. `most` is the size up to which a group is compared as a whole.
+    A larger one is dealt to blocks, and each two blocks are compared by a task. Sets are distinct, nothing is null."""
     n, both = bit_statistics(distinct)
     sample = np.array([r.bits for r in distinct.orderBy(F.xxhash64("set"), "set").select("bits").limit(2048).collect()], np.int64).view(np.uint64)
     masks = [m for bits, t in allocate(n, both, distance, sample) for m in _masks(bits, t)]
@@ -382,14 +383,20 @@ def candidate_links(distinct: DataFrame, similarity: float, distance: int, most:
         keyed = keyed.withColumn("lo", zero).withColumn("hi", zero)
     keys, values = ["fixed", "value", "lo", "hi"], ["set", "bits", "first", "second", "n"]
 
-    def linked(own: np.ndarray, bits: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = Group(bits.view(np.uint64), first.view(np.uint64), second.view(np.uint64), n, similarity, distance).edges()
-        return np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+    def linked(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for own, bits, first, second, count in groups_of(frames, keys, values):
+            i, j, dense = Group(bits.view(np.uint64), first.view(np.uint64), second.view(np.uint64), count, similarity, distance).edges()
+            held.append((np.minimum(own[i], own[j]), np.maximum(own[i], own[j]), np.full(len(i), dense)))
+            n += len(i)
+            if n > 1 << 16:
+                yield pd.DataFrame(dict(zip(("a", "b", "dense"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+                held, n = [], 0
+        if held:
+            yield pd.DataFrame(dict(zip(("a", "b", "dense"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
 
-    def link(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from in_frames(linked(*columns) for columns in groups_of(frames, keys, values))
-
-    return keyed.select(*keys, *values).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(link, "a long, b long").distinct()
+    found = keyed.select(*keys, *values).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(linked, "a long, b long, dense boolean")
+    return found.groupBy("a", "b").agg(F.max("dense").alias("dense"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -405,7 +412,90 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def similar_texts(docs: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 8, most: int = 1 << 14) -> DataFrame:
+#: Texts and shingles of a block of a cluster, and texts that all of its blocks meet first.
+BLOCK, BLOCK_SHINGLES, HUBS = 1024, 1 << 21, 64
+
+
+def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share, by the shingles that two or more of them have."""
+    flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)
+    column, who = np.unique(column[common], return_inverse=True)[1], who[common]
+    out, width = np.zeros((len(sets), len(sets)), np.float32), 2048
+    for at in range(0, int(column.max(initial=-1)) + 1, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[who[lo:hi], column[lo:hi] - at] = 1
+        out += has @ has.T
+    return out
+
+
+def exact_forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links between sets of different sides (side -1: between all)."""
+    n, both = np.array([len(x) for x in sets], np.float32), shared_shingles(sets)
+    linked = both >= np.float32(similarity - 1e-6) * (n[:, None] + n[None, :] - both)
+    for i, j in zip(*np.nonzero(linked & (both < np.float32(similarity + 1e-6) * (n[:, None] + n[None, :] - both))), strict=True):
+        linked[i, j] = float(both[i, j]) / (float(n[i]) + float(n[j]) - float(both[i, j])) >= similarity - 1e-9 if n[i] or n[j] else True
+    if (side >= 0).any():
+        linked &= side[:, None] != side[None, :]
+    left, ends = np.arange(len(sets)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            node = queue.pop()
+            near = linked[node, left]
+            if near.any():
+                reached, left = left[near], left[~near]
+                ends.append((np.full(len(reached), node), reached))
+                queue.extend(reached)
+    return tuple(np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def forests(meeting: DataFrame, sets: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """meeting: keys, side, set; sets: set, shingles. Verified links (a, b) that connect the sets of each group."""
+
+    def link(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, side, shingles in groups_of(frames, keys, ["set", "side", "shingles"]):
+            i, j = exact_forest([np.frombuffer(x, np.uint64) for x in shingles], side, similarity)
+            if len(i):
+                yield pd.DataFrame({"a": own[i], "b": own[j]})
+
+    return meeting.join(sets, "set").select(*keys, "side", "set", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(link, "a long, b long")
+
+
+def cluster_links(clusters: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """clusters: set, cluster, n; sets: set, shingles. Verified links (a, b) that connect what all links inside a cluster do.
+
+    A cluster is dealt to blocks, and each block is compared whole, with some texts that all blocks of its cluster meet. A
+    link that this leaves out joins two classes, so one of its texts is not in the cluster's largest class: these are
+    compared with all texts of the cluster, block against block. No pair of a cluster is left untested unless both of its
+    texts are in one class already."""
+    zero = F.lit(0).cast("long")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = materialise(joined_by(clusters.select("set", "cluster"), materialise(sizes), "cluster").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks"))))
+    hub = F.pmod(F.xxhash64(F.lit(1), "set"), F.col("size")) < HUBS
+    every = F.when(hub, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("own"))
+    first = materialise(forests(placed.select("cluster", F.explode(every).alias("block"), F.lit(-1).alias("side"), "set"), sets, ["cluster", "block"], similarity))
+    many = placed.where("blocks > 1")
+    if many.isEmpty():
+        return first
+    classes = joined_by(many, materialise(connected_components(first).withColumnRenamed("node", "set")), "set", "left").withColumn("class", F.coalesce("component", "set"))
+    largest = classes.groupBy("cluster", "class").agg(F.count("*").alias("of")).groupBy("cluster").agg(F.max_by("class", F.struct("of", "class")).alias("largest"))
+    rest = materialise(joined_by(classes, materialise(largest), "cluster").where("class <> largest").select("cluster", "set", "own", "blocks"))
+    if rest.isEmpty():
+        return first
+    counted = materialise(rest.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("parts")))
+    part = F.pmod(F.xxhash64(F.lit(2), "set"), F.col("parts"))
+    rest = rest.join(counted, "cluster").select("cluster", part.alias("part"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "set")
+    others = many.join(counted, "cluster").select("cluster", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), F.col("own").alias("block"), F.lit(1).alias("side"), "set")
+    return first.union(materialise(forests(rest.union(others), sets, ["cluster", "part", "block"], similarity)))
+
+
+def similar_texts(docs: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 8, most: int = 1 << 14, block: int = BLOCK) -> DataFrame:
     """Per row: key, class. Rows are of one class if verified links lead from one to the other: a Jaccard similarity of
     their texts' distinct shingles of at least `similarity`. key: a long, the same only for rows with the same text.
 
@@ -439,7 +529,12 @@ def similar_texts(docs: DataFrame, key: str, text: str = "text", words: int = 5,
     ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     asked = materialise(ends.join(distinct.select("set", "key"), "set"))
     sets = joined_by(rows, asked, "key").dropDuplicates(["key"]).select("set", "text").mapInArrow(whole, "set long, shingles binary")
-    links = verified(pairs, materialise(sets), similarity)
+    sets = materialise(sets)
+    links = verified(pairs.where("not dense").select("a", "b"), sets, similarity)
+    dense = pairs.where("dense")
+    if not dense.isEmpty():
+        clusters = connected_components(dense).select(F.col("node").alias("set"), F.col("component").alias("cluster"))
+        links = links.union(cluster_links(clusters.join(distinct.select("set", "n"), "set"), sets, similarity, block))
     component = connected_components(links).withColumnRenamed("node", "set")
     return marked.select("key", "set").join(component, "set", "left").select(F.col("key").alias(key), F.coalesce("component", "set").alias("class"))
 

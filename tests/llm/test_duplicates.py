@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from quillon.llm import simhash
@@ -171,6 +172,48 @@ def test_classes_of_chains_and_large_groups(spark):
         assert len(set(got.values())) == len(set(want)) == len({(got[k], want[k]) for k, _ in rows})
 
 
+def family(r, texts_, words, changes):
+    """Near copies of one text that is not among them."""
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(texts_):
+        own = list(base)
+        for k in r.sample(range(words), r.randint(*changes)):
+            own[k] = f"w{r.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+FAMILIES = [(300, 100, (1, 3)), (300, 300, (4, 7)), (60, 100, (1, 3)), (200, 200, (2, 5)), (150, 60, (1, 2)), (120, 500, (8, 14)), (200, 80, (1, 3)), (100, 1000, (15, 30))]
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 64])
+def test_dense_families_without_a_centre(spark, block):
+    """Only links between the copies themselves hold their classes together: what is found connects as all exact links do."""
+    r = random.Random(5)
+    rows = list(enumerate(t for f in FAMILIES for t in family(r, *f)))
+    want = plain_similar(rows)
+    got = {x.k: x["class"] for x in simhash.similar_texts(spark.createDataFrame(rows, "k long, text string"), "k", block=block).collect()}
+    at = 0
+    for n, _, _ in FAMILIES:
+        exact, found = len(set(want[at : at + n])), len({got[k] for k in range(at, at + n)})
+        assert len({(got[k], want[k]) for k in range(at, at + n)}) == found  # no link that is none
+        assert n - found >= 0.9 * (n - exact)
+        at += n
+    copies = len(rows) - len(set(want))
+    assert len(rows) - len(set(got.values())) >= 0.98 * copies > 500
+
+
+def test_shared_shingles_and_forests():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 400, n).astype(np.uint64)) for n in (0, 1, 30, 200, 200, 390)] + [np.arange(100, dtype=np.uint64), np.arange(80, dtype=np.uint64), np.arange(20, 100, dtype=np.uint64)]
+    shared = simhash.shared_shingles(sets)
+    assert all(shared[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(len(sets)) if i != j)
+    everyone = np.full(len(sets), -1)
+    assert {frozenset(e) for e in zip(*(x.tolist() for x in simhash.exact_forest(sets, everyone, 0.8)), strict=True)} == {frozenset((6, 7)), frozenset((6, 8))}  # just 0.8
+    assert simhash.exact_forest(sets, everyone * 0 + 1, 0.8)[0].size == 0
+
+
 def test_one_of_odd_documents(spark):
     docs = odd_docs(spark)
     kept = simhash.one_of_each(docs)
