@@ -244,17 +244,6 @@ def topics(queries: DataFrame, labels: DataFrame) -> DataFrame:
     return named.groupBy("query").agg(F.min_by("topic", F.struct("source", "topic")).alias("topic"))
 
 
-def meaning(evidence: DataFrame, near: DataFrame, known: DataFrame, most: int = 20, ceiling: float = 1.6, places: int = 9) -> DataFrame:
-    """evidence: query, id, kind, amount (labels, keywords, phrases, titles); near: query, id, near (to the query's
-    anchors); known: id, known (0..100), fit. (known / 100)^4 * fit * (evidence up to a ceiling + near over its best)."""
-    e = evidence.groupBy("query", "id").agg(F.least(F.sum("amount"), F.lit(ceiling)).alias("e"))
-    n = near.withColumn("n", F.try_divide("near", F.max("near").over(Window.partitionBy("query")))).select("query", "id", "n")
-    both = e.join(n, ["query", "id"], "full").join(known, "id")
-    score = F.round(F.pow(F.col("known") / 100, F.lit(4)) * F.col("fit") * (F.coalesce("e", F.lit(0.0)) + F.coalesce("n", F.lit(0.0))), places)
-    s = both.withColumn("score", score).where("score > 0")
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("place") <= most).select("query", "place", "id", "score")
-
-
 def recent_matches(recent: DataFrame, text: str, typed) -> DataFrame:
     """Recent searches that start with what is typed, or have a word that does."""
     low = F.lower(F.trim(typed))

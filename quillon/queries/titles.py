@@ -80,15 +80,6 @@ def topic_names(spark, d):
     return search.topics(q, labels)
 
 
-def meaning_rows(spark, d):
-    words = shows(spark, d).select("id", F.explode(F.split("name", " ")).alias("word"))
-    q = spark.createDataFrame([(1, "red"), (2, "gear")], "query long, word string")
-    evidence = words.join(F.broadcast(q), "word").select("query", "id", F.lit("keyword").alias("kind"), F.lit(1.0).alias("amount"))
-    near = shows(spark, d).join(F.broadcast(q)).where(F.col("genre_bits") > 40).select("query", "id", (F.col("genre_bits") / 64).alias("near"))
-    known = shows(spark, d).select("id", F.col("popularity").alias("known"), F.lit(1.0).alias("fit"))
-    return search.meaning(evidence, near, known).select("query", F.col("place").cast("long").alias("place"), "id", F.round("score", 6).alias("score"))
-
-
 def just_added(spark, d):
     t = shows(spark, d).where("year >= 2015").select("id", F.col("name").alias("title"), (F.col("status") == "Running").alias("current")).na.fill(False)
     return search.just_added(asked(spark), t).select("query", F.col("place").cast("long").alias("place"), "id", F.col("tier").cast("long").alias("tier"))
@@ -156,7 +147,6 @@ QUERIES = [
     Query("search_study", study_search, f"WITH {SHOWS_SQL}, {_Q}, h AS (SELECT query, lower(text) AS t, id, name, popularity FROM q JOIN shows ON len(list_filter(string_split(lower(text), ' '), lambda w: NOT contains(name, w))) = 0), r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN starts_with(name, t) THEN 0 ELSE 1 END, popularity DESC, length(name), id) AS place FROM h) SELECT query, place, id FROM r WHERE place <= 10"),
     Query("phrase_hits", phrases, "WITH b AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') AS p FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents) SELECT doc_id, item_id FROM d JOIN b ON p <> '' AND contains(t, ' ' || p || ' ')"),
     Query("search_topics", topic_names, "WITH q AS (SELECT * FROM (VALUES (1::BIGINT, 'bolts'), (2::BIGINT, 'gear'), (3::BIGINT, 'rings'), (4::BIGINT, 'nothing')) v(query, t)), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT query, min(upper(w)) AS topic FROM q JOIN w ON t IN (w, w || 's') GROUP BY query"),
-    Query("search_meaning", meaning_rows, f"WITH {SHOWS_SQL}, q AS (SELECT * FROM (VALUES (1::BIGINT, 'red'), (2::BIGINT, 'gear')) v(query, word)), e AS (SELECT query, id, least(count(*) * 1.0, 1.6)::DOUBLE AS e FROM (SELECT id, unnest(string_split(name, ' ')) AS word FROM shows) JOIN q USING (word) GROUP BY ALL), n AS (SELECT query, id, (genre_bits / 64) / max(genre_bits / 64) OVER (PARTITION BY query) AS n FROM shows, q WHERE genre_bits > 40), s AS (SELECT query, id, round(pow(popularity / 100, 4) * (coalesce(e, 0) + coalesce(n, 0)), 9) AS score FROM e FULL JOIN n USING (query, id) JOIN shows USING (id)), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s WHERE score > 0) SELECT query, place, id, round(score, 6) AS score FROM r WHERE place <= 20"),
     Query("search_just_added", just_added, f"WITH {SHOWS_SQL.replace(' FROM part)', ' FROM part WHERE CAST(1950 + p_partkey % 75 AS INT) >= 2015)')}, {_Q}, {_NORM.split('ls AS')[0]} {_LS}, {_FORMS}, u AS ({_T1} UNION ALL {_T2} UNION ALL {_T3}), m AS (SELECT query, id, min(tier) AS tier FROM u GROUP BY ALL) SELECT query, m.id, tier, row_number() OVER (PARTITION BY query ORDER BY tier, coalesce(status = 'Running', false) DESC, m.id) AS place FROM m JOIN shows ON shows.id = m.id"),
     Query("browse_sorts", browse_sorts, f"WITH {SHOWS_SQL} SELECT 'popularity' AS sort, id FROM (SELECT id FROM shows ORDER BY popularity DESC, id LIMIT 20) UNION ALL SELECT 'rating', id FROM (SELECT id FROM shows ORDER BY rating DESC NULLS LAST, popularity DESC, id LIMIT 20) UNION ALL SELECT 'newest', id FROM (SELECT id FROM shows ORDER BY year DESC, popularity DESC, id LIMIT 20) UNION ALL SELECT 'shortest', id FROM (SELECT id FROM shows ORDER BY runtime, popularity DESC, id LIMIT 20) UNION ALL SELECT 'name', id FROM (SELECT id FROM shows ORDER BY lower(name), id LIMIT 20)"),
 ]
