@@ -15,6 +15,6 @@ class Query(NamedTuple):
 
 
 def all_queries() -> list[Query]:
-    from . import catalogue, landed, lists, model, ordered, ranking, related, scalars, titles
+    from . import catalogue, landed, lists, model, ordered, ranking, related, scalars, starters, titles
 
-    return [q for module in (scalars, catalogue, landed, model, lists, ordered, titles, related, ranking) for q in module.QUERIES]
+    return [q for module in (scalars, catalogue, landed, model, lists, ordered, titles, related, ranking, starters) for q in module.QUERIES]
