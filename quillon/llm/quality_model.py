@@ -8,8 +8,8 @@ parts of at most PART bytes: the difference means the same at every length.
 
 Learning takes a bounded sample of the labelled rows: at most `per_class` rows of each label for the dictionaries, and
 at most `per_class` others of each label for the curve, whole texts both. Texts are measured where they lie; only the
-dictionary texts' parts come to the driver, at most `per_class` times `parts_each` a label, where longer texts give
-parts from all over their length. Scoring is over every whole text.
+dictionary texts come to the driver, whole: rows of a label are taken in the order of a hash until they hold `class_bytes`.
+Scoring is over every whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, slices, texts_of
@@ -111,9 +111,10 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
     return (*(float(v) for v in w[:-1] / scale), float(w[-1] - (w[:-1] * mean / scale).sum()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, parts_each: int = 2, dictionary_bytes: int = 524_288, level: int = 12) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, class_bytes: int = 16 << 20, dictionary_bytes: int = 524_288, level: int = 12) -> CompressionModel:
     """Learn from the labelled rows outside the held-out fold. The sample is those with the smallest hash of the
-    doc_id: dictionaries from folds 1 and 2, the curve from folds 3 and 4. Of a repeated doc_id the smallest text counts,
+    doc_id: dictionaries from folds 1 and 2, the curve from folds 3 and 4. Dictionary rows are whole texts, as many as
+    `class_bytes` hold; a row of over a quarter of that takes no part. Of a repeated doc_id the smallest text counts,
     of differing labels the lower. Null labels, doc_ids and texts take no part. Where too few or too short texts of a
     label are there, no dictionary is built and every score is the share of label 1."""
     labelled = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -127,19 +128,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, parts_each: in
     # of a repeated doc_id one text: at most 4 * per_class rows, whatever the corpus
     sample = materialise(sample.groupBy("doc_id", "quality", "curve").agg(F.min("text").alias("text")).select("doc_id", "quality", "curve", "text"))
 
-    def spread_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            rows = []
-            for doc, quality, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
-                parts = parts_of(text.encode("utf-8", "surrogatepass"))
-                rows += [(doc, quality, k, parts[len(parts) * k // parts_each]) for k in range(parts_each)] if len(parts) > parts_each else [(doc, quality, k, p) for k, p in enumerate(parts)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "quality", "k", "part"])
-
     bounded_batches(docs.sparkSession)
-    parts = sample.where("not curve").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "curve", "text").mapInArrow(spread_parts, "doc_id long, quality int, k int, part binary")
-    rows = sorted((r.doc_id, r.k, r.quality, bytes(r.part)) for r in parts.collect())
-    good, bad = (build_dictionary([p for _, _, q, p in rows if q == quality], dictionary_bytes) for quality in (1, 0))
+    size = F.octet_length("text")
+    held = F.sum(size).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most per_class rows of each
+    whole = sample.where(~F.col("curve") & (size <= class_bytes // 4)).withColumn("held", held).where(F.col("held") <= class_bytes)
+    rows = sorted((r.doc_id, r.quality, r.text) for r in whole.select("doc_id", "quality", "text").collect())
+    rows = [(quality, part) for _, quality, text in rows for part in parts_of(text.encode("utf-8", "surrogatepass"))]
+    good, bad = (build_dictionary([p for q, p in rows if q == quality], dictionary_bytes) for quality in (1, 0))
     model = CompressionModel(good, bad, level) if good and bad else CompressionModel(b"", b"", level)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """The compression classifier by held-out accuracy, the quality rules against plain counts."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -57,6 +58,25 @@ def test_odd_documents_are_scored(spark, small):
     assert quality_model.quality_scores(no_docs(spark), quality_model.fit(no_docs(spark), labels.limit(0))).count() == 0
 
 
+def test_all_of_a_long_labelled_text_is_learned(spark):
+    """What only stands deep inside labelled texts of over 32 KB tells the classes apart; rows beyond the bytes do not."""
+    r = random.Random(1)
+    filler = lambda n: " ".join(f"f{r.randrange(10**5)}" for _ in range(n))
+    mark = {q: [f"{'good' if q else 'bad'}{r.randrange(10**6)}" for _ in range(600)] for q in (0, 1)}
+    deep = lambda q: " ".join([filler(3500), *r.choices(mark[q], k=1500), filler(3500)])
+    rows = [(k, deep(k % 2)) for k in range(80)]
+    assert min(len(t) for _, t in rows) > 32_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(docs, labels)
+    assert b"good" in model.good and b"bad" in model.bad
+    scores = {r.doc_id: (r.held_out, r.score) for r in quality_model.quality_scores(docs, model).collect()}
+    held = [(s, k % 2) for k, (out, s) in scores.items() if out]
+    assert auc(held) > 0.95
+    short = quality_model.fit(docs, labels, class_bytes=200_000)  # a few whole rows only, fewer than a dictionary takes
+    assert len(short.good) < len(model.good)
+
+
 def test_a_repeated_key_does_not_swell_the_sample(spark):
     docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "good text")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
