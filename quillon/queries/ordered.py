@@ -9,7 +9,7 @@ from ..functions import packed
 from ..operators import aggregates, joins, sequences, sets
 from ..plans.stand_ins import SHOWS_SQL, item_events, shows
 from ..sources.tables import table
-from ..streaming import streams
+from ..streaming import queues, streams
 from . import Query
 
 TODAY = "2024-01-25"
@@ -197,6 +197,35 @@ def stream_high_water(spark, d):
     return out.groupBy("id").agg(F.max("updated").alias("updated"))
 
 
+def _requests(spark, d):
+    """Demands, leases and answers out of events: two queues by user, entries by item."""
+    item = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(F.col("event_id") % 5 == 3, "next").when(F.col("event_id") % 5 == 4, "done").otherwise("demand")
+    retry = F.when((kind == "done") & (F.col("event_id") % 2 == 0), F.lit(7_200_000_000))
+    return _stream(spark, d).select("ts", F.col("event_id").alias("number"), F.when(F.col("user_id") % 2 == 0, "tv").otherwise("film").alias("source"), kind.alias("kind"), item.alias("id"), (F.col("value") > 60).cast("int").alias("urgent"), retry.alias("retry"))
+
+
+def stream_queue(spark, d):
+    """What becomes of each request of two bounded queues."""
+    out = streams.drain(queues.demand_queue(_requests(spark, d), most=24, shards=2), state_store=queues.ROCKS)
+    return out.select("source", F.col("shard").cast("long").alias("shard"), "id", "said", "at")
+
+
+def stream_poll(spark, d):
+    """Items asked for, newest first, at least an hour apart in each of two shards."""
+    updates = _stream(spark, d).select("ts", F.col("event_id").alias("number"), F.get_json_object("props", "$.k").cast("long").alias("id"), F.col("event_id").alias("updated"))
+    return streams.drain(queues.updates_poll(updates, newest=20, reach=70, most=30, gap=3_600_000, shards=2), state_store=queues.ROCKS).withColumn("shard", F.col("shard").cast("long"))
+
+
+def stream_expiry(spark, d):
+    """When users come to be held and are forgotten after six hours without an event."""
+    rows = _stream(spark, d).select("ts", F.col("user_id").alias("key"))
+    return streams.drain(queues.expiring(rows, EXPIRY), state_store=queues.ROCKS)
+
+
+#: Microseconds after which a user without events is forgotten.
+EXPIRY = 6 * 3_600_000_000
+
 _RUNS = """WITH t AS (SELECT conv_id, turn // 4 AS season, turn AS number, length(text)::DOUBLE AS rating FROM conversations WHERE length(text) > 0),
 b AS (SELECT *, CASE WHEN lag(season) OVER w <> season OR number - lag(number) OVER w <> 1 THEN 1 ELSE 0 END AS br FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY season, number)),
 r AS (SELECT *, 1 + sum(br) OVER (PARTITION BY conv_id ORDER BY season, number) AS run FROM b)
@@ -235,6 +264,12 @@ QUERIES = [
     Query("stream_sessions", stream_sessions, f"SELECT user_id, start, events FROM ({_ISLANDS}) WHERE \"last\" + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"),
     Query("stream_metrics", stream_metrics, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events) GROUP BY ALL"),
     Query("stream_demand", stream_demand, "SELECT user_id AS id, event_type AS source, max((value > 90)::INT)::BIGINT AS urgent, min(epoch_us(ts))::DOUBLE AS requested, count(*) AS asked FROM events GROUP BY ALL"),
+    Query("stream_queue", stream_queue),
+    Query("stream_poll", stream_poll),
+    Query("stream_expiry", stream_expiry, f"""WITH t AS (SELECT user_id AS key, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before, (SELECT max(epoch_us(ts)) FROM events) AS now FROM (SELECT DISTINCT user_id, ts FROM events)),
+        s AS (SELECT *, sum(CASE WHEN before IS NULL OR t > before + {EXPIRY} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY t) AS run FROM t),
+        r AS (SELECT key, run, min(t) AS start, max(t) AS last, any_value(now) AS now FROM s GROUP BY key, run)
+        SELECT key, 'put' AS said, start AS "at" FROM r UNION ALL SELECT key, 'expired', last FROM r x WHERE last + {EXPIRY} + 1000 < now OR EXISTS (SELECT 1 FROM r y WHERE y.key = x.key AND y.run > x.run)"""),
     Query("stream_budget", stream_budget),
     Query("stream_admission", stream_admission, "WITH r AS (SELECT user_id AS key, event_id AS request, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT key, request, round(3600.0 * k + max(t - 3600.0 * k) OVER (PARTITION BY key ORDER BY k ROWS UNBOUNDED PRECEDING), 3) AS start FROM r"),
     Query("stream_high_water", stream_high_water, "SELECT user_id AS id, max(event_id) AS updated FROM events GROUP BY user_id"),
