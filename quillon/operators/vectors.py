@@ -32,13 +32,14 @@ def terms(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), ngrams:
 
 def tf_idf(tf: DataFrame, key: str, rows: DataFrame, min_df: int = 3, max_df: float = 0.7, max_features: int | None = 40_000) -> DataFrame:
     """key, term, value: 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, scaled to unit length by row. `rows` are all rows
-    that count as documents. The terms kept are those of the highest corpus count, ties to the smaller term."""
+    that count as documents. The terms kept are those of the highest corpus count, ties to the smaller term; up to so many of
+    them are broadcast."""
     n = rows.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     if max_features:
         df = df.orderBy(F.desc("total"), "term").limit(max_features)
     idf = df.select("term", (F.log((1 + F.col("n")).cast("double") / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("v"))
+    weighted = tf.join(F.broadcast(idf) if max_features else idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("v") / norm).alias("value"))
 
@@ -154,11 +155,9 @@ def text_cosines(vectors: DataFrame, key: str, left: DataFrame | None = None) ->
 
 
 def nearest_texts(vectors: DataFrame, key: str, asked: DataFrame, k: int = 10) -> DataFrame:
-    """a, b, score, rank: for the asked rows (column `key`) the k rows of largest text cosine. Terms are numbered, and
-    vectors are compared in blocks, so a term that most rows have joins nothing."""
-    vectors = materialise(vectors)
-    terms_ = numbered(vectors.select("term").distinct(), ["term"], "col")
-    rows = materialise(blocks.sparse(vectors.join(terms_, "term"), key, "col", "value"))
+    """a, b, score, rank: for the asked rows (column `key`) the k rows of largest text cosine. Vectors are
+    compared in blocks, so a term that most rows have joins nothing."""
+    rows = materialise(blocks.sparse(vectors, key, ["term"], "value"))
     return blocks.nearest(rows.join(asked.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi"), rows, k)
 
 
@@ -198,8 +197,7 @@ def closeness_cells(shows: DataFrame, texts: DataFrame, facets: DataFrame, weigh
 
 def cell_vectors(cells: DataFrame) -> DataFrame:
     """The cells as id, cols, vals for blocks.nearest; written."""
-    names = numbered(cells.select("kind", "token").distinct(), ["kind", "token"], "col")
-    return materialise(blocks.sparse(cells.join(names, ["kind", "token"]), "id", "col", "value"))
+    return materialise(blocks.sparse(cells, "id", ["kind", "token"], "value"))
 
 
 def pair_closeness(pairs: DataFrame, cells: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Ranking and the order of what is shown. Lists are those of the users whose id is divisible by 50, but for the interest
-clusters, which are of all users."""
+"""Ranking and the order of what is shown. Searches over the whole catalogue are for the users whose id is divisible by 50; pages,
+rows and clusters are of all users."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.noise import gumbel, hash_uniform
-from ..operators import aggregates, evaluate, ranking, rows, vectors
+from ..operators import aggregates, evaluate, ranking, recipes, rows, vectors
 from ..operators.filters import Settings
 from ..plans import recommend as whole
 from ..plans.stand_ins import RATINGS_SQL, SHOWS_SQL, attributes, ratings, shows
@@ -189,6 +189,16 @@ def row_titles(spark, d):
     return s.select("id", title.alias("title"))
 
 
+def row_recipes(spark, d):
+    """Micro-genres of every user's liked shows: subject and adjective by name, form by type, place by language, era by decade."""
+    s = shows(spark, d)
+    of = {"core": F.concat(F.split("name", " ")[1], F.lit("s")), "form": F.lower("type"), "place": F.col("language"), "adjective": F.split("name", " ")[0], "era": F.concat((F.floor(F.col("year") / 10) * 10).cast("string"), F.lit("s"))}
+    parts = materialise(s.select("id", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), c.alias("words")) for r, c in of.items()))).alias("p")).select("id", "p.*"))
+    members = ratings(spark, d).where("weight > 0").select(F.col("user_id").alias("interest"), "id").join(s.select("id"), "id", "left_semi")
+    out = recipes.recipes(members, parts, s.count(), niche=8)
+    return out.select("interest", F.col("place").cast("long").alias("place"), "name", "support", "shows", F.round("lift", 6).alias("lift"))
+
+
 def starter_scores(spark, d):
     s = shows(spark, d).select("id", "type", "popularity")
     tags = table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tags"))
@@ -198,12 +208,23 @@ def starter_scores(spark, d):
     return out.select("id", "type", F.round("score", 6).alias("score"))
 
 
+def _liked_types(spark, d):
+    """user_id, type, share of each user's liked shows."""
+    liked = ratings(spark, d).where("weight > 0").join(shows(spark, d).select("id", "type"), "id").groupBy("user_id", "type").agg(F.count("*").alias("n"))
+    return liked.select("user_id", "type", (F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).alias("share"))
+
+
+def _offered(spark, d, most):
+    """For every user the best shows of each type they like, without those they have rated."""
+    best = ranked(spark, d).where(F.col("rank") <= most).select("type", "id", "rank", "popularity")
+    return _liked_types(spark, d).join(best, "type").join(ratings(spark, d).select("user_id", "id"), ["user_id", "id"], "left_anti")
+
+
 def _candidate_rows(spark, d):
-    """Rows of a page: a row a type, of interests that hold two thirds and one third of the list."""
-    r = ranked(spark, d).where("rank <= 12")
-    cards = r.groupBy(F.lit(1).cast("long").alias("user_id"), F.col("type").alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("cards"), F.avg(F.col("popularity") / 100).alias("relevance"))
-    k = F.length("row") % 3
-    return cards.withColumn("interest", F.when(k < 2, k).cast("int")).withColumn("share", F.when(k == 0, 2 / 3).when(k == 1, 1 / 3)).withColumn("kind", F.substring("row", 1, 1))
+    """Rows of every user's page: a row a type that they like, of interests that hold the most and the second most."""
+    cards = _offered(spark, d, 12).groupBy("user_id", F.col("type").alias("row"), "share").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("cards"), F.avg(F.col("popularity") / 100).alias("relevance"))
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("share"), "row"))
+    return cards.withColumn("k", k).withColumn("interest", F.when(F.col("k") <= 2, F.col("k") - 1).cast("int")).withColumn("share", F.when(F.col("k") <= 2, F.col("share"))).withColumn("kind", F.substring("row", 1, 1)).drop("k")
 
 
 def arrange_rows(spark, d):
@@ -217,9 +238,12 @@ def deduplicated_cards(spark, d):
 
 
 def calibrated(spark, d):
-    s = shows(spark, d).where("popularity >= 80").select(F.lit(1).cast("long").alias("user_id"), "id", (F.col("popularity") / 100).alias("score"), F.split("name", " ").alias("genres"))
-    target = s.select("user_id", F.explode("genres").alias("genre")).groupBy("user_id", "genre").agg((F.count("*") / F.lit(1000.0)).alias("p"))
-    return ranking.calibrate(s, target, 20)
+    """Twenty shows of every user's types, calibrated to the genres of the shows they like."""
+    genres = shows(spark, d).select("id", F.split("name", " ").alias("genres"))
+    offered = _offered(spark, d, 40).join(genres, "id").select("user_id", "id", (F.col("popularity") / 100 * (0.5 + F.col("share") / 2)).alias("score"), "genres")
+    liked = ratings(spark, d).where("weight > 0").join(genres, "id").select("user_id", F.explode("genres").alias("genre")).groupBy("user_id", "genre").agg(F.count("*").alias("n"))
+    target = liked.select("user_id", "genre", (F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).alias("p"))
+    return ranking.calibrate(offered, target, 20)
 
 
 def page_scores(spark, d):
@@ -272,6 +296,20 @@ QUERIES = [
     Query("row_kinds", tagged_rows, f"WITH {SHOWS_SQL} SELECT * FROM (SELECT 'acclaimed' AS row, row_number() OVER (ORDER BY rating DESC, popularity DESC, id) AS place, id FROM shows WHERE rating >= 8.5 UNION ALL SELECT 'gems', row_number() OVER (ORDER BY rating DESC NULLS LAST, id), id FROM shows WHERE popularity < 40 UNION ALL SELECT 'decade', row_number() OVER (ORDER BY popularity DESC, id), id FROM shows WHERE year BETWEEN 1990 AND 1999) WHERE place <= 15"),
     Query("row_titles", row_titles, f"WITH {SHOWS_SQL}, t AS (SELECT id, concat_ws(' ', CASE WHEN rating > 9 THEN 'acclaimed' END, lower(language), string_split(name, ' ')[2], 'series', CASE WHEN year >= 1990 THEN 'from the ' || (year // 10 * 10) || 's' END) AS t FROM shows) SELECT id, upper(t[1]) || t[2:] AS title FROM t"),
     Query("starter_scores", starter_scores),
+    Query("row_recipes", row_recipes, f"""WITH {SHOWS_SQL}, {RATINGS_SQL},
+p AS (SELECT id, string_split(name, ' ')[2] || 's' AS core, lower(type) AS form, language AS place, string_split(name, ' ')[1] AS adjective, (year // 10 * 10)::VARCHAR || 's' AS era FROM shows),
+b AS (SELECT unnest(range(16)) AS mask),
+x AS (SELECT DISTINCT id, core, CASE WHEN mask & 1 > 0 THEN form END AS form, CASE WHEN mask & 2 > 0 THEN place END AS place, CASE WHEN mask & 4 > 0 THEN adjective END AS adjective, CASE WHEN mask & 8 > 0 THEN era END AS era FROM p, b),
+c AS (SELECT core, form, place, adjective, era, count(*) AS shows FROM x GROUP BY ALL),
+l AS (SELECT DISTINCT user_id AS interest, id FROM ratings WHERE weight > 0 AND id IN (SELECT id FROM shows)),
+n AS (SELECT interest, count(*) AS members FROM l GROUP BY interest),
+f AS (SELECT interest, core, form, place, adjective, era, count(*) AS support FROM l JOIN x USING (id) GROUP BY ALL HAVING count(*) >= 2),
+j AS (SELECT f.*, shows, (support / members) / (shows / (SELECT count(*) FROM shows)) AS lift,
+  array_to_string(list_filter([f.adjective, f.place, f.core, coalesce(f.form, 'shows'), 'from the ' || f.era], lambda w: w IS NOT NULL), ' ') AS name FROM f JOIN n USING (interest)
+  JOIN c ON c.core = f.core AND c.form IS NOT DISTINCT FROM f.form AND c.place IS NOT DISTINCT FROM f.place AND c.adjective IS NOT DISTINCT FROM f.adjective AND c.era IS NOT DISTINCT FROM f.era WHERE shows >= 8),
+k AS (SELECT interest, upper(name[1]) || name[2:] AS name, support, shows, lift, round(support * ln(lift), 9) AS strength FROM j WHERE lift >= 1.5 - 1e-9 AND len(string_split(replace(name, ' from the ', ' '), ' ')) <= 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY interest ORDER BY strength DESC, name) AS place FROM k)
+SELECT interest, place, name, support, shows, round(lift, 6) AS lift FROM r WHERE place <= 6"""),
     Query("arrange_rows", arrange_rows),
     Query("deduplicated_cards", deduplicated_cards),
     Query("calibrated_row", calibrated),

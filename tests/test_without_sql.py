@@ -116,37 +116,64 @@ def test_poster_colours(spark, small):
         assert min(abs(r.hue - h) for h in hues) < 1e-3
 
 
-def test_calibrated_row(spark, small):
+def test_calibrated_rows(spark, small):
+    """Of every user the row that a plain greedy takes."""
+    from quillon.plans.stand_ins import ratings
+
     part = {r.p_partkey: r for r in spark.read.parquet(f"{small}/part.parquet").collect()}
-    left = sorted(((k * 37 % 101) / 100, -k) for k in part if k * 37 % 101 >= 80)[::-1]
-    genres = {k: part[k].p_name.split(" ") for k in part}
-    target = {g: n / 1000 for g, n in Counter(g for _, k in left for g in genres[-k]).items()}
-    have, score, n, want = Counter(), 0.0, 0, []
-    while left and n < 20:
-
-        def worth(x, n=n, score=score):
-            mix = Counter(have)
-            for g in genres[-x[1]]:
-                mix[g] += 1 / len(genres[-x[1]])
-            kl = sum(p * math.log(p / (0.99 * mix[g] / (n + 1) + 0.01 * p)) for g, p in target.items())
-            return round(0.5 * (score + x[0]) - 0.5 * kl, 9)
-
-        best = max(left, key=lambda x: (worth(x), x))
-        left.remove(best)
-        for g in genres[-best[1]]:
-            have[g] += 1 / len(genres[-best[1]])
-        score, n = score + best[0], n + 1
-        want.append(-best[1])
-    assert [r.id for r in sorted(rows(spark, small, "calibrated_row"), key=lambda r: r.place)] == want
+    fame, genres = (lambda k: k * 37 % 101), {k: part[k].p_name.split(" ") for k in part}
+    best = {}
+    for k in sorted(part, key=lambda k: (-fame(k), k)):
+        best.setdefault(part[k].p_type, []).append(k)
+    lists = {}
+    for r in ratings(spark, small).collect():
+        lists.setdefault(r.user_id, {})[r.id] = r.weight
+    got = {}
+    for r in sorted(rows(spark, small, "calibrated_row"), key=lambda r: r.place):
+        got.setdefault(r.user_id, []).append(r.id)
+    seen = 0
+    for user, own in lists.items():
+        liked = [k for k, w in own.items() if w > 0 and k in part]
+        types, tags = Counter(part[k].p_type for k in liked), Counter(g for k in liked for g in genres[k])
+        if not liked:
+            assert user not in got
+            continue
+        offered = {k: fame(k) / 100 * (0.5 + types[t] / len(liked) / 2) for t in types for k in best[t][:40] if k not in own}
+        target = {g: n / sum(tags.values()) for g, n in tags.items()}
+        left, have, score, n, want = sorted(((s, -k) for k, s in offered.items()), reverse=True), Counter(), 0.0, 0, []
+        while left and n < 20:
+
+            def worth(x, n=n, score=score, have=have, target=target):
+                mix = Counter(have)
+                for g in genres[-x[1]]:
+                    mix[g] += 1 / len(genres[-x[1]])
+                kl = sum(p * math.log(p / (0.99 * mix[g] / (n + 1) + 0.01 * p)) for g, p in target.items())
+                return round(0.5 * (score + x[0]) - 0.5 * kl, 9)
+
+            top = max(left, key=lambda x: (worth(x), x))
+            left.remove(top)
+            for g in genres[-top[1]]:
+                have[g] += 1 / len(genres[-top[1]])
+            score, n = score + top[0], n + 1
+            want.append(-top[1])
+        assert got.get(user, []) == want
+        seen += 1
+    assert seen > 10
 
 
 def test_folded_names(spark, small):
     import unicodedata
 
+    from quillon.functions.text import ASCII_LETTERS
+
     got = {r.doc_id: r for r in rows(spark, small, "folded_names")}
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
         folded = "".join(c for c in unicodedata.normalize("NFKD", r.text or "").casefold() if c.isalnum())
         assert got[r.doc_id].folded == hashlib.md5(folded.encode()).hexdigest()
+        letters = "".join(ASCII_LETTERS.get(c, c) for c in (r.text or "").casefold())
+        plain = "".join(c for c in unicodedata.normalize("NFKD", letters) if not unicodedata.combining(c))
+        words = " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in plain).split())
+        assert got[r.doc_id].ascii == hashlib.md5(words.encode()).hexdigest()
 
 
 def test_one_show_of_each_franchise(spark, small):
