@@ -26,7 +26,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id
     unsigned 32-bit) and the document's ids with the end id.
 
     A null text is empty and so one piece with the end id alone; rows with a null or repeated key stay rows of their
-    own; other columns are left out."""
+    own; a longer text than max_tokens is cut into pieces, whole; no documents, no rows; other columns are left out."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = piece_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
@@ -121,7 +121,8 @@ def pack(pieces: DataFrame, max_tokens: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """token_pieces, packed."""
+    """The pieces of all documents (token_pieces) with their sequence_id and offset. Null and empty texts, and null and repeated
+    keys, are as there; a text of any length has as many pieces as it fills; no documents, no rows."""
     return pack(token_pieces(docs, tokenizer, max_tokens, end_id, key, text), max_tokens)
 
 

@@ -1,8 +1,8 @@
 """Token-id files compressed by Re-Pair grammars.
 
 Documents are encoded in ascending order of their key and written in blocks. In each block, pairs of neighbouring ids
-are replaced by new symbols, the most frequent first, until no pair is frequent: a rule takes the room of three symbols,
-so a pair has to stand at four places. A block stores its rules with the lengths they expand to, so any span of any
+are replaced by new symbols, the most frequent first, until no pair stands at four places: below that a rule (12 bytes as
+stored, before the writer compresses it) takes more room than it saves. A block stores its rules with the lengths they expand to, so any span of any
 document can be decoded alone. Blocks are rows of a Parquet folder: Spark's writers commit them
 as a whole wherever the cluster keeps its files.
 
@@ -213,7 +213,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Write the whole texts' ids, each document's closed by end_id, in ascending key order to a new Parquet folder.
 
     Nulls: a null text is empty, a null key comes first. Rows with equal keys are ordered by their text's hash. A
-    document is never cut, so a block holds block_tokens ids or a single longer document."""
+    document is never cut, so a block holds block_tokens ids or a single longer document. No documents, a folder without
+    blocks."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, number = piece_encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -251,7 +252,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Decode a folder: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Decode a folder: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. Documents of null and repeated
+    keys are rows of their own, as they were written; a folder without blocks has no rows."""
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -277,7 +279,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Write to a new shared folder and read back."""
+    """Write to a new shared folder and read back: nulls, repeated keys and very long texts as in write_token_files, no documents
+    no rows."""
     folder = shared_folder(docs.sparkSession)
     write_token_files(docs, folder, tokenizer, end_id)
     return read_token_files(docs.sparkSession, folder)
