@@ -157,6 +157,53 @@ def published_version(spark, d):
     return tables.current(spark, root, "catalogue")
 
 
+def pruned_versions(spark, d):
+    """Of five versions the newest two stay, and the current one."""
+    root, part = tables.shared_folder(spark), table(spark, d, "part").select("p_partkey", "p_size")
+    for k in range(5):
+        version = tables.publish(part.where(F.col("p_size") % 5 == k), root, "sizes")
+    tables.prune(spark, root, "sizes", 2)
+    kept = spark.read.parquet(f"{root}/sizes/versions/*").withColumn("current", F.contains(F.col("_metadata.file_path"), F.lit(version)))
+    return kept.select("p_partkey", "current")
+
+
+def matrix_shares(spark, d):
+    """How much of a part's and of a supplier's lines each pair has, from the two copies of their matrix."""
+    folder = tables.shared_folder(spark)
+    names = [f"m{folder[-8:]}_{k}" for k in ("row", "col")]
+    cells = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.count("*").alias("n"))
+    tables.write_matrix(cells, *names, buckets=16, folder=folder)
+    by_row, by_col = tables.read_matrix(spark, *names)
+    of_row, of_col = matrix_share(by_row, "row"), matrix_share(by_col, "col")
+    return of_row.withColumnRenamed("share", "of_row").join(of_col.select("row", "col", F.col("share").alias("of_col")), ["row", "col"])
+
+
+def matrix_share(cells, key):
+    """Each cell's part of its row's (or column's) sum: no shuffle where the cells are bucketed by the key."""
+    return cells.join(cells.groupBy(key).agg(F.sum("n").alias("all")), key).select("row", "col", F.round(F.col("n") / F.col("all"), 9).alias("share"))
+
+
+def entity_labels(spark, d):
+    """Labels of customers in the languages of their nation's number."""
+    c = table(spark, d, "customer")
+    names = F.array(*(F.struct(F.lit(lang).alias("lang"), text_.alias("text")) for lang, text_ in (
+        ("en", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit(" "), "c_name", F.lit("  Ltd ")))), ("mul", F.when(F.col("c_custkey") % 4 == 1, F.col("c_mktsegment"))),
+        ("fr", F.lower("c_mktsegment")), ("de", F.lower("c_mktsegment")), ("it", F.col("c_name")), ("es", F.when(F.col("c_custkey") % 4 == 3, F.col("c_name"))), ("pl", F.lit(" ")),
+    )))
+    return tables.entity_labels(c.select(F.col("c_custkey").alias("item"), F.explode(names).alias("n")).select("item", "n.*"))
+
+
+def belongs_to(spark, d):
+    """What parts belong to by way of suppliers, nations and regions, each statement with its weight."""
+    li, s, n = (table(spark, d, t) for t in ("lineitem", "supplier", "nation"))
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    facts = li.select(name("p", "l_partkey").alias("item"), name("s", "l_suppkey").alias("value"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.8).alias("multiplier"))
+    triples = s.select(name("s", "s_suppkey").alias("item"), F.when(F.col("s_suppkey") % 2 == 0, "P8345").otherwise("P179").alias("prop"), name("n", "s_nationkey").alias("value"))
+    triples = triples.union(n.select(name("n", "n_nationkey"), F.lit("P1434"), name("r", "n_regionkey"))).union(n.select(name("n", "n_nationkey"), F.lit("P31"), F.lit("nation")))
+    out = tables.typed_hops(facts, triples, {"P179": 0.5, "P8345": 0.4, "P1434": 0.25})
+    return out.select("item", "value", F.round("multiplier", 6).alias("multiplier"), F.col("hops").cast("long").alias("hops"))
+
+
 def report_files(spark, d):
     """A report of one sorted CSV file, read back."""
     folder = tables.shared_folder(spark)
@@ -295,6 +342,13 @@ QUERIES = [
     Query("vocabularies", vocabularies, "SELECT 'p_brand' AS name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS values FROM part UNION ALL SELECT 'p_type', string_agg(DISTINCT p_type, ',' ORDER BY p_type) FROM part"),
     Query("trimmed_payloads", trimmed_payloads, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS name, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 12 <= 10 THEN (o_orderkey % 12)::DOUBLE END AS score, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 19)::VARCHAR END AS rating, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 9 = 0 OR o_orderkey % 4 = 3 THEN '50' WHEN o_orderkey % 4 = 1 THEN o_orderkey % 9 || ',50' ELSE '50,' || o_orderkey % 9 END AS providers FROM orders"),
     Query("published_version", published_version, "SELECT p_partkey, p_name FROM part"),
+    Query("pruned_versions", pruned_versions, "SELECT p_partkey, p_size % 5 = 4 AS current FROM part WHERE p_size % 5 >= 3"),
+    Query("matrix_shares", matrix_shares, 'WITH m AS (SELECT l_partkey AS "row", l_suppkey AS col, count(*) AS n FROM lineitem GROUP BY ALL) SELECT "row", col, round(n / sum(n) OVER (PARTITION BY "row"), 9) AS of_row, round(n / sum(n) OVER (PARTITION BY col), 9) AS of_col FROM m'),
+    Query("entity_labels", entity_labels, "SELECT c_custkey AS item, CASE c_custkey % 4 WHEN 0 THEN c_name || ' Ltd' WHEN 1 THEN c_mktsegment WHEN 2 THEN lower(c_mktsegment) ELSE lower(c_mktsegment) END AS label FROM customer"),
+    Query("belongs_to", belongs_to, """WITH f AS (SELECT 'p' || l_partkey AS item, l_suppkey AS s, max(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.8 END)::DOUBLE AS m FROM lineitem GROUP BY ALL),
+        a AS (SELECT item, 's' || s AS value, m, 0 AS hops FROM f UNION ALL SELECT item, 'n' || s_nationkey, max(m * CASE WHEN s_suppkey % 2 = 0 THEN 0.4 ELSE 0.5 END), 1 FROM f JOIN supplier ON s_suppkey = s GROUP BY ALL
+        UNION ALL SELECT item, 'r' || n_regionkey, max(m * CASE WHEN s_suppkey % 2 = 0 THEN 0.4 ELSE 0.5 END * 0.25), 2 FROM f JOIN supplier ON s_suppkey = s JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL)
+        SELECT item, value, round(m, 6) AS multiplier, hops::BIGINT AS hops FROM a"""),
     Query("report_files", report_files, "SELECT p_brand, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY p_brand"),
     Query("facet_files", facet_files, "WITH t AS (SELECT p_partkey AS id, 'brand' AS family, p_brand AS token FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part UNION ALL SELECT p_partkey, 'word', unnest(string_split(p_name, ' ')) FROM part), c AS (SELECT family, token, count(DISTINCT id) AS df FROM t GROUP BY ALL) SELECT family, token, df, df AS rows FROM c WHERE df >= 2 AND df < (SELECT count(*) FROM part)"),
     Query("month_checks", month_checks, "WITH m AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month FROM lineitem), h AS (SELECT month FROM m WHERE substr(month, 6) NOT IN ('03', '12')) SELECT 'missing' AS kind, month FROM (SELECT month FROM m ORDER BY month DESC LIMIT 14) WHERE month NOT IN (SELECT month FROM h) UNION ALL SELECT 'lost', month FROM h WHERE substr(month, 6) = '05'"),

@@ -133,10 +133,23 @@ def show_records(shows: DataFrame, snapshot: str, genres: Sequence[str], themes:
 # ------------------------------------------------------------------ sinks
 
 
-def write_matrix(df: DataFrame, row_table: str, col_table: str, row: str = "row", col: str = "col", buckets: int = 64) -> None:
-    """A long matrix twice, bucketed by row and by column, so that joins on either need no shuffle."""
+def write_matrix(df: DataFrame, row_table: str, col_table: str, row: str = "row", col: str = "col", buckets: int = 64, folder: str | None = None) -> None:
+    """A long matrix twice, bucketed by row and by column, so that joins and sums on either need no shuffle. folder: where the
+    tables' files go, if not to the warehouse."""
     for name, key in ((row_table, row), (col_table, col)):
-        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        (writer.option("path", f"{folder}/{name}") if folder else writer).saveAsTable(name)
+
+
+def read_matrix(spark: SparkSession, row_table: str, col_table: str) -> tuple[DataFrame, DataFrame]:
+    """Both copies of a matrix, once it is clear that they hold the same cells: as many, with the same sums of hashes of all
+    columns. Copies that differ raise."""
+    both = [spark.table(name) for name in (row_table, col_table)]
+    names = sorted(both[0].columns)
+    told = [t.agg(F.count("*"), F.sum(F.xxhash64(*names).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), *names))).first() for t in both]
+    if sorted(both[1].columns) != names or told[0] != told[1]:
+        raise ValueError(f"{row_table} and {col_table} hold different cells")
+    return both[0], both[1]
 
 
 def publish(df: DataFrame, root: str, name: str, checks: Sequence[DataFrame] = ()) -> str:
@@ -158,6 +171,18 @@ def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}/versions/{version}")
 
 
+def prune(spark: SparkSession, root: str, name: str, keep: int = 3) -> list[str]:
+    """Remove all but the newest `keep` versions of root/name and, whatever its age, the current one. Returns what went."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/versions")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    live = spark.read.schema("version string").json(f"{root}/{name}/current").first()[0]
+    found = sorted(((f.getModificationTime(), f.getPath().getName()) for f in files.listStatus(path)), reverse=True)
+    gone = [v for _, v in found[keep:] if v != live]
+    for version in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(path, version), True)
+    return gone
+
+
 def write_report(df: DataFrame, folder: str, order: Sequence[str], kind: str = "csv") -> None:
     """A small result as one sorted CSV or JSON file, the same bytes for the same rows."""
     one = df.coalesce(1).sortWithinPartitions(*order)
@@ -190,6 +215,31 @@ def facts(triples: DataFrame, properties: dict[str, tuple[str, float]]) -> DataF
     return triples.join(F.broadcast(known), "prop").groupBy("item", "family", "value").agg(F.max("multiplier").alias("multiplier"))
 
 
+def entity_labels(names: DataFrame) -> DataFrame:
+    """names: item, lang, text. item, label: the English label, else the default one (mul), else that which most languages
+    share, of these the shortest and then the first. White space is one space; items without any text have no label."""
+    clean = names.select("item", "lang", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("label")).where("item IS NOT NULL AND label <> ''").distinct()
+    counted = clean.groupBy("item", "label").agg(F.min(F.when(F.col("lang") == "en", 0).when(F.col("lang") == "mul", 1).otherwise(2)).alias("kind"), F.count("*").alias("n"))
+    shared = F.when(F.col("kind") == 2, -F.col("n")).otherwise(0)
+    return counted.groupBy("item").agg(F.min_by("label", F.struct("kind", shared, F.when(F.col("kind") == 2, F.length("label")).otherwise(0), "label")).alias("label"))
+
+
+def typed_hops(facts: DataFrame, triples: DataFrame, weights: dict[str, float], levels: int = 2) -> DataFrame:
+    """facts: item, value, multiplier; triples: item, prop, value. What items carry themselves, and what that belongs to over
+    up to `levels` statements of the properties weighted here: item, value, multiplier (of the best path: the product of
+    its weights), hops (of the shortest of such paths). Statements about themselves, and ways back to the item, count for nothing."""
+    known = triples.sparkSession.createDataFrame([(p, float(w)) for p, w in weights.items()], "prop string, w double")
+    edges = triples.join(F.broadcast(known), "prop").where("item <> value").groupBy("item", "value").agg(F.max("w").alias("w"))
+    edges = materialise(edges.select(F.col("item").alias("at"), F.col("value").alias("to"), "w"))
+    level = facts.groupBy("item", "value").agg(F.max("multiplier").alias("multiplier")).withColumn("hops", F.lit(0))
+    every = level
+    for k in range(levels):
+        level = level.join(edges, level["value"] == edges["at"]).where("to <> item").groupBy("item", F.col("to").alias("value")).agg(F.max(F.col("multiplier") * F.col("w")).alias("multiplier")).withColumn("hops", F.lit(k + 1))
+        every = every.union(level)
+    best = F.max_by(F.struct("multiplier", "hops"), F.struct(F.round("multiplier", 9), -F.col("hops")))
+    return every.groupBy("item", "value").agg(best.alias("b")).select("item", "value", "b.*")
+
+
 def found_films(films: DataFrame, least: int) -> DataFrame:
     """films: qid, kind (film or series), title, year, links, animated. Those with enough links, one row each: a series
     wins over a film, and the earliest year counts."""
