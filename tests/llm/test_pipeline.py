@@ -58,5 +58,5 @@ def test_every_query_is_registered(spark, small):
     import re
 
     names = list(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert all(re.fullmatch(r"op\d+_[a-z0-9_]+|pipeline", n) for n in names) and set(queries.oracle_sql()) <= set(names)
