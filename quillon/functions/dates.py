@@ -42,3 +42,23 @@ def due(fetched_at: Column, now: Column, ended: Column, days: int = 1, ended_day
     """Whether a record is older than its kind allows; never fetched is due."""
     limit = F.when(ended, F.lit(ended_days)).otherwise(F.lit(days))
     return F.coalesce(F.datediff(now, fetched_at) > limit, F.lit(True))
+
+
+_DAY = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
+_CLOCK = r"(\d{2})(?:(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)|(?:(\d{2})(?:(\d{2})(?:[.,](\d{1,6})\d*)?)?))?"
+_OFFSET = r"([+-])([01]\d|2[0-3])(?::?([0-5]\d)(?::?([0-5]\d))?)?"
+_MOMENT = f"^{_DAY}(?:.{_CLOCK}(?:{_OFFSET})?)?$"
+
+
+def parse_moment(value: Column) -> Column:
+    """A moment written by the ISO calendar, in the long or the short form, with or without seconds, fractions (cut at
+    microseconds), Z or an offset; any one character stands between day and time, and without an offset it is UTC. What
+    is no such text, or no such day or time, is null."""
+    text = F.replace(value, F.lit("Z"), F.lit("+00:00"))
+    part = lambda k: F.nullif(F.regexp_extract(text, _MOMENT, k), F.lit(""))
+    either = lambda a, b, default="00": F.coalesce(part(a), part(b), F.lit(default))
+    day = F.concat_ws("-", part(1), F.coalesce(part(2), part(4)), F.coalesce(part(3), part(5)))
+    clock = F.concat(F.coalesce(part(6), F.lit("00")), F.lit(":"), either(7, 10), F.lit(":"), either(8, 11), F.lit("."), F.rpad(either(9, 12, "0"), 6, "0"))
+    whole = lambda k: F.coalesce(part(k).cast("int"), F.lit(0))
+    offset = F.when(part(13) == "-", -1).otherwise(1) * (whole(14) * 3600 + whole(15) * 60 + whole(16))
+    return F.when(text.rlike(_MOMENT), F.try_to_timestamp(F.concat(day, F.lit("T"), clock, F.lit("+00:00"))) - F.make_dt_interval(secs=offset.cast("decimal(18,6)")))

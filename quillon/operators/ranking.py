@@ -178,6 +178,23 @@ def spread(df: DataFrame, group: str, rank: str, key: str, by: str) -> DataFrame
     return df.withColumn("_moved", F.round(moved, 9)).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("_moved", rank, key))).drop("_moved")
 
 
+def spread_groups(df: DataFrame, group: str, rank: str, key: str, by: Column, keep: int = 0) -> DataFrame:
+    """As `spread` for items with several values at once (by: an array; a franchise, its makers, a network): the value that
+    came most often before says how far an item moves down, and an item without values stays. The first `keep` ranks keep
+    their places, and their values count as come before. Repeated and null values of an item count once and not at all;
+    key is unique in a group.
+
+    How often a value came before is its row number in the list, so no list is walked in order; one exchange by `group`
+    serves all windows and the join."""
+    listed = df.repartition(group)
+    each = listed.select(group, key, rank, F.explode(F.array_distinct(by)).alias("_by")).where("_by is not null")
+    before = F.row_number().over(Window.partitionBy(group, "_by").orderBy(rank, key)) - 1
+    most = each.withColumn("_k", before).groupBy(group, key).agg(F.max("_k").alias("_k"))
+    moved = F.log(F.col(rank).cast("double")) - F.coalesce(F.log(0.75 * F.pow(F.lit(0.5), F.col("_k")) + 0.25), F.lit(0.0))
+    order = Window.partitionBy(group).orderBy(F.when(F.col(rank) <= keep, F.col(rank)).asc_nulls_last(), F.round(moved, 9), rank, key)
+    return listed.join(most, [group, key], "left").withColumn("place", F.row_number().over(order)).drop("_k")
+
+
 def dither(df: DataFrame, group: str, rank: str, key: str, seen: Column, noise: Column, length: int = 24, pinned: int = 5, depth: int = 3, fatigue: float = 0.35, epsilon: float = 0.35) -> DataFrame:
     """The best `pinned` by rank and fatigue stay on top; the rest of the best depth * length take noise."""
     pool = df.where(F.col(rank) <= depth * length)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ranking, taste
+from ..operators import explain, ranking, taste
 from ..operators.filters import Settings, eligible
+from ..sources.tables import materialise
 
 
 def scored_candidates(catalogue: DataFrame, ratings: DataFrame, links: DataFrame, attributes: DataFrame, base: DataFrame, settings: Settings) -> DataFrame:
@@ -32,3 +33,22 @@ def recommend(catalogue: DataFrame, ratings: DataFrame, links: DataFrame, attrib
     grouped = ratings.where("weight > 0").join(ranking.interests(ratings.where("weight > 0"), links), ["user_id", "id"])
     source = ranking.closest_source(picked, grouped.select("user_id", "interest", "id", "pos", "weight"), links)
     return picked.join(source, ["user_id", "id"], "left")
+
+
+def explained(catalogue: DataFrame, ratings: DataFrame, links: DataFrame, attributes: DataFrame, base: DataFrame, signals: DataFrame, settings: Settings | None = None, top: int = 24) -> DataFrame:
+    """The picks of `recommend` with what explains them. signals: id, themes, genres (arrays). Adds the pick's themes and
+    genres, those that its closest liked show has too (shared_themes, shared_genres), penalised (percent), the liked shows
+    that stand beside the picks (liked) and how close the pick is to each of them (links, percent)."""
+    settings = settings or Settings()
+    picked = materialise(recommend(catalogue, ratings, links, attributes, base, settings, top))
+    liked = ratings.where("weight > 0").select("user_id", "id", "pos", "weight")
+    penalty = ranking.penalties(picked, ratings.where("weight < 0").select("user_id", "id"), links, settings.dislike)
+    out = explain.linked_liked(explain.shared_signals(picked, signals), liked, links)
+    return out.join(penalty, ["user_id", "id"], "left").withColumn("penalised", explain.penalised(F.col("penalty"))).drop("penalty")
+
+
+def profile(catalogue: DataFrame, ratings: DataFrame, features: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """What each list is made of: its features against the shows it could be given (features: id, group, name), and the
+    commonest language, type and network of its liked shows."""
+    pool = catalogue.where(eligible(settings or Settings()))
+    return explain.list_features(ratings, pool, features, ["group", "name"]), explain.list_context(ratings.where("weight > 0"), catalogue)

@@ -9,7 +9,7 @@ from .compare import database, difference
 
 WITH_SQL = [q for q in all_queries() if q.sql]
 #: One query of each module: the rest are compared by `python -m tests.compare FOLDER`.
-SAMPLE = ("html_strip_words", "audit_counts", "spearman_matrix", "co_interest_topk", "facet_idf_normalised", "taste_contributions", "gaps_islands_moving_avg", "as_of_join", "search_tiers_1_4", "rank_single_interest", "explore_insertion", "sitemap_pages", "stream_high_water")
+SAMPLE = ("html_strip_words", "audit_counts", "spearman_matrix", "co_interest_topk", "facet_idf_normalised", "taste_contributions", "gaps_islands_moving_avg", "as_of_join", "search_tiers_1_4", "rank_single_interest", "explore_insertion", "sitemap_pages", "stream_high_water", "list_features")
 
 
 @pytest.mark.parametrize("name", SAMPLE)
