@@ -15,6 +15,6 @@ class Query(NamedTuple):
 
 
 def all_queries() -> list[Query]:
-    from . import catalogue, explained, landed, lists, model, ordered, ranking, related, scalars, starters, titles
+    from . import catalogue, explained, landed, lists, model, ordered, payloads, ranking, related, scalars, starters, titles
 
-    return [q for module in (scalars, catalogue, landed, model, lists, ordered, titles, related, ranking, starters, explained) for q in module.QUERIES]
+    return [q for module in (scalars, catalogue, landed, model, lists, ordered, titles, related, ranking, starters, explained, payloads) for q in module.QUERIES]
