@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stand_ins import SHOWS_SQL, shows
 from ..sources import payloads
-from ..sources.tables import table
+from ..sources.tables import art_track, manifest, shared_folder, table
 from . import Query
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
@@ -64,6 +64,24 @@ def payload_ratings(spark, d):
     return payloads.store_ratings(found, runs, "id")
 
 
+def art_years(spark, d):
+    """Images and ended years of shows that ended on a day, in a year, at no known time, or never."""
+    s = shows(spark, d)
+    ended = F.expr("CASE id % 4 WHEN 0 THEN concat(year + 3, '-12-31') WHEN 1 THEN CAST(year AS STRING) WHEN 2 THEN 'soon' END")
+    images = s.where("id % 5 > 0").select("id", F.concat(F.lit("https://art.example/"), F.floor(F.col("id") / 2500).cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".jpg")).alias("url"), ended.alias("until"))
+    return art_track(s, images, "id", "url", ended="until").withColumn("ended", F.col("ended").cast("long"))
+
+
+def landed_manifest(spark, d):
+    """Length and hash of landed pages: a file a nation, its customers' names in order."""
+    folder = shared_folder(spark)
+    names = table(spark, d, "customer").where("c_custkey is not null").select((F.col("c_custkey") % 25).alias("page"), "c_custkey", "c_name")
+    bodies = names.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), "\n").alias("value"))  # one of 25 pages a row
+    bodies.repartition(25, "page").write.partitionBy("page").option("lineSep", "\n").text(folder)
+    files = manifest(spark, f"{folder}/page=*/*.txt")
+    return files.select(F.regexp_extract("path", r"page=(\d+)/", 1).cast("long").alias("page"), "length", "sha256")
+
+
 _AT = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER})"
 _CREDIT = """SELECT l_orderkey AS person, '{kind}' AS kind, l_partkey AS show, 'Show ' || l_partkey AS show_name, {part} AS part, l_returnflag = 'R' AS self, false AS voice, pos FROM l WHERE l_orderkey % 3 {third} AND l_linenumber <> 2 {where}"""
 _AGE_LIST = "[" + ", ".join(f"'{a}'" for a in (*payloads.AGES, "Unrated")) + "]"
@@ -76,6 +94,8 @@ SELECT l_orderkey AS show, row_number() OVER (PARTITION BY l_orderkey ORDER BY l
     Query("payload_credits", payload_credits, f"""WITH l AS (SELECT *, {_AT} AS pos FROM lineitem WHERE l_orderkey % 7 > 0),
 c AS ({_CREDIT.format(kind='cast', third='> 0', where='', part="CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 'Role ' || l_linenumber END")} UNION ALL {_CREDIT.format(kind='crew', third='= 0', where='AND l_suppkey % 4 > 0', part="'Writer ' || l_linestatus")})
 SELECT person, kind, "show", show_name, part, self, voice, row_number() OVER (PARTITION BY person, kind ORDER BY pos) AS place FROM c"""),
+    Query("art_years", art_years, f"WITH {SHOWS_SQL} SELECT id, CASE WHEN id % 5 > 0 THEN id ELSE 0 END AS image, (CASE WHEN id % 5 = 0 THEN 0 WHEN id % 4 = 0 THEN year + 3 WHEN id % 4 = 1 THEN year ELSE 0 END)::BIGINT AS ended FROM shows"),
+    Query("landed_manifest", landed_manifest, "WITH f AS (SELECT c_custkey % 25 AS page, string_agg(c_name, chr(10) ORDER BY c_custkey, c_name) || chr(10) AS body FROM customer GROUP BY ALL) SELECT page, octet_length(encode(body)) AS length, sha256(body) AS sha256 FROM f"),
     Query("payload_videos", payload_videos, f"""WITH {SHOWS_SQL}, k AS (SELECT unnest(range(15)) AS k), v AS (SELECT id, k, k AS pos FROM shows, k WHERE k <> 3 UNION ALL SELECT id, 4, -1 FROM shows WHERE id % 3 = 0),
 o AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id, k % 10 ORDER BY pos) = 1)
 SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS place, lpad(id::VARCHAR, 8, '0') || '-' || lpad((k % 10)::VARCHAR, 2, '0') AS video, CASE WHEN k % 4 = 1 THEN '' ELSE 'Clip ' || k END AS title, CASE WHEN k % 3 = 0 THEN 'Teaser' ELSE 'Video' END AS kind, (2000 + k) || '-01-02' AS published FROM o) WHERE place <= 12"""),

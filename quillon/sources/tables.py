@@ -268,13 +268,15 @@ def update_window(gap_seconds: Column) -> Column:
     return F.when(gap_seconds < 86_400, "day").when(gap_seconds < 7 * 86_400, "week").otherwise("month")
 
 
-def art_track(catalogue: DataFrame, images: DataFrame, key: str, url: str, bucket: int = 2500) -> DataFrame:
+def art_track(catalogue: DataFrame, images: DataFrame, key: str, url: str, bucket: int = 2500, ended: str | None = None) -> DataFrame:
     """key, image (0: none) for every row: the number in an image address (.../<bucket>/<number>.jpg) counts only where
-    the bucket is the number's own."""
+    the bucket is the number's own. ended: a text column of images; adds ended, the year it starts with (0: unknown)."""
     number, own = F.regexp_extract(url, r"/(\d+)\.\w+$", 1), F.regexp_extract(url, r"/(\d+)/\d+\.\w+$", 1)
     cast = lambda c: F.try_to_number(c, F.lit("999999999999")).cast("long")
     right = F.when(F.floor(cast(number) / bucket) == cast(own), cast(number))
-    return catalogue.select(key).join(images.select(key, right.alias("image")), key, "left").withColumn("image", F.coalesce("image", F.lit(0)).cast("long"))
+    year = [F.nullif(F.regexp_extract(ended, r"^(\d{4})", 1), F.lit("")).cast("int").alias("ended")] if ended else []
+    out = catalogue.select(key).join(images.select(key, right.alias("image"), *year), key, "left").withColumn("image", F.coalesce("image", F.lit(0)).cast("long"))
+    return out.withColumn("ended", F.coalesce("ended", F.lit(0))) if ended else out
 
 
 def vocabularies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
