@@ -1,14 +1,16 @@
-"""Main text of web pages: markup tells articles from their frame, suffix arrays find the boilerplate of the others.
-
-A page is parsed once. A page with an article or main element is its article: the blocks inside, without the parts that
-are a menu, a form, comments and so on. A page without one is open: all its blocks outside such parts are candidates. For
-hosts with open pages the token streams of each page (the frame of an article page, all of an open one) are laid end to
-end in suffix arrays: a run of RUN tokens that stands on at least PAGES different pages is boilerplate, and longer
-repeated substrings are the unions of such runs. An open page has a core, the stretch of blocks with most tokens that are
+"""Main text of web pages: markup gives the candidates, suffix arrays find the boilerplate among them, markup checks.
+
+A page is parsed once. A page with an article or main element has the blocks inside as candidates, without the parts that
+are a menu, a form, comments and so on. A page without one is open: all its blocks outside such parts are candidates. The
+token streams of each page of a host (the frame of an article page, all of an open one) are laid end to end in suffix
+arrays: a run of RUN tokens that stands on at least PAGES different pages is boilerplate. A token stands in a repeated
+substring of RUN tokens or more exactly if it stands in such a run, so suffixes are sorted to that depth and no further.
+The candidates of every page are searched for the runs. A page has a core, the stretch of blocks with most tokens that are
 not covered above those that are. The core stays whole; outside of it covered tokens go and unique runs stay.
 
-Articles are left to their markup because they share whole passages with each other and with frames: on pages whose
-article is known, arrays take out parts of it (figures in the README).
+A check by markup follows: what an article holds outside of frame parts is its text, so covered tokens of an article come
+back. Articles share whole passages with each other and with frames, and without the check arrays take out parts of them
+(figures in the README). n_repeated tells of each page how many covered tokens its text holds.
 
 Arrays are bounded in size: each gives the runs of its pages with their counts, and the counts of a host are added up
 over its arrays, so no host has to fit in one.
@@ -22,6 +24,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,6 +196,27 @@ def boilerplate(streams: DataFrame) -> DataFrame:
     return runs.groupBy("run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES).select("run")
 
 
+def run_keys_of(hashes: WordHashes, hosts: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts, each a page's blocks joined by spaces: the hash of host and run at each token, as run_keys has it where
+    starts_run is true, and where the tokens of each text end."""
+    words = pc.split_pattern(texts, " ")
+    ends = words.offsets.to_numpy().astype(np.int64)[1:] - words.offsets[0].as_py()
+    coded = words.flatten().dictionary_encode()
+    found = hashes.of([w.encode("utf-8") for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+    seeds = hashes.of([b"\x00" + h.encode("utf-8", "surrogatepass") for h in hosts])
+    keys = run_hashes(found, RUN)
+    return (keys ^ np.repeat(seeds, np.diff(ends, prepend=0))[: len(keys)]).view(np.int64), ends
+
+
+def starts_run(n: int, ends: np.ndarray) -> np.ndarray:
+    """At which of the first n tokens a run can start that lies in one of the texts which end there."""
+    out = np.ones(n, bool)
+    for k in range(1, RUN):
+        at = ends - k
+        out[at[(at >= 0) & (at < n)]] = False
+    return out
+
+
 def covered_tokens(n: int, places: np.ndarray) -> np.ndarray:
     """Which of n tokens a run covers that starts at one of the places."""
     steps = np.zeros(n + 1, np.int64)
@@ -201,8 +225,9 @@ def covered_tokens(n: int, places: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def kept_blocks(blocks: list[str], covered: np.ndarray) -> list[str]:
-    """The blocks of an open page that stay. covered: for each token of the blocks, one after the other."""
+def kept_blocks(blocks: list[str], article: bool, covered: np.ndarray) -> tuple[list[str], int]:
+    """The blocks of a page that stay, and how many of their tokens are covered. covered: for each token of the blocks, one
+    after the other. article: whether they are the blocks of an article, all of which the check gives back."""
     tokens = [b.split(" ") for b in blocks]
     ends = np.cumsum([len(t) for t in tokens])
     parts = np.split(covered, ends[:-1]) if blocks else []
@@ -214,13 +239,14 @@ def kept_blocks(blocks: list[str], covered: np.ndarray) -> list[str]:
             best, core = total - low, (start, k + 1)
         if total <= low:
             low, start = total, k + 1
-    out = []
+    out, repeated = [], 0
     for k, (block, words, c) in enumerate(zip(blocks, tokens, parts, strict=True)):
-        if core[0] <= k < core[1]:
+        if article or core[0] <= k < core[1]:
             out.append(block)
+            repeated += int(c.sum())
         elif not c.all():
             out.append(" ".join(w for w, gone in zip(words, c.tolist(), strict=True) if not gone))
-    return out
+    return out, repeated
 
 
 def held(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -232,14 +258,32 @@ def held(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 #: Runs up to which boilerplate is sent to every task, 8 bytes each; beyond, the pages' runs are joined to it.
 SENT_RUNS = 500_000
+#: Bits of the maps that leave most runs of the pages and pages without boilerplate out of that join, a power of two.
+MAP_BITS = 1 << 27
+
+
+def bit_map(runs: DataFrame) -> np.ndarray:
+    """A bit for each value of the lowest bits of a run, set where there is such a run. Has a fixed size."""
+    word, bit = F.expr(f"shiftright(run & {MAP_BITS - 1}, 6)").alias("word"), F.expr("shiftleft(1L, cast(run & 63 AS int))").alias("bit")
+    got = runs.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bit"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_map(bits: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Whether the bit of each run is set."""
+    low = runs.view(np.uint64) & np.uint64(MAP_BITS - 1)
+    return (bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", by_arrays: bool = True) -> DataFrame:
-    """Per row: page_id, url, text (blocks joined by an empty line), n_chars (code points).
+    """Per row: page_id, url, text (blocks joined by an empty line), n_chars (code points), n_repeated (words of the text that
+    stand in runs which are boilerplate of the host, and that its core or the check by markup keeps).
 
     Null html is empty: empty text. Null and repeated keys and urls stay rows of their own, of repeated pages each; pages
     without a host form one group; very long pages are taken whole; no rows, no result. Other columns are left out.
-    by_arrays=False leaves the suffix arrays out, to measure them."""
+    by_arrays=False leaves the suffix arrays out, to measure them; n_repeated is 0."""
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -248,46 +292,74 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(list(article), pa.bool_()), *lists], ["page_id", "url", "host", "article", "main", "frame"])
 
     def strip(sent: Callable[[], np.ndarray] | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """Over page_id, url, host, main, and where the runs aren't sent the places of boilerplate."""
+        """Over page_id, url, host, article, main, and where the runs aren't sent the places of boilerplate."""
 
         def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, runs = WordHashes(), sent() if sent else None
             for batch in slices(batches, 256):
-                texts = []
-                for host, blocks, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), [None] * batch.num_rows if sent else batch.column(4).to_pylist(), strict=True):
-                    tokens = " ".join(blocks).split(" ") if blocks else []
-                    if runs is not None:
-                        places = np.flatnonzero(held(runs, run_keys(hashes, host, tokens)))
-                    places = np.array(places if places is not None else [], np.int64)
-                    texts.append("\n\n".join(kept_blocks(blocks, covered_tokens(len(tokens), places)) if len(places) else blocks))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+                main = batch.column(4)
+                if sent:
+                    keys, ends = run_keys_of(hashes, batch.column(2).to_pylist(), pc.binary_join(main, " "))
+                    places = np.flatnonzero(held(runs, keys) & starts_run(len(keys), ends))
+                else:
+                    ends = np.cumsum(pc.add(pc.count_substring(pc.binary_join(main, " "), " "), 1).to_numpy().astype(np.int64))
+                    counts = batch.column(5).value_lengths().fill_null(0).to_numpy()
+                    places = batch.column(5).flatten().to_numpy() + np.repeat(ends - np.diff(ends, prepend=0), counts)
+                texts, repeated = pc.binary_join(main, "\n\n").to_pylist(), [0] * batch.num_rows
+                for k, c in enumerate(np.split(covered_tokens(int(ends[-1]), places), ends[:-1])):
+                    if c.any():
+                        blocks, repeated[k] = kept_blocks(main[k].as_py(), batch.column(3)[k].as_py(), c)
+                        texts[k] = "\n\n".join(blocks)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(repeated, pa.int64())], ["page_id", "url", "text", "n_repeated"])
 
         return of
 
-    def runs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, 256):
-            out = [run_keys(hashes, h, " ".join(b).split(" ")) for h, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["row", "runs"])
+    def runs_of(sent: Callable[[], np.ndarray]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Over row, host, main: each run of a page whose bit is set, as row, place, run."""
+
+        def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, bits = WordHashes(), sent()
+            for batch in slices(batches, 256):
+                keys, ends = run_keys_of(hashes, batch.column(1).to_pylist(), pc.binary_join(batch.column(2), " "))
+                places = np.flatnonzero(in_map(bits, keys) & starts_run(len(keys), ends))
+                page = np.searchsorted(ends, places, side="right")
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page)), pa.array(places - (ends - np.diff(ends, prepend=0))[page]), pa.array(keys[places])], ["row", "place", "run"])
+
+        return of
+
+    def marked(sent: Callable[[], np.ndarray], has: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Over rows that end in mark: those whose bit is set, or not set."""
+
+        def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent()
+            for batch in batches:
+                yield batch.filter(pa.array(in_map(bits, batch.column(batch.num_columns - 1).to_numpy()) == has))
+
+        return of
 
     spark = pages.sparkSession
     bounded_batches(spark)
     whole = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     parsed = whole.mapInArrow(parse, "page_id long, url string, host string, article boolean, main array<string>, frame array<string>")
     if not by_arrays:
-        return parsed.select("page_id", "url", F.array_join("main", "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    parsed = materialise(parsed.withColumn("row", F.monotonically_increasing_id()))
-    opened = parsed.where(~F.col("article"))
-    hosts = materialise(opened.select("host").distinct())
-    near = parsed.join(hosts, "host", "left_semi")  # only hosts with an open page need arrays
-    tokens = F.split(F.array_join(F.when(F.col("article"), F.col("frame")).otherwise(F.concat("main", "frame")), " "), " ")
-    found = materialise(boilerplate(near.select("host", F.xxhash64("main", "frame").alias("page"), tokens.alias("tokens")).where(F.size("tokens") >= RUN)))
-    if found.count() <= SENT_RUNS:
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r.run for r in found.collect()], np.int64)))
-        kept = opened.select("page_id", "url", "host", "main").mapInArrow(strip(lambda: shared.value), "page_id long, url string, text string")
+        text = parsed.select("page_id", "url", F.array_join("main", "\n\n").alias("text"), F.lit(0).cast("long").alias("n_repeated"))
     else:
-        runs = opened.select("row", "host", "main").mapInArrow(runs_of, "row long, runs array<long>")
-        places = runs.select("row", F.posexplode("runs").alias("place", "run")).join(found, "run").groupBy("row").agg(F.collect_list("place").alias("places"))
-        kept = opened.join(places, "row", "left").select("page_id", "url", "host", "main", "places").mapInArrow(strip(None), "page_id long, url string, text string")
-    sure = parsed.where("article").select("page_id", "url", F.array_join("main", "\n\n").alias("text"))
-    return sure.union(kept).withColumn("n_chars", F.length("text").cast("long"))
+        parsed = materialise(parsed.withColumn("row", F.monotonically_increasing_id()))
+        tokens = F.split(F.array_join(F.when(F.col("article"), F.col("frame")).otherwise(F.concat("main", "frame")), " "), " ")
+        streams = parsed.select("host", F.xxhash64("main", "frame").alias("page"), tokens.alias("tokens"))
+        found = materialise(boilerplate(streams.where(F.size("tokens") >= RUN)))
+        asked = parsed.select("page_id", "url", "host", "article", "main", "row")
+        kept = "page_id long, url string, text string, n_repeated long"
+        if found.count() <= SENT_RUNS:
+            shared = spark.sparkContext.broadcast(np.sort(np.array([r.run for r in found.collect()], np.int64)))
+            text = asked.drop("row").mapInArrow(strip(lambda: shared.value), kept)
+        else:
+            bits = spark.sparkContext.broadcast(bit_map(found))
+            runs = parsed.select("row", "host", "main").mapInArrow(runs_of(lambda: bits.value), "row long, place long, run long")
+            places = materialise(runs.join(found, "run").groupBy("row").agg(F.collect_list("place").alias("places")))
+            # only the texts of pages with boilerplate are shuffled
+            rows = spark.sparkContext.broadcast(bit_map(places.select(F.xxhash64("row").alias("run"))))
+            asked = asked.withColumn("mark", F.xxhash64("row"))
+            clean = asked.mapInArrow(marked(lambda: rows.value, False), asked.schema).select("page_id", "url", F.array_join("main", "\n\n").alias("text"), F.lit(0).cast("long").alias("n_repeated"))
+            text = asked.mapInArrow(marked(lambda: rows.value, True), asked.schema).drop("mark").join(places, "row", "left").drop("row").mapInArrow(strip(None), kept).union(clean)
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")

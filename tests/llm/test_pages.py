@@ -63,6 +63,64 @@ def test_articles_stay_whole_and_cores_keep_shared_passages(spark, monkeypatch,
     assert all(got[20 + k].text == f"{b}\n\n{quote}\n\n{b[::-1]}" for k, b in enumerate(bodies[8:]))  # inside the core it stays
 
 
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_articles_go_through_the_arrays_and_the_check(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_text, "SENT_RUNS", sent)
+    r = random.Random(12)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    notice, tail, bodies = words(15), words(15), [words(50) for _ in range(20)]
+    page = lambda inside, foot="": f"<article>{inside}</article><footer>{foot}</footer>"
+    rows = [(k, "https://one.example/", page(f"<p>{bodies[k]}</p>", notice)) for k in range(3)]
+    rows += [(10, "https://one.example/", page(f"<p>{bodies[10]}</p><div>{notice}</div>"))]
+    rows += [(11, "https://one.example/", page(f"<p>{notice} {tail}</p><p>{bodies[11]} {notice}</p>")), (12, "https://one.example/", page(notice))]
+    rows += [(13, "https://two.example/", page(f"<p>{bodies[10]}</p><div>{notice}</div>"))]  # another host
+    rows += [(14, "https://one.example/", f"<div>{notice} {tail}</div><p>{bodies[13]}</p>"), (15, "https://one.example/", f"<p>{bodies[14]}</p><p>{notice}</p><p>{bodies[15]}</p>")]
+    rows += [(20 + k, "https://one.example/", page(f"<p>{bodies[16 + k]}</p><p>{tail}</p>")) for k in range(4)]  # shared by articles only
+    rows += [(30, "https://one.example/", ""), (31, "https://one.example/", None), (32, "https://one.example/", "<p>short</p>")]
+    got = {k: (x.text, x.n_repeated) for k, x in run(spark, rows).items()}
+    assert all(got[k] == (bodies[k], 0) for k in range(3))
+    assert got[10] == (f"{bodies[10]}\n\n{notice}", 15) and got[11] == (f"{notice} {tail}\n\n{bodies[11]} {notice}", 30) and got[12] == (notice, 15)
+    assert got[13] == (f"{bodies[10]}\n\n{notice}", 0)
+    assert got[14] == (f"{tail}\n\n{bodies[13]}", 0) and got[15] == (f"{bodies[14]}\n\n{notice}\n\n{bodies[15]}", 15)
+    assert all(got[20 + k] == (f"{bodies[16 + k]}\n\n{tail}", 0) for k in range(4))
+    assert got[30] == got[31] == ("", 0) and got[32] == ("short", 0)
+
+
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_every_page_of_the_driver_goes_through_the_arrays(spark, middle, monkeypatch, sent):
+    from urllib.parse import urlsplit
+
+    monkeypatch.setattr(html_text, "SENT_RUNS", sent)
+    pages = spark.read.parquet(f"{middle}/pages.parquet")
+    seen, main, n = {}, {}, html_text.RUN
+    for p in pages.collect():
+        host, (text, frame, article) = urlsplit(p.url).hostname, html_text.page_blocks(p.html)
+        assert article
+        main[p.page_id], tokens = (host, " ".join(text).split()), " ".join(frame).split()
+        for k in range(len(tokens) - n + 1):
+            seen.setdefault((host, *tokens[k : k + n]), set()).add((tuple(text), tuple(frame)))
+    want = {}
+    for page, (host, tokens) in main.items():
+        places = [k for k in range(len(tokens) - n + 1) if len(seen.get((host, *tokens[k : k + n]), ())) >= html_text.PAGES]
+        want[page] = len({k + d for k in places for d in range(n)})
+    got = {r.page_id: r.n_repeated for r in html_text.extract_text(pages).collect()}
+    assert got == want and sum(x > 0 for x in want.values()) > 1
+
+
+def test_keys_of_many_pages_equal_those_of_each():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(13)
+    texts = [" ".join(r.choice("abc") for _ in range(n)) for n in (0, 3, 9, 8, 7, 30, 1, 0, 8, 40, 2)]
+    hosts, hashes = [r.choice(["", "a.b", "c"]) for _ in texts], html_text.WordHashes()
+    for few in (texts, texts[:2], texts[:1], texts[5:6], texts[2:4]):
+        keys, ends = html_text.run_keys_of(hashes, hosts[: len(few)], pa.array(few))
+        each = [html_text.run_keys(hashes, h, t.split(" ")) for h, t in zip(hosts, few)]
+        assert ends.tolist() == np.cumsum([len(t.split(" ")) for t in few]).tolist()
+        assert keys[html_text.starts_run(len(keys), ends)].tolist() == np.concatenate(each).tolist()
+
+
 def test_a_very_long_page(spark):
     r = random.Random(4)
     body = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(200)) for _ in range(400)]
