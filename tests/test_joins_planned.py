@@ -29,3 +29,4 @@ def test_attributes_are_not_broadcast(spark, small):
     of = attributes(shows(spark, small))
     out = rows.insights(ratings(spark, small), of, lists.reference(spark, small))
     assert not any("Generate" in s and "Aggregate" not in s for s in broadcast(out))
+    assert not any("Generate" in s and "Filter" not in s for s in broadcast(lists.spoke_choice(spark, small)))
