@@ -1,4 +1,5 @@
-"""Title search in tiers, from exact to partial, over a table of title words."""
+"""Title search in tiers, from exact to partial, over a table of title words. Searches are a stated set and few: their words
+are broadcast, so that titles are not shuffled to meet them."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ARTICLES, compact_forms, normalize_title, slips
-from ..sources.tables import materialise
+from ..sources.tables import materialise, never_broadcast
 
 #: Words of any script, as the searched phrases have them.
 WORDS = r"[\p{L}\p{N}]+"
@@ -16,11 +17,11 @@ BROAD = 1000
 
 def title_lines(titles: DataFrame) -> DataFrame:
     """titles: id, title, alias (whether it is another title), known, rating, year. One line per distinct normal title
-    of a show: its own name first; aliases that are only an article go. Written once, for all tiers."""
+    of a show: its own name first; aliases that are only an article go. Written once, for all tiers, and never broadcast."""
     n = titles.withColumn("line", normalize_title("title")).where("line <> ''")
     n = n.where(~F.col("alias") | ~F.col("line").isin(ARTICLES))
     first = F.row_number().over(Window.partitionBy("id", "line").orderBy("alias", "title"))
-    return materialise(n.withColumn("_k", first).where("_k = 1").drop("_k"))
+    return never_broadcast(materialise(n.withColumn("_k", first).where("_k = 1").drop("_k")))
 
 
 def prepared(queries: DataFrame) -> DataFrame:
@@ -48,20 +49,20 @@ def _forms(df: DataFrame, key: str, normal: str) -> DataFrame:
 
 def _all_words(matched: DataFrame, lines: DataFrame) -> DataFrame:
     """matched: query, n, qword, word. query, id, line of the lines in which every query word has a matching word."""
-    hits = matched.join(line_words(lines), "word").groupBy("query", "n", "id", "line").agg(F.count_distinct("qword").alias("have"))
+    hits = line_words(lines).join(F.broadcast(matched), "word").groupBy("query", "n", "id", "line").agg(F.count_distinct("qword").alias("have"))
     return hits.where("have = n").select("query", "id", "line")
 
 
 def starting(q: DataFrame, lines: DataFrame) -> DataFrame:
     """query, n, qword, word: title words that a query word starts, met on their first letter."""
     vocabulary = line_words(lines).select("word", F.substring("word", 1, 1).alias("head")).distinct()
-    return query_words(q).withColumn("head", F.substring("qword", 1, 1)).join(vocabulary, "head").where(F.startswith("word", "qword")).select("query", "n", "qword", "word")
+    return F.broadcast(query_words(q).withColumn("head", F.substring("qword", 1, 1))).join(vocabulary, "head").where(F.startswith("word", "qword")).select("query", "n", "qword", "word")
 
 
 def tier_exact(q: DataFrame, lines: DataFrame) -> DataFrame:
     """Tier 1: a compact form of the query is one of the title. q: as prepared; so for all tiers."""
     asked, held = _forms(q, "query", "t").select("query", "form"), _forms(lines, "id", "line").select("id", "form")
-    return asked.join(held, "form").select("query", "id", F.lit(1).alias("tier")).distinct()
+    return F.broadcast(asked).join(held, "form").select("query", "id", F.lit(1).alias("tier")).distinct()
 
 
 def tier_prefix(q: DataFrame, lines: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def tier_prefix(q: DataFrame, lines: DataFrame) -> DataFrame:
     typed = typed.withColumn("k", k).withColumn("head", F.substring("form", F.lit(1), F.col("k"))).drop("kind")
     held = _forms(lines, "id", "line").select("id", F.col("form").alias("full")).distinct()
     heads = held.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("head", F.substring("full", F.lit(1), F.col("k"))).where(F.length("full") >= F.col("k"))
-    return typed.join(heads, ["k", "head"]).where(F.startswith("full", "form")).select("query", "id", F.lit(2).alias("tier")).distinct()
+    return F.broadcast(typed).join(heads, ["k", "head"]).where(F.startswith("full", "form")).select("query", "id", F.lit(2).alias("tier")).distinct()
 
 
 def tier_words(q: DataFrame, lines: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def tier_inside(q: DataFrame, lines: DataFrame) -> DataFrame:
     long = query_words(q).where(F.length("qword") > 2)
     places = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 2, F.lit(1))), lambda k: F.substring(F.col("word"), k, F.lit(3))))
     vocabulary = line_words(lines).select("word").distinct().select("word", places.alias("head")).distinct()
-    inside = long.withColumn("head", F.substring("qword", 1, 3)).join(vocabulary, "head").where(F.contains("word", "qword")).select("query", "n", "qword", "word")
+    inside = F.broadcast(long.withColumn("head", F.substring("qword", 1, 3))).join(vocabulary, "head").where(F.contains("word", "qword")).select("query", "n", "qword", "word")
     either = starting(q, lines).join(long.select("query").distinct(), "query", "left_semi").union(inside).distinct()
     return _all_words(either, lines).select("query", "id", F.lit(4).alias("tier")).distinct()
 
@@ -133,7 +134,7 @@ def tier_initials(q: DataFrame, lines: DataFrame, broad: int = BROAD) -> DataFra
     """Tier 6: a query word of 3 to 6 Latin letters or digits stands for as many consecutive words of a title by their first
     letters, and every other query word starts a word of it. A word that starts words of more than `broad` titles is taken
     as itself. Lines are met by the runs of 3 to 6 initials they have; starts says whether the word starts any word."""
-    starts = starting(q, lines).join(line_words(lines), "word").groupBy("query", "qword").agg(F.count_distinct("id", "line").alias("lines"))
+    starts = line_words(lines).join(F.broadcast(starting(q, lines)), "word").groupBy("query", "qword").agg(F.count_distinct("id", "line").alias("lines"))
     short = query_words(q).where(F.col("qword").rlike("^[a-z0-9]{3,6}$")).select("query", "qword").join(starts, ["query", "qword"], "left").where(F.coalesce("lines", F.lit(0)) <= broad)
     initials = lines.select("id", "line", F.array_join(F.transform(F.split("line", " "), lambda w: F.substring(w, 1, 1)), "").alias("i")).where(F.length("i") > 2)
     n = F.length("i")
@@ -185,7 +186,7 @@ def first_tiers(tiers: list[DataFrame], titles: DataFrame, limit: int = 12) -> D
     for t in tiers:
         t = t.select("query", "id", "tier")
         union = t if union is None else union.union(t)
-    found = union.groupBy("query", "id").agg(F.min("tier").alias("tier")).join(titles.select("id", "known", "rating", "year").distinct(), "id")
+    found = union.groupBy("query", "id").agg(F.min("tier").alias("tier")).join(never_broadcast(titles.select("id", "known", "rating", "year").distinct()), "id")
     return found.withColumn("place", F.row_number().over(best_known(found, "tier"))).where(F.col("place") <= limit).select("query", "place", "id", "tier")
 
 
@@ -227,7 +228,7 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str, most:
 def just_added(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """Tier of titles that are not in the catalogue yet: 1 the same compact form, 2 it starts with the query's, 3 every
     query word starts a word; the best of each title, current ones first. titles: id, title, current."""
-    lines = materialise(titles.select("id", normalize_title("title").alias("line"), "current").where("line <> ''"))
+    lines = never_broadcast(materialise(titles.select("id", normalize_title("title").alias("line"), "current").where("line <> ''")))
     q = prepared(queries)
     found = tier_exact(q, lines).union(tier_prefix(q, lines)).union(tier_words(q, lines))
     best = found.groupBy("query", "id").agg(F.min("tier").alias("tier")).join(lines.select("id", "current"), "id")

@@ -1,10 +1,13 @@
-"""What Spark sends to every executor: of attributes nothing, however small their files let them look."""
+"""What Spark sends to every executor: of titles and attributes nothing, however small their files let them look."""
 
 import re
 
-from quillon.operators import rows
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.operators import rows, search
 from quillon.plans.stand_ins import attributes, ratings, shows
-from quillon.queries import lists
+from quillon.queries import lists, titles
 
 
 def broadcast(df) -> list[str]:
@@ -25,6 +28,20 @@ def broadcast(df) -> list[str]:
     return out
 
 
+@pytest.mark.parametrize("tier", ["exact", "prefix", "words", "inside", "initials"])
+def test_titles_are_not_broadcast(spark, small, tier):
+    lines = titles.lines(spark, small)
+    marked = lines.withColumn("alias", F.col("alias") & F.lit(True))
+    found = getattr(search, f"tier_{tier}")(titles.prepared(spark), marked)
+    sides = broadcast(found)
+    assert sides and not any(re.search(r"\bline#", s) for s in sides if "qword" not in s and "query" not in s), sides
+
+
+def test_first_tiers_joins_titles_by_merge(spark, small):
+    q, t = titles.prepared(spark), titles.lines(spark, small)
+    assert not [s for s in broadcast(search.first_tiers([search.tier_exact(q, t)], titles.titles(spark, small))) if "parquet" in s]
+
+
 def test_attributes_are_not_broadcast(spark, small):
     of = attributes(shows(spark, small))
     out = rows.insights(ratings(spark, small), of, lists.reference(spark, small))
