@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillon.operators import ranking, study, vectors
+from quillon.queries import explained
 from quillon.queries import ranking as queries
 
 
@@ -23,3 +24,4 @@ def test_no_pairs_of_the_catalogue(spark, small, monkeypatch):
 
     monkeypatch.setattr(vectors, "closeness", spelled_out)
     assert queries.study_ranking(spark, small).count() == 196
+    assert explained.study_pairs(spark, small).count() > 0
